@@ -1,6 +1,6 @@
 """The numbered operators' queries by name, and DuckDB SQL for those that it can express."""
 
-from tidegauge.llm import best_fit, exact_dedup, secrets
+from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, secrets
 
-QUERIES = {"op6_exact_dedup": exact_dedup.query, "op2_best_fit_packing": best_fit.query, "op9_secret_scan": secrets.query}
+QUERIES = {"op6_exact_dedup": exact_dedup.query, "op2_best_fit_packing": best_fit.query, "op8_bpe_chunk_reuse": bpe_reuse.query, "op9_secret_scan": secrets.query}
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
