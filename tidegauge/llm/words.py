@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 import numpy as np
 import regex
@@ -16,6 +17,10 @@ UNUSUAL = re.compile("[^\t\n\r -~\xa1-\u024f\u2010-\u2027\u20ac]")
 #: Fixed value: the split pattern in word_bpe_49k.json.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Byte-level tokenizers write bytes as printable characters: these as themselves, the others in order from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+PRINTABLE = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+
 
 class Remembered(dict):
     """A cache of a bounded number of entries: it starts anew when full."""
@@ -38,16 +43,22 @@ class WordEncoder:
     characters is split at white space and each part looked up; any other text goes to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 350_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words = Remembered(self._library, most)
+        self.model = self.tokenizer.model
+        self.words = Remembered(self._word, most)
         self.parts = Remembered(self._part, most)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """One match of WORD by the file's model alone, which takes bytes as printable characters."""
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(PRINTABLE))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _part(self, part: str) -> bytes:
         return b"".join(map(self.words.__getitem__, WORD.findall(part)))
 
