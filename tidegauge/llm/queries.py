@@ -1,6 +1,14 @@
 """The numbered operators' queries by name, and DuckDB SQL for those that it can express."""
 
-from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, secrets
+from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, hyper_minhash, secrets, sentence_spans, toxicity
 
-QUERIES = {"op6_exact_dedup": exact_dedup.query, "op2_best_fit_packing": best_fit.query, "op8_bpe_chunk_reuse": bpe_reuse.query, "op9_secret_scan": secrets.query}
+QUERIES = {
+    "op2_best_fit_packing": best_fit.query,
+    "op5_toxicity": toxicity.query,
+    "op6_exact_dedup": exact_dedup.query,
+    "op7_hyper_minhash": hyper_minhash.query,
+    "op8_bpe_chunk_reuse": bpe_reuse.query,
+    "op9_secret_scan": secrets.query,
+    "op10_sentence_spans": sentence_spans.query,
+}
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}

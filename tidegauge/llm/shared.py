@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -46,3 +47,27 @@ def free_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in low:
         wanted += "_"
     return wanted
+
+
+BLOCK_BITS = 32768
+
+
+class RepeatFilter:
+    """Bitmaps of bounded size over pairs of numbers that are hashes: whether a pair may be among those given."""
+
+    def __init__(self, pairs: DataFrame, max_bytes: int):
+        """pairs: a written table with columns a and b. At most max_bytes come to the driver."""
+        self.blocks = max(1, min(max_bytes * 8, pairs.count() * 16) // BLOCK_BITS)
+        cells = pairs.select(F.pmod("a", F.lit(self.blocks)).alias("block"), F.col("b").bitwiseAND(F.lit(BLOCK_BITS - 1)).alias("cell"))
+        rows = cells.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bits")).collect()
+        self.bitmaps = {r["block"]: bytes(r["bits"]) for r in rows}
+
+    def __contains__(self, pair: tuple[int, int]) -> bool:
+        bits, at = self.bitmaps.get(pair[0] % self.blocks), pair[1] & (BLOCK_BITS - 1)
+        return bits is not None and bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def digest(data: bytes) -> tuple[int, int]:
+    """128 bits of a hash as two signed numbers."""
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
