@@ -1,9 +1,62 @@
-"""The corpus pipeline: placeholder until its operators stand."""
+"""The corpus pipeline: toxic documents go, then exact copies, then near copies; secrets are masked, and what is left is packed."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.llm import best_fit, exact_dedup, hyper_minhash, secrets, toxicity
+from tidegauge.llm.shared import broadcast_if_small, new_path, written
+
+#: SQL can't express the stages that need a model, shingle components or a tokenizer; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages, one after the other."""
-    raise NotImplementedError
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, labels)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, on 5-word shingles at 0.8."""
+    gone = written(hyper_minhash.near_dedup(docs).filter("not kept").select(F.col("row").alias("_row")), "gone")
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())  # as the operator numbers them
+    return numbered.join(broadcast_if_small(gone, 2_000_000), "_row", "left_anti").select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts; n_chars follows."""
+    masked = secrets.mask_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    return best_fit.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

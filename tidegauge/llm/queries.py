@@ -1,9 +1,12 @@
 """The numbered operators' queries by name, and DuckDB SQL for those that it can express."""
 
-from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, hyper_minhash, secrets, sentence_spans, toxicity
+from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, hyper_minhash, impact_topk, secrets, sentence_spans, tool_calls, toxicity, warc
 
 QUERIES = {
+    "op1_warc_captures": warc.query,
     "op2_best_fit_packing": best_fit.query,
+    "op3_impact_topk": impact_topk.query,
+    "op4_tool_calls": tool_calls.query,
     "op5_toxicity": toxicity.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_hyper_minhash": hyper_minhash.query,
@@ -11,4 +14,4 @@ QUERIES = {
     "op9_secret_scan": secrets.query,
     "op10_sentence_spans": sentence_spans.query,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_warc_captures": warc.ORACLE, "op3_impact_topk": impact_topk.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}

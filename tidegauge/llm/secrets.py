@@ -166,49 +166,46 @@ def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def masked(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:
-    """text with each span, or stretch of overlapping spans, replaced."""
-    out, pos, end = [], 0, -1
+def masked(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """text with mark for each span, or stretch of overlapping spans; spans are sorted."""
+    out, end = [], 0
     for a, _, b in spans:
         if a >= end:
-            if end >= 0:
-                pos = end
-            out += [text[pos:a], mark]
+            out += [text[end:a], mark]
         end = max(end, b)
-    return "".join(out) + text[max(end, 0) :] if spans else text
+    return "".join(out) + text[end:]
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
-    """id, n_assign, n_access, n_hex (base spans), base_sha256 and spans of every text; mask also gives masked, the text without its secrets.
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_assign, n_access, n_hex (base spans), base_sha256 and spans of every text.
 
     Spans are in code points of the whole text, end exclusive. Null counts as empty; a text without spans has
-    zero counts and empty lists. Repeated rows give repeated results, null ids stay null, and further columns are not read.
+    zero counts and empty lists. Repeated rows give repeated results, null ids stay null, an empty table gives an empty
+    result, and further columns are not read.
     """
-    return _scanned(df.select(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`").alias("_text")), mask)
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(x, T.LongType()) for x in ("n_assign", "n_access", "n_hex")] + [T.StructField(x, T.StringType()) for x in ("base_sha256", "spans")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scan(cell.as_py()) for cell in batch.column(1)]
+            counts = [pa.array([sum(x[1] == k for x in base) for base, _ in found], pa.int64()) for k in range(3)]
+            sha = [hashlib.sha256(told(base).encode()).hexdigest() for base, _ in found]
+            spans = [told(every) for _, every in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=schema.names)
+
+    return df.select(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")).mapInArrow(run, schema)
 
-def _scanned(df: DataFrame, mask: bool) -> DataFrame:
-    """The first columns of df as they are, and what the scan of the last column found."""
-    kept = df.schema.fields[:-1]
-    schema = T.StructType(kept + [T.StructField(x, T.LongType()) for x in ("n_assign", "n_access", "n_hex")] + [T.StructField(x, T.StringType()) for x in ("base_sha256", "spans", *["masked"] * mask)])
+
+def mask_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """df with every span of :func:`scan_secrets` in the texts replaced by ``mark``; null texts stay null, other columns as they are."""
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: list[list[int]] = [[], [], []]
-            sha, spans, new = [], [], []
-            for cell in batch.column(batch.num_columns - 1):
-                text = cell.as_py()
-                base, every = scan(text)
-                for k in range(3):
-                    counts[k].append(sum(x[1] == k for x in base))
-                sha.append(hashlib.sha256(told(base).encode()).hexdigest())
-                spans.append(told(every))
-                if mask:
-                    new.append(masked(text, every))
-            more = [pa.array(c, pa.int64()) for c in counts] + [pa.array(c, pa.string()) for c in (sha, spans, *[new] * mask)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
-
-    return df.mapInArrow(run, schema)
+            texts = [None if cell is None else masked(cell, scan(cell)[1], mark) for cell in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

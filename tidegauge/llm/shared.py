@@ -36,6 +36,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(table: DataFrame, most_rows: int) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most so many; else joins shuffle it."""
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def text_or_empty(col: str):
     """Null texts count as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -204,15 +204,8 @@ def build_index(examples: list, idf: np.ndarray, rate: float, k: int) -> Index:
     return index
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 4096, max_terms: int = 1024, evidence: int = 3) -> DataFrame:
-    """id, held_out, score, predicted and evidence (id, similarity and label of the nearest examples) of every row of df.
-
-    Only labels of rows that aren't held out are learnt from; scores depend on texts alone. Null and empty texts, and texts
-    without any term of the vocabulary, get the score of no neighbours, which is low where toxic texts are few. Without labels of both kinds that
-    score is 0.1 for all. Repeated rows are scored alike, null ids are not held out, further columns are not read, and
-    an empty table gives an empty result.
-    """
-    spark = df.sparkSession
+def _learnt(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int, max_labelled: int, max_examples: int, max_terms: int) -> tuple[DataFrame, list[str], Index, np.ndarray]:
+    """The vectors of all texts, the vocabulary, the index of examples and the weights of the terms."""
     texts = df.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
     sample = written(labelled_sample(labels, id_col, label_col, max_labelled), "sample")
     words, rate = vocabulary(texts, sample, max_terms)
@@ -222,7 +215,19 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     idf = np.array([math.log((1 + n) / (1 + seen.get(i, 0))) for i in range(len(words))])
     own = rows.join(F.broadcast(sample), "id").dropDuplicates(["id"])
     halves = [own.filter(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(max_examples // 2) for y in (0, 1)]
-    shared = spark.sparkContext.broadcast((build_index(halves[0].unionByName(halves[1]).collect(), idf, rate, k), idf))
+    return rows, words, build_index(halves[0].unionByName(halves[1]).collect(), idf, rate, k), idf
+
+
+def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 4096, max_terms: int = 1024, evidence: int = 3) -> DataFrame:
+    """id, held_out, score, predicted and evidence (id, similarity and label of the nearest examples) of every row of df.
+
+    Only labels of rows that aren't held out are learnt from; scores depend on texts alone. Null and empty texts, and texts
+    without any term of the vocabulary, get the score of no neighbours, which is low where toxic texts are few. Without labels of both kinds that
+    score is 0.1 for all. Repeated rows are scored alike, null ids are not held out, further columns are not read, and
+    an empty table gives an empty result.
+    """
+    rows, words, index, idf = _learnt(df, labels, id_col, text_col, label_col, k, max_labelled, max_examples, max_terms)
+    shared = df.sparkSession.sparkContext.broadcast((index, idf))
     id_kind = df.schema[id_col].dataType
     proof = T.ArrayType(T.StructType([T.StructField("id", id_kind), T.StructField("similarity", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
     schema = T.StructType([T.StructField(id_col, id_kind), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", proof)])
@@ -243,6 +248,26 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted", "evidence")
 
 
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 4096, max_terms: int = 1024) -> DataFrame:
+    """The rows of df, with all columns, that :func:`score_toxicity` would not predict to be toxic; texts are read where they are, nothing is shuffled."""
+    _, words, index, idf = _learnt(df, labels, id_col, text_col, label_col, k, max_labelled, max_examples, max_terms)
+    shared = df.sparkSession.sparkContext.broadcast((words, index, idf))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, index, idf = shared.value
+        places = {t: i for i, t in enumerate(words)}
+        known = Remembered(lambda w: tuple(places[t] for t in terms(w) if t in places), 300_000)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                found = [sorted(term_counts(cell.as_py() or "", known).items()) for cell in batch.column(at)]
+                q = dense([[x[0] for x in row] for row in found], [[x[1] for x in row] for row in found], idf)
+                yield batch.filter(pa.array(index.score(index.votes(*index.neighbours(q, k))) < 0.5))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document, learnt from labels."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
