@@ -20,19 +20,20 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidegauge.llm.shared import text_or_empty, written
+from tidegauge.llm.shared import RepeatFilter, digest, text_or_empty, written
 from tidegauge.llm.words import UNUSUAL
 
 #: Fixed value: the one special token of the vocabulary.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: A blank after a printable ASCII character: a token always starts there.
 SAFE = re.compile(rb"(?<=[!-~])\x20")
-WINDOW, LEAST, MEAN, MOST, BLOCK_BITS = 16, 256, 1024, 8192, 32768
+WINDOW, LEAST, MEAN, MOST = 16, 256, 1024, 8192
 _TABLE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64)
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, 2**k, 2**64)) for k in range(4)]
 
@@ -137,26 +138,17 @@ def chunks(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def digest(chunk: bytes) -> tuple[int, int]:
-    """128 bits of a chunk's hash as two signed numbers."""
-    d = hashlib.blake2b(chunk, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
-def repeated_chunks(df: DataFrame, text_col: str, max_filter_bytes: int) -> tuple[int, dict[int, bytes]]:
-    """Number of blocks, and a bitmap for each, of the chunks that occur more than once; at most max_filter_bytes."""
+def repeated_chunks(df: DataFrame, text_col: str, max_filter_bytes: int) -> RepeatFilter:
+    """Which chunks may occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [digest(c) for cell in batch.column(0) for c in chunks(cell.as_py().encode())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    often = df.select(text_or_empty(f"`{text_col}`")).mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
-    often = written(often, "chunks")
-    blocks = max(1, min(max_filter_bytes * 8, often.count() * 16) // BLOCK_BITS)
-    cells = often.select(F.pmod("a", F.lit(blocks)).alias("block"), F.col("b").bitwiseAND(F.lit(BLOCK_BITS - 1)).alias("cell"))
-    rows = cells.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bits")).collect()  # at most max_filter_bytes in all
-    return blocks, {r["block"]: bytes(r["bits"]) for r in rows}
+    every = df.select(text_or_empty(f"`{text_col}`")).mapInArrow(run, "a long, b long")
+    often = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
+    return RepeatFilter(written(often, "chunks"), max_filter_bytes)
 
 
 def encode_documents(df: DataFrame, tokenizer: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 32 << 20, with_ids: bool = False) -> DataFrame:
@@ -182,7 +174,7 @@ def encode_documents(df: DataFrame, tokenizer: str | None = None, ranks: str | N
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Encodes texts without repeated chunks; the others in parts, with the digest of each that is repeated."""
-        encode, (blocks, bitmaps) = encoder(path, ranks_path), shared.value
+        encode, repeated, press = encoder(path, ranks_path), shared.value, zstandard.ZstdCompressor(6)
         for batch in batches:
             every, parts = [], []
             for cell in batch.column(1):
@@ -190,31 +182,32 @@ def encode_documents(df: DataFrame, tokenizer: str | None = None, ranks: str | N
                 own: list[dict] = []
                 for c in chunks(text.encode()):
                     a, b = digest(c)
-                    at = b & (BLOCK_BITS - 1)
-                    if (bits := bitmaps.get(a % blocks)) and bits[at >> 3] >> (at & 7) & 1:
+                    if (a, b) in repeated:
                         own.append({"a": a, "b": b, "data": c})
                     elif own and own[-1]["a"] is None:
                         own[-1]["data"] += c
                     else:
                         own.append({"a": None, "b": None, "data": c})
                 alone = all(x["a"] is None for x in own)
+                for x in own * (not alone):
+                    x["data"] = press.compress(x["data"])
                 every.append(encode(text) if alone else None)
                 parts.append(None if alone else own)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns(encode, every), batch.column(2), pa.array(parts, part_kind)], names=first.names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, ranks_path)
+        encode, press, unpress = encoder(path, ranks_path), zstandard.ZstdCompressor(6), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = [np.array(encode(x.as_py().decode()), "<u2").tobytes() for x in batch.column(2)]
+            ids = [press.compress(np.array(encode(unpress(x.as_py()).decode()), "<u2").tobytes()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["a", "b", "ids"])
 
     def mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, ranks_path)
+        encode, unpress = encoder(path, ranks_path), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             every = []
             for own, got in zip(batch.column(1), batch.column(2), strict=True):
-                known = {x["k"]: np.frombuffer(x["ids"], "<u2").tolist() for x in got.as_py()}
-                every.append(encode.joined([(x["data"], known.get(k)) for k, x in enumerate(own.as_py())]))
+                known = {x["k"]: np.frombuffer(unpress(x["ids"]), "<u2").tolist() for x in got.as_py()}
+                every.append(encode.joined([(b"".join(map(encode.bytes.__getitem__, known[k])), known[k]) if x is None else (unpress(x), None) for k, x in enumerate(own.as_py())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns(encode, every)], names=result.names)
 
     rows = df.select(F.col(f"`{id_col}`").alias(id_col), text_or_empty(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
@@ -224,7 +217,8 @@ def encode_documents(df: DataFrame, tokenizer: str | None = None, ranks: str | N
     distinct = refs.groupBy("a", "b").agg(F.first("data").alias("data"))
     known = distinct.mapInArrow(once, "a long, b long, ids binary")
     back = refs.drop("data").join(known, ["a", "b"]).groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("known"))
-    mended_rows = waiting.select(id_col, "row", "parts").join(back, "row").select(id_col, "parts", "known").mapInArrow(mended, result)
+    unknown = F.transform("parts", lambda x: F.when(x["a"].isNull(), x["data"])).alias("parts")
+    mended_rows = waiting.select(id_col, "row", unknown).join(back, "row").select(id_col, "parts", "known").mapInArrow(mended, result)
     return rows.filter("parts is null").select(*result.names).unionByName(mended_rows)
 
 
