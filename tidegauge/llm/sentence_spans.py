@@ -1,6 +1,6 @@
 """Substring de-duplication by sliding runs of consecutive sentences.
 
-Every run of several consecutive sentences is hashed: from each sentence on, the shortest that has ``sentences`` sentences and
+Every run of several consecutive sentences is hashed: from each sentence on, and up to each, the shortest that has ``several`` sentences and
 ``least_words`` words. A first pass counts the runs' digests, narrow rows that are summed before the shuffle; those that occur more
 than once make a bitmap of bounded size. The second pass sends on only runs that the bitmap has, with their places; a join of these
 with the first place of each digest leaves the non-first ones, and the sentences that those cover are removed.
@@ -8,6 +8,7 @@ with the first place of each digest leaves the non-first ones, and the sentences
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -51,21 +52,28 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
 
 
 def runs(text: str, several: int, least_words: int) -> list[tuple[int, int, tuple[int, int]]]:
-    """(first sentence, number of sentences, digest) of every run."""
+    """(first sentence, number of sentences, digest) of every run: the shortest from each sentence on and the shortest up to each."""
     parts = sentences(text)
-    words = [" ".join(text[a:b].split()) for a, b, _ in parts]
-    out = []
-    end = total = 0
+    sums = list(itertools.accumulate((n for _, _, n in parts), initial=0))
+    found = set()
+    end = 0
     for k in range(len(parts)):
-        end = max(end, k)
-        while end < len(parts) and (end - k < several or total < least_words):
-            total += parts[end][2]
+        end = max(end, k + several)
+        while end < len(parts) and sums[end] - sums[k] < least_words:
             end += 1
-        if end - k < several or total < least_words:
+        if end > len(parts) or sums[end] - sums[k] < least_words:
             break
-        out.append((k, end - k, digest("\n".join(words[k:end]).encode())))
-        total -= parts[k][2]
-    return out
+        found.add((k, end - k))
+    start = len(parts)
+    for k in range(len(parts), 0, -1):
+        start = min(start, k - several)
+        while start > 0 and sums[k] - sums[start] < least_words:
+            start -= 1
+        if start < 0 or sums[k] - sums[start] < least_words:
+            break
+        found.add((start, k - start))
+    words = [" ".join(text[a:b].split()) for a, b, _ in parts]
+    return [(k, n, digest("\n".join(words[k : k + n]).encode())) for k, n in sorted(found)]
 
 
 def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", several: int = 2, least_words: int = 24, max_filter_bytes: int = 64 << 20) -> DataFrame:
