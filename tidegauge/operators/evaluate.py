@@ -120,3 +120,19 @@ def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
     all_ = group.withColumn("gm", F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("feature")) / F.sum("n").over(Window.partitionBy("feature")))
     ssb, ssw, k, n = F.sum(F.col("n") * (F.col("m") - F.col("gm")) ** 2), F.sum(F.col("n") * F.col("v")), F.count(F.lit(1)), F.sum("n")
     return all_.groupBy("feature").agg(ratio(F.try_divide(ssb, (k - 1).cast("double")), F.try_divide(ssw, (n - k).cast("double"))).alias("f"))
+
+
+def ranked(scores: DataFrame, by: list[str], top: int) -> DataFrame:
+    """The first features by the sizes of these scores, nulls last, then by name."""
+    return scores.orderBy(*[F.abs(F.col(c)).desc_nulls_last() for c in by], "feature").limit(top)
+
+
+def suite(df: DataFrame, members: dict[str, str], labels: list[str], benchmark: str | None = None) -> DataFrame:
+    """One row for each model (a column of predictions each): classification metrics and lift over a benchmark column, all in one query."""
+    models = F.array(*[F.struct(F.lit(name).alias("model"), F.col(c).alias("y_pred")) for name, c in members.items()])
+    rows = df.withColumn("_m", F.explode(models)).select(*[c for c in df.columns if c not in ("y_pred", "model")], "_m.model", "_m.y_pred").filter("y_pred is not null")
+    out = classification(rows, labels, ["model"])
+    if benchmark is None:
+        return out
+    lift = paired(rows.withColumn("y_market", F.col(benchmark)), ["model"]).select("model", "lift")
+    return out.join(lift, "model", "left")

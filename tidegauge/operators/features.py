@@ -140,3 +140,15 @@ def spliced(old: DataFrame, new: DataFrame, keys: list[str], day: str, value: st
     edge = old.join(start, keys).filter(F.col(day) == F.col("_start")).select(*keys, ratio(F.col("_new"), F.col(value)).alias("_factor"))
     before = old.join(start.select(*keys, "_start"), keys, "left").filter(F.col("_start").isNull() | (F.col(day) < F.col("_start"))).join(edge, keys, "left")
     return before.select(*keys, day, (F.col(value) * F.coalesce("_factor", F.lit(1.0))).alias(value)).unionByName(new.select(*keys, day, value))
+
+
+#: Groups of features by name: each gives columns from a panel, the columns to use and its settings.
+GROUPS = {"lags": lags, "rolling": rolling, "changes": changes}
+
+
+def build(df: DataFrame, p: Panel, columns: list[str], config: dict[str, dict | None]) -> DataFrame:
+    """df with the features of every group that config names and does not set to None, in config's order, in one projection. Unknown groups and columns raise."""
+    if unknown := (set(config) - set(GROUPS)) | (set(columns) - set(df.columns)):
+        raise ValueError(f"not known: {sorted(unknown)}")
+    new = [c for name, settings in config.items() if settings is not None for c in GROUPS[name](p, columns, **settings)]
+    return df.select("*", *new)

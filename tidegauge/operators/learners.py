@@ -96,3 +96,17 @@ def oversampled(df: DataFrame, features: list[str], label: str, key: str, neighb
     copies = near.withColumn("k", F.explode(F.sequence(F.lit(1), times))).filter(F.pmod(F.col("k"), F.lit(neighbours)) == F.col("r") - 1)
     made = copies.withColumn("u", F.rand(SEED)).select(F.col(f"a.{label}").alias(label), *[(F.col(f"a.{c}") + F.col("u") * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c) for c in features], F.lit(1).alias("is_made"))
     return df.select(label, *features, F.lit(0).alias("is_made")).unionByName(made)
+
+
+def selected(df: DataFrame, features: list[str], target: str, k: int) -> list[str]:
+    """The k features with the largest absolute correlation with the target, ties by name."""
+    y = F.col(target).cast("double")
+    row = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(c) for c in features]).head()
+    return sorted(features, key=lambda c: (-abs(row[c] or 0.0), c))[:k]
+
+
+def save_best(table: DataFrame, candidates: dict[str, Callable[[], Pipeline]], df: DataFrame, path: str) -> str:
+    """Fits the first candidate of a search's table on all rows, saves it, and gives its name."""
+    name = table.head()["candidate"]
+    candidates[name]().fit(df).write().overwrite().save(path)
+    return name
