@@ -92,17 +92,30 @@ def plan(counts: dict[int, int], capacity: int) -> list[Slot]:
                 while left[length] and fill(length, gap - a, a):
                     pass
         if left[length] and gap > 2:
-            for a in (np.flatnonzero(left[1 : gap - 1]) + 1)[::-1].tolist():
+            shorter = (np.flatnonzero(left[1 : gap - 1]) + 1).tolist()
+            sums = _pair_sums(shorter, gap)
+            for a in shorter[::-1]:
+                if 3 * a < gap or not left[length]:
+                    break
                 rest = gap - a
+                if not (left[a] and sums >> rest & 1):
+                    continue
                 low = np.flatnonzero(left[1 : min(rest // 2, a) + 1]) + 1
                 for b in low[(left[rest - low] > 0) & (rest - low <= a)][::-1].tolist():
                     while left[length] and left[a] and fill(length, a, rest - b, b):
                         pass
-                if not left[length]:
-                    break
     return slots + best_fit(left, ranks, sequence, capacity)
 
 
+def _pair_sums(lengths: list[int], below: int) -> int:
+    """A bit for each sum of two of the lengths that is below a bound."""
+    bits = sum(1 << x for x in lengths)
+    sums = 0
+    for x in lengths:
+        sums |= bits << x
+    return sums & ((1 << below) - 1)
+
+
 def best_fit(left: np.ndarray, ranks: np.ndarray, sequence: int, capacity: int) -> list[Slot]:
     """Slots for what is left of each length: each goes where it leaves the smallest gap, longest first."""
     slots: list[Slot] = []
