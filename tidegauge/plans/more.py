@@ -124,11 +124,11 @@ def _(spark, d):
     return rows.select("o_orderkey", ingest.parse_day(found, "d MMMM yyyy", "yyyy-MM-dd").alias("released"))
 
 
-@query("a11_parquet_sink", f"WITH {ORDERS} SELECT year(event_date) AS year, count(*) AS n, round(sum(value), 1) AS total FROM o GROUP BY 1")
+@query("a11_parquet_sink", f"WITH {ORDERS} SELECT year(event_date) AS year, count(*) AS n, round(sum(value), 2) AS total FROM o GROUP BY 1")
 def _(spark, d):
     rows = orders(spark, d).withColumn("year", F.year("event_date"))
     back = sinks.write_frame(rows, sinks.workspace(spark, "frame"), ["year"])
-    return back.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 1).alias("total"))
+    return back.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("a13_prediction_log", f"WITH {CALLS} SELECT y_pred, count(*) AS n FROM c GROUP BY 1")

@@ -91,10 +91,10 @@ def _(spark, d):
 
 
 @query("e5_ewma", f"""WITH {ORDERS}, r AS (SELECT entity, event_date, value, row_number() OVER {W} AS pos FROM o)
-    SELECT a.entity, a.event_date, round(sum(b.value * power(1 - 2.0 / 7, a.pos - b.pos)) / sum(power(1 - 2.0 / 7, a.pos - b.pos)), 3) AS value_ewma_6
+    SELECT a.entity, a.event_date, round(sum(b.value * power(1 - 2.0 / 7, a.pos - b.pos)) / sum(power(1 - 2.0 / 7, a.pos - b.pos)), 6) AS value_ewma_6
     FROM r a JOIN r b ON a.entity = b.entity AND b.pos <= a.pos GROUP BY 1, 2""")
 def _(spark, d):
-    return features.ewma(orders(spark, d), PANEL, "value", 6).select("entity", "event_date", F.round("value_ewma_6", 3).alias("value_ewma_6"))
+    return features.ewma(orders(spark, d), PANEL, "value", 6).select("entity", "event_date", F.round("value_ewma_6", 6).alias("value_ewma_6"))
 
 
 @query("e6_changes", f"""WITH {ORDERS} SELECT entity, event_date, {', '.join(f'round(value - lag(value, {h}) OVER {W}, 3) AS value_diff_{h}' for h in (1, 3, 6, 12))},
