@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidegauge.llm.shared import RepeatFilter, digest, text_or_empty, written
+from tidegauge.llm.shared import RepeatFilter, digest, in_slices, text_or_empty, written
 from tidegauge.llm.words import UNUSUAL
 
 #: Fixed value: the one special token of the vocabulary.
@@ -175,7 +175,7 @@ def encode_documents(df: DataFrame, tokenizer: str | None = None, ranks: str | N
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Encodes texts without repeated chunks; the others in parts, with the digest of each that is repeated."""
         encode, repeated, press = encoder(path, ranks_path), shared.value, zstandard.ZstdCompressor(6)
-        for batch in batches:
+        for batch in in_slices(batches):
             every, parts = [], []
             for cell in batch.column(1):
                 text = cell.as_py()
@@ -197,13 +197,13 @@ def encode_documents(df: DataFrame, tokenizer: str | None = None, ranks: str | N
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, press, unpress = encoder(path, ranks_path), zstandard.ZstdCompressor(6), zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = [press.compress(np.array(encode(unpress(x.as_py()).decode()), "<u2").tobytes()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["a", "b", "ids"])
 
     def mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, unpress = encoder(path, ranks_path), zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in in_slices(batches):
             every = []
             for own, got in zip(batch.column(1), batch.column(2), strict=True):
                 known = {x["k"]: np.frombuffer(unpress(x["ids"]), "<u2").tolist() for x in got.as_py()}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,13 @@ def broadcast_if_small(table: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= most_rows else table
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that what a task makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_or_empty(col: str):
     """Null texts count as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.shared import text_or_empty, written
+from tidegauge.llm.shared import in_slices, text_or_empty, written
 from tidegauge.llm.words import Remembered
 
 WORD = re.compile(r"[^\W_]+")
@@ -234,15 +234,13 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, idf = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                q = dense(batch.column(1).to_pylist(), batch.column(2).to_pylist(), idf)
-                best, who = index.neighbours(q, k)
-                score = index.score(index.votes(best, who))
-                why = [[{"id": index.ids[j], "similarity": float(s), "toxic": int(index.toxic[j])} for s, j in zip(b, w, strict=True) if s > 0] for b, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist(), strict=True)]
-                kind = pa.list_(pa.struct([("id", whole.schema.field(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(why, kind)], names=schema.names)
+        for batch in in_slices(batches):
+            q = dense(batch.column(1).to_pylist(), batch.column(2).to_pylist(), idf)
+            best, who = index.neighbours(q, k)
+            score = index.score(index.votes(best, who))
+            why = [[{"id": index.ids[j], "similarity": float(s), "toxic": int(index.toxic[j])} for s, j in zip(b, w, strict=True) if s > 0] for b, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist(), strict=True)]
+            kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(why, kind)], names=schema.names)
 
     out = rows.mapInArrow(run, schema)
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted", "evidence")
@@ -258,12 +256,10 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         words, index, idf = shared.value
         places = {t: i for i, t in enumerate(words)}
         known = Remembered(lambda w: tuple(places[t] for t in terms(w) if t in places), 300_000)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                found = [sorted(term_counts(cell.as_py() or "", known).items()) for cell in batch.column(at)]
-                q = dense([[x[0] for x in row] for row in found], [[x[1] for x in row] for row in found], idf)
-                yield batch.filter(pa.array(index.score(index.votes(*index.neighbours(q, k))) < 0.5))
+        for batch in in_slices(batches):
+            found = [sorted(term_counts(cell.as_py() or "", known).items()) for cell in batch.column(at)]
+            q = dense([[x[0] for x in row] for row in found], [[x[1] for x in row] for row in found], idf)
+            yield batch.filter(pa.array(index.score(index.votes(*index.neighbours(q, k))) < 0.5))
 
     return df.mapInArrow(run, df.schema)
 
