@@ -2,7 +2,7 @@
 
 Pass one hashes every normalised text and counts the filter cells that it sets; the cells set more than once
 make the filter. Pass two probes the filter: rows with a cell that only they set can't have a copy and pass
-straight through, and only the possibly repeated rest is shuffled, grouped and joined by the full hash.
+straight through; the possibly repeated rest is grouped by the full hash, summed before it is shuffled, and joined with its groups.
 
 The filter is split into blocks of 4 KB, a row's probes all lie in one block, and it reaches the rows by a
 broadcast join on the block number. Its size is bounded by ``max_filter_bytes``: beyond some millions of rows per MB the
@@ -16,9 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import free_name, text_or_empty
+from tidegauge.llm.shared import broadcast_if_small, free_name, text_or_empty, written
 
 BLOCK_BITS = 32768
+#: Largest table of groups of copies that is sent to all executors, in rows of about 120 bytes; beyond, rows and groups are shuffled, and hot hashes split by Spark.
+MOST_BROADCAST = 300_000
 #: A run of white space, but for a lone blank, which stays as it is anyhow.
 RUN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
@@ -71,9 +73,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     alone = result(probed.filter(~F.col(bits)), F.col(f"`{id_col}`"), F.lit(1).cast("long"), F.lit(True))
     rest = probed.filter(F.col(bits)).drop(block, bits)
     first = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"))
-    groups = rest.groupBy(sha).agg(F.min(first).alias(block), F.count(F.lit(1)).alias(bits))
-    joined = rest.join(groups, sha)
-    return alone.unionByName(result(joined, F.col(f"{block}.id"), F.col(bits), F.col(f"{block}.row") == F.col(row)))
+    groups = rest.groupBy(sha).agg(F.min(first).alias(block), F.count(F.lit(1)).alias(bits)).filter(F.col(bits) > 1)
+    joined = rest.join(broadcast_if_small(written(groups, "copies"), MOST_BROADCAST), sha, "left")
+    several = F.col(bits).isNotNull()
+    keep = F.when(several, F.col(f"{block}.id")).otherwise(F.col(f"`{id_col}`"))
+    return alone.unionByName(result(joined, keep, F.coalesce(F.col(bits), F.lit(1).cast("long")), ~several | (F.col(f"{block}.row") == F.col(row))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
