@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.shared import RepeatFilter, digest, text_or_empty, written
+from tidegauge.llm.shared import RepeatFilter, broadcast_if_small, digest, text_or_empty, written
 
 #: A sentence with what ends it: marks and white space, or line ends.
 SENTENCE = re.compile(r"[^.!?\n\r。！？]*(?:[.!?。！？]+[\"')\]]*\s*|[\n\r]\s*|$)")
 #: A sentence of more than LONG words is cut after words with a checksum that CUT divides, and after MOST words at the latest.
 LONG, CUT, MOST = 24, 4, 12
 WORD = re.compile(r"\S+\s*")
+#: Largest table of first places that is sent to all executors, in rows of about 100 bytes; beyond, both sides are shuffled, and hot runs split by Spark.
+MOST_BROADCAST = 300_000
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
@@ -111,7 +113,8 @@ def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     numbered = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(f"`{text_col}`").alias("text"))
     places = written(numbered.mapInArrow(often, place), "places")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "k")
-    first = places.groupBy("a", "b").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("often")).filter("often > 1")
+    first = places.groupBy("a", "b").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("often")).filter("often > 1").drop("often")
+    first = broadcast_if_small(written(first, "firsts"), MOST_BROADCAST)
     later = places.join(first, ["a", "b"]).filter("row <> first.row or k <> first.k")
     covers = later.groupBy("row").agg(F.collect_set(F.struct("k", "n")).alias("covers"))
     result = T.StructType([place["id"], T.StructField("n_removed", T.LongType()), T.StructField("n_chars_removed", T.LongType()), T.StructField("removed", T.StringType()), T.StructField("clean", T.StringType())])
