@@ -145,6 +145,31 @@ def test_sentence_spans_are_brute_force_s(spark, sf):
     assert all("".join(t[a:b] for a, b, _ in sentence_spans.sentences(t)) == t for t in texts.values())
 
 
+def words_of(rng, n):
+    return [f"w{rng.randrange(10**9)}" + rng.choice(["", "", "", "", "", ".", "!"]) for _ in range(n)]
+
+
+def test_sentence_spans_find_every_passage_of_51_words(spark):
+    """Against a brute force over windows of 51 words: passages within sentences, between hosts of any length."""
+    rng = random.Random(11)
+    rows = [(-2, " ".join(f"a{i}" for i in range(2)) + " " + " ".join(f"p{i}" + "." * (i in (16, 33)) for i in range(51)) + " host end."), (-1, " ".join(f"b{i}" for i in range(10)) + " " + " ".join(f"p{i}" + "." * (i in (16, 33)) for i in range(51)) + " other end.")]
+    for i in range(120):
+        passage = words_of(rng, 51)
+        passage[-1] = passage[-1].strip(".!")
+        rows += [(2 * i + j, " ".join(["Own", *words_of(rng, rng.randrange(40)), "host", *passage, "goes", *words_of(rng, rng.randrange(40)), "on."])) for j in (0, 1)]
+    rows += [(1000 + i, " ".join(words_of(rng, 200))) for i in range(20)]
+    seen, expected = set(), set()
+    for i, t in sorted(rows):
+        w = t.split()
+        own = {tuple(w[k : k + 51]) for k in range(len(w) - 50)}
+        if own & seen:
+            expected.add(i)
+        seen |= own
+    assert len(expected) == 121
+    got = {r.doc_id for r in sentence_spans.dedup_sentences(docs(spark, rows)).filter("n_removed > 0").collect()}
+    assert got == expected
+
+
 def test_clashing_names_and_hashes(spark):
     got = exact_dedup.exact_dedup(docs(spark, [(1, "a\n\nb")])).first()
     assert got.text_sha256 == hashlib.sha256(b"a b").hexdigest() and got.keep_id == "x"

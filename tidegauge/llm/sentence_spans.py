@@ -1,88 +1,124 @@
-"""Substring de-duplication by sliding runs of consecutive sentences.
+"""Substring de-duplication by sliding runs of consecutive segments of sentences.
 
-Every run of several consecutive sentences is hashed: from each sentence on, and up to each, the shortest that has ``several`` sentences and
-``least_words`` words. A first pass counts the runs' digests, narrow rows that are summed before the shuffle; those that occur more
+Every sentence is cut by content: of each SPAN words in a row the one with the smallest checksum ends a segment. Whether a word does hangs
+on the SPAN - 1 words on either side alone, so a passage is cut alike in all texts but for its edges, also where it stands within a sentence.
+Every run of several consecutive segments is hashed: from each segment on, and up to each sentence's end, the shortest that has ``several``
+segments and ``least_words`` words. So a passage of ``least_words + 5 * SPAN - 4`` words (50) holds a run wherever it stands.
+
+A first pass counts the runs' digests, narrow rows that are summed before the shuffle; those that occur more
 than once make a bitmap of bounded size. The second pass sends on only runs that the bitmap has, with their places; a join of these
-with the first place of each digest leaves the non-first ones, and the sentences that those cover are removed.
+with the first place of each digest leaves the non-first ones, and the segments that those cover are removed.
 """
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.shared import RepeatFilter, broadcast_if_small, digest, text_or_empty, written
+from tidegauge.llm.shared import RepeatFilter, broadcast_if_small, in_slices, text_or_empty, written
 
 #: A sentence with what ends it: marks and white space, or line ends.
 SENTENCE = re.compile(r"[^.!?\n\r。！？]*(?:[.!?。！？]+[\"')\]]*\s*|[\n\r]\s*|$)")
-#: A sentence of more than LONG words is cut after words with a checksum that CUT divides, and after MOST words at the latest.
-LONG, CUT, MOST = 24, 4, 12
+#: No segment has more words, and words of fewer than SHORT bytes end one only among their like: they are so common that they'd tell places badly.
+SPAN, SHORT = 6, 4
 WORD = re.compile(r"\S+\s*")
 #: Largest table of first places that is sent to all executors, in rows of about 100 bytes; beyond, both sides are shuffled, and hot runs split by Spark.
 MOST_BROADCAST = 300_000
 
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each sentence; they cover the text, and those without words are part of the one before."""
-    out: list[tuple[int, int, int]] = []
+#: Odd factors of the two halves of a run's digest, and what undoes them.
+FACTORS = [(x, pow(x, -1, 1 << 64)) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+
+
+def _words(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of the text, those that a sentence's end divides as several, and how many there are up to the end of each sentence that has any."""
+    words: list[str] = []
+    ends: list[int] = []
     for m in SENTENCE.finditer(text):
-        a, b = m.span()
-        if a == b:
-            continue
-        n = len(m[0].split())
-        if n > LONG:
-            at, count = a, 0
-            for w in WORD.finditer(text, a, b):
-                count += 1
-                if count == MOST or count > 3 and sum(w[0].strip().encode()) % CUT == 0:
-                    out.append((at, w.end(), count))
-                    at, count = w.end(), 0
-            n, a = count, at
-            if a == b:
-                continue
-        if n or not out:
-            out.append((a, b, n))
-        else:
-            out[-1] = (out[-1][0], b, out[-1][2])
-    return out
+        if own := m[0].split():
+            words += own
+            ends.append(len(words))
+    return "\n".join(words).encode("utf-8", "surrogatepass").split(b"\n") if words else [], np.array(ends, np.int64)
+
+
+def _ends(words: list[bytes], sentence_ends: np.ndarray) -> np.ndarray:
+    """The number of words up to the end of each segment."""
+    n = len(words)
+    is_end = np.zeros(n + 1, bool)
+    is_end[sentence_ends] = True
+    if n >= SPAN:
+        short = np.fromiter(map(len, words), np.uint64, n) < SHORT
+        sums = np.fromiter(map(zlib.crc32, words), np.uint64, n) >> np.uint64(1) | short.astype(np.uint64) << np.uint64(31)
+        keys = sums << np.uint64(32) | np.arange(n, 0, -1, dtype=np.uint64)
+        least = keys[: n - SPAN + 1]
+        for i in range(1, SPAN):
+            least = np.minimum(least, keys[i : n - SPAN + 1 + i])
+        number = np.zeros(n + 1, np.int64)
+        number[sentence_ends] = 1
+        number = np.cumsum(number)
+        whole = number[: n - SPAN + 1] == number[SPAN - 1 : n]
+        is_end[n - (least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1] = True
+    return np.flatnonzero(is_end)
+
+
+def sentences(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, words) of each segment; they cover the text, and white space is part of the one before."""
+    words, sentence_ends = _words(text)
+    if not words:
+        return [(0, len(text), 0)] if text else []
+    after = [w.end() for m in SENTENCE.finditer(text) for w in WORD.finditer(text, *m.span())]
+    ends = _ends(words, sentence_ends).tolist()
+    stops = [*(after[e - 1] for e in ends[:-1]), len(text)]
+    return list(zip([0, *stops[:-1]], stops, np.diff([0, *ends]).tolist(), strict=True))
+
+
+def run_arrays(text: str, several: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first segment, number of segments and digest in two numbers of every run: the shortest from each segment on and up to each sentence's end."""
+    words, sentence_ends = _words(text)
+    if len(words) < max(least_words, several):
+        return (np.zeros(0, np.int64),) * 4
+    ends = _ends(words, sentence_ends)
+    sums = np.concatenate([[0], ends])
+    count = len(ends)
+    k = np.arange(count)
+    stop = np.maximum(np.searchsorted(sums, sums[:-1] + least_words), k + several)
+    fits = stop <= count
+    up_to = np.searchsorted(sums, sentence_ends)
+    start = np.minimum(np.searchsorted(sums, sums[up_to] - least_words, "right") - 1, up_to - several)
+    back = start >= 0
+    pairs = np.unique(np.concatenate([k[fits] * (count + 1) + stop[fits], start[back] * (count + 1) + up_to[back]]))
+    first, last = pairs // (count + 1), pairs % (count + 1)
+    if not len(first):
+        return (np.zeros(0, np.int64),) * 4
+    at = sums.tolist()
+    of = np.frombuffer(b"".join([hashlib.blake2b(b" ".join(words[i:j]), digest_size=16).digest() for i, j in zip(at, at[1:], strict=False)]), np.uint64)
+    halves = []
+    for lane, (up, down) in enumerate(FACTORS):
+        powers = np.cumprod(np.full(count + 1, up, np.uint64)) * np.uint64(down)
+        undone = np.cumprod(np.full(count + 1, down, np.uint64)) * np.uint64(up)
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(of[lane::2] * powers[:-1])])
+        halves.append(((prefix[last] - prefix[first]) * undone[first]).view(np.int64))
+    return first, last - first, *halves
 
 
 def runs(text: str, several: int, least_words: int) -> list[tuple[int, int, tuple[int, int]]]:
-    """(first sentence, number of sentences, digest) of every run: the shortest from each sentence on and the shortest up to each."""
-    parts = sentences(text)
-    sums = list(itertools.accumulate((n for _, _, n in parts), initial=0))
-    found = set()
-    end = 0
-    for k in range(len(parts)):
-        end = max(end, k + several)
-        while end < len(parts) and sums[end] - sums[k] < least_words:
-            end += 1
-        if end > len(parts) or sums[end] - sums[k] < least_words:
-            break
-        found.add((k, end - k))
-    start = len(parts)
-    for k in range(len(parts), 0, -1):
-        start = min(start, k - several)
-        while start > 0 and sums[k] - sums[start] < least_words:
-            start -= 1
-        if start < 0 or sums[k] - sums[start] < least_words:
-            break
-        found.add((start, k - start))
-    words = [" ".join(text[a:b].split()) for a, b, _ in parts]
-    return [(k, n, digest("\n".join(words[k : k + n]).encode())) for k, n in sorted(found)]
+    """(first segment, number of segments, digest) of every run."""
+    return [(k, n, (a, b)) for k, n, a, b in zip(*(x.tolist() for x in run_arrays(text, several, least_words)), strict=True)]
 
 
 def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", several: int = 2, least_words: int = 24, max_filter_bytes: int = 64 << 20) -> DataFrame:
-    """id, n_removed (sentences), n_chars_removed, removed (start:end of each stretch, code points, comma-joined) and clean, the text without them.
+    """id, n_removed (segments), n_chars_removed, removed (start:end of each stretch, code points, comma-joined) and clean, the text without them.
 
     A run's first place is in the row with the smallest id (null ids last, tied rows in the order they are read), and the first there; each
-    other run with the same sentences is removed, whatever the white space between its words. Runs in one text may overlap; then what is
+    other run with the same segments is removed, whatever the white space between its words. Runs in one text may overlap; then what is
     covered by any non-first one goes. Null counts as empty; texts without repeated runs stay as they are; repeated rows lose
     what they repeat. An empty table gives an empty result, and further columns are not read. df must give the
     same rows in the same order when read again, as a table does.
@@ -90,25 +126,34 @@ def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for cell in batch.column(0):
-                if found := [x[2] for x in runs(cell.as_py(), several, least_words)]:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    counted = df.select(text_or_empty(f"`{text_col}`")).mapInArrow(every, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    shared = spark.sparkContext.broadcast(RepeatFilter(written(counted.filter("n > 1").select("a", "b"), "runs"), max_filter_bytes))
+                held.append(run_arrays(cell.as_py(), several, least_words)[2])
+                size += len(held[-1])
+                if size > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["a"])
+                    held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["a"])
+
+    # one half of the digest is enough for the bitmap, which may let more through
+    counted = df.select(text_or_empty(f"`{text_col}`")).mapInArrow(every, "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    often_seen = written(counted.filter("n > 1").select("a", F.shiftright("a", 48).alias("b")), "runs")
+    shared = spark.sparkContext.broadcast(RepeatFilter(often_seen, max_filter_bytes))
     place = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("row", "k", "n", "a", "b"))])
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             at, out = [], []
             for i, cell in enumerate(batch.column(2)):
-                for k, n, pair in runs(cell.as_py(), several, least_words):
-                    if pair in shared.value:
-                        at.append(i)
-                        out.append((k, n, *pair))
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([x[i] for x in out], pa.int64()) for i in range(4))], names=place.names)
+                found = run_arrays(cell.as_py(), several, least_words)
+                seen = shared.value.among(found[2], found[2] >> 48)
+                at.append(np.full(seen.sum(), i, np.int32))
+                out.append([x[seen] for x in found])
+            at = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names=place.names)
 
     numbered = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(f"`{text_col}`").alias("text"))
     places = written(numbered.mapInArrow(often, place), "places")
@@ -129,7 +174,7 @@ def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def removed(text: str, covers: list[dict] | None) -> tuple[int, int, str, str]:
-    """Sentences and characters removed, the stretches, and the rest."""
+    """Segments and characters removed, the stretches, and the rest."""
     if not covers:
         return 0, 0, "", text
     parts = sentences(text)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +75,19 @@ class RepeatFilter:
         self.blocks = max(1, min(max_bytes * 8, pairs.count() * 16) // BLOCK_BITS)
         cells = pairs.select(F.pmod("a", F.lit(self.blocks)).alias("block"), F.col("b").bitwiseAND(F.lit(BLOCK_BITS - 1)).alias("cell"))
         rows = cells.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bits")).collect()
-        self.bitmaps = {r["block"]: bytes(r["bits"]) for r in rows}
+        size = BLOCK_BITS // 8
+        self.bits = bytearray(self.blocks * size)
+        for r in rows:
+            self.bits[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
 
     def __contains__(self, pair: tuple[int, int]) -> bool:
-        bits, at = self.bitmaps.get(pair[0] % self.blocks), pair[1] & (BLOCK_BITS - 1)
-        return bits is not None and bool(bits[at >> 3] >> (at & 7) & 1)
+        at = pair[0] % self.blocks * BLOCK_BITS + (pair[1] & (BLOCK_BITS - 1))
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+    def among(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same for arrays of signed numbers."""
+        at = a % self.blocks * BLOCK_BITS + (b & (BLOCK_BITS - 1))
+        return (np.frombuffer(self.bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def digest(data: bytes) -> tuple[int, int]:
