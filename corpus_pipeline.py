@@ -27,8 +27,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, on 5-word shingles at 0.8."""
-    gone = written(hyper_minhash.near_dedup(docs).filter("not kept").select(F.col("row").alias("_row")), "gone")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())  # as the operator numbers them
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    gone = written(hyper_minhash.near_dedup(numbered, row_col="_row").filter("not kept").select(F.col("row").alias("_row")), "gone")
     return numbered.join(broadcast_if_small(gone, 2_000_000), "_row", "left_anti").select(*docs.columns)
 
 

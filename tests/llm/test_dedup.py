@@ -170,6 +170,57 @@ def test_sentence_spans_find_every_passage_of_51_words(spark):
     assert got == expected
 
 
+@pytest.fixture
+def split_anew(spark, tmp_path):
+    """A table of documents with copies in eight files, read as one split, and what makes later scans of it eight."""
+    names = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {x: spark.conf.get(x, None) for x in names}
+    words = [" ".join(f"v{g}x{k}" for k in range(60)) + "." for g in range(40)]
+    rows = [(i, words[i * 7 % 40]) for i in range(160)]
+    for n in range(8):
+        spark.createDataFrame(rows[n::8], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    for x, value in names.items():
+        spark.conf.set(x, value)
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    assert table.rdd.getNumPartitions() == 1
+    yield table, lambda: spark.conf.set("spark.sql.files.minPartitionNum", "8")
+    for x, value in before.items():
+        if value is None:
+            spark.conf.unset(x)
+        else:
+            spark.conf.set(x, value)
+
+
+def first_ids():
+    low = {}
+    for i in range(160):
+        low.setdefault(i * 7 % 40, i)
+    return sorted(low.values())
+
+
+def test_exact_dedup_keeps_one_when_later_scans_are_split_otherwise(split_anew):
+    table, change = split_anew
+    got = exact_dedup.exact_dedup(table)
+    change()
+    assert sorted(r.doc_id for r in got.filter("kept").collect()) == first_ids()
+
+
+def test_near_dedup_keeps_one_when_later_scans_are_split_otherwise(spark, split_anew):
+    import corpus_pipeline
+
+    table, change = split_anew
+    got = corpus_pipeline.without_near_copies(spark, table, "")
+    change()
+    assert sorted(r.doc_id for r in got.collect()) == first_ids()
+
+
+def test_sentence_spans_when_later_scans_are_split_otherwise(split_anew):
+    table, change = split_anew
+    got = sentence_spans.dedup_sentences(table)
+    change()
+    assert sorted(r.doc_id for r in got.filter("n_removed = 0").collect()) == first_ids()
+
+
 def test_clashing_names_and_hashes(spark):
     got = exact_dedup.exact_dedup(docs(spark, [(1, "a\n\nb")])).first()
     assert got.text_sha256 == hashlib.sha256(b"a b").hexdigest() and got.keep_id == "x"

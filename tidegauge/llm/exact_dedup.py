@@ -60,8 +60,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """
     names = {x: free_name(df.columns, x) for x in ("keep_id", "group_size", "kept", "text_sha256", "row_no", "block", "bits")}
     sha, row, block, bits = names["text_sha256"], names["row_no"], names["block"], names["bits"]
-    blocks = max(1, min(max_filter_bytes * 8, df.count() * bits_per_row) // BLOCK_BITS)
-    hashed = df.withColumn(sha, F.sha2(normalised(text_col), 256)).withColumn(row, F.monotonically_increasing_id())
+    # written, for a second scan of df may be split otherwise and so number rows otherwise
+    hashed = written(df.withColumn(sha, F.sha2(normalised(text_col), 256)).withColumn(row, F.monotonically_increasing_id()), "hashed")
+    blocks = max(1, min(max_filter_bytes * 8, hashed.count() * bits_per_row) // BLOCK_BITS)
     found = written(repeat_filter(hashed, sha, blocks, probes), "filter").select(F.col("block").alias(block), F.col("bits").alias(bits))
     probed = hashed.withColumn(block, _block(sha, blocks)).join(F.broadcast(found), block, "left")
     maybe = F.coalesce(reduce(lambda a, b: a & b, (_is_set(bits, at) for at in _positions(sha, probes))), F.lit(False))

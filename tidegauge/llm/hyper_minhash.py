@@ -131,9 +131,9 @@ def _common(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np
     return out[a, b].astype(np.int64)
 
 
-def _signed(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _signed(numbered: DataFrame, width: int) -> DataFrame:
     """For each row: id, row number, size of the set, digest of the set in two numbers, and the registers (null for the empty set)."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("row", "n", "da", "db")), T.StructField("regs", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", numbered.schema["id"].dataType), *(T.StructField(x, T.LongType()) for x in ("row", "n", "da", "db")), T.StructField("regs", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,16 +146,20 @@ def _signed(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
             arrays = [pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(out[3], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=schema.names)
 
-    return _numbered(df, id_col, text_col).mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema)
 
 
-def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(f"`{text_col}`").alias("text"))
+def _numbered(df: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """id, row and text; rows that have no number yet are written with one, for a second scan of df may be split otherwise and so number them otherwise."""
+    id_, text = F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text")
+    if row_col:
+        return df.select(id_, F.col(f"`{row_col}`").alias("row"), text)
+    return written(df.select(id_, F.monotonically_increasing_id().alias("row"), text), "numbered")
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame, max_filter_bytes: int) -> DataFrame:
+def _sets(numbered: DataFrame, width: int, wanted: DataFrame, max_filter_bytes: int) -> DataFrame:
     """(row, set) for the wanted rows, and a few more: which ones is told to the tasks by a bitmap of hashed row numbers of bounded size."""
-    shared = df.sparkSession.sparkContext.broadcast(RepeatFilter(wanted.select(*_hashes()), max_filter_bytes))
+    shared = numbered.sparkSession.sparkContext.broadcast(RepeatFilter(wanted.select(*_hashes()), max_filter_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +168,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFra
             sets = [shingle_set(batch.column(1)[i].as_py(), width).tobytes() for i in own]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int32())), pa.array(sets, pa.binary())], names=["row", "set"])
 
-    return _numbered(df, id_col, text_col).select("row", "text", *_hashes()).mapInArrow(run, "row long, set binary")
+    return numbered.select("row", "text", *_hashes()).mapInArrow(run, "row long, set binary")
 
 
 def _hashes() -> list[Column]:
@@ -212,7 +216,7 @@ def _dealt(tiles: Column) -> Column:
     return F.pmod(F.xxhash64("row", F.lit(5)), tiles)
 
 
-def class_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int], max_filter_bytes: int) -> DataFrame:
+def class_links(classes: DataFrame, numbered: DataFrame, width: int, share: tuple[int, int], max_filter_bytes: int) -> DataFrame:
     """Links (a, b) that join the classes (row, n, regs) into components. No link between different sets that a band shows is lost, but for those that the ones given imply."""
     regs = [F.hex(F.substring("regs", 8 * k + 1, 8)) for k in range(BANDS)]
     bands = classes.select("row", F.posexplode(F.array(*regs)).alias("band", "key"))
@@ -221,7 +225,7 @@ def class_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str, w
     near = written(bands.join(star, ["band", "key"]).filter("row <> to").select(F.col("row").alias("a"), F.col("to").alias("b")).distinct(), "near")
     groups = components(near).select(F.col("node").alias("row"), F.col("root").alias("grp"))
     groups = written(groups.join(classes.select("row", "n", "regs"), "row"), "groups")
-    sets = written(_sets(df, id_col, text_col, width, groups.select("row"), max_filter_bytes), "sets")
+    sets = written(_sets(numbered, width, groups.select("row"), max_filter_bytes), "sets")
     full = groups.join(sets, "row")
     sizes = groups.groupBy("grp").agg(_tiles(F.count(F.lit(1)), F.sum("n")).alias("tiles"))
     own = groups.join(sizes, "grp").select("grp", "row", "tiles", _dealt(F.col("tiles")).alias("tile"))
@@ -255,20 +259,22 @@ def _across(members: DataFrame, full: DataFrame, links: DataFrame, share: tuple[
     return written(_searched(full.join(rows, "row"), share), "links")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = (80, 100), max_filter_bytes: int = 32 << 20) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = (80, 100), max_filter_bytes: int = 32 << 20, row_col: str | None = None) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of df, and its number as ``row``.
 
     Words are what ASCII white space divides, A-Z in lower case. Rows are linked when share[1] * intersection >= share[0] * union of their sets of
     ``width``-word shingles; component_id is the smallest id of a row's component, and that row is kept (of rows tied in it, the one
     read first; null ids come last). Texts without words, null ones too, are linked with nothing and kept. An empty
-    table gives an empty result; further columns are not read. df must give the same rows in the same order when read again, as a table does.
+    table gives an empty result; further columns are not read. ``row_col`` names a column of df, then a written table, with
+    distinct numbers to use as ``row``; without it df is read once.
     """
-    rows = written(_signed(df, id_col, text_col, width), "signed")
+    numbered = _numbered(df, id_col, text_col, row_col)
+    rows = written(_signed(numbered, width), "signed")
     has = rows.filter("n > 0")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     firsts = written(has.groupBy("da", "db").agg(F.min(order).alias("first"), F.min("row").alias("row")), "classes")
     classes = rows.select("row", "n", "regs").join(firsts.select("row"), "row")
-    links = class_links(classes, df, id_col, text_col, width, share, max_filter_bytes)
+    links = class_links(classes, numbered, width, share, max_filter_bytes)
     roots = components(links)
     whole = firsts.join(roots, firsts["row"] == roots["node"], "left").select("da", "db", "first", F.coalesce("root", "row").alias("root"))
     whole = written(whole, "roots")

@@ -120,10 +120,11 @@ def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A run's first place is in the row with the smallest id (null ids last, tied rows in the order they are read), and the first there; each
     other run with the same segments is removed, whatever the white space between its words. Runs in one text may overlap; then what is
     covered by any non-first one goes. Null counts as empty; texts without repeated runs stay as they are; repeated rows lose
-    what they repeat. An empty table gives an empty result, and further columns are not read. df must give the
-    same rows in the same order when read again, as a table does.
+    what they repeat. An empty table gives an empty result, and further columns are not read. df is read once.
     """
     spark = df.sparkSession
+    # written, for a second scan of df may be split otherwise and so number rows otherwise
+    numbered = written(df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(f"`{text_col}`").alias("text")), "numbered")
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -139,7 +140,7 @@ def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["a"])
 
     # one half of the digest is enough for the bitmap, which may let more through
-    counted = df.select(text_or_empty(f"`{text_col}`")).mapInArrow(every, "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    counted = numbered.select("text").mapInArrow(every, "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     often_seen = written(counted.filter("n > 1").select("a", F.shiftright("a", 48).alias("b")), "runs")
     shared = spark.sparkContext.broadcast(RepeatFilter(often_seen, max_filter_bytes))
     place = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("row", "k", "n", "a", "b"))])
@@ -155,7 +156,6 @@ def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = pa.array(np.concatenate(at))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names=place.names)
 
-    numbered = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(f"`{text_col}`").alias("text"))
     places = written(numbered.mapInArrow(often, place), "places")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "k")
     first = places.groupBy("a", "b").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("often")).filter("often > 1").drop("often")

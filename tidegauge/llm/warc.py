@@ -45,11 +45,11 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Writes three records for every row of df.
 
     Of rows with equal payloads of at least LEAST_REVISIT bytes, the one with the largest id is the response (tied: the one that is read first), the
-    others revisit it. Null html counts as empty; null urls and ids leave their headers out. df must give the same rows in the same
-    order when read again, as a table does.
+    others revisit it. Null html counts as empty; null urls and ids leave their headers out. df is read once.
     """
     page, body = F.col(f"`{id_col}`"), text_or_empty(f"`{html_col}`")
     rows = df.select(page.alias("page"), F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"\s", "%20").alias("url"), body.alias("html"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "numbered")  # for a second scan of df may be split otherwise and so number rows otherwise
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1("html"))
     rows = rows.withColumn("key", F.when(F.col("bytes") >= LEAST_REVISIT, F.sha2("html", 256)))
     big = rows.filter("key is not null")
