@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import best_fit, exact_dedup, hyper_minhash, secrets, toxicity
-from tidegauge.llm.shared import broadcast_if_small, new_path, written
+from tidegauge.llm.shared import broadcast_if_small, free_name, new_path, written
 
 #: SQL can't express the stages that need a model, shingle components or a tokenizer; tests hold them against brute force.
 ORACLE_SQL = None
@@ -22,14 +22,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+    kept = free_name(docs.columns, "kept")  # the operator's own flag, not a column of docs
+    return exact_dedup.exact_dedup(docs).filter(F.col(kept)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, on 5-word shingles at 0.8."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    gone = written(hyper_minhash.near_dedup(numbered, row_col="_row").filter("not kept").select(F.col("row").alias("_row")), "gone")
-    return numbered.join(broadcast_if_small(gone, 2_000_000), "_row", "left_anti").select(*docs.columns)
+    row = free_name(docs.columns, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = written(hyper_minhash.near_dedup(numbered, row_col=row).filter("not kept").select(F.col("row").alias(row)), "gone")
+    return numbered.join(broadcast_if_small(gone, 2_000_000), row, "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,6 +142,23 @@ def test_neighbours_are_exact():
     assert np.allclose(best, want, atol=1e-5)
 
 
+def test_stages_with_clashing_columns(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    text = "password=hunter22 and " + " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text), (2, text), (3, text + " more"), (4, "quite another text"), (5, None)]
+    clash = [(i, t, i % 2 == 0 if i < 4 else None, 7, "r", "h", 0.5) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(clash, "doc_id long, text string, kept boolean, _row long, row string, text_sha256 string, score double").write.parquet(str(tmp_path / "b"))
+    plain, named = (spark.read.parquet(str(tmp_path / x)) for x in "ab")
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, plain, sf).drop("offset"), stage(spark, named, sf).drop("offset")  # offsets hang on the files' order
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.select(*want.columns).collect())), name
+        if name != "packing":
+            assert got.columns == named.columns and {tuple(r)[2:] for r in got.collect()} <= {x[2:] for x in clash}, name
+    assert {r.doc_id for r in corpus_pipeline.without_copies(spark, named, sf).collect()} == {1, 3, 4, 5}
+
+
 def test_pipeline_keeps_what_each_stage_should(spark, sf):
     import corpus_pipeline
     from tidegauge.llm import hyper_minhash
