@@ -142,6 +142,28 @@ def test_neighbours_are_exact():
     assert np.allclose(best, want, atol=1e-5)
 
 
+def test_secrets_in_wrapped_joined_and_escaped_layers():
+    import base64
+    import gzip
+    import zlib
+    from urllib.parse import quote
+
+    body = "".join(f"line {k} of {k * k}\n" for k in range(60)) + "password=hunter22"
+    plain, packed = body.encode(), gzip.compress(body.encode(), mtime=0)
+    wrapped = [base64.encodebytes(plain).decode(), base64.encodebytes(packed).decode(), "\r\n".join(re.findall(".{1,64}", base64.b64encode(packed).decode()))]
+    one = base64.b64encode(plain).decode()
+    joined = [f"https://h/{one}", f"id_{one}", f"{one}-x", f"a/{one}_b"]
+    controls = [base64.b64encode(f"{body}{c}".encode()).decode() for c in "\u00a0\u3000\ufeff\f\0\x1b"]
+    escaped = [quote(packed), "".join(f"\\x{b:02x}" for b in packed), repr(zlib.compress(plain)), "".join(f"%{b:02X}" for b in zlib.compress(plain))]
+    two = f"{escaped[0]} or {escaped[0]} {escaped[1]} or {escaped[1]}"
+    assert len({(a, b) for a, k, b in secrets.scan(two)[1] if k == 0}) >= 4
+    for t in [*wrapped, *joined, *controls, *escaped]:
+        text = f"Some words first: {t} and after"
+        assert any(k == 0 for _, k, _ in secrets.scan(text)[1]), t[:80]
+        assert secrets.masked(text, secrets.scan(text)[1], "[SECRET]").endswith(" and after")
+        assert "hunter" not in text and one[:40] not in secrets.masked(text, secrets.scan(text)[1], "[SECRET]")
+
+
 def test_stages_with_clashing_columns(spark, sf, tmp_path):
     import corpus_pipeline
 

@@ -14,6 +14,7 @@ import binascii
 import gzip
 import hashlib
 import html
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,16 @@ HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+", re.ASCII)
 ESCAPES = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|quot|apos|lt|gt|equals|colon);", re.ASCII)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+#: Base64 wrapped over lines: runs that end lines, and the run that the next line starts with.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}", re.ASCII)
+SEPARATOR = re.compile(r"[+/_-]")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+#: Where compressed bytes in percent or character escapes may start, and how far they may reach.
+PERCENT_STREAM = re.compile(r"(?:%1[fF]%8[bB]|(?:%78|x)%(?:01|5[eE]|9[cC]|[dD][aA])|(?:%28|\()%[bB]5(?:%2[fF]|/)%[fF][dD])[!-~]*", re.ASCII)
+ESCAPE_STREAM = re.compile(r"(?:\\x1[fF]\\x8[bB]|(?:\\x78|x)(?:\\x(?:01|5[eE]|9[cC]|[dD][aA])|\^)|(?:\\x28|\()\\x[bB]5(?:\\x2[fF]|/)\\x[fF][dD])[ -~]*", re.ASCII)
+PERCENT_TOKEN, ESCAPE_TOKEN = re.compile(r"%[0-9A-Fa-f]{2}|."), re.compile(r"""\\(?:x[0-9A-Fa-f]{2}|[abfnrtv0\\'"])|.""")
+BYTE = re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([abfnrtv0\\'\"]))")
+LETTERS = {b"a": b"\a", b"b": b"\b", b"f": b"\f", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"v": b"\v", b"0": b"\0"}
 #: A word of letters alone, in one case but for the first, is prose and not base64.
 PROSE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*", re.ASCII)
 NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "equals": "=", "colon": ":"}
@@ -49,6 +60,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def _literal(s: str) -> bytes:
+    """The bytes that \\x escapes and the characters between them stand for."""
+    return BYTE.sub(lambda m: bytes.fromhex(m[1].decode()) if m[1] else LETTERS.get(m[2], m[2]), s.encode("latin-1", "replace"))
+
+
 def _escaped(s: str) -> str:
     if s[0] == "&":
         return html.unescape(s) if s[1] == "#" else NAMED[s[1:-1]]
@@ -70,6 +86,71 @@ def inflated(data: bytes) -> bytes | None:
     return None
 
 
+def _started(data: bytes) -> tuple[bytes, int] | None:
+    """What a whole compressed stream at the start of data holds, and its length, whatever follows it."""
+    try:
+        stream = zstandard.ZstdDecompressor().decompressobj() if data[:1] == b"\x28" else zlib.decompressobj(47)
+        out = stream.decompress(data)
+        return (out, len(data) - len(stream.unused_data)) if stream.eof else None
+    except (zlib.error, zstandard.ZstdError):
+        return None
+
+
+def _as_text(data: bytes) -> str | None:
+    """data as text after any layers of compression: UTF-8 with one control character in ten at most, or a single one."""
+    while (more := inflated(data)) is not None:
+        data = more
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        return None
+    return text if text and len(CONTROL.findall(text)) <= max(1, len(text) // 10) else None
+
+
+def _may_start(s: str) -> bool:
+    """Whether the first 16 characters of base64 may be those of a text or a compressed stream."""
+    data = base64.b64decode(s[:16].replace("-", "+").replace("_", "/"))
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" or data[:4] == b"\x28\xb5\x2f\xfd" or len(CONTROL.findall(data.decode("utf-8", "ignore"))) <= 2 and len(data.decode("utf-8", "ignore").encode()) >= 9
+
+
+def _parts(s: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text) of what decodes in a run of base64 characters: the whole, or else the longest part from each separator on, up to one."""
+    if (t := _from_base64(s)) is not None:
+        yield 0, len(s), t
+        return
+    stops = [m.start() for m in SEPARATOR.finditer(s)]
+    end = 0
+    for a in [0, *(x + 1 for x in stops)]:
+        if a < end or len(s) - a < 16 or not _may_start(s[a:]):
+            continue
+        for b in [len(s), *reversed(stops)]:
+            if b - a < 16:
+                break
+            if (a, b) != (0, len(s)) and (t := _from_base64(s[a:b])) is not None:
+                yield a, b, t
+                end = b
+                break
+
+
+def _wrapped(s: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text) of what decodes in runs on consecutive lines: from the first line, its parts or the second on, to the last line or those before."""
+    lines = [(m.start(), m.end()) for m in re.finditer(r"[^\r\n]+", s)]
+    starts = {0, *(m.end() for m in SEPARATOR.finditer(s, *lines[0]))}
+    sizes = [b - a for a, b in lines]
+    starts |= {a for (a, _), before, own in zip(lines[1:], sizes, sizes[1:], strict=False) if before != own}
+    starts.add(lines[1][0])
+    done = 0
+    for a in sorted(starts):
+        rest = [x for x in lines if x[1] > a]
+        if a < done or len(rest) < 2 or not _may_start("".join(s[a : a + 24].split()).rstrip("=").ljust(16, "A")):
+            continue
+        for _, b in reversed(rest[1:]):
+            if (t := _from_base64("".join(s[a:b].split()))) is not None:
+                yield a, b, t
+                done = b
+                break
+
+
 def _from_base64(s: str) -> str | None:
     """What s decodes to, if that is text, after any layers of compression."""
     body = s.rstrip("=").replace("-", "+").replace("_", "/")
@@ -79,13 +160,7 @@ def _from_base64(s: str) -> str | None:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    while (more := inflated(data)) is not None:
-        data = more
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    return _as_text(data)
 
 
 def decoded_layers(text: str, spans: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
@@ -117,8 +192,22 @@ def decoded_layers(text: str, spans: list[tuple[int, int]] | None) -> Iterator[t
     if "\\" in text or "&" in text:
         yield from replaced(ESCAPES, _escaped)
     for m in BASE64.finditer(text):
-        if (t := _from_base64(m[0])) is not None:
-            yield t, [where(m.start(), m.end())] * len(t)
+        for a, b, t in _parts(m[0]):
+            yield t, [where(m.start() + a, m.start() + b)] * len(t)
+    for m in WRAPPED.finditer(text):
+        for a, b, t in _wrapped(m[0]):
+            yield t, [where(m.start() + a, m.start() + b)] * len(t)
+    streams = [(PERCENT_STREAM, PERCENT_TOKEN, unquote_to_bytes)] if "%" in text else []
+    streams += [(ESCAPE_STREAM, ESCAPE_TOKEN, _literal)] if "\\x" in text else []
+    for pattern, token, to_bytes in streams:
+        m = pattern.search(text)
+        while m:
+            end = m.start() + 1
+            if (found := _started(to_bytes(m[0]))) is not None:
+                end = next(itertools.islice(token.finditer(text, m.start()), found[1] - 1, None)).end()
+                if (t := _as_text(found[0])) is not None:
+                    yield t, [where(m.start(), end)] * len(t)
+            m = pattern.search(text, end)
 
 
 #: Characters to which escapes reach out on either side: all but line ends.
