@@ -132,17 +132,51 @@ def test_sentence_spans_remove_later_copies(spark):
     assert sentence_spans.dedup_sentences(docs(spark, [])).count() == 0
 
 
-def test_sentence_spans_are_brute_force_s(spark, sf):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    first, covers = set(), collections.defaultdict(list)
+def windows(texts, size):
+    """(id, first word, window) in the order of ids, and the stretch of every word of each text."""
+    at = {i: [m.span() for m in re.finditer("[^ \t-\r]+", t)] for i, t in texts.items()}
     for i in sorted(texts):
-        for k, n, d in sentence_spans.runs(texts[i], 2, 24):
-            if d in first:
-                covers[i].append({"k": k, "n": n})
-            first.add(d)
-    got = {r.doc_id: (r.n_removed, r.n_chars_removed, r.removed, r.clean) for r in sentence_spans.query(spark, sf).collect()}
-    assert got == {i: sentence_spans.removed(t, covers.get(i)) for i, t in texts.items()}
-    assert all("".join(t[a:b] for a, b, _ in sentence_spans.sentences(t)) == t for t in texts.values())
+        words = [texts[i][a:b] for a, b in at[i]]
+        for k in range(len(words) - size + 1):
+            yield i, at[i][k : k + size], tuple(words[k : k + size])
+
+
+def test_sentence_spans_are_brute_force_s(spark, sf):
+    """Each window of 51 words that stood before loses words, and each word lost is in a window of 7 that stood before."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    gone, clean = {}, {}
+    for r in sentence_spans.query(spark, sf).collect():
+        gone[r.doc_id] = [tuple(map(int, x.split(":"))) for x in r.removed.split(",") if x]
+        clean[r.doc_id] = (r.clean, r.n_chars_removed, r.n_removed > 0)
+    lost = {i: {c for a, b in spans for c in range(a, b)} for i, spans in gone.items()}
+    assert clean == {i: ("".join(c for n, c in enumerate(t) if n not in lost[i]), len(lost[i]), bool(lost[i])) for i, t in texts.items()}
+    seen, found = set(), 0
+    for i, where, window in windows(texts, 51):
+        if window in seen:
+            found += 1
+            assert any(a in lost[i] for a, _ in where)
+        seen.add(window)
+    assert found > 100
+    seen, justified = set(), collections.defaultdict(set)
+    for i, where, window in windows(texts, 7):
+        if window in seen:
+            justified[i].update(a for a, _ in where)
+        seen.add(window)
+    starts = {i: {m.start() for m in re.finditer("[^ \t-\r]+", t)} for i, t in texts.items()}
+    assert all(lost[i] & starts[i] <= justified[i] for i in texts)
+
+
+def test_sentence_spans_edges(spark):
+    wide = "".join(f"第{k}句话在这里。" for k in range(30))
+    long = " ".join(f"u{k}" for k in range(200_000))
+    rows = [(1, wide), (2, f"別の始まり。{wide}"), (3, long), (4, long), (5, "x" * 2_000_000 + f". {PASSAGE}"), (6, PASSAGE), (None, PASSAGE), (7, '\ud7ff "So!" (he said.) ' + PASSAGE)]
+    got = collections.defaultdict(list)
+    for r in sentence_spans.dedup_sentences(docs(spark, rows)).collect():
+        got[r.doc_id].append(r)
+    assert got[1][0].clean == wide and got[2][0].clean == "別の始まり。" and got[3][0].clean == long and got[4][0].clean == ""
+    assert got[6][0].clean == "" and got[None][0].clean == "" and got[5][0].n_removed == 0
+    assert got[7][0].clean == '\ud7ff "So!" (he said.) '
+    assert got[2][0].removed == f"6:{len(wide) + 6}"
 
 
 def words_of(rng, n):

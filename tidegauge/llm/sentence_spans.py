@@ -1,21 +1,22 @@
-"""Substring de-duplication by sliding runs of consecutive segments of sentences.
+"""Substring de-duplication by sliding runs of consecutive sentences.
 
-Every sentence is cut by content: of each SPAN words in a row the one with the smallest checksum ends a segment. Whether a word does hangs
-on the SPAN - 1 words on either side alone, so a passage is cut alike in all texts but for its edges, also where it stands within a sentence.
-Every run of several consecutive segments is hashed: from each segment on, and up to each sentence's end, the shortest that has ``several``
-segments and ``least_words`` words. So a passage of ``least_words + 5 * SPAN - 4`` words (50) holds a run wherever it stands.
+Sentences end with marks or lines, and every sentence is cut further by content: of each SPAN words in a row the one with the smallest
+hash ends a piece. Whether a word does hangs on the SPAN - 1 words on either side alone, so a passage is cut alike in all texts but for its
+edges, also where it stands within a sentence. Every run of exactly ``several`` consecutive pieces of a text is hashed; longer
+repeated runs are covered by these. No piece has more than SPAN words, so whatever its host a passage of ``(several + 3) * SPAN - 2`` words
+(48) holds a run, however long it is beyond that.
 
+Hashes are made for whole slices of Arrow batches at once: words by prefix sums over the bytes, and runs from their words'.
 A first pass counts the runs' digests, narrow rows that are summed before the shuffle; those that occur more
 than once make a bitmap of bounded size. The second pass sends on only runs that the bitmap has, with their places; a join of these
-with the first place of each digest leaves the non-first ones, and the segments that those cover are removed.
+with the first place of each digest leaves the non-first ones, and the pieces that those cover are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,172 +24,213 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.shared import RepeatFilter, broadcast_if_small, in_slices, text_or_empty, written
+from tidegauge.llm.shared import RepeatFilter, broadcast_if_small, in_byte_slices, text_or_empty, written
 
-#: A sentence with what ends it: marks and white space, or line ends.
-SENTENCE = re.compile(r"[^.!?\n\r。！？]*(?:[.!?。！？]+[\"')\]]*\s*|[\n\r]\s*|$)")
-#: No segment has more words, and words of fewer than SHORT bytes end one only among their like: they are so common that they'd tell places badly.
-SPAN, SHORT = 6, 4
-WORD = re.compile(r"\S+\s*")
+#: No piece has more words, and words of fewer than SHORT bytes end one only among their like: they are so common that they'd tell places badly.
+SPAN, SHORT = 5, 4
 #: Largest table of first places that is sent to all executors, in rows of about 100 bytes; beyond, both sides are shuffled, and hot runs split by Spark.
 MOST_BROADCAST = 300_000
 
-
-#: Odd factors of the two halves of a run's digest, and what undoes them.
-FACTORS = [(x, pow(x, -1, 1 << 64)) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-
-
-def _words(text: str) -> tuple[list[bytes], np.ndarray]:
-    """The words of the text, those that a sentence's end divides as several, and how many there are up to the end of each sentence that has any."""
-    words: list[str] = []
-    ends: list[int] = []
-    for m in SENTENCE.finditer(text):
-        if own := m[0].split():
-            words += own
-            ends.append(len(words))
-    return "\n".join(words).encode("utf-8", "surrogatepass").split(b"\n") if words else [], np.array(ends, np.int64)
-
-
-def _ends(words: list[bytes], sentence_ends: np.ndarray) -> np.ndarray:
-    """The number of words up to the end of each segment."""
-    n = len(words)
-    is_end = np.zeros(n + 1, bool)
-    is_end[sentence_ends] = True
-    if n >= SPAN:
-        short = np.fromiter(map(len, words), np.uint64, n) < SHORT
-        sums = np.fromiter(map(zlib.crc32, words), np.uint64, n) >> np.uint64(1) | short.astype(np.uint64) << np.uint64(31)
-        keys = sums << np.uint64(32) | np.arange(n, 0, -1, dtype=np.uint64)
-        least = keys[: n - SPAN + 1]
-        for i in range(1, SPAN):
-            least = np.minimum(least, keys[i : n - SPAN + 1 + i])
-        number = np.zeros(n + 1, np.int64)
-        number[sentence_ends] = 1
-        number = np.cumsum(number)
-        whole = number[: n - SPAN + 1] == number[SPAN - 1 : n]
-        is_end[n - (least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1] = True
-    return np.flatnonzero(is_end)
-
-
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each segment; they cover the text, and white space is part of the one before."""
-    words, sentence_ends = _words(text)
-    if not words:
-        return [(0, len(text), 0)] if text else []
-    after = [w.end() for m in SENTENCE.finditer(text) for w in WORD.finditer(text, *m.span())]
-    ends = _ends(words, sentence_ends).tolist()
-    stops = [*(after[e - 1] for e in ends[:-1]), len(text)]
-    return list(zip([0, *stops[:-1]], stops, np.diff([0, *ends]).tolist(), strict=True))
-
-
-def run_arrays(text: str, several: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The first segment, number of segments and digest in two numbers of every run: the shortest from each segment on and up to each sentence's end."""
-    words, sentence_ends = _words(text)
-    if len(words) < max(least_words, several):
-        return (np.zeros(0, np.int64),) * 4
-    ends = _ends(words, sentence_ends)
-    sums = np.concatenate([[0], ends])
-    count = len(ends)
-    k = np.arange(count)
-    stop = np.maximum(np.searchsorted(sums, sums[:-1] + least_words), k + several)
-    fits = stop <= count
-    up_to = np.searchsorted(sums, sentence_ends)
-    start = np.minimum(np.searchsorted(sums, sums[up_to] - least_words, "right") - 1, up_to - several)
-    back = start >= 0
-    pairs = np.unique(np.concatenate([k[fits] * (count + 1) + stop[fits], start[back] * (count + 1) + up_to[back]]))
-    first, last = pairs // (count + 1), pairs % (count + 1)
-    if not len(first):
-        return (np.zeros(0, np.int64),) * 4
-    at = sums.tolist()
-    of = np.frombuffer(b"".join([hashlib.blake2b(b" ".join(words[i:j]), digest_size=16).digest() for i, j in zip(at, at[1:], strict=False)]), np.uint64)
-    halves = []
-    for lane, (up, down) in enumerate(FACTORS):
-        powers = np.cumprod(np.full(count + 1, up, np.uint64)) * np.uint64(down)
-        undone = np.cumprod(np.full(count + 1, down, np.uint64)) * np.uint64(up)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(of[lane::2] * powers[:-1])])
-        halves.append(((prefix[last] - prefix[first]) * undone[first]).view(np.int64))
-    return first, last - first, *halves
-
-
-def runs(text: str, several: int, least_words: int) -> list[tuple[int, int, tuple[int, int]]]:
-    """(first segment, number of segments, digest) of every run."""
-    return [(k, n, (a, b)) for k, n, a, b in zip(*(x.tolist() for x in run_arrays(text, several, least_words)), strict=True)]
-
-
-def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", several: int = 2, least_words: int = 24, max_filter_bytes: int = 64 << 20) -> DataFrame:
-    """id, n_removed (segments), n_chars_removed, removed (start:end of each stretch, code points, comma-joined) and clean, the text without them.
+_U = np.uint64
+#: Bytes hashed at once; words that are longer are hashed by themselves.
+BLOCK = 1 << 20
+_RNG = np.random.default_rng(10)
+_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
+#: Odd factors of words, and of both halves of a run's digest.
+_FACTORS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LINE = np.zeros(256, bool)
+_LINE[[10, 13]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+CLOSERS = b"\"')]"
+_CLOSER = np.zeros(256, bool)
+_CLOSER[list(CLOSERS)] = True
+#: Full stop, exclamation and question mark of texts that have no blanks: a word ends there too.
+_WIDE = [np.frombuffer(x.encode(), np.uint8) for x in "。！？"]
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    if n:
+        out[0] = 1
+    return np.cumprod(out)
+
+
+def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
+    x = (x + _U(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(30))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+_UP = _powers(_FACTORS[0], BLOCK)
+_DOWN = _powers(pow(_FACTORS[0], -1, 1 << 64), BLOCK)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
+        own = data[low : int(ends[to - 1])]
+        if len(own) > BLOCK:  # one word
+            out[at] = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little")
+        else:
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_BYTE[own] * _UP[: len(own)], out=sums[1:])
+            a, b = starts[at:to] - low, ends[at:to] - low
+            out[at:to] = (sums[b] - sums[a]) * _DOWN[a]
+        at = to
+    return _mixed(out)
+
+
+@dataclass
+class Pieces:
+    """The pieces of several texts: where each text's bytes start (and the last ends), and for each piece its text, its first byte and its words."""
+
+    offsets: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    words: np.ndarray
+
+    def runs(self, several: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The text, first piece (counted in the text) and two-number digest of every run of so many pieces."""
+        n = max(0, len(self.text) - several + 1)
+        k = np.flatnonzero(self.text[:n] == self.text[several - 1 :]) if n else np.zeros(0, np.int64)
+        a, b = self.first[k], self.last[k + several - 1]
+        halves = []
+        for lane, factor in enumerate(_FACTORS[1:]):
+            sums = np.zeros(len(self.words) + 1, np.uint64)
+            np.cumsum(_mixed(self.words, lane) * _powers(factor, len(self.words)), out=sums[1:])
+            halves.append(_mixed((sums[b] - sums[a]) * _powers(pow(factor, -1, 1 << 64), len(self.words))[a], lane).view(np.int64))
+        own = self.text[k]
+        return own, k - np.searchsorted(self.text, own), *halves
+
+
+def pieces(texts: pa.Array) -> Pieces:
+    """Cuts all texts of an array without nulls."""
+    texts = texts.cast(pa.large_string())
+    _, where, values = texts.buffers()
+    offsets = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values is not None and len(texts) else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
+    n = len(data)
+    solid = ~_SPACE[data]
+    stop = np.zeros(n + 1, bool)  # a word ends before this byte, if it is solid too
+    for mark in _WIDE:
+        if n > 2 and (head := data[:-2] == mark[0]).any():
+            stop[3:][head & (data[1:-1] == mark[1]) & (data[2:] == mark[2])] = True
+    wide = np.flatnonzero(stop)
+    stop[offsets] = True
+    edge = np.zeros(n + 2, bool)
+    edge[1:-1] = solid
+    starts = np.flatnonzero(solid & (~edge[:n] | stop[:n]))
+    ends = np.flatnonzero(solid & (~edge[2:] | stop[1:])) + 1
+    count = len(starts)
+    is_end = np.zeros(count + 1, bool)  # of the word before
+    if count:
+        tail = data[ends - 1]
+        is_end[1:] = _STOP[tail]
+        for i in np.flatnonzero(_CLOSER[tail]).tolist():
+            is_end[i + 1] = data[starts[i] : ends[i]].tobytes().rstrip(CLOSERS)[-1:] in (b".", b"!", b"?")
+        is_end[np.searchsorted(starts, np.flatnonzero(_LINE[data]))] = True
+        is_end[np.searchsorted(starts, offsets)] = True
+        is_end[np.searchsorted(starts, wide)] = True
+    words = _hashed(data, starts, ends)
+    if count >= SPAN:
+        number = np.cumsum(is_end)  # of the sentence of each word
+        keys = words & _U(0x7FFFFFFF00000000) | ((ends - starts) < SHORT).astype(np.uint64) << _U(63) | np.arange(count, 0, -1, dtype=np.uint64)
+        width = 1
+        while 2 * width <= SPAN:
+            keys = np.minimum(keys[:-width], keys[width:])
+            width *= 2
+        least = np.minimum(keys[: count - SPAN + 1], keys[SPAN - width :])
+        whole = number[: count - SPAN + 1] == number[SPAN - 1 : count]
+        is_end[count + 1 - (least[whole] & _U(0xFFFFFFFF)).astype(np.int64)] = True
+    is_end[0] = False
+    last = np.flatnonzero(is_end)
+    first = np.concatenate([np.zeros(1, np.int64), last[:-1]]) if len(last) else last
+    start = starts[first]
+    return Pieces(offsets, np.searchsorted(offsets, start, "right") - 1, start, first, last, words)
+
+
+def dedup_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", several: int = 7, max_filter_bytes: int = 64 << 20) -> DataFrame:
+    """id, n_removed (pieces of sentences), n_chars_removed, removed (start:end of each stretch, code points, comma-joined) and clean, the text without them.
 
     A run's first place is in the row with the smallest id (null ids last, tied rows in the order they are read), and the first there; each
-    other run with the same segments is removed, whatever the white space between its words. Runs in one text may overlap; then what is
-    covered by any non-first one goes. Null counts as empty; texts without repeated runs stay as they are; repeated rows lose
-    what they repeat. An empty table gives an empty result, and further columns are not read. df is read once.
+    other run of the same words is removed, whatever the white space between them. Runs in one text may overlap; then what is
+    covered by any non-first one goes. Null counts as empty; texts without repeated runs, as are all of fewer than ``several`` pieces, stay
+    as they are; repeated rows lose what they repeat. White space (ASCII) goes with the piece before it. An empty table gives an
+    empty result, and further columns are not read. df is read once; long texts are cut whole.
     """
     spark = df.sparkSession
     # written, for a second scan of df may be split otherwise and so number rows otherwise
     numbered = written(df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(f"`{text_col}`").alias("text")), "numbered")
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for cell in batch.column(0):
-                held.append(run_arrays(cell.as_py(), several, least_words)[2])
-                size += len(held[-1])
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["a"])
-                    held, size = [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["a"])
+        for batch in in_byte_slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(pieces(batch.column(0)).runs(several)[2])], names=["a"])
 
     # one half of the digest is enough for the bitmap, which may let more through
     counted = numbered.select("text").mapInArrow(every, "a long").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     often_seen = written(counted.filter("n > 1").select("a", F.shiftright("a", 48).alias("b")), "runs")
     shared = spark.sparkContext.broadcast(RepeatFilter(often_seen, max_filter_bytes))
-    place = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("row", "k", "n", "a", "b"))])
+    place = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("row", "k", "a", "b"))])
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            at, out = [], []
-            for i, cell in enumerate(batch.column(2)):
-                found = run_arrays(cell.as_py(), several, least_words)
-                seen = shared.value.among(found[2], found[2] >> 48)
-                at.append(np.full(seen.sum(), i, np.int32))
-                out.append([x[seen] for x in found])
-            at = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names=place.names)
+        for batch in in_byte_slices(batches, 2):
+            text, k, a, b = pieces(batch.column(2)).runs(several)
+            seen = np.flatnonzero(shared.value.among(a, a >> 48))
+            at = pa.array(text[seen])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x[seen]) for x in (k, a, b))], names=place.names)
 
     places = written(numbered.mapInArrow(often, place), "places")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "k")
     first = places.groupBy("a", "b").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("often")).filter("often > 1").drop("often")
     first = broadcast_if_small(written(first, "firsts"), MOST_BROADCAST)
     later = places.join(first, ["a", "b"]).filter("row <> first.row or k <> first.k")
-    covers = later.groupBy("row").agg(F.collect_set(F.struct("k", "n")).alias("covers"))
+    covers = later.groupBy("row").agg(F.collect_set("k").alias("covers"))
     result = T.StructType([place["id"], T.StructField("n_removed", T.LongType()), T.StructField("n_chars_removed", T.LongType()), T.StructField("removed", T.StringType()), T.StructField("clean", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [removed(text, found) for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [removed(text, found, several) for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds))], names=result.names)
 
     return numbered.join(covers, "row", "left").select("id", "text", "covers").mapInArrow(cut, result).withColumnRenamed("id", id_col)
 
 
-def removed(text: str, covers: list[dict] | None) -> tuple[int, int, str, str]:
-    """Segments and characters removed, the stretches, and the rest."""
+def removed(text: str, covers: list[int] | None, several: int) -> tuple[int, int, str, str]:
+    """Pieces and characters removed, the stretches, and the rest; covers: the first pieces of the runs to remove."""
     if not covers:
         return 0, 0, "", text
-    parts = sentences(text)
-    gone = sorted({k for c in covers for k in range(c["k"], c["k"] + c["n"])})
-    spans: list[tuple[int, int]] = []
+    own = pieces(pa.array([text]))
+    data = text.encode()
+    starts = own.start.tolist()
+    bounds = [0, *starts[1:], len(data)]
+    gone = sorted({k for first in covers for k in range(first, first + several)})
+    spans: list[list[int]] = []
     for k in gone:
-        a, b, _ = parts[k]
-        if spans and spans[-1][1] == a:
-            spans[-1] = (spans[-1][0], b)
+        if spans and spans[-1][1] == bounds[k]:
+            spans[-1][1] = bounds[k + 1]
         else:
-            spans.append((a, b))
-    ends = [0, *(x for span in spans for x in span), len(text)]
-    rest = "".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-    return len(gone), len(text) - len(rest), ",".join(f"{a}:{b}" for a, b in spans), rest
+            spans.append([bounds[k], bounds[k + 1]])
+    rest, told, at, chars, taken = [], [], 0, 0, 0
+    for a, b in spans:
+        kept, cut_out = data[at:a].decode(), len(data[a:b].decode())
+        rest.append(kept)
+        chars += len(kept)
+        told.append(f"{chars}:{chars + cut_out}")
+        chars += cut_out
+        taken += cut_out
+        at = b
+    return len(gone), taken, ",".join(told), "".join(rest) + data[at:].decode()
 
 
 def query(spark, sf_dir: str) -> DataFrame:

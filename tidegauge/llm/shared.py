@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,18 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[p
             yield batch.slice(at, rows)
 
 
+def in_byte_slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts, of the column at ``text``, have so many bytes, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def text_or_empty(col: str):
     """Null texts count as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
