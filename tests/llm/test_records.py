@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 import re
 import urllib.parse
 
@@ -78,7 +79,7 @@ KEY = 'password = "hunter2secret"'
 ])
 def test_secrets_under_layers(hidden):
     text = f"été: {hidden} and so on"
-    base, every = secrets.scan(text)
+    base, every, _ = secrets.scan(text)
     found = [(a, b) for a, k, b in every if k == 0]
     assert found and not [x for x in base if x[1] == 0]
     a, b = found[0]
@@ -98,6 +99,56 @@ def test_base_secrets_and_edges(spark):
     assert masked[2] is None and masked[1].count("[SECRET]") == 3
 
 
+def test_base_secrets_are_those_of_an_independent_scan(spark, sf):
+    """Every whole document, by the three patterns as they are given."""
+    kinds = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        found = [(m.start(), k, m.end()) for k, (_, pattern, fits) in enumerate(kinds) for m in re.finditer(pattern, r.text or "", re.ASCII) if fits(m)]
+        told = ",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in sorted(found))
+        want[r.doc_id] = (*(sum(x[1] == k for x in found) for k in range(3)), hashlib.sha256(told.encode()).hexdigest())
+    got = {r.doc_id: r for r in secrets.query(spark, sf).collect()}
+    assert {i: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for i, r in got.items()} == want
+    assert sum(x[0] + x[1] + x[2] for x in want.values()) > 3
+    base = {i: sorted(t for t in r.spans.split(",") if t) for i, r in got.items()}
+    assert all(len(base[i]) >= sum(want[i][:3]) for i in want)
+
+
+def nested(secret, times, escape):
+    for _ in range(times):
+        secret = escape(secret)
+    return secret
+
+
+def test_secrets_in_hard_places_are_found_and_hostile_texts_end():
+    import time
+    import zlib
+
+    import zstandard
+
+    def b64(x):
+        return base64.b64encode(x).decode()
+
+    key = KEY.encode()
+    found = {
+        "unaligned": "abc" + b64(b"padding text first " + key), "after a word": "idx" + b64(gzip.compress(key)), "utf-16": b64(KEY.encode("utf-16-le")), "utf-16 be": b64(KEY.encode("utf-16-be")),
+        "in binary": b64(bytes(range(128, 256)) + key + b"\xff\x00\x9c"), "long escapes": "".join(f"\\U{ord(c):08x}" for c in KEY), "indented": b64(b"x" * 50 + gzip.compress(key * 9))[:64] + "\n    " + b64(b"x" * 50 + gzip.compress(key * 9))[64:],
+        "deep percent": nested(urllib.parse.quote(KEY, safe=""), 40, lambda s: s.replace("%", "%25")), "deep names": nested("password&equals;hunter2secret", 60, lambda s: s.replace("&", "&amp;")),
+        "zstandard in base64 twice": b64(b64(zstandard.ZstdCompressor().compress(key)).encode()), "bomb": b64(zstandard.ZstdCompressor().compress(b"a" * 70_000_000 + b" " + key + b" " + b"b" * 1000)),
+    }
+    for name, hidden in found.items():
+        assert any(k == 0 for _, k, _ in secrets.scan(f"first {hidden} and after")[1]), name
+    assert secrets.scan(found["bomb"])[2] == 1
+    hostile = [
+        "%25" + "25" * 100_000 + "41", "&" + "amp;" * 50_000 + "lt;", "\\x5c" + "x5c" * 50_000, "%26#37;" + "26#37;" * 20_000, b64(gzip.compress(b"\0" * 100_000_000)), "x%9c" * 50_000, "\x1f\x8b" * 1000,
+        b64(b"\x1f\x8b\x08\x08" * 20_000), "a/" * 200_000, "Ab9/" * 100_000, ("Ab9/" * 19 + "\n") * 3_000, "password" * 50_000, "%" * 100_000, "&#" * 100_000, b64(nested(b"x" * 1000, 30, zlib.compress)),
+    ]
+    for text in hostile:
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 20, text[:20]
+
+
 def toxic_rows(n):
     import random
 

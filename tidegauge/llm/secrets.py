@@ -1,22 +1,24 @@
 """Secret scans over texts and what is encoded in them.
 
 A worklist holds layers of a text: first the text itself, then whatever decodes from a stretch of a layer: percent escapes, Unicode and
-character escapes, base64, and compressed bytes within base64. Each layer is scanned with the same
-patterns, and a layer whose content was seen before in the same text is not opened again, so that cycles end. A layer
-carries, for each of its characters, the stretch of the text that it came from, so spans are always
-those of the original text.
+character escapes, base64 (at each of its four alignments, also wrapped over lines), and compressed bytes within these. Each layer is scanned
+with the same patterns, and a layer whose content was seen before in the same text is not opened again, so that cycles end. A layer
+knows, in runs, which stretch of the text its characters came from, so spans are always those of the original text.
+
+Work is bounded by the text's size: escapes nested deeper than DEEP are unwrapped to their end in one linear pass, and what streams of one
+text inflate to is kept up to MOST_INFLATED bytes. A stream beyond that is scanned in windows as it inflates and forgotten, so that only
+what is encoded within it stays closed; such streams are counted as ``n_unopened``.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
-import gzip
 import hashlib
 import html
 import itertools
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -36,21 +38,34 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}", re.ASCII)
 HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+", re.ASCII)
-ESCAPES = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|quot|apos|lt|gt|equals|colon);", re.ASCII)
+ESCAPES = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|quot|apos|lt|gt|equals|colon);", re.ASCII)
+#: One escape of either sort at the end of what precedes it, and the characters that may end one.
+ESCAPE_END = re.compile(r"(?:%[0-9A-Fa-f]{2}|" + ESCAPES.pattern + r")\Z", re.ASCII)
+LONGEST_ESCAPE, ENDS = 10, frozenset("0123456789abcdefABCDEF;}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
-#: Base64 wrapped over lines: runs that end lines, and the run that the next line starts with.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}", re.ASCII)
-SEPARATOR = re.compile(r"[+/_-]")
+#: Base64 wrapped over lines: runs that end lines, and the run that the next line starts with; all lines but the first are indented alike.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n([ \t]*+)[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n\1[A-Za-z0-9+/_-]++)*+={0,2}", re.ASCII)
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+#: What may be read within binary data: printable stretches, also of UTF-16; no secret is shorter.
+PRINTABLE = re.compile(rb"[\t\n\r -~](?:\x00?[\t\n\r -~]){11,}")
+#: How gzip and zstandard streams begin; zlib's two bytes are looked for only where the data begins.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd", re.DOTALL)
 #: Where compressed bytes in percent or character escapes may start, and how far they may reach.
-PERCENT_STREAM = re.compile(r"(?:%1[fF]%8[bB]|(?:%78|x)%(?:01|5[eE]|9[cC]|[dD][aA])|(?:%28|\()%[bB]5(?:%2[fF]|/)%[fF][dD])[!-~]*", re.ASCII)
-ESCAPE_STREAM = re.compile(r"(?:\\x1[fF]\\x8[bB]|(?:\\x78|x)(?:\\x(?:01|5[eE]|9[cC]|[dD][aA])|\^)|(?:\\x28|\()\\x[bB]5(?:\\x2[fF]|/)\\x[fF][dD])[ -~]*", re.ASCII)
+PERCENT_STREAM = re.compile(r"(?:%1[fF]%8[bB]|(?:%78|x)%(?:01|5[eE]|9[cC]|[dD][aA])|(?:%28|\()%[bB]5(?:%2[fF]|/)%[fF][dD])", re.ASCII)
+ESCAPE_STREAM = re.compile(r"(?:\\x1[fF]\\x8[bB]|(?:\\x78|x)(?:\\x(?:01|5[eE]|9[cC]|[dD][aA])|\^)|(?:\\x28|\()\\x[bB]5(?:\\x2[fF]|/)\\x[fF][dD])", re.ASCII)
+#: Up to so many tokens of such bytes are read at once.
+PERCENT_TOKENS, ESCAPE_TOKENS = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-~]){1,64}"), re.compile(r"""(?:\\(?:x[0-9A-Fa-f]{2}|[abfnrtv0\\'"])|[ -~]){1,64}""")
 PERCENT_TOKEN, ESCAPE_TOKEN = re.compile(r"%[0-9A-Fa-f]{2}|."), re.compile(r"""\\(?:x[0-9A-Fa-f]{2}|[abfnrtv0\\'"])|.""")
 BYTE = re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([abfnrtv0\\'\"]))")
 LETTERS = {b"a": b"\a", b"b": b"\b", b"f": b"\f", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"v": b"\v", b"0": b"\0"}
 #: A word of letters alone, in one case but for the first, is prose and not base64.
 PROSE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*", re.ASCII)
 NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "equals": "=", "colon": ":"}
+#: Escapes nested deeper are unwrapped at once. Most bytes that one text's streams may inflate to and still be opened further, and most bytes of
+#: it that are tried as streams (again and again, where many places look like a stream's beginning).
+DEEP, MOST_INFLATED, MOST_TRIED = 16, 64 << 20, 256 << 20
+#: Windows of a longer stream, and how much of one is looked at again with the next.
+WINDOW, AGAIN = 1 << 20, 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,34 +87,132 @@ def _escaped(s: str) -> str:
     return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else s
 
 
-def inflated(data: bytes) -> bytes | None:
-    """data decompressed, if it is a gzip, zlib or zstandard stream as a whole."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return gzip.decompress(data)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompress(data)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    except (OSError, EOFError, zlib.error, zstandard.ZstdError):
-        pass
-    return None
-
-
-def _started(data: bytes) -> tuple[bytes, int] | None:
-    """What a whole compressed stream at the start of data holds, and its length, whatever follows it."""
-    try:
-        stream = zstandard.ZstdDecompressor().decompressobj() if data[:1] == b"\x28" else zlib.decompressobj(47)
-        out = stream.decompress(data)
-        return (out, len(data) - len(stream.unused_data)) if stream.eof else None
-    except (zlib.error, zstandard.ZstdError):
-        return None
+def _percented(s: str) -> str:
+    return unquote_to_bytes(s).decode("utf-8", "replace")
+
+
+class Spans:
+    """Where a layer's characters came from, as runs: from each start on, either character by character, or all from one stretch."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.runs: list[tuple[int, int]] = []  # first and last place of the stretch; the last is -1 where each character has its own
+        self.size = 0
+
+    def add(self, chars: int, low: int, high: int) -> None:
+        if chars:
+            if high < 0 and self.runs and self.runs[-1][1] < 0 and self.runs[-1][0] + self.size - self.starts[-1] == low:
+                self.size += chars  # goes on
+                return
+            self.starts.append(self.size)
+            self.runs.append((low, high))
+            self.size += chars
+
+    def where(self, a: int, b: int) -> tuple[int, int]:
+        """The stretch of the original text that characters a to b (exclusive) came from."""
+        i, j = bisect_right(self.starts, a) - 1, bisect_right(self.starts, b - 1) - 1
+        low, high = self.runs[i], self.runs[j]
+        return low[0] + (a - self.starts[i]) * (low[1] < 0), high[1] if high[1] >= 0 else high[0] + b - self.starts[j]
+
+    def copy_to(self, out: Spans, a: int, b: int) -> None:
+        """Adds the runs of characters a to b (exclusive) to out."""
+        i = bisect_right(self.starts, a) - 1
+        while a < b:
+            to = min(b, self.starts[i + 1] if i + 1 < len(self.starts) else self.size)
+            low, high = self.runs[i]
+            out.add(to - a, low + (a - self.starts[i]) * (high < 0), high)
+            a, i = to, i + 1
+
+
+def _one_run(chars: int, low: int, high: int) -> Spans:
+    out = Spans()
+    out.add(chars, low, high)
+    return out
+
+
+class Opened:
+    """What one text's streams have inflated to so far, and which stayed closed."""
+
+    def __init__(self) -> None:
+        self.bytes = self.unopened = self.tried = 0
+
+    def inflate(self, feed: Iterator[bytes], head: bytes) -> tuple[bytes | None, int, set[int]] | None:
+        """What a whole compressed stream holds, how many bytes it takes, and, where it is too long to keep, the kinds of secrets in it.
+
+        None if the bytes fed aren't a whole stream; head: their first ones, which tell its sort.
+        """
+        try:
+            zstd = head[:1] == b"\x28"
+            stream = zstandard.ZstdDecompressor().decompressobj() if zstd else zlib.decompressobj(47)
+            kept, size, taken, kinds, window = [], 0, 0, set(), b""
+            for data in feed:
+                taken += len(data)
+                self.tried += len(data)
+                if self.tried > MOST_TRIED:
+                    self.unopened += 1
+                    return None
+                for at in range(0, len(data), 1024) if zstd else (0,):  # zstandard has no bound but its input's size
+                    rest = data[at : at + 1024] if zstd else data
+                    while True:
+                        out = stream.decompress(rest) if zstd else stream.decompress(rest, WINDOW)
+                        size += len(out)
+                        if self.bytes + size > MOST_INFLATED:
+                            for own in (*kept, out):
+                                window = window[-AGAIN:] + own
+                                kinds |= {k for _, k, _ in base_spans(window.decode("latin-1"))}
+                            kept = []
+                        else:
+                            kept.append(out)
+                        rest = b"" if zstd else stream.unconsumed_tail
+                        if stream.eof or not rest and (zstd or len(out) < WINDOW):
+                            break
+                    if stream.eof:
+                        taken -= len(stream.unused_data) + (max(0, len(data) - at - 1024) if zstd else 0)
+                        break
+                if stream.eof:
+                    break
+            if not stream.eof:
+                return None
+        except (zlib.error, zstandard.ZstdError, MemoryError):
+            return None
+        if self.bytes + size > MOST_INFLATED:
+            self.unopened += 1
+            return None, taken, kinds
+        self.bytes += size
+        return b"".join(kept), taken, kinds
+
+    def texts(self, data: bytes, whole: bool) -> Iterator[str | set[int]]:
+        """The texts that bytes hold, after any layers of compression; for a stream too long to keep, the kinds of secrets in it."""
+        work, seen = [data], set()
+        while work:
+            data = work.pop()
+            digest = hashlib.sha256(data).digest()
+            if digest in seen:  # a stream that inflates to itself
+                continue
+            seen.add(digest)
+            starts = [m.start() for m in MAGIC.finditer(data)]
+            if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+                starts.insert(0, 0)
+            end = 0
+            for at in starts:
+                if at >= end and (found := self.inflate((data[i : i + 4096] for i in range(at, len(data), 4096)), data[at : at + 1])) is not None:
+                    inner, taken, kinds = found
+                    end = at + taken
+                    if inner is None:
+                        yield kinds
+                    else:
+                        work.append(inner)
+            if end:
+                continue
+            text = _as_text(data) if whole or len(seen) > 1 else None
+            if text is not None:
+                yield text
+            elif runs := PRINTABLE.findall(data):
+                yield "\n".join(x.replace(b"\0", b"").decode() for x in runs)
 
 
 def _as_text(data: bytes) -> str | None:
-    """data as text after any layers of compression: UTF-8 with one control character in ten at most, or a single one."""
-    while (more := inflated(data)) is not None:
-        data = more
+    """data as text: UTF-8 with one control character in ten at most, or a single one."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -107,107 +220,91 @@ def _as_text(data: bytes) -> str | None:
     return text if text and len(CONTROL.findall(text)) <= max(1, len(text) // 10) else None
 
 
-def _may_start(s: str) -> bool:
-    """Whether the first 16 characters of base64 may be those of a text or a compressed stream."""
-    data = base64.b64decode(s[:16].replace("-", "+").replace("_", "/"))
-    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" or data[:4] == b"\x28\xb5\x2f\xfd" or len(CONTROL.findall(data.decode("utf-8", "ignore"))) <= 2 and len(data.decode("utf-8", "ignore").encode()) >= 9
-
-
-def _parts(s: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text) of what decodes in a run of base64 characters: the whole, or else the longest part from each separator on, up to one."""
-    if (t := _from_base64(s)) is not None:
-        yield 0, len(s), t
-        return
-    stops = [m.start() for m in SEPARATOR.finditer(s)]
-    end = 0
-    for a in [0, *(x + 1 for x in stops)]:
-        if a < end or len(s) - a < 16 or not _may_start(s[a:]):
-            continue
-        for b in [len(s), *reversed(stops)]:
-            if b - a < 16:
-                break
-            if (a, b) != (0, len(s)) and (t := _from_base64(s[a:b])) is not None:
-                yield a, b, t
-                end = b
-                break
-
-
-def _wrapped(s: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text) of what decodes in runs on consecutive lines: from the first line, its parts or the second on, to the last line or those before."""
-    lines = [(m.start(), m.end()) for m in re.finditer(r"[^\r\n]+", s)]
-    starts = {0, *(m.end() for m in SEPARATOR.finditer(s, *lines[0]))}
-    sizes = [b - a for a, b in lines]
-    starts |= {a for (a, _), before, own in zip(lines[1:], sizes, sizes[1:], strict=False) if before != own}
-    starts.add(lines[1][0])
-    done = 0
-    for a in sorted(starts):
-        rest = [x for x in lines if x[1] > a]
-        if a < done or len(rest) < 2 or not _may_start("".join(s[a : a + 24].split()).rstrip("=").ljust(16, "A")):
-            continue
-        for _, b in reversed(rest[1:]):
-            if (t := _from_base64("".join(s[a:b].split()))) is not None:
-                yield a, b, t
-                done = b
-                break
-
-
-def _from_base64(s: str) -> str | None:
-    """What s decodes to, if that is text, after any layers of compression."""
+def _from_base64(s: str, opened: Opened) -> Iterator[str | set[int]]:
+    """What base64 characters without line ends hold, read from each of the first four of them on."""
     body = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1 or PROSE.fullmatch(s):
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    return _as_text(data)
-
-
-def decoded_layers(text: str, spans: list[tuple[int, int]] | None) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """The layers that lie within one layer, each with the original stretch of every character. spans None: the layer is the text itself."""
-
-    def where(a: int, b: int) -> tuple[int, int]:
-        return (a, b) if spans is None else (spans[a][0], spans[b - 1][1])
-
-    def replaced(pattern: re.Pattern, new) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-        """The layer around the escapes, each stretch of escapes with the unbroken characters beside it."""
-        matches = list(pattern.finditer(text))
-        for group in _near(matches):
-            a = _back(text, group[0].start())
-            b = _ahead(text, group[-1].end())
-            out, at, pos = [], [], a
+    for k in range(min(4, len(body))):
+        own = body[k:]
+        own = own[: -1] if len(own) % 4 == 1 else own
+        data = base64.b64decode(own + "=" * (-len(own) % 4))
+        if k == 0 or PRINTABLE.search(data) or MAGIC.search(data) or data[:1] == b"\x78":
+            yield from opened.texts(data, k == 0)
+
+
+def _reduced(text: str, spans: Spans) -> tuple[str, Spans]:
+    """The layer with all escapes of ASCII characters unwrapped until none is left, from left to right with a stack."""
+    out: list[str] = []
+    at: list[tuple[int, int]] = []
+    for i, c in enumerate(text):
+        out.append(c)
+        at.append(spans.where(i, i + 1))
+        while out[-1] in ENDS and (m := ESCAPE_END.search("".join(out[-LONGEST_ESCAPE:]))):
+            new = _percented(m[0]) if m[0][0] == "%" else _escaped(m[0])
+            if len(new) != 1 or not new.isascii():
+                break
+            n = len(m[0])
+            stretch = (at[-n][0], at[-1][1])
+            del out[-n:], at[-n:]
+            out.append(new)
+            at.append(stretch)
+    found = Spans()
+    for low, high in at:
+        found.add(1, low, -1 if high == low + 1 else high)
+    return "".join(out), found
+
+
+def decoded_layers(text: str, spans: Spans, depth: int, opened: Opened) -> Iterator[tuple[str | set[int], Spans, int]]:
+    """The layers that lie within one layer, with the depth of escapes in each."""
+
+    def replaced(pattern: re.Pattern, new) -> Iterator[tuple[str, Spans, int]]:
+        """Each line that has escapes, with these replaced."""
+        for group in _near(list(pattern.finditer(text))):
+            a, b = _back(text, group[0].start()), _ahead(text, group[-1].end())
+            out, at, pos = [], Spans(), a
             for m in group:
                 out.append(text[pos : m.start()])
-                at += [where(i, i + 1) for i in range(pos, m.start())]
+                spans.copy_to(at, pos, m.start())
                 t = new(m[0])
                 out.append(t)
-                at += [where(m.start(), m.end())] * len(t)
+                at.add(len(t), *spans.where(m.start(), m.end()))
                 pos = m.end()
             out.append(text[pos:b])
-            at += [where(i, i + 1) for i in range(pos, b)]
-            yield "".join(out), at
+            spans.copy_to(at, pos, b)
+            if depth < DEEP:
+                yield "".join(out), at, depth + 1
+            else:
+                yield *_reduced("".join(out), at), depth + 1
 
     if "%" in text:
-        yield from replaced(PERCENT, lambda s: unquote_to_bytes(s).decode("utf-8", "replace"))
+        yield from replaced(PERCENT, _percented)
     if "\\" in text or "&" in text:
         yield from replaced(ESCAPES, _escaped)
-    for m in BASE64.finditer(text):
-        for a, b, t in _parts(m[0]):
-            yield t, [where(m.start() + a, m.start() + b)] * len(t)
-    for m in WRAPPED.finditer(text):
-        for a, b, t in _wrapped(m[0]):
-            yield t, [where(m.start() + a, m.start() + b)] * len(t)
-    streams = [(PERCENT_STREAM, PERCENT_TOKEN, unquote_to_bytes)] if "%" in text else []
-    streams += [(ESCAPE_STREAM, ESCAPE_TOKEN, _literal)] if "\\x" in text else []
-    for pattern, token, to_bytes in streams:
-        m = pattern.search(text)
-        while m:
+    for pattern in (BASE64, WRAPPED):
+        for m in pattern.finditer(text):
+            s = "".join(m[0].split()) if pattern is WRAPPED else m[0]
+            if not PROSE.fullmatch(s):
+                stretch = spans.where(m.start(), m.end())
+                for t in _from_base64(s, opened):
+                    yield t, _one_run(len(t), *stretch), 0
+    streams = [(PERCENT_STREAM, PERCENT_TOKENS, PERCENT_TOKEN, unquote_to_bytes)] if "%" in text else []
+    streams += [(ESCAPE_STREAM, ESCAPE_TOKENS, ESCAPE_TOKEN, _literal)] if "\\x" in text else []
+    for pattern, tokens, token, to_bytes in streams:
+        end = 0
+        while m := pattern.search(text, end):
             end = m.start() + 1
-            if (found := _started(to_bytes(m[0]))) is not None:
-                end = next(itertools.islice(token.finditer(text, m.start()), found[1] - 1, None)).end()
-                if (t := _as_text(found[0])) is not None:
-                    yield t, [where(m.start(), end)] * len(t)
-            m = pattern.search(text, end)
+            feed = (to_bytes(x[0]) for x in _adjacent(tokens, text, m.start()))
+            if (found := opened.inflate(feed, to_bytes(m[0])[:1])) is not None:
+                inner, taken, kinds = found
+                end = next(itertools.islice(token.finditer(text, m.start()), taken - 1, None)).end()
+                for t in [kinds] if inner is None else opened.texts(inner, True):
+                    yield t, _one_run(len(t), *spans.where(m.start(), end)), 0
+
+
+def _adjacent(pattern: re.Pattern, text: str, at: int) -> Iterator[re.Match]:
+    """Matches that follow one another without a gap."""
+    while m := pattern.match(text, at):
+        yield m
+        at = m.end()
 
 
 #: Characters to which escapes reach out on either side: all but line ends.
@@ -232,22 +329,28 @@ def _near(matches: list[re.Match]) -> Iterator[list[re.Match]]:
         yield group
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans of text, and all spans with those found in decoded layers; (start, kind, end), sorted."""
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """The base spans of text, all spans with those found in decoded layers, (start, kind, end) and sorted, and the number of streams too long to open."""
     base = sorted(base_spans(text))
-    every = set(base)
-    work: list[tuple[str, list[tuple[int, int]] | None]] = [(text, None)]
-    seen = set()
+    every, seen, opened = set(base), set(), Opened()
+    work: list[tuple[str, Spans, int]] = [(text, _one_run(len(text), 0, -1), 0)]
     while work:
-        layer, spans = work.pop()
-        for t, at in decoded_layers(layer, spans):
-            key = (hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest(), at[0][0] if at else 0, at[-1][1] if at else 0)
-            if not t or key in seen:
+        layer, spans, depth = work.pop()
+        for t, at, deeper in decoded_layers(layer, spans, depth, opened):
+            if not t:
+                continue
+            low, high = at.where(0, at.size)
+            if isinstance(t, set):
+                every.update((low, kind, high) for kind in t)
                 continue
-            seen.add(key)
-            every.update((at[a][0], kind, at[b - 1][1]) for a, kind, b in base_spans(t))
-            work.append((t, at))
-    return base, sorted(every)
+            key = (hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest(), low, high)
+            if key not in seen:
+                seen.add(key)
+                for a, kind, b in base_spans(t):
+                    low, high = at.where(a, b)
+                    every.add((low, kind, high))
+                work.append((t, at, deeper))
+    return base, sorted(every), opened.unopened
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -266,21 +369,22 @@ def masked(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_assign, n_access, n_hex (base spans), base_sha256 and spans of every text.
+    """id, n_assign, n_access, n_hex (base spans), base_sha256, spans and n_unopened of every text.
 
     Spans are in code points of the whole text, end exclusive. Null counts as empty; a text without spans has
-    zero counts and empty lists. Repeated rows give repeated results, null ids stay null, an empty table gives an empty
+    zero counts and empty lists; long ones are scanned whole, and n_unopened counts their streams that inflate to so much (see MOST_INFLATED)
+    that what is encoded within them isn't opened, or that were not tried after so many others (see MOST_TRIED). Repeated rows give repeated results, null ids stay null, an empty table gives an empty
     result, and further columns are not read.
     """
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(x, T.LongType()) for x in ("n_assign", "n_access", "n_hex")] + [T.StructField(x, T.StringType()) for x in ("base_sha256", "spans")])
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(x, T.LongType()) for x in ("n_assign", "n_access", "n_hex")] + [T.StructField(x, T.StringType()) for x in ("base_sha256", "spans")] + [T.StructField("n_unopened", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [scan(cell.as_py()) for cell in batch.column(1)]
-            counts = [pa.array([sum(x[1] == k for x in base) for base, _ in found], pa.int64()) for k in range(3)]
-            sha = [hashlib.sha256(told(base).encode()).hexdigest() for base, _ in found]
-            spans = [told(every) for _, every in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=schema.names)
+            counts = [pa.array([sum(x[1] == k for x in base) for base, _, _ in found], pa.int64()) for k in range(3)]
+            sha = [hashlib.sha256(told(base).encode()).hexdigest() for base, _, _ in found]
+            spans = [told(every) for _, every, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array([x[2] for x in found], pa.int64())], names=schema.names)
 
     return df.select(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")).mapInArrow(run, schema)
 
