@@ -60,7 +60,8 @@ def digests(library, text):
 def test_bpe_reuse(spark, sf):
     library = Tokenizer.from_file(BYTE)
     shared = "A passage of some length that several of the texts hold. " * 60
-    texts = [*odd_texts(20), *[f"{'x ' * i}{shared}{i} end" for i in range(6)], shared, shared, "", None]
+    runs = [" " * 1_000_000, "\n" * 1_000_000, "a" + "\t " * 60_000 + "b", "word" * 50_000, "x" * 300_000]
+    texts = [*odd_texts(20), *runs, *[f"{'x ' * i}{shared}{i} end" for i in range(6)], shared, shared, "", None]
     df = spark.createDataFrame([(i if i else None, t, "n", 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string, row int")
     got = {r.doc_id: tuple(r[1:]) for r in bpe_reuse.encode_documents(df).collect()}
     assert got == {i if i else None: digests(library, t or "") for i, t in enumerate(texts)}

@@ -33,6 +33,8 @@ from tidegauge.llm.words import UNUSUAL
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: A blank after a printable ASCII character: a token always starts there.
 SAFE = re.compile(rb"(?<=[!-~])\x20")
+#: A run of white space that the fast encoder's patterns can't take; the tokenizers library can.
+LONG_RUN = re.compile(r"(?<!\s)\s{50000,}+")
 WINDOW, LEAST, MEAN, MOST = 16, 256, 1024, 8192
 _TABLE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64)
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, 2**k, 2**64)) for k in range(4)]
@@ -56,7 +58,7 @@ class ByteEncoder:
         self.decimal = [str(i) for i in range(SPECIAL_ID + 1)]
 
     def __call__(self, text: str) -> list[int]:
-        if UNUSUAL.search(text):
+        if UNUSUAL.search(text) or len(text) >= 50_000 and LONG_RUN.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if SPECIAL not in text:
             return self.fast.encode_ordinary(text)
@@ -155,7 +157,7 @@ def encode_documents(df: DataFrame, tokenizer: str | None = None, ranks: str | N
     """id, n_tokens, ids_sha256 and decoded_sha256 of every text; with_ids also gives the ids, little-endian unsigned 32-bit.
 
     Null counts as empty and gives no ids. Repeated rows give repeated results, null ids stay null, further columns are not read,
-    an empty table gives an empty result, and texts are encoded whole, however long.
+    an empty table gives an empty result, and texts are encoded whole, however long, as are their words and runs of white space.
     """
     spark = df.sparkSession
     path, ranks_path = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
