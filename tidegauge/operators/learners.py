@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,20 +82,42 @@ def stacked(members: dict[str, DataFrame], keys: list[str], n_classes: int) -> D
     return out
 
 
-def oversampled(df: DataFrame, features: list[str], label: str, key: str, neighbours: int = 5, bucket_length: float = 2.0) -> DataFrame:
-    """df's rows and interpolations between minority rows and near rows of their class, about as many as the largest class lacks; approximate neighbours by random projections.
+def near_rows(df: DataFrame, label: str, key: str, x: str, width: int, neighbours: int, projections: int = 3, ranges: int = 64) -> DataFrame:
+    """(label, key, x, near): for each row up to so many near rows of its class, nearest first, as (distance, key, x); approximate, linear in the rows.
 
-    Classes of fewer than two rows are left as they are.
+    Rows are sorted along random projections, in ranges bounded by their quantiles, and those that stand next to a row are its candidates.
+    """
+    rng = random.Random(SEED)
+    found = None
+    for _ in range(projections):
+        way = [rng.gauss(0, 1) for _ in range(width)]
+        along = F.aggregate(F.zip_with(x, F.array(*map(F.lit, way)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        rows = df.select(label, key, x, along.alias("p"))
+        bounds = rows.approxQuantile("p", [i / ranges for i in range(1, ranges)], 0.002)
+        own = rows.withColumn("range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda e: e < F.col("p"))))
+        beside = Window.partitionBy(label, "range").orderBy("p", key).rowsBetween(-neighbours, neighbours)
+        own = own.select(label, key, x, F.collect_list(F.struct(F.col(key).alias("k"), F.col(x).alias("v"))).over(beside).alias("c"))
+        found = own if found is None else found.unionByName(own)
+    together = found.groupBy(label, key).agg(F.first(x).alias(x), F.array_distinct(F.flatten(F.collect_list("c"))).alias("c"))
+    away = lambda v: F.sqrt(F.aggregate(F.zip_with(x, v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    told = F.transform(F.filter("c", lambda c: c["k"] != F.col(key)), lambda c: F.struct(away(c["v"]).alias("distance"), c["k"].alias("k"), c["v"].alias("v")))
+    return together.select(label, key, x, F.slice(F.array_sort(told), 1, neighbours).alias("near"))
+
+
+def oversampled(df: DataFrame, features: list[str], label: str, key: str, neighbours: int = 5) -> DataFrame:
+    """df's rows and interpolations between minority rows and near rows of their class, about as many as the largest class lacks; see :func:`near_rows`.
+
+    Classes of fewer than two rows are left as they are. ``key`` is unique.
     """
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     want = per.crossJoin(F.broadcast(per.agg(F.max("n").alias("top")))).filter("n < top and n > 1").select(label, "n", "top")
-    small = df.join(F.broadcast(want), label).withColumn("x", array_to_vector(F.array(*[F.col(c).cast("double") for c in features])))
-    lsh = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket_length, numHashTables=3, seed=SEED).fit(small)
-    pairs = lsh.approxSimilarityJoin(small, small, float("inf"), "distance").filter((F.col(f"datasetA.{label}") == F.col(f"datasetB.{label}")) & (F.col(f"datasetA.{key}") != F.col(f"datasetB.{key}")))
-    near = pairs.select(F.col("datasetA").alias("a"), F.col("datasetB").alias("b"), "distance").withColumn("r", F.row_number().over(Window.partitionBy(f"a.{key}").orderBy("distance", f"b.{key}"))).filter(F.col("r") <= neighbours)
-    times = F.ceil((F.col("a.top") - F.col("a.n")) / F.col("a.n")).cast("int")
-    copies = near.withColumn("k", F.explode(F.sequence(F.lit(1), times))).filter(F.pmod(F.col("k"), F.lit(neighbours)) == F.col("r") - 1)
-    made = copies.withColumn("u", F.rand(SEED)).select(F.col(f"a.{label}").alias(label), *[(F.col(f"a.{c}") + F.col("u") * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c) for c in features], F.lit(1).alias("is_made"))
+    small = df.join(F.broadcast(want), label).select(label, key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    near = near_rows(small, label, key, "x", len(features), neighbours).filter(F.size("near") > 0).join(F.broadcast(want), label)
+    times = F.ceil((F.col("top") - F.col("n")) / F.col("n")).cast("int")
+    copies = near.withColumn("k", F.explode(F.sequence(F.lit(1), times))).withColumn("u", F.rand(SEED))
+    other = F.get("near", F.pmod(F.col("k"), F.size("near")))["v"]
+    made = copies.select(label, F.zip_with("x", other, lambda a, b: a + F.col("u") * (b - a)).alias("x"))
+    made = made.select(label, *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(features)], F.lit(1).alias("is_made"))
     return df.select(label, *features, F.lit(0).alias("is_made")).unionByName(made)
 
 

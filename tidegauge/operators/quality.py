@@ -59,3 +59,17 @@ def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by order: splices (live over archive), priorities (page over archive over inferred), latest snapshots."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def by_priority(sources: dict[str, DataFrame], keys: list[str], then: list) -> DataFrame:
+    """One row a key, with its source: from the first source, in the order given, that has it; of several there the first by ``then``."""
+    every = None
+    for i, (name, df) in enumerate(sources.items()):
+        own = df.withColumns({"source": F.lit(name), "_priority": F.lit(i)})
+        every = own if every is None else every.unionByName(own)
+    return newest(every, keys, [F.col("_priority"), *then]).drop("_priority")
+
+
+def only_in_first(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The distinct rows of the first that aren't in the second."""
+    return first.subtract(second)

@@ -10,10 +10,17 @@ from tidegauge.plans.base import EVENTS, events, query, table
 from tidegauge.sources import ingest
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
-#: A small lexicon for the given texts: (word, category).
-WORDS = [("the", "positive"), ("of", "positive"), ("and", "negative"), ("is", "uncertain"), ("la", "positive"), ("der", "negative"), ("that", "uncertain"), ("that", "negative")]
-CATEGORIES = ["positive", "negative", "uncertain"]
-_LEX = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{c}')" for w, c in WORDS) + ") v(word, category))"
+#: A lexicon of all words of the table ``benchmark``: a word is in the first category of its length's remainder, and if it starts with a vowel also in the next.
+CATEGORIES = ["positive", "negative", "uncertain", "litigious", "strong_modal", "weak_modal", "constraining"]
+_LEX = "w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM benchmark), lx AS (SELECT word, c.category FROM w JOIN (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CATEGORIES)) + f") c(i, category) ON i = length(word) % 7 OR (i = (length(word) + 1) % 7 AND word[1] IN ('a', 'e', 'i', 'o', 'u')))"
+
+
+def _lexicon(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(L.tokens(F.col("text"))).alias("word")).distinct()
+    own = F.array(F.pmod(F.length("word"), F.lit(7)), F.when(F.substring("word", 1, 1).isin(*"aeiou"), F.pmod(F.length("word") + 1, F.lit(7))))
+    return words.select("word", F.explode(F.array_compact(own)).alias("i")).select("word", F.get(F.array(*map(F.lit, CATEGORIES)), F.col("i")).alias("category"))
+
+
 _TOKENS = "tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents)"
 
 
@@ -33,10 +40,10 @@ def _(spark, d):
     return ingest.sdmx_observations(rows, "observations", "codes")
 
 
-@query("a5_chart_points")
+@query("a5_chart_points", """SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS observation_date, value FROM events WHERE value IS NOT NULL""")
 def _(spark, d):
     rows = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("series_id")).agg(F.sort_array(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "value"))).alias("x"))
-    return ingest.chart_points(rows.select("series_id", F.col("x.s").alias("timestamps"), F.col("x.value").alias("closes")), "timestamps", "closes")
+    return ingest.chart_points(rows.select("series_id", F.col("x.s").alias("timestamps"), F.col("x.value").alias("closes")), "timestamps", "closes", "UTC")
 
 
 @query("a9_futures_curve", """SELECT CAST(l_shipdate AS DATE) AS observation_date, 'ib_' || strftime(l_shipdate + INTERVAL 1 MONTH, '%Y_%m') AS series_id, round(100 - l_tax * 100, 6) AS value FROM lineitem WHERE l_quantity > 5""")
@@ -46,9 +53,9 @@ def _(spark, d):
     return ingest.futures_curve(rows).withColumn("value", F.round("value", 6))
 
 
-@query("a10_to_wide", f"""WITH {EVENTS}, x AS (SELECT * FROM l WHERE entity = 3) SELECT observation_date, {', '.join(f"max(value) FILTER (series_id = '{t}') AS {t}" for t in TYPES)}, min(publication_date) AS publication_date, CAST(count(DISTINCT series_id) FILTER (value IS NOT NULL) AS INTEGER) AS n_series FROM x GROUP BY 1""")
+@query("a10_to_wide", f"""WITH {EVENTS} SELECT entity, observation_date, {', '.join(f"max(value) FILTER (series_id = '{t}') AS {t}" for t in TYPES)}, min(publication_date) AS publication_date, CAST(count(DISTINCT series_id) FILTER (value IS NOT NULL) AS INTEGER) AS n_series FROM l GROUP BY 1, 2""")
 def _(spark, d):
-    return ingest.to_wide(events(spark, d).filter("entity = 3"), TYPES)
+    return ingest.to_wide(events(spark, d), TYPES, ["entity"])
 
 
 @query("a15_page_text")
@@ -82,8 +89,7 @@ def _(spark, d):
     z AS (SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, {', '.join(f'coalesce({c}, 0) AS {c}' for c in CATEGORIES)} FROM documents LEFT JOIN k USING (doc_id))
     SELECT *, {', '.join(f'round(coalesce(1000.0 * {c} / nullif(n_tokens, 0), 0), 6) AS {c}_per_1000, round(coalesce(1.0 * {c} / nullif(n_tokens, 0), 0), 6) AS {c}_ratio' for c in CATEGORIES)}, round((positive - negative) / nullif(positive + negative, 0), 6) AS tone FROM z""")
 def _(spark, d):
-    lex = spark.createDataFrame(WORDS, "word string, category string")
-    rows = L.scores(L.category_counts(table(spark, d, "documents"), lex, CATEGORIES), CATEGORIES)
+    rows = L.scores(L.category_counts(table(spark, d, "documents"), _lexicon(spark, d), CATEGORIES), CATEGORIES)
     return rows.select("doc_id", "n_tokens", *CATEGORIES, *[F.round(c, 6).alias(c) for c in rows.columns[2 + len(CATEGORIES) :]])
 
 

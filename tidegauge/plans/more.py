@@ -67,9 +67,11 @@ def _(spark, d):
     return targets.without_collisions(orders(spark, d), [lag, F.round(F.col("value") - lag, 3)], ["value_lag_1", "value_diff_1"])
 
 
-@query("d13_links_in_window", "SELECT page_id, url FROM pages WHERE length(url) > 0 AND page_id BETWEEN 10 AND 200")
+@query("d13_targets_in_window", f"SELECT o_orderkey, {DAY} AS day FROM orders WHERE {DAY} BETWEEN (SELECT CAST(min(l_shipdate) AS DATE) + 30 FROM lineitem) AND (SELECT CAST(max(l_shipdate) AS DATE) - 200 FROM lineitem)")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", "url").filter("length(url) > 0 and page_id between 10 and 200")
+    ship = F.to_date("l_shipdate")
+    window = table(spark, d, "lineitem").agg(F.date_add(F.min(ship), 30).alias("since"), F.date_sub(F.max(ship), 200).alias("until"))
+    return ingest.in_window(table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day", window)
 
 
 @query("e2_target_lags", f"WITH {CALLS} SELECT entity, event_date, {', '.join(f'lag(y_true, {h}) OVER {W} AS y_true_lag_{h}' for h in (1, 2, 3))} FROM c")
@@ -96,9 +98,9 @@ def _(spark, d):
     return c.withColumn("source", F.lit("customer")).unionByName(s.withColumn("source", F.lit("supplier"))).groupBy("source", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g4_set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20")
+@query("g4_set_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, d):
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).distinct().join(table(spark, d, "supplier").filter("s_suppkey <= 20").select(F.col("s_nationkey").alias("k")), "k", "left_anti")
+    return quality.only_in_first(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")))
 
 
 @query("g5_dedup_on_key", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) = 1")
@@ -184,7 +186,7 @@ def _(spark, d):
 @query("j15_search")
 def _(spark, d):
     candidates = {f"reg{r}": (lambda r=r: learners.model("logistic", COLUMNS, 3, regParam=r)) for r in (0.001, 0.1)}
-    return learners.search(_panel(spark, d), FOLDS[:1], "event_date", candidates, KEYS)
+    return learners.search(_panel(spark, d), FOLDS, "event_date", candidates, KEYS)
 
 
 @query("j17_soft_vote")
@@ -201,8 +203,11 @@ def _(spark, d):
 
 @query("j20_oversampled")
 def _(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 3 == 0).cast("int").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(4)])
-    return learners.oversampled(rows.filter("label = 0 or vec_id % 3 = 0"), [f"x{i}" for i in range(4)], "label", "vec_id", bucket_length=0.05).groupBy("label", "is_made").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "embeddings")
+    width = rows.agg(F.max(F.size("embedding")).alias("w")).head()["w"] or 0
+    x = [F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"x{i}") for i in range(width)]
+    rows = rows.select("vec_id", (F.col("label") % 3 == 0).cast("int").alias("label"), *x)
+    return learners.oversampled(rows, [f"x{i}" for i in range(width)], "label", "vec_id").groupBy("label", "is_made").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c13_next_event", f"SELECT o_custkey AS entity, min({DAY}) AS next_day FROM orders WHERE {DAY} > DATE '1998-01-01' GROUP BY 1")

@@ -66,10 +66,11 @@ def _(spark, d):
 
 
 @query("d10_lookup_last", """WITH k AS (SELECT l_partkey, l_suppkey, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_quantity)) AS l_quantity FROM lineitem GROUP BY 1, 2)
-    SELECT p_partkey, s_suppkey, l_quantity FROM part CROSS JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 5) LEFT JOIN k ON p_partkey = l_partkey AND s_suppkey = l_suppkey""")
+    SELECT p_partkey, s_suppkey, l_quantity FROM (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS s_suppkey FROM lineitem UNION SELECT p_partkey, CAST(0 AS BIGINT) FROM part) LEFT JOIN k ON p_partkey = l_partkey AND s_suppkey = l_suppkey""")
 def _(spark, d):
-    keys = table(spark, d, "part").select("p_partkey").crossJoin(F.broadcast(table(spark, d, "supplier").filter("s_suppkey <= 5").select("s_suppkey")))
     right = table(spark, d, "lineitem").withColumnsRenamed({"l_partkey": "p_partkey", "l_suppkey": "s_suppkey"})
+    absent = table(spark, d, "part").select("p_partkey", F.lit(0).cast("long").alias("s_suppkey"))  # no such supplier
+    keys = right.select("p_partkey", "s_suppkey").unionByName(absent).distinct()
     return asof.lookup_latest(keys, right, ["p_partkey", "s_suppkey"], "l_quantity", ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"])
 
 

@@ -220,13 +220,14 @@ def _(spark, d):
     return quality.failures(table(spark, d, "lineitem"), rules, ["l_orderkey", "l_linenumber"])
 
 
-@query("d8_reconcile_customers", """SELECT k AS c_custkey, f AS finding FROM (SELECT c_custkey AS k, 'missing' AS f FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) AND c_custkey % 5 <> 0
-    UNION ALL SELECT DISTINCT o_custkey, 'extra' FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer)
-    UNION ALL SELECT o_custkey, 'duplicate' FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey HAVING count(*) > 1)""")
+@query("d8_reconcile_customers", """SELECT k AS c_custkey, f AS finding FROM (SELECT c_custkey AS k, 'missing' AS f FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_mktsegment <> 'BUILDING'
+    UNION ALL SELECT DISTINCT o_custkey, 'extra' FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT o_custkey, 'duplicate' FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey HAVING count(*) > 1)""")
 def _(spark, d):
-    customer = table(spark, d, "customer").select("c_custkey")
-    actual = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return quality.reconciled(customer, actual, "c_custkey", customer.filter("c_custkey % 5 = 0"))
+    customers = table(spark, d, "customer")
+    customer = customers.select("c_custkey")
+    actual = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return quality.reconciled(customer, actual, "c_custkey", customers.filter("c_mktsegment = 'BUILDING'").select("c_custkey"))
 
 
 @query("d12_unmatched", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -244,11 +245,25 @@ def _(spark, d):
     return rows.select("o_custkey", *quality.staleness(rows, ["a", "b", "c"]))
 
 
-@query("a12_manifest")
+@query("a12_manifest", f"WITH {ORDERS} SELECT count(*) AS n_rows, min(event_date) AS first_day, max(event_date) AS last_day FROM o")
+def _(spark, d):
+    return quality.manifest(orders(spark, d), "event_date").select("n_rows", "first_day", "last_day")
+
+
+@query("a12_manifest_digest")
 def _(spark, d):
     return quality.manifest(orders(spark, d), "event_date")
 
 
+@query("a7_priority_dedup", """WITH x AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS day, o_totalprice AS v, 'page' AS source, 1 AS pr FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice, 'archive', 2 FROM orders WHERE o_orderstatus = 'O'
+    UNION ALL SELECT o_custkey, CAST(l_shipdate AS DATE), l_extendedprice, 'inferred', 3 FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT k, day, v, source FROM x QUALIFY row_number() OVER (PARTITION BY k, day ORDER BY pr, v DESC) = 1""")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("v"), "o_orderstatus", "o_orderkey")
+    found = {"page": o.filter("o_orderstatus = 'F'"), "archive": o.filter("o_orderstatus = 'O'")}
+    found["inferred"] = table(spark, d, "lineitem").join(o.select("k", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("k", F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("v"))
+    return quality.by_priority({name: df.select("k", "day", "v") for name, df in found.items()}, ["k", "day"], [F.desc("v")])
+
+
 @query("a6_splice_newest", """WITH x AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice AS v, 1 AS pr, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice + 1, 2, o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
     SELECT o_custkey, d, v FROM x QUALIFY row_number() OVER (PARTITION BY o_custkey, d ORDER BY pr DESC, k DESC) = 1""")
 def _(spark, d):
@@ -258,8 +273,8 @@ def _(spark, d):
 
 
 @query("f20_inventory", """SELECT n_name AS source, CAST(s_suppkey AS VARCHAR) AS series_id, count(l_orderkey) AS n_observations, max(CAST(l_shipdate AS DATE)) AS last_observation
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 49 AND l_orderkey % 50 = 0 GROUP BY 1, 2""")
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2""")
 def _(spark, d):
     registry = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("source"), F.col("s_suppkey").cast("string").alias("series_id"))
-    obs = table(spark, d, "lineitem").filter("l_quantity > 49 and l_orderkey % 50 = 0").select(F.col("l_suppkey").cast("string").alias("series_id"), F.to_date("l_shipdate").alias("observation_date"))
+    obs = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("series_id"), F.to_date("l_shipdate").alias("observation_date"))
     return quality.inventory(obs, registry)

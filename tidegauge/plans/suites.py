@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import asof, evaluate, features, learners, lexicon
 from tidegauge.operators import baselines as B
 from tidegauge.plans.base import CALLS, LABELS, ORDERS, PANEL, W, calls, orders, query, table
-from tidegauge.plans.ingestion import CATEGORIES, WORDS
+from tidegauge.plans.ingestion import _LEX, _TOKENS, _lexicon, CATEGORIES
 from tidegauge.plans.more import COLUMNS, FOLDS, KEYS, _member, _panel, _summary
 from tidegauge.sources import ingest, sinks
 
@@ -47,13 +47,16 @@ def _(spark, d):
     return evaluate.ranked(rows, ["pearson"], 2).select("feature", F.round("pearson", 5).alias("pearson"))
 
 
-@query("h7_scores_on_spine")
+@query("h7_scores_on_spine", f"""WITH {_LEX}, {_TOKENS}, k AS (SELECT doc_id, count(*) FILTER (word IN (SELECT word FROM lx WHERE category = 'positive')) AS p, count(*) FILTER (word IN (SELECT word FROM lx WHERE category = 'negative')) AS n FROM tk GROUP BY 1),
+    b AS (SELECT source AS series_id, DATE '1995-01-02' + CAST(doc_id % 1500 AS INTEGER) AS pub, CAST(sum(p) - sum(n) AS DOUBLE) / nullif(sum(p) + sum(n), 0) AS v FROM documents LEFT JOIN k USING (doc_id) GROUP BY 1, 2),
+    s AS (SELECT * FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS event_date FROM orders), (SELECT DISTINCT source AS series_id FROM documents))
+    SELECT s.series_id, event_date, v AS value, CAST(date_diff('day', pub, event_date) AS INTEGER) AS age_days, CAST(v IS NULL AS INTEGER) AS is_missing FROM s ASOF LEFT JOIN b ON s.series_id = b.series_id AND b.pub < s.event_date""")
 def _(spark, d):
-    lex = spark.createDataFrame(WORDS, "word string, category string")
     docs = table(spark, d, "documents")
-    scored = lexicon.scores(lexicon.category_counts(docs, lex, CATEGORIES), CATEGORIES).join(docs.select("doc_id", "source"), "doc_id")
-    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 1500).cast("int"))
-    obs = scored.select(F.col("source").alias("series_id"), day.alias("observation_date"), F.date_add(day, 1).alias("publication_date"), F.col("tone").alias("value"))
+    counts = lexicon.category_counts(docs.withColumn("at", F.struct("source", "doc_id")), _lexicon(spark, d), CATEGORIES, id_col="at")
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("at.doc_id") % 1500).cast("int"))
+    daily = counts.groupBy(F.col("at.source").alias("series_id"), day.alias("observation_date")).agg(*[F.sum(c).alias(c) for c in ("n_tokens", *CATEGORIES)])
+    obs = lexicon.scores(daily, CATEGORIES).select("series_id", "observation_date", F.date_add("observation_date", 1).alias("publication_date"), F.col("tone").alias("value"))
     spine = orders(spark, d).select("event_date").distinct().crossJoin(F.broadcast(docs.select(F.col("source").alias("series_id")).distinct()))
     return asof.as_of(spine, obs, ["series_id"])
 

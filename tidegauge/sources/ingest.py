@@ -57,12 +57,18 @@ def futures_curve(df: DataFrame) -> DataFrame:
     return rows.select(F.col("traded").alias("observation_date"), F.concat(F.lit("ib_"), F.date_format("contract_month", "yyyy_MM")).alias("series_id"), (100 - F.col("rate")).alias("value"))
 
 
-def to_wide(obs: DataFrame, series: list[str]) -> DataFrame:
-    """One row a day: first value of each series named, in that order, first publication, and how many series have a value."""
-    wide = obs.groupBy("observation_date").pivot("series_id", series).agg(F.first("value", ignorenulls=True))
-    first = obs.groupBy("observation_date").agg(F.min("publication_date").alias("publication_date"))
+def to_wide(obs: DataFrame, series: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row a day (and group): the value of each series named, in that order, first publication, and how many series have a value; one aggregation."""
+    by = [*(by or []), "observation_date"]
+    own = [F.max(F.when(F.col("series_id") == s, F.col("value"))).alias(s) for s in series]
+    wide = obs.groupBy(*by).agg(*own, F.min("publication_date").alias("publication_date"))
     n = sum((F.col(f"`{s}`").isNotNull().cast("int") for s in series), F.lit(0))
-    return wide.join(first, "observation_date").select("observation_date", *[F.col(f"`{s}`") for s in series], "publication_date", n.alias("n_series"))
+    return wide.select(*by, *[F.col(f"`{s}`") for s in series], "publication_date", n.alias("n_series"))
+
+
+def in_window(targets: DataFrame, at: str, window: DataFrame) -> DataFrame:
+    """The targets whose ``at`` lies between since and until (both inclusive) of the one row of ``window``; those without an ``at`` are left out."""
+    return targets.join(F.broadcast(window.select("since", "until")), F.col(at).between(F.col("since"), F.col("until"))).drop("since", "until")
 
 
 def page_text(html: Column) -> dict[str, Column]:
