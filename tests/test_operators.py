@@ -153,9 +153,11 @@ def test_first_label_wins_ties(spark):
 
 
 def test_lexicon_of_empty_text(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "Good, good bad GOOD")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "Good, good bad GOOD"), (4, "good"), (4, "bad bad"), (4, "bad")], "doc_id int, text string")
     lex = spark.createDataFrame([("good", "positive"), ("bad", "negative")], "word string, category string")
-    rows = {r.doc_id: r for r in lexicon.scores(lexicon.category_counts(docs, lex, ["positive", "negative"]), ["positive", "negative"]).collect()}
+    every = lexicon.scores(lexicon.category_counts(docs, lex, ["positive", "negative"]), ["positive", "negative"]).collect()
+    assert sorted((r.n_tokens, r.positive, r.negative) for r in every if r.doc_id == 4) == [(1, 0, 1), (1, 1, 0), (2, 0, 2)]
+    rows = {r.doc_id: r for r in every}
     assert rows[1].tone is None and rows[2].positive_per_1000 == 0 and rows[3].positive == 3 and rows[3].tone == 0.5
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import ratio
+from tidegauge.sources.sinks import workspace, write_frame
 
 #: Probabilities are clipped at the resolution of doubles.
 EPS = 2.220446049250313e-16
@@ -95,8 +96,9 @@ def associations(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, n_obs, pearson, spearman) over rows where both are known; correlations need two distinct values of each."""
     long = df.select(F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features]).unpivot("y", features, "feature", "x").filter("x is not null and y is not null")
     cells = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = write_frame(cells, workspace(df.sparkSession, "cells"))  # read several times
     for c in ("x", "y"):
-        cells = cells.join(mid_ranks(cells.groupBy("feature", F.col(c).alias("v")).agg(F.sum("n").alias("m")), features).select("feature", F.col("v").alias(c), F.col("rank").alias(f"r{c}")), ["feature", c])
+        cells = cells.join(mid_ranks(cells.groupBy("feature", F.col(c).alias("v")).agg(F.sum("n").alias("m"))).select("feature", F.col("v").alias(c), F.col("rank").alias(f"r{c}")), ["feature", c])
     total = cells.groupBy("feature").agg(F.sum("n").alias("n_obs"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mx"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("my"))
     rows = cells.join(F.broadcast(total), "feature")  # one row a feature
     middle = (F.col("n_obs") + 1) / 2
@@ -109,20 +111,18 @@ def associations(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return rows.groupBy("feature").agg(F.sum("n").alias("n_obs"), F.when(varies, pearson).alias("pearson"), F.when(varies, spearman).alias("spearman"))
 
 
-def mid_ranks(counts: DataFrame, features: list[str], ranges: int = 64) -> DataFrame:
+def mid_ranks(counts: DataFrame) -> DataFrame:
     """(feature, v, m, rank): the mean rank of each value among all of its feature, from the values' counts (feature, v, m).
 
-    Each feature's values are divided into so many ranges by approximate quantiles, whose bounds are the only thing that comes to the driver
-    (features times ranges numbers). A value's rank is the count of lower ranges and of lower values in its own, so no task sorts a whole feature.
+    The counts are written in ranges of (feature, v), with the number of their range. A value's rank is the count of lower ranges and of
+    lower values in its own, so no task sorts a whole feature, and nothing comes to the driver.
     """
-    at = [i / ranges for i in range(1, ranges)]
-    found = {r["feature"]: sorted(set(r["q"])) for r in counts.groupBy("feature").agg(F.percentile_approx("v", at).alias("q")).collect()}
-    bounds = F.create_map(*[x for f in features for x in (F.lit(f), F.array(*[F.lit(float(e)) for e in found.get(f, [])]).cast("array<double>"))])
-    own = counts.withColumn("range", F.size(F.filter(F.try_element_at(bounds, F.col("feature")), lambda e: e < F.col("v"))))
+    ranges = counts.repartitionByRange("feature", "v").withColumn("range", F.spark_partition_id())
+    own = write_frame(ranges, workspace(counts.sparkSession, "ranges"))
     sums = own.groupBy("feature", "range").agg(F.sum("m").alias("s"))
     lower = sums.select("feature", "range", (F.sum("s").over(Window.partitionBy("feature").orderBy("range")) - F.col("s")).alias("lower"))
     within = F.sum("m").over(Window.partitionBy("feature", "range").orderBy("v")) - F.col("m")
-    ranked = own.withColumn("within", within).join(F.broadcast(lower), ["feature", "range"])  # at most features times ranges rows
+    ranked = own.withColumn("within", within).join(F.broadcast(lower), ["feature", "range"])  # a row a feature and range
     return ranked.select("feature", "v", "m", (F.col("lower") + F.col("within") + (F.col("m") + 1) / 2).alias("rank"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import ratio
@@ -19,27 +19,19 @@ def compact(master: DataFrame, categories: list[str]) -> DataFrame:
     return first.unpivot("word", categories, "category", "member").filter("member <> 0").select("word", "category")
 
 
-#: A lexicon has at most so many words, as it goes to every executor in one row.
-MOST_WORDS = 200_000
-
-
 def category_counts(docs: DataFrame, lexicon: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens and a count a category for every document, those without tokens too, and once for each of rows that share an id.
 
-    The lexicon becomes one row, a map from each word to a bit a category, that is joined to every document; words are counted
-    within the row, so documents are not shuffled. A lexicon of more than MOST_WORDS words is an error.
+    The lexicon, some thousand words, is broadcast. Words are exploded, looked up and summed where their document is read, so what is
+    shuffled is one row of counts for each document; rows are numbered within this one scan.
     """
     bit = F.coalesce(*[F.when(F.col("category") == c, F.lit(1 << i)) for i, c in enumerate(categories)], F.lit(0))
-    words = lexicon.filter(F.col("word").isNotNull()).groupBy("word").agg(F.bit_or(bit).alias("bits"))
-    one = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("lexicon"), F.count(F.lit(1)).alias("n_words"))
-    bounded = F.when(F.col("n_words") <= MOST_WORDS, F.col("lexicon")).otherwise(F.raise_error(F.lit("the lexicon has too many words")).cast("map<string,int>"))
-    found = docs.select(id_col, tokens(F.col(text_col)).alias("tokens")).crossJoin(F.broadcast(one.select(bounded.alias("lexicon"))))
-    found = found.select(id_col, F.size("tokens").cast("long").alias("n_tokens"), F.transform("tokens", lambda w: F.try_element_at("lexicon", w)).alias("bits"))
-
-    def count(i: int) -> Column:
-        return F.size(F.filter("bits", lambda b: b.bitwiseAND(F.lit(1 << i)) > 0)).cast("long")
-
-    return found.select(id_col, "n_tokens", *[count(i).alias(c) for i, c in enumerate(categories)])
+    member = lexicon.groupBy(F.col("word").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
+    words = rows.select("_id", "_row", F.explode_outer(tokens(F.col("_text"))).alias("_word"))
+    found = words.join(F.broadcast(member), "_word", "left")
+    counts = [F.count(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) > 0, 1)).alias(c) for i, c in enumerate(categories)]
+    return found.groupBy("_row").agg(F.first("_id").alias(id_col), F.count("_word").alias("n_tokens"), *counts).drop("_row")
 
 
 def scores(counts: DataFrame, categories: list[str], positive: str = "positive", negative: str = "negative") -> DataFrame:
