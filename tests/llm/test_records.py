@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import json
 import re
 import urllib.parse
 
@@ -52,13 +53,66 @@ def test_tool_calls(spark):
     results = [(2, "x", "3"), (3, "x", "late"), (4, "z", None), (5, "o", "lost"), (6, None, "none")]
     c = spark.createDataFrame(calls, "conversation string, turn long, call_id string, name string, arguments string, depends_on array<string>")
     r = spark.createDataFrame(results, "turn long, call_id string, content string")
-    got = {x.call_id: x for x in tool_calls.link_tool_calls(c, r, schema).collect()}
+    every = tool_calls.link_tool_calls(c, r, schema).collect()
+    assert sorted((x.copies, x.n_results, x.turn, x.valid) for x in every if x.call_id is None) == [(0, 1, 6, None), (1, 0, 9, False)]
+    got = {x.call_id: x for x in every if x.call_id is not None}
+    assert got["x"].n_results == 2 and got["y"].n_results == 0
     assert {k: (x.level, x.status, x.valid, x.copies) for k, x in got.items()} == {"x": (0, "linked", True, 2), "y": (1, "unanswered", False, 1), "z": (2, "linked", False, 1), "p": (None, "cycle", False, 1), "q": (None, "cycle", False, 1), "o": (None, "orphan", None, 0)}
     assert got["x"].message == '{"call":{"arguments":{"a":1,"b":2},"depends_on":[],"id":"x","name":"add"},"result":{"call_id":"x","content":"3"}}'
     assert got["y"].errors == ["$.b: missing", "$.a: not of type integer", "$.c: not allowed"]
     assert tool_calls.link_tool_calls(c.limit(0), r.limit(0), schema).count() == 0
 
 
+def test_tool_calls_with_hard_arguments(spark):
+    kinds = {"t": {"properties": {"a": {"type": ["integer", "string"], "enum": [1, "\ud800"]}, "u": {"type": "odd"}, "p": {"pattern": "^x"}}}}
+    hard = {"surrogate": '{"a":"\\ud800"}', "long": '{"a":' + "9" * 400 + "}", "longer": '{"a":' + "9" * 5000 + "}", "deep": "[" * 200_000, "deeper": "[" * 5000 + "]" * 5000, "bool": '{"a":true}', "float": '{"a":1.0}', "type": '{"u":0}', "nan": "[NaN]", "text": '{"p":"' + "x" * 300_000 + '"}', "key": '{"\\udfff":1}'}
+    rows = [("c", None, k, "t", v, [None, k] if k == "type" else None, 0) for k, v in hard.items()]
+    calls = spark.createDataFrame(rows, "conversation string, turn long, call_id string, name string, arguments string, depends_on array<string>, level int")
+    got = {r.call_id: r for r in tool_calls.link_tool_calls(calls, spark.createDataFrame([], "turn long, call_id string, content string"), kinds).collect()}
+    assert {k: r.valid for k, r in got.items()} == {k: k in ("surrogate", "float", "text", "key") for k in hard}
+    assert got["surrogate"].message.startswith('{"call":{"arguments":{"a":"\\ud800"}') and got["deep"].errors == got["deeper"].errors == ["$: nested too deeply"]
+    assert got["long"].errors == ["$.a: not one of the values allowed"] and got["longer"].errors == ["$: not JSON"] and got["bool"].errors == ["$.a: not of type integer or string"]
+    assert len(got["text"].message) > 300_000 and got["type"].status == "cycle"
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_levels_are_longest_paths(spark, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(tool_calls, "MOST_LINKS", most)
+    rng = random.Random(3)
+    links = {f"n{i}": sorted({f"n{rng.randrange(i)}" for _ in range(rng.randrange(3))} if i else set()) for i in range(60)}
+    links |= {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(12 if most == 0 else 400)} | {"l": ["l"], "behind": ["l", "n1"], "p": ["q", "absent"], "q": ["p"]}
+    want: dict = {x: None for x in ("l", "behind", "p", "q")}
+    for x in [*(f"n{i}" for i in range(60)), *(x for x in links if x[0] == "c")]:
+        want[x] = max((want[y] + 1 for y in links[x]), default=0)
+    df = spark.createDataFrame(list(links.items()), "call_id string, depends_on array<string>")
+    assert {r.call_id: r.level for r in tool_calls.levels(df).collect()} == want
+
+
+def test_chats_are_brute_force_s(spark, sf):
+    """Every column of the query, from the turns by themselves."""
+    chats = {(str(r.conv_id), r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    want = {}
+
+    def told(x):
+        return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    for (conv, turn), r in chats.items():
+        if r.role in ("user", "system"):
+            text, after = r.text or "", chats.get((conv, turn + 1))
+            after = None if after is None or after.role in ("user", "system") else after
+            given = {"instructions": text} if r.role == "system" else {"prompt": text, "turn": turn, "words": len(re.findall(r"[^ \t-\r]+", text))}
+            bad = (not text) + (r.role == "user" and not 1 <= given["words"] <= 100)
+            root = chats.get((conv, 0))
+            level = int(turn > 0 and root is not None and root.role in ("user", "system"))
+            call = {"arguments": given, "depends_on": [f"call_{conv}_0"] * (turn > 0), "id": f"call_{conv}_{turn}", "name": "configure" if r.role == "system" else "reply"}
+            result = after and {"call_id": f"call_{conv}_{turn}", "content": after.text or ""}
+            want[call["id"]] = (conv, turn, call["name"], level, "linked" if after else "unanswered", 1, int(after is not None), not bad, int(bad), hashlib.sha256(told({"call": call, "result": result}).encode()).hexdigest())
+    got = {r.call_id: (r.conversation, r.turn, r.name, r.level, r.status, r.copies, r.n_results, r.valid, r.n_errors, r.message_sha256) for r in tool_calls.query(spark, sf).collect() if r.status != "orphan"}
+    assert got == want
+
+
 def test_calls_of_chats(spark, sf):
     chats = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     got = tool_calls.query(spark, sf).collect()
