@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import re
 import urllib.parse
 
@@ -45,6 +46,25 @@ def test_topk_edges(spark):
     got = sorted(map(tuple, impact_topk.top_k(df, k=2).collect()))
     assert got == [(0, 1, 1, 256 * 256 + 128 * 128), (0, 2, 2, 256 * 256 + 128 * 128), (50, 1, 4, 0), (50, 2, 0, -65536)]
     assert impact_topk.top_k(df.limit(0)).count() == 0
+    big = spark.createDataFrame([(0, [134217729 / 256, 1 / 256], 1), (1, [134217729 / 256, 1 / 256], 1), (2, [134217729 / 256, 0.0], 1), (3, [2.0**30 / 256, -(2.0**30)], 1)], df.schema)
+    assert [tuple(r)[2:] for r in impact_topk.top_k(big, k=3).collect()] == [(3, 134217729 * 2**30 - 2**38), (1, 134217729**2 + 1), (2, 134217729**2)]
+    for huge in (2.0**60, 2.0**40):
+        with pytest.raises(Exception, match="64 bits"):
+            impact_topk.top_k(spark.createDataFrame([(0, [huge], 1), (1, [huge], 1)], df.schema)).collect()
+
+
+def test_topk_is_brute_force_s_on_large_components(spark):
+    import random
+
+    rng = random.Random(8)
+    vectors = {i: [rng.choice([0.0, rng.gauss(0, 1), rng.gauss(0, 1e6)]) for _ in range(rng.randrange(1, 12))] for i in range(130)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    v = {i: [math.floor(256 * x) for x in row] for i, row in vectors.items()}
+    want = []
+    for q in (0, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=False)), i) for i in v if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, impact_topk.top_k(df).collect())) == want
 
 
 def test_tool_calls(spark):
