@@ -33,6 +33,16 @@ def test_warc_edges(spark):
     assert warc.capture_pages(df.limit(0)).count() == 0
 
 
+def test_warc_with_a_full_filter_and_small_files(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    path = f"file://{tmp_path}/warc"
+    warc.write_archive(pages, path, bytes_per_file=100_000, max_filter_bytes=1)
+    records = warc.read_archive(spark, path, with_payload=True).filter("record_type = 'response'")
+    html = {r.html or "" for r in pages.collect()}
+    assert len(list((tmp_path / "warc").glob("*.gz"))) > 5 and {bytes(r.payload).decode() for r in records.collect()} == html
+
+
 def test_topk_is_the_oracle_s(spark, sf, monkeypatch):
     monkeypatch.setattr(impact_topk, "SHARD", 64)
     monkeypatch.setattr(impact_topk, "BLOCK", 4)

@@ -41,6 +41,16 @@ def repeat_filter(hashed: DataFrame, sha: str, blocks: int, probes: int) -> Data
     return often.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bits"))
 
 
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str, max_filter_bytes: int, bits_per_key: int = 16, probes: int = 2) -> DataFrame:
+    """rows with a column maybe: false where their key is surely not in ``keys``, a written table; the filter's size is bounded, beyond it more are true."""
+    blocks = max(1, min(max_filter_bytes * 8, keys.count() * bits_per_key) // BLOCK_BITS)
+    cells = keys.select(_block(key, blocks).alias("block"), F.explode(F.array_distinct(F.array(*_positions(key, probes)))).alias("cell"))
+    found = written(cells.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bits")), "filter")
+    probed = rows.withColumn("block", _block(key, blocks)).join(F.broadcast(found), "block", "left")
+    is_set = F.coalesce(reduce(lambda a, b: a & b, (_is_set("bits", at) for at in _positions(key, probes))), F.lit(False))
+    return probed.withColumn("maybe", F.col(key).isNotNull() & is_set).drop("block", "bits")
+
+
 def _block(sha: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.col(sha)), F.lit(blocks)).cast("int")
 

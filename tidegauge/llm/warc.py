@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.llm.exact_dedup import maybe_among
 from tidegauge.llm.shared import broadcast_if_small, new_path, text_or_empty, written
 
 CRLF = "\r\n"
@@ -41,23 +42,29 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1" + CRLF), F.concat_ws("", *lines), F.lit(CRLF), block, F.lit(CRLF))
 
 
-def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", captures_per_file: int = 5000) -> None:
-    """Writes three records for every row of df.
+def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", captures_per_file: int = 5000, bytes_per_file: int = 1 << 29, max_filter_bytes: int = 64 << 20) -> None:
+    """Writes three records for every row of df, in files of at most so many captures, and fewer where the longest page could make one larger than so many bytes.
+
+    Payloads that occur once are told by a filter of bounded size and go straight to their file; only those that may be repeated are joined with
+    what they repeat.
 
     Of rows with equal payloads of at least LEAST_REVISIT bytes, the one with the largest id is the response (tied: the one that is read first), the
     others revisit it. Null html counts as empty; null urls and ids leave their headers out. df is read once.
     """
     page, body = F.col(f"`{id_col}`"), text_or_empty(f"`{html_col}`")
     rows = df.select(page.alias("page"), F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"\s", "%20").alias("url"), body.alias("html"), F.monotonically_increasing_id().alias("row"))
-    rows = written(rows, "numbered")  # for a second scan of df may be split otherwise and so number rows otherwise
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1("html"))
     rows = rows.withColumn("key", F.when(F.col("bytes") >= LEAST_REVISIT, F.sha2("html", 256)))
-    big = rows.filter("key is not null")
+    rows = written(rows, "numbered")  # for a second scan of df may be split otherwise and so number rows otherwise
+    longest = rows.agg(F.max("bytes").alias("n")).head()["n"] or 0
+    captures_per_file = max(1, min(captures_per_file, bytes_per_file // (longest + 4000)))
+    big = rows.select("row", "page", "key").filter("key is not null")
     first = F.max(F.struct("page", (-F.col("row")).alias("row"))).alias("first")
     found = written(big.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("first.page").alias("to_page"), (-F.col("first.row")).alias("to_row")), "payloads")
-    found = broadcast_if_small(found, MOST_BROADCAST)
     none = [F.lit(None).cast(kind).alias(c) for c, kind in (("to_page", df.schema[id_col].dataType), ("to_row", "long"))]
-    every = big.join(found, "key", "left").drop("key").unionByName(rows.filter("key is null").select(*[c for c in rows.columns if c != "key"], *none))
+    probed = maybe_among(rows, found.select("key"), "key", max_filter_bytes)
+    kept = [c for c in rows.columns if c != "key"]
+    every = probed.filter("maybe").join(broadcast_if_small(found, MOST_BROADCAST), "key", "left").select(*kept, "to_page", "to_row").unionByName(probed.filter("not maybe").select(*kept, *none))
     revisit = F.col("to_row").isNotNull() & (F.col("to_row") != F.col("row"))
     own = _urn("response", F.col("page"), F.col("row"))
     host, rest = (F.regexp_extract("url", r"^[a-z]+://([^/?#]*)([^#]*)", i) for i in (1, 2))
@@ -147,13 +154,15 @@ def assemble(records: DataFrame) -> DataFrame:
 def capture_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", with_payload: bool = False) -> DataFrame:
     """Writes df's pages to archives in the shared folder, reads them again, and gives one nested row for each capture, with page and refers_to of df's id type.
 
-    Repeated rows are captures of their own; an empty table gives an empty result; further columns are not read.
+    Repeated rows are captures of their own; of rows with equal payloads that tie in the largest id, the one read first is the response. Null html
+    counts as empty, null ids and urls stay null; pages are written and read whole, however long (up to Spark's 2 GB a cell). An empty table gives
+    an empty result; further columns are not read. Archives are parsed once, into a written table of records.
     """
     spark = df.sparkSession
     path = new_path(spark, "warc")
     write_archive(df, path, id_col, url_col, html_col)
     kind = df.schema[id_col].dataType
-    found = assemble(read_archive(spark, path, with_payload))
+    found = assemble(written(read_archive(spark, path, with_payload), "records"))
     noted = F.try_element_at("metadata", F.lit(1))["fields"]
     return found.select(noted["page"].cast(kind).alias("page"), noted["refers-to-page"].cast(kind).alias("refers_to"), "*")
 
