@@ -7,6 +7,7 @@ import json
 import math
 import re
 import urllib.parse
+import zlib
 
 import pytest
 
@@ -264,18 +265,67 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score_toxicity(df, labels.limit(0)).collect()} != set()
 
 
-def test_neighbours_are_exact():
+@pytest.mark.parametrize("common", [0, 7, 512])
+def test_neighbours_are_exact(monkeypatch, common):
     import numpy as np
 
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(2)
-    x = rng.random((500, 50)).astype(np.float32) * (rng.random((500, 50)) < 0.15)
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    blocks = -(-500 // toxicity.BLOCK)
-    largest = np.stack([x[i * toxicity.BLOCK : (i + 1) * toxicity.BLOCK].max(0) for i in range(blocks)], 1)
-    index = toxicity.Index(np.ascontiguousarray(x.T), largest, np.zeros(500, int), list(range(500)), 0.1)
-    best, _ = index.neighbours(x[:200], 7)
-    want = -np.sort(-(x[:200] @ x.T), axis=1)[:, :7]
-    assert np.allclose(best, want, atol=1e-5)
+    weight = rng.random(300) * np.where(rng.random(300) < 0.1, 50, 1)
+    counts = [{int(t): int(rng.integers(1, 9)) for t in rng.choice(300, rng.integers(0, 40), replace=False)} for _ in range(500)]
+    index = toxicity.build_index(counts, [i % 3 == 0 for i in range(500)], list(range(500)), weight, 0.3, 7)
+
+    def dense(row):
+        v = np.zeros(300)
+        for t, n in row.items():
+            v[t] = (1 + np.log(n)) * weight[t]
+        return v / max(np.sqrt((v * v).sum()), 1e-12)
+
+    x = np.stack([dense(counts[i]) for i in index.ids])
+    q = [counts[i] for i in range(100)] + [{int(t): 1 for t in rng.choice(300, 20)} for _ in range(100)]
+    best, who = index.neighbours(toxicity.rows_of(q, weight), 7)
+    scores = np.stack([dense(r) for r in q]) @ x.T
+    assert np.allclose(best, np.maximum(-np.sort(-scores, axis=1)[:, :7], 0), atol=1e-5)
+    assert all(abs(scores[i, j] - s) < 1e-5 for i in range(200) for s, j in zip(best[i], who[i], strict=True) if s > 0)
+
+
+def test_toxicity_is_brute_force_s(spark, sf):
+    """Every score of the query, from the learnt weights and examples by plain dictionaries over all documents; and document frequencies from all texts."""
+    import numpy as np
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    at, index = toxicity._learnt(docs, labels, "doc_id", "text", "toxic", 15, 12_000, 1024)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def found(text):
+        out = {}
+        for w in re.findall(r"[^\W_]+", text.lower()):
+            for t in {w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)}:
+                if t in at:
+                    out[at[t]] = out.get(at[t], 0) + 1
+        return out
+
+    seen: dict = {}
+    for text in texts.values():
+        for t in found(text):
+            seen[t] = seen.get(t, 0) + 1
+    ratio = index.weight / np.log((1 + len(texts)) / (1 + np.array([seen.get(i, 0) for i in range(len(at))])))
+    assert np.isfinite(ratio).all() and (ratio >= -1e-9).all()
+
+    def vector(text):
+        v = {t: (1 + math.log(n)) * index.weight[t] for t, n in found(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / norm for t, x in v.items()}
+
+    examples = [vector(texts[i]) for i in index.ids]
+    for r in toxicity.query(spark, sf).collect():
+        v = vector(texts[r.doc_id])
+        cos = sorted(((-sum(x * e.get(t, 0) for t, x in v.items()), j) for j, e in enumerate(examples)))[:15]
+        votes = [(1 / (1 + 0.05 - min(-c, 1)), index.toxic[j]) for c, j in cos if c < 0]
+        p = (sum(w * y for w, y in votes) + 0.5 * index.rate) / (sum(w for w, _ in votes) + 0.5)
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        assert abs(r.score - 1 / (1 + math.exp(-(index.curve[0] * math.log(p / (1 - p)) + index.curve[1])))) < 0.02, r.doc_id
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
 
 
 def test_secrets_in_wrapped_joined_and_escaped_layers():

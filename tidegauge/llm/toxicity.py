@@ -1,17 +1,18 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first letters of words. Those that tell toxic examples from others make the vocabulary; their document
-frequencies are counted over all documents. Labelled examples are indexed by term, in blocks of examples with the largest weight of each term
-in each block. For a document, blocks are taken by descending upper bound of the cosine, and a document is
+Terms are words and the first letters of words. All terms that two labelled texts share make the vocabulary. A term's weight is its inverse
+document frequency, counted over all documents, times the log-likelihood ratio by which it tells toxic examples from others. Labelled
+examples are indexed by term, in blocks of examples with the largest weight of each term in each block: a posting list a block for each term, and
+for the few terms with the longest lists a dense row. For a document, blocks are taken by descending upper bound of the cosine, and a document is
 done when the next bound is below its k-th best score, so its neighbours are exact. Their votes are weighted by distance; a
 logistic curve, fitted on the examples' own left-out votes, makes scores of them, and the neighbours are the evidence.
 
-What is learnt from labels is learnt from at most ``max_labelled`` labelled rows, taken in the order of a hash of the id.
+What is learnt from labels is learnt from at most ``max_labelled`` distinct labelled texts, half of them of either label, taken in the order of
+a hash of the text; at most ``max_examples`` of them, half of either label too, are indexed. Documents are scored where they are read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from tidegauge.llm.words import Remembered
 WORD = re.compile(r"[^\W_]+")
 HEADS = (4, 5)
 BLOCK = 64
+#: Documents scored at once.
+SLICE = 500
 #: Added to a neighbour's distance before it divides its vote; weight of the prior among the votes.
 NEAR, PRIOR = 0.05, 0.5
 
@@ -49,35 +52,93 @@ def term_counts(text: str, known: dict) -> Counter:
 
 
 @dataclass
-class Index:
-    """Examples by term: weights (terms x examples), the largest in each block, and what the examples are."""
+class Rows:
+    """Sparse rows: where each starts (and the last ends), and the terms and weights of all, in the order of terms."""
 
+    starts: np.ndarray
+    terms: np.ndarray
     weights: np.ndarray
+
+    def of(self, own: np.ndarray) -> Rows:
+        """Some of the rows."""
+        sizes = np.diff(self.starts)[own]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[own] - starts[:-1], sizes) + np.arange(starts[-1])
+        return Rows(starts, self.terms[at], self.weights[at])
+
+    def times(self, table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """The rows times a table by term; place: where each term stands in it, the last place for none."""
+        if not len(self.terms):
+            return np.zeros((len(self.starts) - 1, table.shape[1]), np.float32)
+        product = table[self.terms if place is None else place[self.terms]]
+        product *= self.weights[:, None]
+        out = np.add.reduceat(np.vstack([product, np.zeros((1, table.shape[1]), np.float32)]), np.minimum(self.starts[:-1], len(product)), axis=0)
+        out[np.diff(self.starts) == 0] = 0
+        return out
+
+
+def rows_of(counts: list[dict], weight: np.ndarray) -> Rows:
+    """Rows of unit length: (1 + ln count) * weight."""
+    sizes = np.array([len(x) for x in counts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    terms = np.fromiter((t for x in counts for t in x), np.int64, starts[-1])
+    n = np.fromiter((v for x in counts for v in x.values()), np.float64, starts[-1])
+    row = np.repeat(np.arange(len(counts)), sizes)
+    w = (1 + np.log(n)) * weight[terms]
+    norm = np.sqrt(np.bincount(row, w * w, len(counts)))
+    w = w / np.where(norm > 0, norm, 1)[row]
+    order = np.lexsort((terms, row))
+    return Rows(starts, terms[order], w[order].astype(np.float32))
+
+
+@dataclass
+class Index:
+    """Examples in blocks: postings by term and block, the largest weight of each term in each block, and what the examples are.
+
+    dense: the terms that have rows in ``common`` (terms x examples); place: for each block the row of a term's posting list in ``lists``, which ends
+    with a row of zeros.
+    """
+
     largest: np.ndarray
+    dense: np.ndarray
+    common: np.ndarray
+    place: list[np.ndarray]
+    lists: list[np.ndarray]
     toxic: np.ndarray
     ids: list
     rate: float
+    weight: np.ndarray
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def neighbours(self, q: np.ndarray, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def neighbours(self, q: Rows, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(scores, examples), k for each row of q, best first; leave: an example to leave out for each row. Ties go to the smaller example."""
-        best = np.zeros((len(q), k), np.float32)
-        who = np.full((len(q), k), len(self.toxic), np.int64)
-        bound = q @ self.largest
+        count = len(q.starts) - 1
+        best = np.zeros((count, k), np.float32)
+        who = np.full((count, k), len(self.toxic), np.int64)
+        if not len(self.toxic) or not count:
+            return best, who
+        row = np.repeat(np.arange(count), np.diff(q.starts))
+        at = self.dense[q.terms]
+        usual = np.zeros((count, len(self.common)), np.float32)
+        usual[row[at >= 0], at[at >= 0]] = q.weights[at >= 0]
+        sizes = np.bincount(row[at < 0], minlength=count)
+        rare = Rows(np.concatenate([[0], np.cumsum(sizes)]), q.terms[at < 0], q.weights[at < 0])
+        bound = usual @ self.largest[np.flatnonzero(self.dense >= 0)[np.argsort(self.dense[self.dense >= 0])]] + rare.times(self.largest)
         order = np.argsort(-bound, axis=1, kind="stable")
-        active = np.arange(len(q))
+        active = np.arange(count)
         for r in range(order.shape[1]):
             block = order[active, r]
-            ub = bound[active, block] * 1.00001
+            ub = bound[active, block] * 1.0001
             go = (ub > 0) & (ub >= best[active, -1])
             active, block = active[go], block[go]
             if not len(active):
                 break
             by = np.argsort(block, kind="stable")
             for own in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
-                rows, at = active[own], int(block[own[0]]) * BLOCK
-                s = q[rows] @ self.weights[:, at : at + BLOCK]
-                ids = np.broadcast_to(np.arange(at, at + s.shape[1]), s.shape)
+                rows, b = active[own], int(block[own[0]])
+                first = b * BLOCK
+                s = usual[rows] @ self.common[:, first : first + BLOCK] + rare.of(rows).times(self.lists[b], self.place[b])
+                ids = np.broadcast_to(np.arange(first, first + s.shape[1]), s.shape)
                 if leave is not None:
                     s = np.where(ids == leave[rows, None], 0, s)
                 s, ids = np.hstack([best[rows], s]), np.hstack([who[rows], ids])
@@ -121,17 +182,22 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(id, toxic) of at most ``most`` labelled rows that aren't held out. An id with two labels counts as toxic."""
+def labelled_sample(texts: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
+    """(id, hash, toxic) of at most ``most`` distinct texts with labels that aren't held out, half of either label.
+
+    An id with two labels counts as toxic, and so does a text; of rows that share a text the smallest id stands for it. Only ids and hashes are shuffled.
+    """
     usable = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isin(0, 1) & ~held_out(id_col))
     usable = usable.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("toxic"))
-    return usable.orderBy(F.xxhash64("id"), "id").limit(most)
+    own = texts.select("id", "hash").join(usable, "id").groupBy("hash").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
+    halves = [own.filter(F.col("toxic") == y).orderBy(F.xxhash64("hash"), "hash").limit(most // 2) for y in (0, 1)]
+    return halves[0].unionByName(halves[1])
 
 
-def vocabulary(texts: DataFrame, sample: DataFrame, most: int) -> tuple[list[str], float]:
-    """The terms that best tell the sample's toxic texts from the others, by log-likelihood ratio; and the share of toxic ones.
+def vocabulary(texts: DataFrame, sample: DataFrame) -> tuple[dict[str, int], np.ndarray, float]:
+    """The terms that two or more texts of the sample share, with the log-likelihood ratio by which each tells the toxic from the others; and the share of toxic ones.
 
-    A term counts once for each text, and texts in which it first stands between the same words count once, so copies don't count.
+    A term counts once for each text, and texts in which it first stands between the same words count once, so near copies don't count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,120 +212,167 @@ def vocabulary(texts: DataFrame, sample: DataFrame, most: int) -> tuple[list[str
                 seen[""] = crc32(cell.as_py().encode())
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([toxic] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "around"])
 
-    every = texts.join(F.broadcast(sample), "id").select("text", "toxic").mapInArrow(run, "term string, toxic int, around long").distinct()
-    counts = written(every.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).filter("a + b >= 3"), "terms")
-    total = counts.filter("term = ''").head()
-    if total is None or not total["a"] or not total["b"]:
-        return [], 0.1
-    pos, neg = total["a"], total["b"]
+    every = texts.join(F.broadcast(sample.select("id", "hash", "toxic")), ["id", "hash"]).select("text", "toxic").mapInArrow(run, "term string, toxic int, around long").distinct()
+    counts = every.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).filter("a + b >= 2")
+    found = counts.toPandas().sort_values("term")  # a row a term of the sample
+    total = found[found["term"] == ""]
+    if not len(total) or not total["a"].iloc[0] or not total["b"].iloc[0]:
+        return {}, np.zeros(0), 0.1
+    pos, neg = float(total["a"].iloc[0]), float(total["b"].iloc[0])
+    found = found[found["term"] != ""]
+    a, b = found["a"].to_numpy(), found["b"].to_numpy()
+
+    def part(x: np.ndarray, n: np.ndarray) -> np.ndarray:  # of one cell of the table of a term's presence
+        x = np.maximum(x, 0)
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) * (pos + neg) / np.maximum(n, 1e-300)), 0)
+
+    rest = np.maximum(pos + neg - a - b, 0)
+    ratio = 2 * (part(a, (a + b) * pos) + part(b, (a + b) * neg) + part(pos - a, rest * pos) + part(neg - b, rest * neg))
+    return {t: i for i, t in enumerate(found["term"])}, np.maximum(ratio, 0), pos / (pos + neg)
 
-    def part(x, n):  # of one cell of the table of a term's presence
-        return F.when(x > 0, x * F.log(x * (pos + neg) / n)).otherwise(0.0)
 
-    a, b = F.col("a"), F.col("b")
-    ratio = 2 * (part(a, (a + b) * pos) + part(b, (a + b) * neg) + part(pos - a, (pos + neg - a - b) * pos) + part(neg - b, (pos + neg - a - b) * neg))
-    rows = counts.filter("term <> '' and a + b < {}".format(pos + neg)).withColumn("g", ratio).filter("g >= 8").orderBy(F.desc("g"), "term").limit(most)
-    return [r["term"] for r in rows.collect()], pos / (pos + neg)
+def _remembered(at: dict[str, int]) -> Remembered:
+    return Remembered(lambda w: tuple(at[t] for t in terms(w) if t in at), 300_000)
 
 
-def vectors(texts: DataFrame, words: list[str]) -> DataFrame:
-    """(id, row, terms, counts) of every text, for the terms of the vocabulary."""
-    at = {t: i for i, t in enumerate(words)}
+def document_frequencies(texts: DataFrame, at: dict[str, int]) -> tuple[int, np.ndarray]:
+    """The number of texts, and how many of them have each term; tasks send on sums."""
+    shared = texts.sparkSession.sparkContext.broadcast(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(lambda w: tuple(at[t] for t in terms(w) if t in at), 300_000)
+        known, seen, n = _remembered(shared.value), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
-            found = [sorted(term_counts(cell.as_py(), known).items()) for cell in batch.column(1)]
-            arrays = [pa.array([[x[i] for x in row] for row in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "terms", "counts"])
-
-    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    return texts.select("id", "text").mapInArrow(run, schema)
-
-
-def dense(term_lists: list, count_lists: list, idf: np.ndarray) -> np.ndarray:
-    """Rows of unit length: (1 + ln count) * idf."""
-    out = np.zeros((len(term_lists), len(idf)), np.float32)
-    row = np.repeat(np.arange(len(term_lists)), [len(x) for x in term_lists])
-    if len(row):
-        col, n = (np.concatenate([np.asarray(x, np.int64) for x in lists]) for lists in (term_lists, count_lists))
-        out[row, col] = (1 + np.log(n)) * idf[col]
-    norm = np.sqrt((out * out).sum(1, keepdims=True))
-    return out / np.where(norm > 0, norm, 1)
-
-
-def build_index(examples: list, idf: np.ndarray, rate: float, k: int) -> Index:
-    """examples: rows of id, toxic, terms, counts."""
-    x = dense([r["terms"] for r in examples], [r["counts"] for r in examples], idf)
-    order = np.lexsort((np.arange(len(x)), x.argmax(1) if len(idf) else np.zeros(len(x)), [r["toxic"] for r in examples])) if len(x) else np.zeros(0, int)
-    x, examples = x[order], [examples[i] for i in order]
-    blocks = -(-len(x) // BLOCK)
-    largest = np.stack([x[i * BLOCK : (i + 1) * BLOCK].max(0) for i in range(blocks)], 1) if blocks else np.zeros((len(idf), 0), np.float32)
-    y = np.array([r["toxic"] for r in examples], np.int64)
-    index = Index(np.ascontiguousarray(x.T), largest, y, [r["id"] for r in examples], rate)
+            for cell in batch.column(0):
+                own = {t for w in set(WORD.findall(cell.as_py().lower())) for t in known[w]}
+                seen[np.fromiter(own, np.int64, len(own))] += 1
+            n += batch.num_rows
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], n))], names=["t", "n"])
+
+    out, total = np.zeros(len(at)), 0
+    sums = texts.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # a row a term
+    for t, n in zip(sums["t"], sums["n"], strict=True):
+        if t < 0:
+            total = int(n)
+        else:
+            out[t] = n
+    return total, out
+
+
+#: Terms with the longest posting lists, which have dense rows.
+COMMON = 512
+
+
+def build_index(examples: list[dict], toxic: list[int], ids: list, weight: np.ndarray, rate: float, k: int) -> Index:
+    """examples: the counts of each one's terms."""
+    x = rows_of(examples, weight)
+    row = np.repeat(np.arange(len(examples)), np.diff(x.starts))
+    top = np.zeros(len(examples), np.int64)
+    if len(row):  # the heaviest term of each, by which like ones are put together
+        by = np.lexsort((x.weights, row))
+        last = x.starts[1:][np.diff(x.starts) > 0] - 1
+        top[row[by][last]] = x.terms[by][last]
+    order = np.lexsort((np.arange(len(examples)), top, toxic)) if len(examples) else np.zeros(0, np.int64)
+    x, y, ids = x.of(order), np.array(toxic, np.int64)[order], [ids[i] for i in order]
+    row = np.repeat(np.arange(len(ids)), np.diff(x.starts))
+    often = np.bincount(x.terms, minlength=len(weight))
+    usual = np.sort(np.argsort(-often, kind="stable")[:COMMON])
+    dense = np.full(len(weight), -1, np.int64)
+    dense[usual] = np.arange(len(usual))
+    common = np.zeros((len(usual), len(ids)), np.float32)
+    own = dense[x.terms] >= 0
+    common[dense[x.terms[own]], row[own]] = x.weights[own]
+    blocks = -(-len(ids) // BLOCK)
+    largest = np.zeros((len(weight), blocks), np.float32)
+    np.maximum.at(largest, (x.terms, row // BLOCK), x.weights)
+    place, lists = [], []
+    for b in range(blocks):
+        here = ~own & (row // BLOCK == b)
+        named, at = np.unique(x.terms[here], return_inverse=True)
+        where = np.full(len(weight), len(named), np.int32)
+        where[named] = np.arange(len(named))
+        table = np.zeros((len(named) + 1, min(BLOCK, len(ids) - b * BLOCK)), np.float32)
+        table[at, row[here] - b * BLOCK] = x.weights[here]
+        place.append(where)
+        lists.append(table)
+    index = Index(largest, dense, common, place, lists, y, ids, rate, weight)
     if 0 < y.sum() < len(y):
-        votes = index.votes(*index.neighbours(x, k, np.arange(len(x))))
-        weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
-        index.curve = fitted(_logit(votes), y, weight)
+        votes = index.votes(*index.neighbours(x, k, np.arange(len(y))))
+        share = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
+        index.curve = fitted(_logit(votes), y, share)
     return index
 
 
-def _learnt(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int, max_labelled: int, max_examples: int, max_terms: int) -> tuple[DataFrame, list[str], Index, np.ndarray]:
-    """The vectors of all texts, the vocabulary, the index of examples and the weights of the terms."""
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
-    sample = written(labelled_sample(labels, id_col, label_col, max_labelled), "sample")
-    words, rate = vocabulary(texts, sample, max_terms)
-    rows = written(vectors(texts, words), "vectors")
-    n = rows.count()
-    seen = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a term
-    idf = np.array([math.log((1 + n) / (1 + seen.get(i, 0))) for i in range(len(words))])
-    own = rows.join(F.broadcast(sample), "id").dropDuplicates(["id"])
-    halves = [own.filter(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(max_examples // 2) for y in (0, 1)]
-    return rows, words, build_index(halves[0].unionByName(halves[1]).collect(), idf, rate, k), idf
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
+
+
+def _learnt(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int, max_labelled: int, max_examples: int) -> tuple[dict[str, int], Index]:
+    """The vocabulary and the index of examples."""
+    texts = _texts(df, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    sample = written(labelled_sample(texts, labels, id_col, label_col, max_labelled), "sample")
+    at, ratio, rate = vocabulary(texts, sample)
+    n, seen = document_frequencies(texts, at)
+    weight = np.log((1 + n) / (1 + seen)) * ratio
+    halves = [sample.filter(F.col("toxic") == y).orderBy(F.xxhash64("hash", F.lit(1)), "hash").limit(max_examples // 2) for y in (0, 1)]
+    own = texts.join(F.broadcast(halves[0].unionByName(halves[1])), ["id", "hash"])
+    shared = df.sparkSession.sparkContext.broadcast(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _remembered(shared.value)
+        for batch in batches:
+            found = [sorted(term_counts(cell.as_py(), known).items()) for cell in batch.column(3)]
+            arrays = [pa.array([[x[i] for x in row] for row in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=["id", "hash", "toxic", "terms", "counts"])
+
+    schema = T.StructType([texts.schema["id"], T.StructField("hash", T.LongType()), T.StructField("toxic", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("terms", "counts"))])
+    rows = own.select("id", "hash", "toxic", "text").mapInArrow(run, schema).collect()  # at most max_examples, and their copies
+    rows = list({r["hash"]: r for r in sorted(rows, key=lambda r: (r["hash"], r["terms"], r["counts"]))}.values())
+    return at, build_index([dict(zip(r["terms"], r["counts"], strict=True)) for r in rows], [r["toxic"] for r in rows], [r["id"] for r in rows], weight, rate, k)
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 4096, max_terms: int = 1024, evidence: int = 3) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 1024, evidence: int = 3) -> DataFrame:
     """id, held_out, score, predicted and evidence (id, similarity and label of the nearest examples) of every row of df.
 
     Only labels of rows that aren't held out are learnt from; scores depend on texts alone. Null and empty texts, and texts
     without any term of the vocabulary, get the score of no neighbours, which is low where toxic texts are few. Without labels of both kinds that
-    score is 0.1 for all. Repeated rows are scored alike, null ids are not held out, further columns are not read, and
-    an empty table gives an empty result.
+    score is 0.1 for all. Repeated rows, and texts that share an id, are scored each by its own text; ties among neighbours go to the example that comes
+    first in the index. Null ids are not held out, very long texts are read whole, further columns are not read, and an empty table gives an
+    empty result.
     """
-    rows, words, index, idf = _learnt(df, labels, id_col, text_col, label_col, k, max_labelled, max_examples, max_terms)
-    shared = df.sparkSession.sparkContext.broadcast((index, idf))
+    at, index = _learnt(df, labels, id_col, text_col, label_col, k, max_labelled, max_examples)
+    shared = df.sparkSession.sparkContext.broadcast((at, index))
     id_kind = df.schema[id_col].dataType
     proof = T.ArrayType(T.StructType([T.StructField("id", id_kind), T.StructField("similarity", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
     schema = T.StructType([T.StructField(id_col, id_kind), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", proof)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf = shared.value
-        for batch in in_slices(batches):
-            q = dense(batch.column(1).to_pylist(), batch.column(2).to_pylist(), idf)
-            best, who = index.neighbours(q, k)
+        at, index = shared.value
+        known = _remembered(at)
+        for batch in in_slices(batches, SLICE):
+            best, who = index.neighbours(rows_of([term_counts(cell.as_py(), known) for cell in batch.column(1)], index.weight), k)
             score = index.score(index.votes(best, who))
             why = [[{"id": index.ids[j], "similarity": float(s), "toxic": int(index.toxic[j])} for s, j in zip(b, w, strict=True) if s > 0] for b, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist(), strict=True)]
             kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(why, kind)], names=schema.names)
 
-    out = rows.mapInArrow(run, schema)
+    out = _texts(df, id_col, text_col).mapInArrow(run, schema)
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted", "evidence")
 
 
-def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 4096, max_terms: int = 1024) -> DataFrame:
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 1024) -> DataFrame:
     """The rows of df, with all columns, that :func:`score_toxicity` would not predict to be toxic; texts are read where they are, nothing is shuffled."""
-    _, words, index, idf = _learnt(df, labels, id_col, text_col, label_col, k, max_labelled, max_examples, max_terms)
-    shared = df.sparkSession.sparkContext.broadcast((words, index, idf))
-    at = df.columns.index(text_col)
+    at, index = _learnt(df, labels, id_col, text_col, label_col, k, max_labelled, max_examples)
+    shared = df.sparkSession.sparkContext.broadcast((at, index))
+    column = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, index, idf = shared.value
-        places = {t: i for i, t in enumerate(words)}
-        known = Remembered(lambda w: tuple(places[t] for t in terms(w) if t in places), 300_000)
-        for batch in in_slices(batches):
-            found = [sorted(term_counts(cell.as_py() or "", known).items()) for cell in batch.column(at)]
-            q = dense([[x[0] for x in row] for row in found], [[x[1] for x in row] for row in found], idf)
-            yield batch.filter(pa.array(index.score(index.votes(*index.neighbours(q, k))) < 0.5))
+        at, index = shared.value
+        known = _remembered(at)
+        for batch in in_slices(batches, SLICE):
+            counts = [term_counts(cell.as_py() or "", known) for cell in batch.column(column)]
+            score = index.score(index.votes(*index.neighbours(rows_of(counts, index.weight), k)))
+            yield batch.filter(pa.array(score < 0.5))
 
     return df.mapInArrow(run, df.schema)
 
