@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def weighted_choice(proba: dict[str, Column], weights: dict[str, float]) -> Colu
 
 
 def tuned_weights(df: DataFrame, proba: dict[str, str], grid: list[float]) -> DataFrame:
-    """(weights..., accuracy), best first: every point of a grid of weights is scored in one aggregation. The grid is a short list."""
+    """(weights..., accuracy, balanced_accuracy, macro_f1): every point of a grid of weights is scored from one table of counts. The grid is a short list."""
     labels = sorted(proba)
     points = [()]
     for _ in labels[1:]:
@@ -98,7 +100,22 @@ def tuned_weights(df: DataFrame, proba: dict[str, str], grid: list[float]) -> Da
     table = spark.createDataFrame([(1.0, *x) for x in points], ", ".join(f"w_{x} double" for x in labels))
     rows = df.crossJoin(F.broadcast(table))
     pick = first_best({x: F.col(proba[x]) * F.col(f"w_{x}") for x in labels})
-    return rows.groupBy(*table.columns).agg(F.avg((pick == F.col("y_true")).cast("double")).alias("accuracy"))
+    cells = rows.groupBy(*table.columns, "y_true", pick.alias("_pick")).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda x, t, p: F.sum(F.when(((F.col("y_true") == x) == t) & ((F.col("_pick") == x) == p), F.col("n")).otherwise(0))
+    tp, fn, fp = ({x: of(x, *how) for x in labels} for how in ((True, True), (True, False), (False, True)))
+    recalls = F.array_compact(F.array(*[F.try_divide(tp[x], tp[x] + fn[x]) for x in labels]))
+    f1 = sum((F.coalesce(F.try_divide(2.0 * tp[x], 2 * tp[x] + fp[x] + fn[x]), F.lit(0.0)) for x in labels), F.lit(0.0)) / len(labels)
+    hit = F.sum(F.when(F.col("y_true") == F.col("_pick"), F.col("n")).otherwise(0)) / F.sum("n")
+    mean = F.aggregate(recalls, F.lit(0.0), lambda s, v: s + v) / F.size(recalls)
+    return cells.groupBy(*table.columns).agg(hit.alias("accuracy"), mean.alias("balanced_accuracy"), f1.alias("macro_f1"))
+
+
+def best_weights(table: DataFrame, by: str, labels: list[str]) -> dict[str, float]:
+    """The weights of the best point of :func:`tuned_weights` by a score, ties to the first in the grid's order, scaled to a geometric mean of 1."""
+    row = table.orderBy(F.desc(F.round(by, 9)), *[f"w_{x}" for x in labels]).head()
+    own = {x: row[f"w_{x}"] for x in labels}
+    mean = math.exp(sum(math.log(w) for w in own.values()) / len(own))
+    return {x: w / mean for x, w in own.items()}
 
 
 def voted(members_: DataFrame, key: list[str], weight: str | None = None) -> DataFrame:

@@ -93,25 +93,29 @@ def labour_release(period_end: Column) -> Column:
 
 
 def published_by_rule(obs: DataFrame, rules: DataFrame, calendar: DataFrame, flat_days: int = 20) -> DataFrame:
-    """obs with publication_date by its series' rule: same_day, next_working_day or flat_days. A series without a rule is an error of the row: null."""
+    """obs with publication_date by its series' rule: same_day, next_working_day or flat_days. A series without a rule, or with one that isn't known, is an error; so is a day beyond the calendar where the rule needs it."""
     joined = obs.join(F.broadcast(rules), "series_id", "left").join(calendar.select(F.col("d").alias("observation_date"), "next_working_day"), "observation_date", "left")
     day = F.when(F.col("rule") == "same_day", F.col("observation_date")).when(F.col("rule") == "next_working_day", F.col("next_working_day")).when(F.col("rule") == "flat_days", F.date_add("observation_date", flat_days))
-    return joined.select(*obs.columns, day.alias("publication_date"))
+    unknown = F.raise_error(F.concat(F.lit("no publication rule for series "), F.coalesce(F.col("series_id").cast("string"), F.lit("null")))).cast("date")
+    return joined.select(*obs.columns, F.coalesce(day, unknown).alias("publication_date"))
 
 
 def attach_publication(obs: DataFrame, calendar: DataFrame, fallback_days: int | None, floor=None, fill_before_floor: bool = True) -> DataFrame:
     """obs with publication_date from a calendar (observation_date, publication_date); where that has none, so many days later.
 
-    floor: observations before it are filled only if fill_before_floor, and from it on only if not (then they stay null as unmatched).
+    floor: observations before it are filled only if fill_before_floor, and from it on only if not. Those that are neither in the calendar nor
+    filled are an error. A day that the calendar has several times gets its first publication.
     """
-    joined = obs.join(calendar, "observation_date", "left")
+    first = calendar.groupBy("observation_date").agg(F.min("publication_date").alias("publication_date"))
+    joined = obs.join(first, "observation_date", "left")
+    lost = F.raise_error(F.concat(F.lit("no publication for "), F.coalesce(F.col("observation_date").cast("string"), F.lit("a null day")))).cast("date")
     if fallback_days is None:
-        return joined
+        return joined.withColumn("publication_date", F.coalesce("publication_date", lost))
     fill = F.date_add("observation_date", fallback_days)
     if floor is not None:
         before = F.col("observation_date") < F.lit(floor).cast("date")
         fill = F.when(before if fill_before_floor else ~before, fill)
-    return joined.withColumn("publication_date", F.coalesce("publication_date", fill))
+    return joined.withColumn("publication_date", F.coalesce("publication_date", fill, lost))
 
 
 def with_overrides(calendar: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:

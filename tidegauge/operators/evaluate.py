@@ -79,6 +79,17 @@ def reliability(df: DataFrame, p: str, hit: str, edges: list[float]) -> DataFram
     return bins.join(stats, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), "mean_pred", "observed")
 
 
+def quantile_edges(df: DataFrame, p: str, bins: int) -> list[float]:
+    """Edges of so many bins of equal counts, by interpolated quantiles; equal edges collapse, so there may be fewer bins. The first is 0 and the last 1."""
+    row = df.agg(F.percentile(p, [i / bins for i in range(1, bins)]).alias("q")).head()
+    return sorted({0.0, 1.0, *(min(max(x, 0.0), 1.0) for x in row["q"] or [])})
+
+
+def leaderboard(table: DataFrame, by: list[str]) -> DataFrame:
+    """A table of models (few rows) with their place by these scores, largest first, nulls last, then by name."""
+    return table.withColumn("place", F.row_number().over(Window.orderBy(*[F.desc_nulls_last(c) for c in by], "model")))
+
+
 def calibration_errors(table: DataFrame) -> DataFrame:
     """ece and mce of a reliability table."""
     gap = F.abs(F.col("mean_pred") - F.col("observed"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.scalars import ratio
 
@@ -152,3 +155,11 @@ def build(df: DataFrame, p: Panel, columns: list[str], config: dict[str, dict |
         raise ValueError(f"not known: {sorted(unknown)}")
     new = [c for name, settings in config.items() if settings is not None for c in GROUPS[name](p, columns, **settings)]
     return df.select("*", *new)
+
+
+def eligible(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that df has as numbers; a warning names the others, which features then leave out."""
+    numbers = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    if left := [c for c in columns if c not in numbers]:
+        warnings.warn(f"no features of {left}: not there, or not numbers", stacklevel=2)
+    return [c for c in columns if c in numbers]

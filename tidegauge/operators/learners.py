@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Callable, Iterable
 
@@ -12,6 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.baselines import best_weights, tuned_weights, weighted_choice
+from tidegauge.operators.evaluate import log_loss
+
 SEED = 12
 
 
@@ -35,25 +39,70 @@ def predicted(fitted: PipelineModel, test: DataFrame, keys: list[str]) -> DataFr
     return out.select(*keys, F.col("label").cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"), proba.alias("proba"))
 
 
-def walk_forward(df: DataFrame, folds: Iterable[tuple], at: str, build: Callable[[], Pipeline], keys: list[str]) -> DataFrame:
-    """Predictions of every fold, each by a fresh fit on rows before it; folds: (start, end) of ``at``, end exclusive."""
+def walk_forward(df: DataFrame, folds: Iterable[tuple], at: str, build: Callable[..., Pipeline], keys: list[str], choose: Callable[[DataFrame], list[str]] | None = None) -> DataFrame:
+    """Predictions of every fold, each by a fresh fit on rows before it; folds: (start, end) of ``at``, end exclusive.
+
+    choose: selects features on the fold's own training rows, and build takes them.
+    """
     out = None
     for k, (start, end) in enumerate(folds):
-        fitted = build().fit(df.filter(F.col(at) < F.lit(start)))
+        train = df.filter(F.col(at) < F.lit(start))
+        fitted = build(*([choose(train)] if choose else [])).fit(train)
         own = predicted(fitted, df.filter((F.col(at) >= F.lit(start)) & (F.col(at) < F.lit(end))), keys).withColumn("fold", F.lit(k))
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def holdout_folds(df: DataFrame, at: str, since, months: int) -> list[tuple]:
+    """(start, end) from a day on to the last row's, so many months each: a fresh fit for each on all rows before it. As few as the held-out span has periods."""
+    last = df.agg(F.max(at).alias("d")).head()["d"]
+    out, start = [], since
+    while last is not None and start <= last:
+        month = start.month - 1 + months
+        end = start.replace(year=start.year + month // 12, month=month % 12 + 1)
+        out.append((start, end))
+        start = end
+    return out
+
+
+def grid(kind: str, features: list[str], n_classes: int, params: dict[str, list]) -> dict[str, Callable[[], Pipeline]]:
+    """Candidates of a learner by the names of their parameters' values."""
+    names = sorted(params)
+    points = list(itertools.product(*(params[x] for x in names)))
+    return {",".join([kind, *(f"{x}={v}" for x, v in zip(names, p, strict=True))]): (lambda p=p: model(kind, features, n_classes, **dict(zip(names, p, strict=True)))) for p in points}
+
+
+def campaign(df: DataFrame, folds: list[tuple], at: str, members: dict[str, dict[str, Callable[[], Pipeline]]], keys: list[str], labels: list[str], steps: list[float]) -> DataFrame:
+    """(model, candidate, fold, keys, y_true, y_pred, weighted, proba): every model tuned by log-loss over the folds, its best candidate's out-of-fold
+    probabilities, and the labels chosen with class weights that are tuned on them by balanced accuracy.
+
+    members: the candidates of each model. Labels are in the order of their numbers, and sorted.
+    """
+    out = None
+    for name, candidates in members.items():
+        best = search(df, folds, at, candidates, keys).head()["candidate"]
+        own = walk_forward(df, folds, at, candidates[best], keys)
+        named = F.array(*map(F.lit, labels))
+        wide = own.select(*keys, "fold", "proba", F.get(named, F.col("label").cast("int")).alias("y_true"), F.get(named, F.col("prediction").cast("int")).alias("y_pred"), *[F.get("proba", F.lit(i)).alias(f"p_{x}") for i, x in enumerate(labels)])
+        proba = {x: f"p_{x}" for x in labels}
+        weights = best_weights(tuned_weights(wide, proba, steps), "balanced_accuracy", labels)
+        wide = wide.withColumn("weighted", weighted_choice({x: F.col(c) for x, c in proba.items()}, weights))
+        wide = wide.select(F.lit(name).alias("model"), F.lit(best).alias("candidate"), "fold", *keys, "y_true", "y_pred", "weighted", "proba")
+        out = wide if out is None else out.unionByName(wide)
+    return out
+
+
 def search(df: DataFrame, folds: list[tuple], at: str, candidates: dict[str, Callable[[], Pipeline]], keys: list[str]) -> DataFrame:
-    """(candidate, accuracy, balanced_accuracy), best first by the latter: out-of-fold scores of a grid or a sample of parameters, in one aggregation."""
+    """(candidate, accuracy, balanced_accuracy, log_loss), best first: by log-loss (the mean over folds; last where a learner has no probabilities), then
+    balanced accuracy. Out-of-fold scores of a grid or a sample of parameters."""
     out = None
     for name, build in candidates.items():
         own = walk_forward(df, folds, at, build, keys).withColumn("candidate", F.lit(name))
         out = own if out is None else out.unionByName(own)
     recall = out.groupBy("candidate", "label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))
     table = recall.groupBy("candidate").agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("accuracy"), F.avg("r").alias("balanced_accuracy"))
-    return table.orderBy(F.desc("balanced_accuracy"), "candidate")
+    loss = out.groupBy("candidate", "fold").agg(log_loss(F.get("proba", F.col("label").cast("int"))).alias("l")).groupBy("candidate").agg(F.avg("l").alias("log_loss"))
+    return table.join(F.broadcast(loss), "candidate").orderBy(F.asc_nulls_last("log_loss"), F.desc("balanced_accuracy"), "candidate")
 
 
 def aligned(proba: str, labels: list, every: list):

@@ -73,3 +73,8 @@ def by_priority(sources: dict[str, DataFrame], keys: list[str], then: list) -> D
 def only_in_first(first: DataFrame, second: DataFrame) -> DataFrame:
     """The distinct rows of the first that aren't in the second."""
     return first.subtract(second)
+
+
+def in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df sorted by its keys, rows that tie in the order they are read: a sort over ranges of the keys, not in one task."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).orderBy(*keys, "_at").drop("_at")

@@ -90,11 +90,11 @@ def _(spark, d):
 
 
 @query("c9_rule_by_series", f"""WITH {_HOLIDAYS.replace('1992', '2020').replace('2003', '2031').replace('2002', '2030').replace('(12, 25)', '(12, 25), (6, 19)').replace('AS d FROM fixed', 'AS d FROM fixed WHERE NOT (month(d) = 6 AND year(d) < 2021)')}, {EVENTS}
-    SELECT entity, series_id, observation_date, value, CASE series_id WHEN 'click' THEN observation_date WHEN 'view' THEN (SELECT min(d) FROM w WHERE d > observation_date) WHEN 'purchase' THEN observation_date + 20 END AS publication_date FROM l""")
+    SELECT entity, series_id, observation_date, value, CASE series_id WHEN 'click' THEN observation_date WHEN 'view' THEN (SELECT min(d) FROM w WHERE d > observation_date) ELSE observation_date + 20 END AS publication_date FROM l""")
 def _(spark, d):
     calendar = C.days(spark, "2020-01-01", "2030-12-31")
     working = C.working_days(calendar, C.us_federal_holidays(spark, 2020, 2030))
-    rules = spark.createDataFrame([("click", "same_day"), ("view", "next_working_day"), ("purchase", "flat_days")], "series_id string, rule string")
+    rules = spark.createDataFrame([("click", "same_day"), ("view", "next_working_day"), *((x, "flat_days") for x in ("error", "purchase", "signup"))], "series_id string, rule string")
     return C.published_by_rule(events(spark, d).drop("publication_date"), rules, F.broadcast(C.next_working_day(calendar, working)))
 
 

@@ -74,6 +74,12 @@ def _(spark, d):
     return ingest.in_window(table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day", window)
 
 
+@query("b12_eligible_columns", f"WITH {ORDERS} SELECT entity, event_date, lag(value) OVER {W} AS value_lag_1 FROM o")
+def _(spark, d):
+    rows = orders(spark, d)
+    return rows.select("entity", "event_date", *features.lags(PANEL, features.eligible(rows, ["value", "event_date", "absent"]), (1,)))
+
+
 @query("e2_target_lags", f"WITH {CALLS} SELECT entity, event_date, {', '.join(f'lag(y_true, {h}) OVER {W} AS y_true_lag_{h}' for h in (1, 2, 3))} FROM c")
 def _(spark, d):
     return calls(spark, d).select("entity", "event_date", *features.lags(PANEL, ["y_true"], (1, 2, 3)))
@@ -157,7 +163,8 @@ def _panel(spark, d):
     rows = calls(spark, d)
     own = [*features.lags(PANEL, ["value"], (1, 2)), F.lag("p").over(PANEL.window).alias("p_lag_1"), F.date_diff("event_date", F.lag("event_date").over(PANEL.window)).cast("double").alias("gap")]
     label = sum((F.when(F.col("y_true") == x, float(i)).otherwise(0.0) for i, x in enumerate(LABELS)), F.lit(0.0))
-    return rows.select("entity", "event_date", label.alias("label"), *own).filter("value_lag_1 is not null")
+    panel = rows.select("entity", "event_date", label.alias("label"), *own).filter("value_lag_1 is not null")
+    return sinks.write_frame(panel, sinks.workspace(spark, "panel"))  # once, for all folds and candidates
 
 
 COLUMNS = ["value_lag_1", "value_lag_2", "p_lag_1", "gap"]
@@ -183,6 +190,21 @@ def _(spark, d):
     return _summary(_member(spark, d, "forest"), "fold")
 
 
+@query("j9_lasso")
+def _(spark, d):
+    return _summary(_member(spark, d, "logistic", elasticNetParam=1.0), "fold")
+
+
+@query("j9_boosted")
+def _(spark, d):
+    return _summary(_member(spark, d, "boosted", maxIter=3, maxDepth=2), "fold")
+
+
+@query("j9_perceptron")
+def _(spark, d):
+    return _summary(_member(spark, d, "perceptron", maxIter=15), "fold")
+
+
 @query("j15_search")
 def _(spark, d):
     candidates = {f"reg{r}": (lambda r=r: learners.model("logistic", COLUMNS, 3, regParam=r)) for r in (0.001, 0.1)}

@@ -194,7 +194,30 @@ _GRID = [0.5, 1.0, 2.0]
     SELECT 1.0 AS w_cut, w_hike, w_hold, round(avg(CAST(y_true = CASE WHEN c1 >= c2 AND c1 >= c3 THEN 'cut' WHEN c2 >= c3 THEN 'hike' ELSE 'hold' END AS DOUBLE)), 6) AS accuracy FROM q GROUP BY 2, 3""")
 def _(spark, d):
     rows = calls(spark, d).select("y_true", (F.col("p") * 0.4).alias("pc"), (F.col("p") * 0.6).alias("ph"), (1 - F.col("p")).alias("po"))
-    return B.tuned_weights(rows, {"cut": "pc", "hike": "ph", "hold": "po"}, _GRID).withColumn("accuracy", F.round("accuracy", 6))
+    return B.tuned_weights(rows, {"cut": "pc", "hike": "ph", "hold": "po"}, _GRID).select("w_cut", "w_hike", "w_hold", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("j14_tuned_scores", f"""WITH {CALLS}, g AS (SELECT a AS w_hike, b AS w_hold FROM (SELECT unnest([0.5, 1.0, 2.0]) AS a), (SELECT unnest([0.5, 1.0, 2.0]) AS b)),
+    q AS (SELECT y_true, w_hike, w_hold, p * 0.4 AS c1, p * 0.6 * w_hike AS c2, (1 - p) * w_hold AS c3 FROM c, g), y AS (SELECT y_true, w_hike, w_hold, CASE WHEN c1 >= c2 AND c1 >= c3 THEN 'cut' WHEN c2 >= c3 THEN 'hike' ELSE 'hold' END AS y FROM q),
+    k AS (SELECT w_hike, w_hold, label, count(*) FILTER (y_true = label AND y = label) AS tp, count(*) FILTER (y_true <> label AND y = label) AS fp, count(*) FILTER (y_true = label AND y <> label) AS fn FROM y, (SELECT unnest(['cut', 'hike', 'hold']) AS label) GROUP BY 1, 2, 3)
+    SELECT 1.0 AS w_cut, w_hike, w_hold, round(avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END), 6) AS balanced_accuracy, round(sum(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) / 3, 6) AS macro_f1 FROM k GROUP BY 2, 3""")
+def _(spark, d):
+    rows = calls(spark, d).select("y_true", (F.col("p") * 0.4).alias("pc"), (F.col("p") * 0.6).alias("ph"), (1 - F.col("p")).alias("po"))
+    found = B.tuned_weights(rows, {"cut": "pc", "hike": "ph", "hold": "po"}, _GRID)
+    return found.select("w_cut", "w_hike", "w_hold", F.round("balanced_accuracy", 6).alias("balanced_accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("f11_quantile_bins", f"""WITH {CALLS}, q AS (SELECT list_sort(list_distinct(list_concat([0.0, 1.0], quantile_cont(p, [0.2, 0.4, 0.6, 0.8])))) AS e FROM c), e AS (SELECT CAST(i AS INTEGER) AS bin, e[i + 1] AS low, e[i + 2] AS high FROM (SELECT e, unnest(range(len(e) - 1)) AS i FROM q))
+    SELECT bin, count(p) AS n, round(avg(p), 6) AS mean_pred, round(avg(CAST(y_true = 'hold' AS DOUBLE)) FILTER (p IS NOT NULL), 6) AS observed FROM e LEFT JOIN c ON p >= low AND (p < high OR high = 1.0) GROUP BY 1""")
+def _(spark, d):
+    rows = calls(spark, d).withColumn("hit", (F.col("y_true") == "hold").cast("int"))
+    found = E.reliability(rows, "p", "hit", E.quantile_edges(rows, "p", 5))
+    return found.select("bin", "n", F.round("mean_pred", 6).alias("mean_pred"), F.round("observed", 6).alias("observed"))
+
+
+@query("g1_stable_sort", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem")
+def _(spark, d):
+    return quality.in_order(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_shipdate"])
 
 
 @query("j17_hard_vote", f"""WITH {CALLS}, v AS (SELECT entity, event_date, y_pred AS y, 2.0 AS w FROM c UNION ALL SELECT entity, event_date, y_market, 1.5 FROM c WHERE y_market IS NOT NULL UNION ALL SELECT entity, event_date, 'hold', 1.0 FROM c),

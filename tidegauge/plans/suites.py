@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -81,11 +83,28 @@ def _(spark, d):
     return rows.select("entity", "event_date", wide.alias("w")).select("entity", "event_date", *[F.round(F.get("w", F.lit(i)), 6).alias(x) for i, x in enumerate(LABELS)])
 
 
-@query("j19_selected_features")
+@query("j11_holdout_refits")
 def _(spark, d):
     rows = _panel(spark, d)
-    own = learners.selected(rows.filter(F.col("event_date") < F.lit(FOLDS[0][0])), COLUMNS, "label", 2)
-    return _summary(learners.walk_forward(rows, FOLDS[:1], "event_date", lambda: learners.model("logistic", own, 3), KEYS), "fold")
+    folds = learners.holdout_folds(rows, "event_date", dt.date(1999, 1, 1), 12)
+    return _summary(learners.walk_forward(rows, folds, "event_date", lambda: learners.model("logistic", COLUMNS, 3), KEYS), "fold")
+
+
+@query("j19_selected_features")
+def _(spark, d):
+    def build(own):
+        return learners.model("logistic", own, 3)
+
+    return _summary(learners.walk_forward(_panel(spark, d), FOLDS, "event_date", build, KEYS, choose=lambda train: learners.selected(train, COLUMNS, "label", 2)), "fold")
+
+
+@query("f23_leaderboard_by_recall", f"""WITH {CALLS}, m AS (SELECT 'persistence' AS model, y_true, y_pred AS y, y_market FROM c UNION ALL SELECT 'market', y_true, y_market, y_market FROM c WHERE y_market IS NOT NULL UNION ALL SELECT 'hold', y_true, 'hold', y_market FROM c),
+    k AS (SELECT model, label, count(*) FILTER (y_true = label AND y = label) AS tp, count(*) FILTER (y_true = label AND y <> label) AS fn FROM m, (SELECT unnest(['cut', 'hike', 'hold']) AS label) GROUP BY 1, 2), z AS (SELECT model, avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END) AS b FROM k GROUP BY 1)
+    SELECT model, round(b, 6) AS balanced_accuracy, round(avg(CAST(y_true = y AS DOUBLE)) FILTER (y_market IS NOT NULL) - avg(CAST(y_true = y_market AS DOUBLE)) FILTER (y_market IS NOT NULL), 6) AS lift, CAST(row_number() OVER (ORDER BY b DESC, model) AS INTEGER) AS place FROM m JOIN z USING (model) GROUP BY model, b""")
+def _(spark, d):
+    rows = calls(spark, d).withColumn("persisted", F.col("y_pred")).withColumn("hold", F.lit("hold"))
+    found = evaluate.leaderboard(evaluate.suite(rows, {"persistence": "persisted", "market": "y_market", "hold": "hold"}, LABELS, "y_market"), ["balanced_accuracy"])
+    return found.select("model", F.round("balanced_accuracy", 6).alias("balanced_accuracy"), F.round("lift", 6).alias("lift"), "place")
 
 
 @query("j21_suite", f"""WITH {CALLS}, m AS (SELECT 'persistence' AS model, y_true, y_pred AS y, y_market FROM c UNION ALL SELECT 'market', y_true, y_market, y_market FROM c WHERE y_market IS NOT NULL),
@@ -97,27 +116,53 @@ def _(spark, d):
     return rows.select("model", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "lift")])
 
 
+NEXT = "2030-01-15"
+
+
+def _next_events(spark, d):
+    """Each customer's next event: the previous level, the days since, and the latest published order total with its age, as of that day."""
+    panel = orders(spark, d).select("entity", "event_date", "value")
+    future = features.append_future(panel, PANEL, "event_date", "value", NEXT).filter(F.col("event_date") == NEXT)
+    obs = panel.select("entity", F.lit("total").alias("series_id"), F.col("event_date").alias("observation_date"), F.date_add("event_date", 30).alias("publication_date"), "value")
+    seen = asof.as_of(future.select("entity", "event_date"), obs, ["entity"]).withColumnsRenamed({"value": "published", "age_days": "published_age"}).drop("is_missing")
+    return future.select("entity", "event_date", "previous_value", "gap_days").join(seen, ["entity", "event_date"])
+
+
+@query("j22_next_event_features", f"""WITH {ORDERS}, n AS (SELECT entity, DATE '{NEXT}' AS event_date, arg_max(value, event_date) AS previous_value, DATE '{NEXT}' - max(event_date) AS gap FROM o GROUP BY 1), b AS (SELECT entity, event_date + 30 AS pub, value FROM o)
+    SELECT n.entity, n.event_date, previous_value, CAST(gap AS INTEGER) AS gap_days, b.value AS published, CAST(n.event_date - pub AS INTEGER) AS published_age FROM n ASOF LEFT JOIN b ON n.entity = b.entity AND b.pub < n.event_date""")
+def _(spark, d):
+    return _next_events(spark, d)
+
+
 @query("j22_next_event")
 def _(spark, d):
-    future = features.append_future(orders(spark, d).select("entity", "event_date", "value"), PANEL, "event_date", "value", "2030-01-15")
-    delta = (F.lag("value", 1).over(PANEL.window) - F.lag("value", 2).over(PANEL.window)) / 200000
-    proba = B.implied_probabilities(F.col("dv"))
-    rows = future.withColumn("dv", delta).filter("event_date = '2030-01-15'")
-    return rows.select("entity", "event_date", "previous_value", "gap_days", *[F.round(proba[k], 6).alias(k) for k in LABELS], B.first_best(proba).alias("choice"))
+    """Next events scored by a saved model that was fitted on all past rows, beside the benchmark and how stale the features are."""
+    panel, path = _panel(spark, d), sinks.workspace(spark, "model")
+    learners.model("logistic", COLUMNS, 3).fit(panel).write().save(path)
+    past = calls(spark, d).groupBy("entity").agg(F.max_by(F.struct("value", "p"), "event_date").alias("l"))
+    lags = orders(spark, d).select("entity", "event_date", "value").groupBy("entity").agg(F.slice(F.sort_array(F.collect_list(F.struct("event_date", "value")), asc=False), 1, 2).alias("x"))
+    own = _next_events(spark, d).join(past, "entity", "left").join(lags, "entity")
+    second = F.try_element_at("x", F.lit(2))["value"]
+    rows = own.select("entity", "event_date", F.lit(0.0).alias("label"), F.col("previous_value").alias("value_lag_1"), second.alias("value_lag_2"), F.col("l.p").alias("p_lag_1"), F.col("gap_days").cast("double").alias("gap"), "gap_days", "published_age", second.alias("second"), "previous_value")
+    scored = learners.predicted(PipelineModel.load(path), rows, ["entity", "event_date"]).drop("label")
+    market = B.implied_probabilities((F.col("previous_value") - F.col("second")) / 200000)
+    kept = rows.select("entity", "event_date", "gap_days", "published_age", B.first_best(market).alias("benchmark"))
+    return scored.join(kept, ["entity", "event_date"]).select("entity", "event_date", F.get(F.array(*map(F.lit, LABELS)), F.col("prediction").cast("int")).alias("choice"), "proba", "benchmark", "gap_days", "published_age")
 
 
 @query("j23_saved_model")
 def _(spark, d):
     rows, path = _panel(spark, d), sinks.workspace(spark, "model")
     candidates = {f"reg{r}": (lambda r=r: learners.model("logistic", COLUMNS, 3, regParam=r)) for r in (0.001, 0.1)}
-    learners.save_best(learners.search(rows, FOLDS[:1], "event_date", candidates, KEYS), candidates, rows, path)
+    learners.save_best(learners.search(rows, FOLDS, "event_date", candidates, KEYS), candidates, rows, path)
     return _summary(learners.predicted(PipelineModel.load(path), rows, KEYS))
 
 
 @query("j16_campaign")
 def _(spark, d):
-    scored = {k: _summary(_member(spark, d, k)).withColumn("model", F.lit(k)) for k in ("logistic", "forest")}
-    first, *others = scored.values()
-    for df in others:
-        first = first.unionByName(df)
-    return first
+    """Each model tuned over both folds, its out-of-fold labels and those by tuned weights, as a suite."""
+    members = {"logistic": learners.grid("logistic", COLUMNS, 3, {"regParam": [0.001, 0.1]}), "forest": learners.grid("forest", COLUMNS, 3, {"maxDepth": [3, 5], "numTrees": [5]})}
+    rows = learners.campaign(_panel(spark, d), FOLDS, "event_date", members, KEYS, LABELS, [0.5, 1.0, 2.0])
+    own = evaluate.classification(rows, LABELS, ["model", "candidate"])
+    weighted = evaluate.classification(rows.withColumn("y_pred", F.col("weighted")), LABELS, ["model"]).select("model", F.col("balanced_accuracy").alias("weighted_balanced_accuracy"), F.col("macro_f1").alias("weighted_macro_f1"))
+    return own.join(weighted, "model")
