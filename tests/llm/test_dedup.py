@@ -93,6 +93,22 @@ def test_near_dedup_is_brute_force_s(spark, monkeypatch, tile):
     assert got == brute(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize("bucket", [3, 1000])
+def test_near_dedup_of_pages_that_share_much_is_brute_force_s(spark, monkeypatch, bucket):
+    """Half of every text is the same, so bands of most pairs meet; only copies may hang together."""
+    monkeypatch.setattr(hyper_minhash, "BUCKET", bucket)
+    rng = random.Random(12)
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(i, f"{shared} " + " ".join(f"o{i}x{k}" for k in range(60 - rng.randrange(20)))) for i in range(120)]
+    rows += [(200 + i, t + " end" * (i % 2)) for i, t in rows[:30]]
+    groups = []
+    monkeypatch.setattr(hyper_minhash, "components", lambda edges: groups.append(components.components(edges)) or groups[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in hyper_minhash.near_dedup(docs(spark, rows), width=3, share=(85, 100)).collect()}
+    assert got == brute(rows, 3, 85, 100)
+    largest = max(r["count"] for r in groups[0].groupBy("root").count().collect())
+    assert largest < 10 if bucket == 1000 else largest > 50
+
+
 def test_near_dedup_edges(spark):
     assert hyper_minhash.near_dedup(docs(spark, [])).count() == 0
     rows = [(2, "a b c d e f"), (2, "a b c d e f"), (None, "A B C D E F"), (None, None)]

@@ -3,9 +3,10 @@
 Each document's shingles are hashed by as many functions as there are buckets, and a bucket keeps its smallest value as 16 bits: its count of leading zeros
 and the mantissa bits after them. (Buckets are filled by functions of their own and not by parts of one function's range, as most
 of those would stay empty for short documents.) Documents with equal shingle sets become one class. Bands of four registers
-are themselves the keys under which classes meet; a key's classes are linked to its smallest one only, and what
-hangs together through such links makes a candidate group. Pairs within a group are estimated from the registers, corrected for chance
-collisions, and those that may be similar enough are confirmed by the exact sizes of intersection and union.
+are themselves the keys under which classes meet. Pairs within a key's bucket are estimated from the registers, corrected for chance
+collisions; of those that may be similar enough, a spanning forest is kept, at most one link a member. (In a bucket of more than BUCKET members
+all are linked to the smallest one instead, so that no pair is lost.) What hangs together through such links makes a candidate group, whose
+pairs are estimated again, and confirmed by the exact sizes of intersection and union.
 
 Large groups are dealt over tiles of bounded size. First each tile, with a few pivots of its group, is searched by itself;
 then the tiles are dealt anew by what already hangs together, and all pairs of tiles are searched but those within one
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ BUCKETS = BANDS * ROWS
 MARGIN = 5.0
 #: Members and shingles of a tile, pivots of a group.
 TILE, TILE_SHINGLES, PIVOTS = 1000, 4_000_000, 16
+#: Members of a bucket whose pairs are estimated in one task.
+BUCKET = 1000
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BUCKETS, dtype=np.uint64)
@@ -80,8 +83,8 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 0.68 * 2.0**-MANTISSA * n * m / (n + m) ** 2.0
 
 
-def linked(n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], part: list[int], share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between members that join what does not hang together yet; part: for each member, what it is known to hang together with."""
+def candidates(n: np.ndarray, regs: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of members that may be similar enough, by their registers and the sizes of their sets."""
     up, down = share
     threshold = up / down
     least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / BUCKETS)
@@ -92,7 +95,11 @@ def linked(n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], part: list[i
         c = chance(size[i], size[rest])
         estimate = ((regs[rest] == regs[i]).mean(axis=1) - c) / (1 - c)
         may[i, rest] = (estimate >= least) & (np.minimum(size[i], size[rest]) * down >= np.maximum(size[i], size[rest]) * up)
-    first, second = np.nonzero(may)
+    return np.nonzero(may)
+
+
+def forest(pairs: Iterable[tuple[int, int]], part: list[int]) -> list[tuple[int, int]]:
+    """Those pairs that join what does not hang together yet; part: for each member, what it is known to hang together with."""
     roots: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -101,10 +108,8 @@ def linked(n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], part: list[i
             x = y
         return x
 
-    common = _common(sets, first, second)
     found = []
-    union = n[first] + n[second] - common
-    for i, j in zip(*(x[common * down >= union * up].tolist() for x in (first, second)), strict=True):
+    for i, j in pairs:
         a, b = root(part[i]), root(part[j])
         if a != b:
             roots[a] = b
@@ -112,6 +117,15 @@ def linked(n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], part: list[i
     return found
 
 
+def linked(n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], part: list[int], share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Confirmed links between members that join what does not hang together yet."""
+    first, second = candidates(n, regs, share)
+    common = _common(sets, first, second)
+    union = n[first] + n[second] - common
+    similar = common * share[1] >= union * share[0]
+    return forest(zip(first[similar].tolist(), second[similar].tolist(), strict=True), part)
+
+
 def _common(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """The exact size of the intersection of each pair."""
     if len(first) < 200:
@@ -203,6 +217,31 @@ def _searched(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     return rows.select(*order).repartition("grp", "tile").sortWithinPartitions("grp", "tile", "row").mapInArrow(run, "a long, b long")
 
 
+def _in_buckets(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between members of a bucket that may be similar enough, a forest for each; rows: band, key, row, n, regs."""
+
+    def links(members: list[tuple]) -> list[tuple[int, int]]:
+        n = np.array([m[3] for m in members], np.int64)
+        regs = np.stack([np.frombuffer(m[4], np.uint16) for m in members])
+        first, second = candidates(n, regs, share)
+        return [(members[i][2], members[j][2]) for i, j in forest(zip(first.tolist(), second.tolist(), strict=True), list(range(len(members))))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if open_ and open_[0][:2] != member[:2]:
+                    found += links(open_)
+                    open_ = []
+                open_.append(member)
+            yield _pairs(found)
+        if open_:
+            yield _pairs(links(open_))
+
+    return rows.select("band", "key", "row", "n", "regs").repartition("band", "key").sortWithinPartitions("band", "key", "row").mapInArrow(run, "a long, b long")
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -221,8 +260,11 @@ def class_links(classes: DataFrame, numbered: DataFrame, width: int, share: tupl
     regs = [F.hex(F.substring("regs", 8 * k + 1, 8)) for k in range(BANDS)]
     bands = classes.select("row", F.posexplode(F.array(*regs)).alias("band", "key"))
     bands = bands.select("row", "band", F.xxhash64("key").alias("key"))
-    star = bands.groupBy("band", "key").agg(F.min("row").alias("to"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    near = written(bands.join(star, ["band", "key"]).filter("row <> to").select(F.col("row").alias("a"), F.col("to").alias("b")).distinct(), "near")
+    star = bands.groupBy("band", "key").agg(F.min("row").alias("to"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = written(bands.join(star, ["band", "key"]), "met")
+    large = met.filter((F.col("k") > BUCKET) & (F.col("row") != F.col("to"))).select(F.col("row").alias("a"), F.col("to").alias("b"))
+    small = met.filter(F.col("k") <= BUCKET).select("band", "key", "row").join(classes.select("row", "n", "regs"), "row")
+    near = written(large.unionByName(_in_buckets(small, share)).distinct(), "near")
     groups = components(near).select(F.col("node").alias("row"), F.col("root").alias("grp"))
     groups = written(groups.join(classes.select("row", "n", "regs"), "row"), "groups")
     sets = written(_sets(numbered, width, groups.select("row"), max_filter_bytes), "sets")
