@@ -118,3 +118,12 @@ def test_packing_edges(spark):
     rows = best_fit.pack_documents(df, with_ids=True).collect()
     assert len(rows) == 7 and sorted(r.length for r in rows) == [1, 1, 2, 2, 809, 4096, 4096] and all(len(r.ids) == 4 * r.length for r in rows)
     assert best_fit.pack_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["decimal(9,2)", "date", "short", "string", "boolean", "array<int>"])
+def test_packing_takes_any_id_and_name(spark, kind):
+    value = {"date": "date '2020-02-03'", "array<int>": "array(1, 2)", "boolean": "true"}.get(kind, f"cast(7 as {kind})")
+    df = spark.sql(f"select {value} as length, 'some words' as text, 1 as piece union all select null, null, 2")
+    got = best_fit.pack_documents(df, id_col="length")
+    assert got.columns == ["length", "piece", "start", "length_", "ids_crc32", "sequence_id", "offset"] and got.schema["length"].dataType.simpleString() == df.schema["length"].dataType.simpleString()
+    assert sorted(r.length_ for r in got.collect())[0] == 1 and got.count() == 2

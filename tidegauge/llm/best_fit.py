@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.shared import text_or_empty, written
+from tidegauge.llm.shared import free_name, text_or_empty, written
 from tidegauge.llm.words import encoder
 
 END = np.array([1], "<u4").tobytes()
@@ -45,9 +45,9 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id",
                     for column, value in zip(out, (key, k, at // 4, n, crc32(own), part, seen[n], own), strict=False):
                         column.append(value)
                     seen[n] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (batch.schema.field(0).type, *kinds), strict=True)], names=schema.names)
 
-    kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() for f in schema]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * with_ids
     return df.select(F.col(f"`{id_col}`"), text_or_empty(f"`{text_col}`")).mapInArrow(cut, schema)
 
 
@@ -185,11 +185,14 @@ def packed(rows: DataFrame, capacity: int) -> DataFrame:
 def pack_documents(df: DataFrame, tokenizer: str | None = None, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of every text with their sequence and their place in it; with_ids also gives the ids as bytes.
 
-    A text's ids are followed by id 1; only longer ones than ``capacity`` are cut. Null and empty texts are the lone id 1. Repeated
-    rows and null ids are packed like any others; an empty table gives an empty result. Further columns of df are not read.
+    A text's ids are followed by id 1; only longer ones than ``capacity`` are cut, whole. Null and empty texts are the lone id 1. Repeated
+    rows and null ids are packed like any others, ids may be of any type; an empty table gives an empty result. Further columns of df are not
+    read. Where the id has the name of a column of the result, that gets an underscore.
     """
-    rows = pieces(df, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, id_col, text_col, with_ids)
-    return packed(written(rows, "pieces"), capacity)
+    own = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = pieces(own, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, "_id", "_text", with_ids)
+    found = packed(written(rows, "pieces"), capacity)
+    return found.select(*[F.col(c).alias(id_col if c == "_id" else free_name([id_col], c)) for c in found.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
