@@ -55,7 +55,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written and read again as the next one's input."""
+    """The stages over documents, each written and read again as the next one's input.
+
+    Null texts count as empty: they aren't toxic, are copies of one another and of empty texts, hold no secrets and pack as one token. Texts without words
+    are no near-duplicates; very long ones are read whole by every stage. Of tied and repeated rows the one read first stays. All stages but
+    the last keep all columns, whatever their names and nulls; an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name.replace(" ", "-"))
