@@ -179,3 +179,24 @@ def test_plans_use_no_python_and_no_cartesian_product(spark, sf):
     for name in ("d1_asof_strict", "d5_wide_assembly", "e5_ewma", "h3_h6_lexicon_scores"):
         text = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "Python" not in text, name
+
+
+def test_splice_checks_growth(spark):
+    old, new = (spark.createDataFrame([(1, D(d), v) for d, v in rows], "entity int, d date, value double") for rows in ([("2021-06-30", 90.0), ("2021-09-30", 100.0), ("2021-12-31", 105.0)], [("2021-12-31", 210.0), ("2022-03-31", 220.0)]))
+    got = {str(r.d): r.value for r in features.spliced(old, new, ["entity"], "d", "value", 0.1).collect()}
+    assert got == {"2021-06-30": 180.0, "2021-09-30": 200.0, "2021-12-31": 210.0, "2022-03-31": 220.0}
+    for bad in (new.withColumn("value", F.when(F.col("d") > "2022-01-01", 400.0).otherwise(F.col("value"))), new.filter("d < '2022-01-01'")):
+        with pytest.raises(Exception, match="growth differs"):
+            features.spliced(old, bad, ["entity"], "d", "value", 0.1).collect()
+
+
+def test_unknown_series_and_lost_publications_are_errors(spark):
+    rows = spark.createDataFrame([("a", D("2020-01-06"))], "series_id string, observation_date date")
+    calendar = spark.createDataFrame([(D("2020-01-06"), D("2020-01-07"))], "d date, next_working_day date")
+    rules = spark.createDataFrame([("b", "same_day")], "series_id string, rule string")
+    with pytest.raises(Exception, match="no publication rule for series a"):
+        calendars.published_by_rule(rows, rules, calendar).collect()
+    twice = spark.createDataFrame([(D("2020-01-06"), D("2020-01-09")), (D("2020-01-06"), D("2020-01-08"))], "observation_date date, publication_date date")
+    assert [str(r.publication_date) for r in calendars.attach_publication(rows, twice, None).collect()] == ["2020-01-08"]
+    with pytest.raises(Exception, match="no publication for 2020-01-06"):
+        calendars.attach_publication(rows, twice.limit(0), None).collect()

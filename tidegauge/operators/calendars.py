@@ -70,6 +70,20 @@ def us_federal_holidays(spark: SparkSession, first: int, last: int) -> DataFrame
     return years.select(F.explode(F.array(*fixed, *moving)).alias("holiday")).filter("holiday is not null")
 
 
+def australian_holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
+    """(holiday): national and New South Wales holidays of Australia; of those on a fixed day all but 25 April move from a weekend to Monday."""
+    y = F.col("year")
+
+    def on(month: int, day: int) -> Column:
+        d = F.make_date(y, F.lit(month), F.lit(day))
+        return F.when(F.dayofweek(d) == 7, F.date_add(d, 2)).when(F.dayofweek(d) == 1, F.date_add(d, 1)).otherwise(d)
+
+    moving = [F.date_sub(easter(y), 2), F.date_add(easter(y), 1), nth_weekday(F.make_date(y, F.lit(6), F.lit(1)), "MON", 2), nth_weekday(F.make_date(y, F.lit(10), F.lit(1)), "MON", 1)]
+    every = [on(1, 1), on(1, 26), F.make_date(y, F.lit(4), F.lit(25)), on(12, 25), on(12, 26), *moving]
+    years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    return years.select(F.explode(F.array(*every)).alias("holiday")).distinct()
+
+
 def working_days(calendar: DataFrame, holidays: DataFrame) -> DataFrame:
     """The days of a calendar that are Monday to Friday and no holidays."""
     return calendar.filter(~F.dayofweek("d").isin(1, 7)).join(F.broadcast(holidays.select(F.col("holiday").alias("d"))), "d", "left_anti")

@@ -137,10 +137,20 @@ def append_future(df: DataFrame, p: Panel, day: str, level: str, future_day) ->
     return df.unionByName(rows, allowMissingColumns=True)
 
 
-def spliced(old: DataFrame, new: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
-    """One index of two: new from its first day on, before that old scaled by new's ratio to old on that day. Keys without a common boundary keep old as it is."""
+def spliced(old: DataFrame, new: DataFrame, keys: list[str], day: str, value: str, tolerance: float | None = None) -> DataFrame:
+    """One index of two: new from its first day on, before that old scaled by new's ratio to old on that day. Keys without a common boundary keep old as it is.
+
+    tolerance: old's growth into the boundary and new's growth out of it may differ by that much; more, or no such growth, is an error.
+    """
     start = new.groupBy(*keys).agg(F.min(day).alias("_start"), F.min_by(value, day).alias("_new"))
     edge = old.join(start, keys).filter(F.col(day) == F.col("_start")).select(*keys, ratio(F.col("_new"), F.col(value)).alias("_factor"))
+    if tolerance is not None:
+        w = Window.partitionBy(*keys).orderBy(day)
+        into = old.withColumn("_into", F.col(value) / F.lag(value).over(w) - 1).select(*keys, F.col(day).alias("_start"), "_into")
+        out = new.withColumn("_out", F.lead(value).over(w) / F.col(value) - 1).select(*keys, F.col(day).alias("_start"), "_out")
+        gaps = start.join(into, [*keys, "_start"]).join(out, [*keys, "_start"]).select(*keys, F.abs(F.col("_out") - F.col("_into")).alias("_gap"))
+        wrong = F.raise_error(F.concat(F.lit("growth differs at the splice by "), F.coalesce(F.col("_gap").cast("string"), F.lit("an unknown rate")))).cast("double")
+        edge = edge.join(gaps, keys, "left").select(*keys, F.when(F.col("_gap") <= tolerance, F.col("_factor")).otherwise(wrong).alias("_factor"))
     before = old.join(start.select(*keys, "_start"), keys, "left").filter(F.col("_start").isNull() | (F.col(day) < F.col("_start"))).join(edge, keys, "left")
     return before.select(*keys, day, (F.col(value) * F.coalesce("_factor", F.lit(1.0))).alias(value)).unionByName(new.select(*keys, day, value))
 

@@ -67,6 +67,17 @@ def _(spark, d):
     return _days(spark, d).select(F.year("d").alias("year")).distinct().select("year", C.easter(F.col("year")).alias("easter"))
 
 
+@query("c4_australian_holidays", f"""WITH p AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT CAST(unnest(range(1992, 2003)) AS INTEGER) AS y)), q AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM p),
+    r AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS k FROM q), s AS (SELECT *, h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114 AS n FROM r), e AS (SELECT y, make_date(y, n // 31, n % 31 + 1) AS e FROM s),
+    f AS (SELECT make_date(y, m, dd) AS d FROM e, (VALUES (1, 1), (1, 26), (12, 25), (12, 26)) v(m, dd)),
+    h AS (SELECT CASE dayofweek(d) WHEN 6 THEN d + 2 WHEN 0 THEN d + 1 ELSE d END AS d FROM f UNION SELECT make_date(y, 4, 25) FROM e UNION SELECT e - 2 FROM e UNION SELECT e + 1 FROM e
+          UNION SELECT {_nth('make_date(y, 6, 1)', 1, 2)} FROM e UNION SELECT {_nth('make_date(y, 10, 1)', 1, 1)} FROM e)
+    SELECT CAST(h.d AS DATE) AS holiday, count(o_orderkey) AS n_orders FROM h LEFT JOIN orders ON CAST(o_orderdate AS DATE) = h.d GROUP BY 1""")
+def _(spark, d):
+    h = C.australian_holidays(spark, 1992, 2002)
+    return _days(spark, d).join(F.broadcast(h), F.col("d") == F.col("holiday"), "right").groupBy("holiday").agg(F.count("o_orderkey").alias("n_orders"))
+
+
 @query("c5_first_working_day", f"WITH {_HOLIDAYS} SELECT o_orderkey, f AS first_working_day FROM orders JOIN (SELECT date_trunc('month', d) AS m, min(d) AS f FROM w GROUP BY 1) ON m = date_trunc('month', o_orderdate)")
 def _(spark, d):
     first = C.first_working_days(_working(spark)[1])
