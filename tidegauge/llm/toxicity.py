@@ -13,6 +13,7 @@ a hash of the text; at most ``max_examples`` of them, half of either label too,
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -66,44 +67,62 @@ class Rows:
         at = np.repeat(self.starts[own] - starts[:-1], sizes) + np.arange(starts[-1])
         return Rows(starts, self.terms[at], self.weights[at])
 
-    def times(self, table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
-        """The rows times a table by term; place: where each term stands in it, the last place for none."""
-        if not len(self.terms):
-            return np.zeros((len(self.starts) - 1, table.shape[1]), np.float32)
-        product = table[self.terms if place is None else place[self.terms]]
-        product *= self.weights[:, None]
-        out = np.add.reduceat(np.vstack([product, np.zeros((1, table.shape[1]), np.float32)]), np.minimum(self.starts[:-1], len(product)), axis=0)
-        out[np.diff(self.starts) == 0] = 0
+    def times(self, table: np.ndarray) -> np.ndarray:
+        """The rows times a table by term."""
+        out = np.zeros((len(self.starts) - 1, table.shape[1]), np.float32)
+        some = np.flatnonzero(np.diff(self.starts))
+        if len(some):
+            out[some] = np.add.reduceat(table[self.terms] * self.weights[:, None], self.starts[some], axis=0)
         return out
 
 
 def rows_of(counts: list[dict], weight: np.ndarray) -> Rows:
     """Rows of unit length: (1 + ln count) * weight."""
     sizes = np.array([len(x) for x in counts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    terms = np.fromiter((t for x in counts for t in x), np.int64, starts[-1])
-    n = np.fromiter((v for x in counts for v in x.values()), np.float64, starts[-1])
-    row = np.repeat(np.arange(len(counts)), sizes)
+    terms = np.fromiter((t for x in counts for t in x), np.int64, sizes.sum())
+    n = np.fromiter((v for x in counts for v in x.values()), np.int64, sizes.sum())
+    return _unit(np.repeat(np.arange(len(counts)), sizes), terms, n, len(counts), weight)
+
+
+def rows_of_texts(texts: list[str], known: dict, weight: np.ndarray) -> Rows:
+    """The same from texts."""
+    words = [Counter(WORD.findall(text.lower())) for text in texts]
+    of = [list(map(known.__getitem__, c)) for c in words]
+    sizes = np.fromiter((len(x) for own in of for x in own), np.int64)
+    terms = np.fromiter(itertools.chain.from_iterable(x for own in of for x in own), np.int64, sizes.sum())
+    n = np.repeat(np.fromiter((v for c in words for v in c.values()), np.int64, len(sizes)), sizes)
+    row = np.repeat(np.repeat(np.arange(len(texts)), [len(c) for c in words]), sizes)
+    return _unit(row, terms, n, len(texts), weight)
+
+
+def _unit(row: np.ndarray, terms: np.ndarray, n: np.ndarray, count: int, weight: np.ndarray) -> Rows:
+    """Rows from their terms' counts, which may come in parts; rows are in order."""
+    key = row * max(1, len(weight)) + terms
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.add.reduceat(n[order], first) if len(key) else n
+    row, terms = row[order][first], terms[order][first]
     w = (1 + np.log(n)) * weight[terms]
-    norm = np.sqrt(np.bincount(row, w * w, len(counts)))
-    w = w / np.where(norm > 0, norm, 1)[row]
-    order = np.lexsort((terms, row))
-    return Rows(starts, terms[order], w[order].astype(np.float32))
+    norm = np.sqrt(np.bincount(row, w * w, count))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=count))])
+    return Rows(starts, terms, (w / np.where(norm > 0, norm, 1)[row]).astype(np.float32))
 
 
 @dataclass
 class Index:
-    """Examples in blocks: postings by term and block, the largest weight of each term in each block, and what the examples are.
+    """Examples in blocks of BLOCK: posting lists by term, the largest weight of each term in each block, and what the examples are.
 
-    dense: the terms that have rows in ``common`` (terms x examples); place: for each block the row of a term's posting list in ``lists``, which ends
-    with a row of zeros.
+    dense: the terms that have rows in ``common`` (terms x examples), with those rows' numbers, -1 for none. The posting list of any other term lies
+    between its ``starts``.
     """
 
     largest: np.ndarray
     dense: np.ndarray
     common: np.ndarray
-    place: list[np.ndarray]
-    lists: list[np.ndarray]
+    starts: np.ndarray
+    example: np.ndarray
+    posted: np.ndarray
     toxic: np.ndarray
     ids: list
     rate: float
@@ -111,40 +130,49 @@ class Index:
     curve: tuple[float, float] = (1.0, 0.0)
 
     def neighbours(self, q: Rows, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, examples), k for each row of q, best first; leave: an example to leave out for each row. Ties go to the smaller example."""
-        count = len(q.starts) - 1
-        best = np.zeros((count, k), np.float32)
-        who = np.full((count, k), len(self.toxic), np.int64)
-        if not len(self.toxic) or not count:
+        """(scores, examples), k for each row of q, best first; leave: an example to leave out for each row. Ties go to the smaller example.
+
+        The two blocks with the largest bounds are scored first. Then, of the others, those whose bound is not below the k-th best score: no other
+        can hold a neighbour.
+        """
+        count, n = len(q.starts) - 1, len(self.toxic)
+        best, who = np.zeros((count, k), np.float32), np.full((count, k), n, np.int64)
+        if not n or not count:
             return best, who
         row = np.repeat(np.arange(count), np.diff(q.starts))
         at = self.dense[q.terms]
         usual = np.zeros((count, len(self.common)), np.float32)
         usual[row[at >= 0], at[at >= 0]] = q.weights[at >= 0]
-        sizes = np.bincount(row[at < 0], minlength=count)
-        rare = Rows(np.concatenate([[0], np.cumsum(sizes)]), q.terms[at < 0], q.weights[at < 0])
-        bound = usual @ self.largest[np.flatnonzero(self.dense >= 0)[np.argsort(self.dense[self.dense >= 0])]] + rare.times(self.largest)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        active = np.arange(count)
-        for r in range(order.shape[1]):
-            block = order[active, r]
-            ub = bound[active, block] * 1.0001
-            go = (ub > 0) & (ub >= best[active, -1])
-            active, block = active[go], block[go]
-            if not len(active):
-                break
-            by = np.argsort(block, kind="stable")
-            for own in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
-                rows, b = active[own], int(block[own[0]])
-                first = b * BLOCK
-                s = usual[rows] @ self.common[:, first : first + BLOCK] + rare.of(rows).times(self.lists[b], self.place[b])
-                ids = np.broadcast_to(np.arange(first, first + s.shape[1]), s.shape)
-                if leave is not None:
-                    s = np.where(ids == leave[rows, None], 0, s)
-                s, ids = np.hstack([best[rows], s]), np.hstack([who[rows], ids])
-                top = np.lexsort((ids, -s), axis=1)[:, :k]
-                best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
-        return best, who
+        few = at < 0
+        rare = Rows(np.concatenate([[0], np.cumsum(np.bincount(row[few], minlength=count))]), q.terms[few], q.weights[few])
+        named = np.flatnonzero(self.dense >= 0)
+        bound = (usual @ self.largest[named] + rare.times(self.largest)) * np.float32(1.0001)
+        base = usual @ self.common
+        first, sizes = self.starts[rare.terms], np.diff(self.starts)[rare.terms]
+        ends = np.cumsum(sizes)
+        place = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        row, found = np.repeat(row[few], sizes), self.example[place]
+        value = self.posted[place] * np.repeat(rare.weights, sizes)
+
+        def scored(wanted: np.ndarray) -> np.ndarray:
+            own = wanted[row, found // BLOCK]
+            s = np.bincount(row[own] * n + found[own], value[own], count * n).reshape(count, n).astype(np.float32)
+            s += base
+            s *= np.repeat(wanted, BLOCK, axis=1)[:, :n]
+            if leave is not None:
+                s[np.arange(count), leave] = 0
+            return s
+
+        wanted = np.zeros(bound.shape, bool)
+        np.put_along_axis(wanted, np.argsort(-bound, axis=1, kind="stable")[:, :2], True, axis=1)
+        if bound.shape[1] > 2:
+            least = np.partition(scored(wanted), max(0, n - k), axis=1)[:, max(0, n - k)] if n >= k else np.zeros(count, np.float32)
+            wanted |= (bound > 0) & (bound >= least[:, None])
+        s = scored(wanted)
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        best[:, : top.shape[1]] = np.take_along_axis(s, top, 1)
+        who[:, : top.shape[1]] = top
+        return best, np.where(best > 0, who, n)
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
         """The share of toxic votes, each weighted by its distance, with the prior's vote."""
@@ -243,8 +271,8 @@ def document_frequencies(texts: DataFrame, at: dict[str, int]) -> tuple[int, np.
         known, seen, n = _remembered(shared.value), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             for cell in batch.column(0):
-                own = {t for w in set(WORD.findall(cell.as_py().lower())) for t in known[w]}
-                seen[np.fromiter(own, np.int64, len(own))] += 1
+                own = itertools.chain.from_iterable(map(known.__getitem__, set(WORD.findall(cell.as_py().lower()))))
+                seen[np.unique(np.fromiter(own, np.int64))] += 1
             n += batch.num_rows
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], n))], names=["t", "n"])
@@ -285,17 +313,9 @@ def build_index(examples: list[dict], toxic: list[int], ids: list, weight: np.nd
     blocks = -(-len(ids) // BLOCK)
     largest = np.zeros((len(weight), blocks), np.float32)
     np.maximum.at(largest, (x.terms, row // BLOCK), x.weights)
-    place, lists = [], []
-    for b in range(blocks):
-        here = ~own & (row // BLOCK == b)
-        named, at = np.unique(x.terms[here], return_inverse=True)
-        where = np.full(len(weight), len(named), np.int32)
-        where[named] = np.arange(len(named))
-        table = np.zeros((len(named) + 1, min(BLOCK, len(ids) - b * BLOCK)), np.float32)
-        table[at, row[here] - b * BLOCK] = x.weights[here]
-        place.append(where)
-        lists.append(table)
-    index = Index(largest, dense, common, place, lists, y, ids, rate, weight)
+    by = np.flatnonzero(~own)[np.argsort(x.terms[~own], kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(x.terms[by], minlength=len(weight)))]).astype(np.int64)
+    index = Index(largest, dense, common, starts, row[by].astype(np.int32), x.weights[by], y, ids, rate, weight)
     if 0 < y.sum() < len(y):
         votes = index.votes(*index.neighbours(x, k, np.arange(len(y))))
         share = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
@@ -350,7 +370,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         at, index = shared.value
         known = _remembered(at)
         for batch in in_slices(batches, SLICE):
-            best, who = index.neighbours(rows_of([term_counts(cell.as_py(), known) for cell in batch.column(1)], index.weight), k)
+            best, who = index.neighbours(rows_of_texts(batch.column(1).to_pylist(), known, index.weight), k)
             score = index.score(index.votes(best, who))
             why = [[{"id": index.ids[j], "similarity": float(s), "toxic": int(index.toxic[j])} for s, j in zip(b, w, strict=True) if s > 0] for b, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist(), strict=True)]
             kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -370,8 +390,8 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         at, index = shared.value
         known = _remembered(at)
         for batch in in_slices(batches, SLICE):
-            counts = [term_counts(cell.as_py() or "", known) for cell in batch.column(column)]
-            score = index.score(index.votes(*index.neighbours(rows_of(counts, index.weight), k)))
+            rows = rows_of_texts([text or "" for text in batch.column(column).to_pylist()], known, index.weight)
+            score = index.score(index.votes(*index.neighbours(rows, k)))
             yield batch.filter(pa.array(score < 0.5))
 
     return df.mapInArrow(run, df.schema)
