@@ -287,11 +287,11 @@ def _(spark, d):
     return quality.by_priority({name: df.select("k", "day", "v") for name, df in found.items()}, ["k", "day"], [F.desc("v")])
 
 
-@query("a6_splice_newest", """WITH x AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice AS v, 1 AS pr, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice + 1, 2, o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+@query("a6_splice_newest", """WITH x AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice AS v, 1 AS pr, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), o_totalprice + 1, 2, o_orderkey FROM orders WHERE o_orderstatus <> 'F')
     SELECT o_custkey, d, v FROM x QUALIFY row_number() OVER (PARTITION BY o_custkey, d ORDER BY pr DESC, k DESC) = 1""")
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("k"))
-    both = o.filter("k % 2 = 0").withColumn("pr", F.lit(1)).unionByName(o.filter("k % 3 = 0").withColumn("v", F.col("v") + 1).withColumn("pr", F.lit(2)))
+    o = table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("k"), "o_orderstatus")
+    both = o.filter("o_orderstatus <> 'P'").withColumn("pr", F.lit(1)).unionByName(o.filter("o_orderstatus <> 'F'").withColumn("v", F.col("v") + 1).withColumn("pr", F.lit(2)))
     return quality.newest(both, ["o_custkey", "d"], [F.desc("pr"), F.desc("k")]).select("o_custkey", "d", "v")
 
 
