@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LONG = ("series_id", "observation_date", "publication_date", "value")
@@ -15,6 +15,27 @@ def check_long(obs: DataFrame) -> DataFrame:
     return obs
 
 
+#: Types of the long contract.
+TYPES = {"series_id": "string", "observation_date": "date", "publication_date": "date", "value": "double"}
+
+
+def conform(df: DataFrame) -> DataFrame:
+    """df in the long contract: its columns first, in their order and cast to their types, then any others.
+
+    Columns that are missing are an error, and so is a value that its type can't hold. Rows without a series, day or value are left out; a null
+    publication date means not published yet.
+    """
+    check_long(df)
+
+    def strict(name: str) -> Column:
+        own = F.col(name).try_cast(TYPES[name])
+        bad = F.raise_error(F.concat(F.lit(f"{name} can't hold "), F.col(name).cast("string"))).cast(TYPES[name])
+        return F.when(F.col(name).isNull() | own.isNotNull(), own).otherwise(bad)
+
+    rows = df.select(*[strict(c).alias(c) for c in TYPES], *[F.col(f"`{c}`") for c in df.columns if c not in TYPES])
+    return rows.filter("series_id is not null and observation_date is not null and value is not null")
+
+
 def as_of(spine: DataFrame, obs: DataFrame, keys: list[str], at: str = "event_date", strict: bool = True, within_days: int | None = None, bucket_days: int | None = None) -> DataFrame:
     """spine (keys and at) with value, age_days and is_missing of the latest observation published before each event.
 

@@ -137,13 +137,40 @@ def mid_ranks(counts: DataFrame) -> DataFrame:
     return ranked.select("feature", "v", "m", (F.col("lower") + F.col("within") + (F.col("m") + 1) / 2).alias("rank"))
 
 
-def mutual_information(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """(feature, mi) in nats of discrete features and a label, from their joint counts; null values left out."""
+def by_slice(df: DataFrame, name: str, slice_: Column) -> DataFrame:
+    """(name, n, accuracy) of every slice; rows without one are left out."""
+    hit = (F.col("y_true") == F.col("y_pred")).cast("double")
+    return df.withColumn(name, slice_).filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))
+
+
+def imputed(df: DataFrame, features: list[str]) -> DataFrame:
+    """df with the nulls of features replaced by their medians, which are exact; a feature without values stays null."""
+    row = df.agg(*[F.median(c).alias(c) for c in features]).head()
+    known = {c: row[c] for c in features if row[c] is not None}
+    return df.fillna(known) if known else df
+
+
+def quantile_bins(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
+    """df with continuous features replaced by the number of their bin, of equal counts by approximate quantiles; null stays null."""
+    row = df.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(c) for c in features]).head()
+    own = {}
+    for c in features:
+        edges = sorted(set(row[c] or []))
+        own[c] = F.when(F.col(c).isNotNull(), sum(((F.col(c) > F.lit(e)).cast("int") for e in edges), F.lit(0)))
+    return df.withColumns(own)
+
+
+def mutual_information(df: DataFrame, features: list[str], label: str, least: int = 30) -> DataFrame:
+    """(feature, mi) in nats of discrete features and a label, from their joint counts; null values left out. Features with fewer than ``least`` observations get null.
+
+    Continuous features go through :func:`quantile_bins` first.
+    """
     long = df.select(F.col(label).cast("string").alias("y"), *[F.col(c).cast("string").alias(c) for c in features]).unpivot("y", features, "feature", "x").filter("x is not null and y is not null")
     joint = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     of = lambda *c: F.sum("n").over(Window.partitionBy("feature", *c))
     cells = joint.select("feature", "n", of().alias("t"), of("x").alias("nx"), of("y").alias("ny"))
-    return cells.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mi"))
+    mi = F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny"))))
+    return cells.groupBy("feature").agg(F.when(F.sum("n") >= least, mi).alias("mi"))
 
 
 def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:

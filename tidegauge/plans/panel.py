@@ -34,6 +34,13 @@ def _(spark, d):
     return asof.as_of(orders(spark, d), _published(spark, d), ["entity"], bucket_days=400)
 
 
+@query("a1_long_contract", "SELECT event_type AS series_id, CAST(ts AS DATE) AS observation_date, CASE WHEN user_id % 7 > 0 THEN CAST(ts AS DATE) + 2 END AS publication_date, value, user_id AS entity FROM events WHERE value IS NOT NULL")
+def _(spark, d):
+    day = F.to_date("ts")
+    raw = table(spark, d, "events").select(F.col("value").cast("string").alias("value"), F.when(F.col("user_id") % 7 > 0, F.date_add(day, 2).cast("string")).alias("publication_date"), day.cast("string").alias("observation_date"), F.col("event_type").alias("series_id"), F.col("user_id").alias("entity"))
+    return asof.conform(raw)
+
+
 @query("d2_asof_tolerance", _asof_sql("<=", "CASE WHEN date_diff('day', pub, event_date) <= 120 THEN {c} END"))
 def _(spark, d):
     return asof.as_of(orders(spark, d), _published(spark, d), ["entity"], strict=False, within_days=120)

@@ -114,6 +114,19 @@ def _(spark, d):
     return E.mutual_information(table(spark, d, "lineitem"), _DISCRETE, "l_returnflag").withColumn("mi", F.round("mi", 7))
 
 
+@query("f26_anova_imputed", """WITH x AS (SELECT l_returnflag, coalesce(CASE WHEN l_discount > 0.02 THEN l_quantity END, (SELECT median(l_quantity) FROM lineitem WHERE l_discount > 0.02)) AS q FROM lineitem)
+    SELECT 'q' AS feature, round((sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 5) AS f FROM (SELECT l_returnflag, count(*) AS n, avg(q) AS m, var_pop(q) AS v, (SELECT avg(q) FROM x) AS g FROM x GROUP BY 1)""")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_discount") > 0.02, F.col("l_quantity").cast("double")).alias("q"))
+    return E.anova_f(E.imputed(rows, ["q"]), ["q"], "l_returnflag").withColumn("f", F.round("f", 5))
+
+
+@query("f15_slices_by_surprise", f"""WITH {CALLS} SELECT CASE WHEN y_market = y_true THEN 'expected' ELSE 'surprise' END AS event, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 6) AS accuracy FROM c WHERE y_market IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    kind = F.when(F.col("y_market").isNull(), None).when(F.col("y_market") == F.col("y_true"), "expected").otherwise("surprise")
+    return E.by_slice(calls(spark, d), "event", kind).withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query("f26_anova", " UNION ALL ".join(f"""SELECT '{c}' AS feature, round((sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 5) AS f
     FROM (SELECT l_returnflag, count(*) AS n, avg({c}) AS m, var_pop({c}) AS v, (SELECT avg({c}) FROM lineitem) AS g FROM lineitem GROUP BY 1)""" for c in ("l_quantity", "l_extendedprice")))
 def _(spark, d):
