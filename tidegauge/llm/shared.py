@@ -55,7 +55,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[p
 def in_byte_slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts, of the column at ``text``, have so many bytes, or one row."""
     for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.shared import in_slices, text_or_empty, written
+from tidegauge.llm.shared import in_byte_slices, in_slices, text_or_empty, written
 from tidegauge.llm.words import Remembered
 
 WORD = re.compile(r"[^\W_]+")
 HEADS = (4, 5)
 BLOCK = 64
-#: Documents scored at once.
+#: Most documents scored at once, and fewer where they are long.
 SLICE = 500
 #: Added to a neighbour's distance before it divides its vote; weight of the prior among the votes.
 NEAR, PRIOR = 0.05, 0.5
@@ -369,7 +369,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = shared.value
         known = _remembered(at)
-        for batch in in_slices(batches, SLICE):
+        for batch in in_byte_slices(in_slices(batches, SLICE), 1):
             best, who = index.neighbours(rows_of_texts(batch.column(1).to_pylist(), known, index.weight), k)
             score = index.score(index.votes(best, who))
             why = [[{"id": index.ids[j], "similarity": float(s), "toxic": int(index.toxic[j])} for s, j in zip(b, w, strict=True) if s > 0] for b, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist(), strict=True)]
@@ -389,7 +389,7 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = shared.value
         known = _remembered(at)
-        for batch in in_slices(batches, SLICE):
+        for batch in in_byte_slices(in_slices(batches, SLICE), column):
             rows = rows_of_texts([text or "" for text in batch.column(column).to_pylist()], known, index.weight)
             score = index.score(index.votes(*index.neighbours(rows, k)))
             yield batch.filter(pa.array(score < 0.5))
