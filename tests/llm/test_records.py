@@ -273,7 +273,7 @@ def test_neighbours_are_exact(monkeypatch, common):
     rng = np.random.default_rng(2)
     weight = rng.random(300) * np.where(rng.random(300) < 0.1, 50, 1)
     counts = [{int(t): int(rng.integers(1, 9)) for t in rng.choice(300, rng.integers(0, 40), replace=False)} for _ in range(500)]
-    index = toxicity.build_index(counts, [i % 3 == 0 for i in range(500)], list(range(500)), weight, 0.3, 7)
+    index = toxicity.build_index(toxicity.rows_of(counts, weight), [i % 3 == 0 for i in range(500)], list(range(500)), weight, 0.3, 7)
 
     def dense(row):
         v = np.zeros(300)

@@ -22,6 +22,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -242,13 +244,12 @@ def vocabulary(texts: DataFrame, sample: DataFrame) -> tuple[dict[str, int], np.
 
     every = texts.join(F.broadcast(sample.select("id", "hash", "toxic")), ["id", "hash"]).select("text", "toxic").mapInArrow(run, "term string, toxic int, around long").distinct()
     counts = every.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).filter("a + b >= 2")
-    found = counts.toPandas().sort_values("term")  # a row a term of the sample
-    total = found[found["term"] == ""]
-    if not len(total) or not total["a"].iloc[0] or not total["b"].iloc[0]:
+    found = counts.toArrow().sort_by("term")  # a row a term of the sample, that of the empty term, which counts the texts, first
+    if not found.num_rows or found["term"][0].as_py() or not found["a"][0].as_py() or not found["b"][0].as_py():
         return {}, np.zeros(0), 0.1
-    pos, neg = float(total["a"].iloc[0]), float(total["b"].iloc[0])
-    found = found[found["term"] != ""]
-    a, b = found["a"].to_numpy(), found["b"].to_numpy()
+    pos, neg = found["a"][0].as_py(), found["b"][0].as_py()
+    found = found.slice(1)
+    a, b = (found[c].to_numpy() for c in ("a", "b"))
 
     def part(x: np.ndarray, n: np.ndarray) -> np.ndarray:  # of one cell of the table of a term's presence
         x = np.maximum(x, 0)
@@ -256,16 +257,15 @@ def vocabulary(texts: DataFrame, sample: DataFrame) -> tuple[dict[str, int], np.
 
     rest = np.maximum(pos + neg - a - b, 0)
     ratio = 2 * (part(a, (a + b) * pos) + part(b, (a + b) * neg) + part(pos - a, rest * pos) + part(neg - b, rest * neg))
-    return {t: i for i, t in enumerate(found["term"])}, np.maximum(ratio, 0), pos / (pos + neg)
+    return {t: i for i, t in enumerate(found["term"].to_pylist())}, np.maximum(ratio, 0), pos / (pos + neg)
 
 
 def _remembered(at: dict[str, int]) -> Remembered:
     return Remembered(lambda w: tuple(at[t] for t in terms(w) if t in at), 300_000)
 
 
-def document_frequencies(texts: DataFrame, at: dict[str, int]) -> tuple[int, np.ndarray]:
-    """The number of texts, and how many of them have each term; tasks send on sums."""
-    shared = texts.sparkSession.sparkContext.broadcast(at)
+def document_frequencies(texts: DataFrame, shared: Broadcast, count: int) -> tuple[int, np.ndarray]:
+    """The number of texts, and how many of them have each of so many terms; tasks send on sums. shared: the terms with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, n = _remembered(shared.value), np.zeros(len(shared.value), np.int64), 0
@@ -277,30 +277,25 @@ def document_frequencies(texts: DataFrame, at: dict[str, int]) -> tuple[int, np.
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], n))], names=["t", "n"])
 
-    out, total = np.zeros(len(at)), 0
-    sums = texts.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # a row a term
-    for t, n in zip(sums["t"], sums["n"], strict=True):
-        if t < 0:
-            total = int(n)
-        else:
-            out[t] = n
-    return total, out
+    sums = texts.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    out = np.zeros(count + 1)
+    out[sums["t"].to_numpy()] = sums["n"].to_numpy()  # the number of texts is under -1, the last place
+    return int(out[-1]), out[:-1]
 
 
 #: Terms with the longest posting lists, which have dense rows.
 COMMON = 512
 
 
-def build_index(examples: list[dict], toxic: list[int], ids: list, weight: np.ndarray, rate: float, k: int) -> Index:
-    """examples: the counts of each one's terms."""
-    x = rows_of(examples, weight)
-    row = np.repeat(np.arange(len(examples)), np.diff(x.starts))
-    top = np.zeros(len(examples), np.int64)
+def build_index(x: Rows, toxic: list[int], ids: list, weight: np.ndarray, rate: float, k: int) -> Index:
+    """x: the examples' rows."""
+    row = np.repeat(np.arange(len(ids)), np.diff(x.starts))
+    top = np.zeros(len(ids), np.int64)
     if len(row):  # the heaviest term of each, by which like ones are put together
         by = np.lexsort((x.weights, row))
         last = x.starts[1:][np.diff(x.starts) > 0] - 1
         top[row[by][last]] = x.terms[by][last]
-    order = np.lexsort((np.arange(len(examples)), top, toxic)) if len(examples) else np.zeros(0, np.int64)
+    order = np.lexsort((np.arange(len(ids)), top, toxic)) if len(ids) else np.zeros(0, np.int64)
     x, y, ids = x.of(order), np.array(toxic, np.int64)[order], [ids[i] for i in order]
     row = np.repeat(np.arange(len(ids)), np.diff(x.starts))
     often = np.bincount(x.terms, minlength=len(weight))
@@ -317,7 +312,8 @@ def build_index(examples: list[dict], toxic: list[int], ids: list, weight: np.nd
     starts = np.concatenate([[0], np.cumsum(np.bincount(x.terms[by], minlength=len(weight)))]).astype(np.int64)
     index = Index(largest, dense, common, starts, row[by].astype(np.int32), x.weights[by], y, ids, rate, weight)
     if 0 < y.sum() < len(y):
-        votes = index.votes(*index.neighbours(x, k, np.arange(len(y))))
+        parts = [np.arange(at, min(at + BLOCK, len(y))) for at in range(0, len(y), BLOCK)]
+        votes = np.concatenate([index.votes(*index.neighbours(x.of(own), k, own)) for own in parts])
         share = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
         index.curve = fitted(_logit(votes), y, share)
     return index
@@ -332,11 +328,11 @@ def _learnt(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     texts = _texts(df, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     sample = written(labelled_sample(texts, labels, id_col, label_col, max_labelled), "sample")
     at, ratio, rate = vocabulary(texts, sample)
-    n, seen = document_frequencies(texts, at)
+    shared = df.sparkSession.sparkContext.broadcast(at)
+    n, seen = document_frequencies(texts, shared, len(at))
     weight = np.log((1 + n) / (1 + seen)) * ratio
     halves = [sample.filter(F.col("toxic") == y).orderBy(F.xxhash64("hash", F.lit(1)), "hash").limit(max_examples // 2) for y in (0, 1)]
     own = texts.join(F.broadcast(halves[0].unionByName(halves[1])), ["id", "hash"])
-    shared = df.sparkSession.sparkContext.broadcast(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _remembered(shared.value)
@@ -346,9 +342,11 @@ def _learnt(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=["id", "hash", "toxic", "terms", "counts"])
 
     schema = T.StructType([texts.schema["id"], T.StructField("hash", T.LongType()), T.StructField("toxic", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("terms", "counts"))])
-    rows = own.select("id", "hash", "toxic", "text").mapInArrow(run, schema).collect()  # at most max_examples, and their copies
-    rows = list({r["hash"]: r for r in sorted(rows, key=lambda r: (r["hash"], r["terms"], r["counts"]))}.values())
-    return at, build_index([dict(zip(r["terms"], r["counts"], strict=True)) for r in rows], [r["toxic"] for r in rows], [r["id"] for r in rows], weight, rate, k)
+    rows = own.select("id", "hash", "toxic", "text").mapInArrow(run, schema).dropDuplicates(["hash"]).toArrow().sort_by("hash").combine_chunks()  # max_examples
+    terms, counts = rows["terms"].combine_chunks(), rows["counts"].combine_chunks()
+    sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+    x = _unit(np.repeat(np.arange(len(sizes)), sizes), terms.flatten().to_numpy(), counts.flatten().to_numpy(), len(sizes), weight)
+    return at, build_index(x, rows["toxic"].to_pylist(), rows["id"].to_pylist(), weight, rate, k)
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 1024, evidence: int = 3) -> DataFrame:
