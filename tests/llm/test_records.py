@@ -300,9 +300,8 @@ def test_toxicity_is_brute_force_s(spark, sf):
     def found(text):
         out = {}
         for w in re.findall(r"[^\W_]+", text.lower()):
-            for t in {w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)}:
-                if t in at:
-                    out[at[t]] = out.get(at[t], 0) + 1
+            if w in at:
+                out[at[w]] = out.get(at[w], 0) + 1
         return out
 
     seen: dict = {}

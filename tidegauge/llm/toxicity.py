@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first letters of words. All terms that two labelled texts share make the vocabulary. A term's weight is its inverse
+Terms are words. All that two labelled texts share make the vocabulary. A term's weight is its inverse
 document frequency, counted over all documents, times the log-likelihood ratio by which it tells toxic examples from others. Labelled
 examples are indexed by term, in blocks of examples with the largest weight of each term in each block: a posting list a block for each term, and
 for the few terms with the longest lists a dense row. For a document, blocks are taken by descending upper bound of the cosine, and a document is
@@ -13,7 +13,6 @@ a hash of the text; at most ``max_examples`` of them, half of either label too,
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,10 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm.shared import in_byte_slices, in_slices, text_or_empty, written
-from tidegauge.llm.words import Remembered
 
 WORD = re.compile(r"[^\W_]+")
-HEADS = (4, 5)
 BLOCK = 64
 #: Most documents scored at once, and fewer where they are long.
 SLICE = 500
@@ -40,20 +37,6 @@ SLICE = 500
 NEAR, PRIOR = 0.05, 0.5
 
 
-def terms(word: str) -> tuple[str, ...]:
-    """A word and its first letters."""
-    return (word, *(f"{word[:n]}*" for n in HEADS if len(word) > n))
-
-
-def term_counts(text: str, known: dict) -> Counter:
-    """How often each known term occurs; known: from a word to the numbers of its terms."""
-    out: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        for t in known[word]:
-            out[t] += n
-    return out
-
-
 @dataclass
 class Rows:
     """Sparse rows: where each starts (and the last ends), and the terms and weights of all, in the order of terms."""
@@ -86,15 +69,14 @@ def rows_of(counts: list[dict], weight: np.ndarray) -> Rows:
     return _unit(np.repeat(np.arange(len(counts)), sizes), terms, n, len(counts), weight)
 
 
-def rows_of_texts(texts: list[str], known: dict, weight: np.ndarray) -> Rows:
-    """The same from texts."""
+def rows_of_texts(texts: list[str], at: dict[str, int], weight: np.ndarray) -> Rows:
+    """The same from texts; at: the terms with their numbers."""
     words = [Counter(WORD.findall(text.lower())) for text in texts]
-    of = [list(map(known.__getitem__, c)) for c in words]
-    sizes = np.fromiter((len(x) for own in of for x in own), np.int64)
-    terms = np.fromiter(itertools.chain.from_iterable(x for own in of for x in own), np.int64, sizes.sum())
-    n = np.repeat(np.fromiter((v for c in words for v in c.values()), np.int64, len(sizes)), sizes)
-    row = np.repeat(np.repeat(np.arange(len(texts)), [len(c) for c in words]), sizes)
-    return _unit(row, terms, n, len(texts), weight)
+    sizes = np.array([len(c) for c in words], np.int64)
+    terms = np.fromiter((at.get(w, -1) for c in words for w in c), np.int64, sizes.sum())
+    n = np.fromiter((v for c in words for v in c.values()), np.int64, sizes.sum())
+    known = terms >= 0
+    return _unit(np.repeat(np.arange(len(texts)), sizes)[known], terms[known], n[known], len(texts), weight)
 
 
 def _unit(row: np.ndarray, terms: np.ndarray, n: np.ndarray, count: int, weight: np.ndarray) -> Rows:
@@ -168,9 +150,11 @@ class Index:
         wanted = np.zeros(bound.shape, bool)
         np.put_along_axis(wanted, np.argsort(-bound, axis=1, kind="stable")[:, :2], True, axis=1)
         if bound.shape[1] > 2:
-            least = np.partition(scored(wanted), max(0, n - k), axis=1)[:, max(0, n - k)] if n >= k else np.zeros(count, np.float32)
-            wanted |= (bound > 0) & (bound >= least[:, None])
-        s = scored(wanted)
+            s = scored(wanted)
+            least = np.partition(s, max(0, n - k), axis=1)[:, max(0, n - k)] if n >= k else np.zeros(count, np.float32)
+            s += scored((bound > 0) & (bound >= least[:, None]) & ~wanted)
+        else:
+            s = scored(wanted)
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         best[:, : top.shape[1]] = np.take_along_axis(s, top, 1)
         who[:, : top.shape[1]] = top
@@ -236,9 +220,8 @@ def vocabulary(texts: DataFrame, sample: DataFrame) -> tuple[dict[str, int], np.
                 words = ["", *WORD.findall(cell.as_py().lower()), ""]
                 seen: dict[str, int] = {}
                 for before, word, after in zip(words, words[1:-1], words[2:], strict=False):
-                    for t in terms(word):
-                        if t not in seen:
-                            seen[t] = crc32(f"{before} {word} {after}".encode())
+                    if word not in seen:
+                        seen[word] = crc32(f"{before} {word} {after}".encode())
                 seen[""] = crc32(cell.as_py().encode())
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([toxic] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "around"])
 
@@ -260,20 +243,18 @@ def vocabulary(texts: DataFrame, sample: DataFrame) -> tuple[dict[str, int], np.
     return {t: i for i, t in enumerate(found["term"].to_pylist())}, np.maximum(ratio, 0), pos / (pos + neg)
 
 
-def _remembered(at: dict[str, int]) -> Remembered:
-    return Remembered(lambda w: tuple(at[t] for t in terms(w) if t in at), 300_000)
-
-
 def document_frequencies(texts: DataFrame, shared: Broadcast, count: int) -> tuple[int, np.ndarray]:
     """The number of texts, and how many of them have each of so many terms; tasks send on sums. shared: the terms with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, n = _remembered(shared.value), np.zeros(len(shared.value), np.int64), 0
+        at, n = shared.value, 0
+        seen = np.zeros(len(at) + 1, np.int64)
         for batch in batches:
             for cell in batch.column(0):
-                own = itertools.chain.from_iterable(map(known.__getitem__, set(WORD.findall(cell.as_py().lower()))))
-                seen[np.unique(np.fromiter(own, np.int64))] += 1
+                own = set(WORD.findall(cell.as_py().lower()))
+                seen[np.fromiter((at.get(w, -1) for w in own), np.int64, len(own))] += 1  # each once but for -1, which is no term
             n += batch.num_rows
+        seen[-1] = 0
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], n))], names=["t", "n"])
 
@@ -335,9 +316,9 @@ def _learnt(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     own = texts.join(F.broadcast(halves[0].unionByName(halves[1])), ["id", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _remembered(shared.value)
+        at = shared.value
         for batch in batches:
-            found = [sorted(term_counts(cell.as_py(), known).items()) for cell in batch.column(3)]
+            found = [sorted((at[w], n) for w, n in Counter(WORD.findall(cell.as_py().lower())).items() if w in at) for cell in batch.column(3)]
             arrays = [pa.array([[x[i] for x in row] for row in found], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=["id", "hash", "toxic", "terms", "counts"])
 
@@ -366,9 +347,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = shared.value
-        known = _remembered(at)
         for batch in in_byte_slices(in_slices(batches, SLICE), 1):
-            best, who = index.neighbours(rows_of_texts(batch.column(1).to_pylist(), known, index.weight), k)
+            best, who = index.neighbours(rows_of_texts(batch.column(1).to_pylist(), at, index.weight), k)
             score = index.score(index.votes(best, who))
             why = [[{"id": index.ids[j], "similarity": float(s), "toxic": int(index.toxic[j])} for s, j in zip(b, w, strict=True) if s > 0] for b, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist(), strict=True)]
             kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -386,9 +366,8 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = shared.value
-        known = _remembered(at)
         for batch in in_byte_slices(in_slices(batches, SLICE), column):
-            rows = rows_of_texts([text or "" for text in batch.column(column).to_pylist()], known, index.weight)
+            rows = rows_of_texts([text or "" for text in batch.column(column).to_pylist()], at, index.weight)
             score = index.score(index.votes(*index.neighbours(rows, k)))
             yield batch.filter(pa.array(score < 0.5))
 
