@@ -1,6 +1,6 @@
 """The numbered operators' queries by name, and DuckDB SQL for those that it can express."""
 
-from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, hyper_minhash, impact_topk, secrets, sentence_spans, tool_calls, toxicity, warc
+from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, hyper_minhash, impact_topk, importance, secrets, sentence_spans, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_warc_captures": warc.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_bpe_chunk_reuse": bpe_reuse.query,
     "op9_secret_scan": secrets.query,
     "op10_sentence_spans": sentence_spans.query,
+    "op11_importance_resampling": importance.query,
 }
 ORACLES = {"op1_warc_captures": warc.ORACLE, "op3_impact_topk": impact_topk.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
