@@ -1,6 +1,6 @@
 """The numbered operators' queries by name, and DuckDB SQL for those that it can express."""
 
-from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, hyper_minhash, impact_topk, importance, periodic, secrets, sentence_spans, tool_calls, toxicity, warc
+from tidegauge.llm import best_fit, bpe_reuse, exact_dedup, hyper_minhash, impact_topk, importance, language, periodic, secrets, sentence_spans, tool_calls, toxicity, warc
 
 QUERIES = {
     "op1_warc_captures": warc.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_sentence_spans": sentence_spans.query,
     "op11_importance_resampling": importance.query,
     "op12_periodic_runs": periodic.query,
+    "op13_language_id": language.query,
 }
 ORACLES = {"op1_warc_captures": warc.ORACLE, "op3_impact_topk": impact_topk.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
