@@ -1,6 +1,8 @@
 """Comparison of a Spark result with DuckDB's rows for the same tables."""
 
 import datetime
+import decimal
+import math
 import os
 
 import duckdb
@@ -22,15 +24,26 @@ def plain(x):
         return None
     if isinstance(x, (datetime.date, datetime.datetime)):
         return str(x)[:10]
-    return round(float(x), 4) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+    if hasattr(x, "tolist"):
+        return repr(x.tolist())
+    return float(x) if isinstance(x, (int, float, decimal.Decimal)) and not isinstance(x, bool) else x
 
 
 def rows(pdf):
+    """Rows as tuples, by what isn't a number first, so that numbers that differ in their last digits don't change the order."""
     pdf = pdf[sorted(pdf.columns)]
-    return sorted((tuple(map(plain, r)) for r in pdf.itertuples(index=False, name=None)), key=repr)
+    key = lambda r: ([repr(x) for x in r if not isinstance(x, float)], [round(x, 3) for x in r if isinstance(x, float)])
+    return sorted((tuple(map(plain, r)) for r in pdf.itertuples(index=False, name=None)), key=key)
+
+
+def alike(a, b):
+    """Equal, or numbers that differ by no more than a thousand millionth part."""
+    return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) if isinstance(a, float) and isinstance(b, float) else a == b
 
 
 def same(df, sql, sf_dir):
     got, want = df.toPandas(), connection(sf_dir).execute(sql).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
+    got, want = rows(got), rows(want)
+    assert len(got) == len(want)
+    assert [(a, b) for a, b in zip(got, want, strict=True) if not all(map(alike, a, b))][:3] == []

@@ -91,13 +91,13 @@ def _(spark, d):
 
 
 @query("j17_soft_vote_of_given", f"""WITH {CALLS}, v AS (SELECT entity, event_date, [(0.3 * p + 0.5) / 2, 0.3 * (1 - p) / 2 + 0.1, (0.7 + 0.3) / 2] AS x FROM c)
-    SELECT entity, event_date, round(x[1], 6) AS cut, round(x[2], 6) AS hike, CASE WHEN round(x[1], 9) >= round(x[2], 9) AND round(x[1], 9) >= round(x[3], 9) THEN 0.0 WHEN round(x[2], 9) >= round(x[3], 9) THEN 1.0 ELSE 2.0 END AS prediction FROM v""")
+    SELECT entity, event_date, round(x[1], 9) AS cut, round(x[2], 9) AS hike, CASE WHEN round(x[1], 9) >= round(x[2], 9) AND round(x[1], 9) >= round(x[3], 9) THEN 0.0 WHEN round(x[2], 9) >= round(x[3], 9) THEN 1.0 ELSE 2.0 END AS prediction FROM v""")
 def _(spark, d):
     rows = calls(spark, d).select("entity", "event_date", F.lit(0.0).alias("label"), "p")
     first = rows.withColumn("proba", F.array(0.3 * F.col("p"), 0.3 * (1 - F.col("p")), F.lit(0.7)))
     second = rows.withColumn("proba", F.array(F.lit(0.5), F.lit(0.2), F.lit(0.3)))
     out = learners.soft_vote([first, second], KEYS)
-    return out.select("entity", "event_date", *[F.round(F.get("proba", F.lit(i)), 6).alias(x) for i, x in enumerate(LABELS[:2])], "prediction")
+    return out.select("entity", "event_date", *[F.round(F.get("proba", F.lit(i)), 9).alias(x) for i, x in enumerate(LABELS[:2])], "prediction")
 
 
 @query("j19_selected_features")

@@ -9,17 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def workspace(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; where it is unset (tests), in a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session gets a folder of its own; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        root = _OWN[context.applicationId]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def write_frame(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
-    """df as Parquet, divided by columns if named, and read again."""
+    """df as Parquet, divided by columns if named, and read again with df's columns and types, so an empty table comes back as it was."""
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the workspace, read again: for frames that are read several times, or whose row numbers must stay."""
+    return write_frame(df, workspace(df.sparkSession, label))
 
 
 def append_log(df: DataFrame, path: str) -> None:
