@@ -224,8 +224,7 @@ def _(spark, d):
     SELECT bin, count(p) AS n, round(avg(p), 6) AS mean_pred, round(avg(CAST(y_true = 'hold' AS DOUBLE)) FILTER (p IS NOT NULL), 6) AS observed FROM e LEFT JOIN c ON p >= low AND (p < high OR high = 1.0) GROUP BY 1""")
 def _(spark, d):
     rows = calls(spark, d).withColumn("hit", (F.col("y_true") == "hold").cast("int"))
-    found = E.reliability(rows, "p", "hit", E.quantile_edges(rows, "p", 5))
-    return found.select("bin", "n", F.round("mean_pred", 6).alias("mean_pred"), F.round("observed", 6).alias("observed"))
+    return E.reliability(rows, "p", "hit", E.quantile_edges(rows, "p", 5)).select("bin", "n", F.round("mean_pred", 6).alias("mean_pred"), F.round("observed", 6).alias("observed"))
 
 
 @query("g1_stable_sort", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem")
