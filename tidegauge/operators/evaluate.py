@@ -148,7 +148,11 @@ def associations(df: DataFrame, features: list[str], target: str) -> DataFrame:
     them; so a feature of few values is ranked from a few counts.
     """
     rows = df.select(F.col(f"`{target}`").cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).filter("_y is not null")
-    told = lambda c: (F.count(c), F.corr(c, "_y"), (F.min(c) < F.max(c)) & (F.min(F.when(F.col(c).isNotNull(), F.col("_y"))) < F.max(F.when(F.col(c).isNotNull(), F.col("_y")))))
+
+    def told(c: str) -> tuple[Column, ...]:
+        y = F.when(F.col(c).isNotNull(), F.col("_y"))
+        return F.count(c), ratio(F.covar_pop(c, "_y"), F.stddev_pop(c) * F.stddev_pop(y)), (F.min(c) < F.max(c)) & (F.min(y) < F.max(y))
+
     row = rows.agg(F.count(F.lit(1)).alias("_n"), *[x.alias(f"{c}{i}") for c in features for i, x in enumerate(told(c))]).head()
     full = [c for c in features if row[f"{c}0"] == row["_n"]]
     rest = [c for c in features if c not in full and row[f"{c}0"]]
