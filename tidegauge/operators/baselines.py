@@ -57,6 +57,60 @@ def expanding_line(p, x: str, y: str, least: int = 3) -> tuple[Column, Column]:
     return slope, ratio(sy - slope * sx, n.cast("double"))
 
 
+#: How far a value may stand from the previous one and still be held.
+HELD_WITHIN = 0.125
+
+
+def given_rule(xs: dict[str, float], intercept: float) -> Column:
+    """A linear rule with fixed coefficients by column; null where a column is."""
+    return sum((F.col(c) * b for c, b in xs.items()), F.lit(float(intercept)))
+
+
+def direction(value: Column, previous: Column, within: float = HELD_WITHIN) -> Column:
+    """hike or cut where a value is further than that above or below the previous one, else hold; null where either is."""
+    delta = value - previous
+    return F.when(delta > within, "hike").when(delta < -within, "cut").when(delta.isNotNull(), "hold")
+
+
+def policy_rule(df: DataFrame, p, xs: list[str], y: str, weight: str | None = None, least: int | None = None) -> DataFrame:
+    """df with intercept, slope_<x> for each regressor and prescribed: (weighted) least squares on all earlier rows of the entity, applied to the row's own regressors.
+
+    Rows where a regressor, y or the weight is null, or the weight is not positive, are not learnt from; with fewer than ``least`` of them (one more than the
+    regressors, unless given), or where the regressors hang together (a pivot below 1e-10 of its sum of squares), all are null. Sums of cross-products run
+    over a window, about the entity's first usable row so that they stay small, and the normal equations are solved by elimination in projections.
+    """
+    least = least or len(xs) + 1
+    w = p.window.rowsBetween(Window.unboundedPreceding, -1)
+    ever = Window.partitionBy(*p.entity).orderBy(*p.order).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    good = F.lit(True)
+    for c in (*xs, y):
+        good = good & F.col(c).isNotNull()
+    rows = df.withColumn("_g", good & F.coalesce(own > 0, F.lit(False)))
+    rows = rows.withColumns({f"_o{i}": F.first(F.when(F.col("_g"), F.col(c).cast("double")), ignorenulls=True).over(ever) for i, c in enumerate((*xs, y))})
+    k = len(xs)
+    z = [F.col(c).cast("double") - F.col(f"_o{i}") for i, c in enumerate((*xs, y))]
+    sums = {"_n": F.count(F.when(F.col("_g"), 1)).over(w), "_w": F.sum(F.when(F.col("_g"), own)).over(w)}
+    sums |= {f"_s{i}": F.sum(F.when(F.col("_g"), own * z[i])).over(w) for i in range(k + 1)}
+    sums |= {f"_p{i}_{j}": F.sum(F.when(F.col("_g"), own * z[i] * z[j])).over(w) for i in range(k) for j in range(i, k + 1)}
+    rows = rows.withColumns(sums)
+    # about the means: what is left of the cross-products
+    rows = rows.withColumns({f"_a{i}_{j}": F.col(f"_p{i}_{j}") - ratio(F.col(f"_s{i}") * F.col(f"_s{j}"), F.col("_w")) for i in range(k) for j in range(i, k + 1)})
+    rows = rows.withColumns({f"_d{i}": F.col(f"_a{i}_{i}") for i in range(k)})
+    for i in range(k):  # elimination of the symmetric matrix, each step a projection
+        pivot = F.when(F.col(f"_a{i}_{i}") > 1e-10 * F.col(f"_d{i}"), F.col(f"_a{i}_{i}"))
+        rows = rows.withColumns({f"_a{m}_{j}": F.col(f"_a{m}_{j}") - F.col(f"_a{i}_{m}") * F.col(f"_a{i}_{j}") / pivot for m in range(i + 1, k) for j in range(m, k + 1)} | {f"_v{i}": pivot})
+    enough = F.col("_n") >= least
+    for i in range(k - 1, -1, -1):
+        rest = sum((F.col(f"_a{i}_{j}") * F.col(f"slope_{xs[j]}") for j in range(i + 1, k)), F.lit(0.0))
+        rows = rows.withColumn(f"slope_{xs[i]}", F.when(enough, (F.col(f"_a{i}_{k}") - rest) / F.col(f"_v{i}")))
+    mean = lambda i: F.col(f"_o{i}") + ratio(F.col(f"_s{i}"), F.col("_w"))
+    intercept = mean(k) - sum((F.col(f"slope_{x}") * mean(i) for i, x in enumerate(xs)), F.lit(0.0))
+    rows = rows.withColumn("intercept", F.when(enough, intercept))
+    told = sum((F.col(f"slope_{x}") * F.col(x) for x in xs), F.col("intercept"))
+    return rows.select(*df.columns, "intercept", *[f"slope_{x}" for x in xs], told.alias("prescribed"))
+
+
 def implied_probabilities(delta: Column, step: float = 0.25) -> dict[str, Column]:
     """cut, hike and hold shares that an implied change leaves: what of a whole step it covers."""
     clip = lambda c: F.least(F.greatest(c / step, F.lit(0.0)), F.lit(1.0))

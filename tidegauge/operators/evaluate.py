@@ -82,9 +82,8 @@ def bundle(df: DataFrame, labels: list[str], by: list[str], proba: dict[str, Col
     if proba:
         own = F.coalesce(*[F.when(true == v, c) for v, c in proba.items()])
         scores = [log_loss(own).alias("log_loss"), brier(proba).alias("brier")]
-    first = ",".join(map(str, sets[0]))
     table = df.groupingSets([[F.col(c) for c in x] for x in sets], *by).agg(F.count(F.lit(1)).alias("n"), F.avg((true == called).cast("double")).alias("accuracy"), *cells, *scores, F.grouping_id(*by).alias("_set"))
-    whole = sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in first.split(","))
+    whole = sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in sets[0])
     of = lambda i: (F.col(f"_tp{i}"), F.col(f"_fn{i}"), F.col(f"_fp{i}"))
     recalls = F.array_compact(F.array(*[F.try_divide(tp, tp + fn) for tp, fn, _ in map(of, range(len(labels)))]))
     recall = F.when(F.size(recalls) > 0, F.aggregate(recalls, F.lit(0.0), lambda x, v: x + v) / F.size(recalls))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import baselines as B
 from tidegauge.operators import evaluate as E
 from tidegauge.operators import quality
+from tidegauge.operators.tiles import fold_statistics
 from tidegauge.plans.base import CALLS, LABELS, ORDERS, PANEL, W, calls, orders, query, table
 
 EDGES = [i / 10 for i in range(10)] + [1.0]
@@ -194,9 +195,9 @@ def _(spark, d):
 @query("d11_fold_members", f"""WITH {_FOLDS}, p AS (SELECT entity, value, row_number() OVER {W} - 1 AS pos FROM o)
     SELECT entity, fold, CAST(pos >= test_lo AS INTEGER) AS is_test, count(*) AS n, round(avg(value), 4) AS mean_value FROM p JOIN f USING (entity) WHERE pos < test_lo + 2 GROUP BY 1, 2, 3""")
 def _(spark, d):
-    o = orders(spark, d)
-    rows = B.members(B.positions(o, ["entity"], ["event_date"]), B.folds(o, ["entity"], 5, 2, 2), ["entity"])
-    return rows.groupBy("entity", "fold", "is_test").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
+    o = orders(spark, d).select("entity", "event_date", "value")
+    found = fold_statistics(o, PANEL, B.folds(o, ["entity"], 5, 2, 2), ["value"])
+    return found.select("entity", "fold", "is_test", "n", F.round("value_mean", 4).alias("mean_value"))
 
 
 _GRID = [0.5, 1.0, 2.0]
