@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import lexicon as L
 from tidegauge.operators import quality
 from tidegauge.plans.base import EVENTS, events, query, table
-from tidegauge.sources import ingest
+from tidegauge.sources import ingest, sinks
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 #: A lexicon of all words of the table ``benchmark``: a word is in the first category of its length's remainder, and if it starts with a vowel also in the next.
@@ -31,6 +31,19 @@ def _(spark, d):
     return ingest.wide_to_long(wide, "Title", {"P": "price", "C": "customer"}, "dd/MM/yyyy", "yyyy-MM-dd")
 
 
+@query("a2_wide_folder", """SELECT CASE WHEN y % 2 = 0 THEN s || '' ELSE 'odd_' || s END AS series_id, observation_date, value FROM (SELECT year(o_orderdate) AS y, 'price' AS s, CAST(o_orderdate AS DATE) AS observation_date, o_totalprice AS value FROM orders
+    UNION ALL SELECT year(o_orderdate), 'customer', CAST(o_orderdate AS DATE), CASE WHEN o_custkey % 4 > 0 THEN CAST(o_custkey AS DOUBLE) END FROM orders) WHERE value IS NOT NULL""")
+def _(spark, d):
+    """A folder with a file a year: titles, a row of ids, and columns whose order and names differ from file to file."""
+    rows = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), F.date_format("o_orderdate", "d/MM/yyyy").alias("t"), F.col("o_totalprice").cast("string").alias("p"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey").cast("string")).otherwise("n/a").alias("c"))
+    even = F.col("y") % 2 == 0
+    data = rows.select("y", F.when(even, F.concat_ws(",", "t", "p", "c")).otherwise(F.concat_ws(",", "t", "c", F.lit('"a, ""b"""'), "p")).alias("line"))
+    heads = rows.select("y").distinct().select("y", F.explode(F.when(even, F.array(F.lit('Title,"Prices, all",Customers'), F.lit("Series ID,price,customer"))).otherwise(F.array(F.lit("Title,Customers,,Prices"), F.lit("Series ID, odd_customer ,,odd_price")))).alias("line"))
+    path = sinks.workspace(spark, "folder")
+    heads.unionByName(data).repartition("y").write.partitionBy("y").text(path)
+    return ingest.read_wide_csvs(spark, path).drop("file")
+
+
 @query("a4_sdmx", """SELECT CAST(user_id AS VARCHAR) AS series_id, ['p0', 'p1', 'p2', 'p3', 'p4'][1 + event_id % 5] AS period, CAST(round(value, 3) AS DOUBLE) AS value FROM events WHERE event_id % 6 < 5""")
 def _(spark, d):
     key = F.concat(F.lit("0:0:"), (F.col("event_id") % F.when(F.col("event_id") % 6 < 5, 5).otherwise(1)).cast("string"))
