@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.baselines import best_weights, tuned_weights, weighted_choice
 from tidegauge.operators.evaluate import log_loss
+from tidegauge.operators.features import Panel
+from tidegauge.sources.sinks import written
 
 SEED = 12
 
@@ -39,20 +44,51 @@ def predicted(fitted: PipelineModel, test: DataFrame, keys: list[str]) -> DataFr
     return out.select(*keys, F.col("label").cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"), proba.alias("proba"))
 
 
-def walk_forward(df: DataFrame, folds: Iterable[tuple], at: str, build: Callable[..., Pipeline], keys: list[str], choose: Callable[[DataFrame], list[str]] | None = None) -> DataFrame:
+#: What readies a fold's training and test rows, learnt on the training rows alone.
+Prepare = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def fold_predictions(df: DataFrame, fold: tuple, k: int, at: str, build: Callable[..., Pipeline], keys: list[str], choose: Callable[[DataFrame], list[str]] | None = None, prepare: Prepare | None = None) -> DataFrame:
+    """Predictions of one fold, (start, end) of ``at``, end exclusive, by a fit on the rows before it."""
+    start, end = fold
+    train, test = df.filter(F.col(at) < F.lit(start)), df.filter((F.col(at) >= F.lit(start)) & (F.col(at) < F.lit(end)))
+    if prepare:
+        train, test = prepare(train, test)
+    fitted = build(*([choose(train)] if choose else [])).fit(train)
+    return predicted(fitted, test, keys).withColumn("fold", F.lit(k))
+
+
+def walk_forward(df: DataFrame, folds: Iterable[tuple], at: str, build: Callable[..., Pipeline], keys: list[str], choose: Callable[[DataFrame], list[str]] | None = None, prepare: Prepare | None = None) -> DataFrame:
     """Predictions of every fold, each by a fresh fit on rows before it; folds: (start, end) of ``at``, end exclusive.
 
-    choose: selects features on the fold's own training rows, and build takes them.
+    choose: selects features on the fold's own training rows, and build takes them. prepare: see :func:`forward_fills`.
     """
     out = None
-    for k, (start, end) in enumerate(folds):
-        train = df.filter(F.col(at) < F.lit(start))
-        fitted = build(*([choose(train)] if choose else [])).fit(train)
-        own = predicted(fitted, df.filter((F.col(at) >= F.lit(start)) & (F.col(at) < F.lit(end))), keys).withColumn("fold", F.lit(k))
+    for k, fold in enumerate(folds):
+        own = fold_predictions(df, fold, k, at, build, keys, choose, prepare)
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def forward_fills(p: Panel, columns: list[str]) -> Prepare:
+    """A prepare that fills nulls of columns forward within the training rows and within the test rows, before the first value with the entity's last training value, else with 0.
+
+    Test rows never fill training rows; entities without training rows have no carry.
+    """
+
+    def prepare(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+        place = F.struct(*p.order)
+        carry = train.groupBy(*p.entity).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_carry_{i}") for i, c in enumerate(columns)])
+        out = []
+        for rows in (train, test):
+            joined = rows.join(carry, [*p.entity], "left")
+            fill = {c: F.coalesce(F.last(c, ignorenulls=True).over(p.so_far), f"_carry_{i}", F.lit(0.0)) for i, c in enumerate(columns)}
+            out.append(joined.withColumns(fill).select(*rows.columns))
+        return out[0], out[1]
+
+    return prepare
+
+
 def holdout_folds(df: DataFrame, at: str, since, months: int) -> list[tuple]:
     """(start, end) from a day on to the last row's, so many months each: a fresh fit for each on all rows before it. As few as the held-out span has periods."""
     last = df.agg(F.max(at).alias("d")).head()["d"]
@@ -72,6 +108,36 @@ def grid(kind: str, features: list[str], n_classes: int, params: dict[str, list]
     return {",".join([kind, *(f"{x}={v}" for x, v in zip(names, p, strict=True))]): (lambda p=p: model(kind, features, n_classes, **dict(zip(names, p, strict=True)))) for p in points}
 
 
+def sampled(kind: str, features: list[str], n_classes: int, space: dict[str, list | tuple], trials: int, seed: int = SEED) -> dict[str, Callable[[], Pipeline]]:
+    """So many candidates with parameters drawn at random, the same for the same seed. space: by name a list to choose from, or (low, high), or (low, high, "log") for a
+    draw between; whole numbers if both ends are. Draws that come twice are one candidate."""
+    rng, out = random.Random(seed), {}
+
+    def draw(of):
+        if isinstance(of, list):
+            return rng.choice(of)
+        low, high, *how = of
+        v = math.exp(rng.uniform(math.log(low), math.log(high))) if how else rng.uniform(low, high)
+        return min(high, max(low, round(v))) if isinstance(low, int) and isinstance(high, int) else v
+
+    for _ in range(trials):
+        own = {x: draw(space[x]) for x in sorted(space)}
+        name = ",".join([kind, *(f"{x}={v:.6g}" if isinstance(v, float) else f"{x}={v}" for x, v in own.items())])
+        out.setdefault(name, lambda own=own: model(kind, features, n_classes, **own))
+    return out
+
+
+def at_once(spark, jobs: list[Callable], most: int = 4) -> list:
+    """The results of jobs that run side by side, each in a scheduler pool of its own, so that small fits share the cluster. Errors of any are raised."""
+
+    def run(k: int, job: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{k % most}")
+        return job()
+
+    with ThreadPoolExecutor(max_workers=most) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), k, job) for k, job in enumerate(jobs)]]
+
+
 def campaign(df: DataFrame, folds: list[tuple], at: str, members: dict[str, dict[str, Callable[[], Pipeline]]], keys: list[str], labels: list[str], steps: list[float]) -> DataFrame:
     """(model, candidate, fold, keys, y_true, y_pred, weighted, proba): every model tuned by log-loss over the folds, its best candidate's out-of-fold
     probabilities, and the labels chosen with class weights that are tuned on them by balanced accuracy.
@@ -92,17 +158,33 @@ def campaign(df: DataFrame, folds: list[tuple], at: str, members: dict[str, dict
     return out
 
 
-def search(df: DataFrame, folds: list[tuple], at: str, candidates: dict[str, Callable[[], Pipeline]], keys: list[str]) -> DataFrame:
-    """(candidate, accuracy, balanced_accuracy, log_loss), best first: by log-loss (the mean over folds; last where a learner has no probabilities), then
-    balanced accuracy. Out-of-fold scores of a grid or a sample of parameters."""
-    out = None
-    for name, build in candidates.items():
-        own = walk_forward(df, folds, at, build, keys).withColumn("candidate", F.lit(name))
-        out = own if out is None else out.unionByName(own)
-    recall = out.groupBy("candidate", "label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))
+def scored(predictions: DataFrame) -> DataFrame:
+    """(candidate, folds, accuracy, balanced_accuracy, log_loss) of predictions by candidate and fold: log-loss is the mean over folds, the others pool all rows."""
+    recall = predictions.groupBy("candidate", "label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))
     table = recall.groupBy("candidate").agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("accuracy"), F.avg("r").alias("balanced_accuracy"))
-    loss = out.groupBy("candidate", "fold").agg(log_loss(F.get("proba", F.col("label").cast("int"))).alias("l")).groupBy("candidate").agg(F.avg("l").alias("log_loss"))
-    return table.join(F.broadcast(loss), "candidate").orderBy(F.asc_nulls_last("log_loss"), F.desc("balanced_accuracy"), "candidate")
+    loss = predictions.groupBy("candidate", "fold").agg(log_loss(F.get("proba", F.col("label").cast("int"))).alias("l")).groupBy("candidate").agg(F.count(F.lit(1)).alias("folds"), F.avg("l").alias("log_loss"))
+    return table.join(F.broadcast(loss), "candidate").select("candidate", "folds", "accuracy", "balanced_accuracy", "log_loss")
+
+
+BEST_FIRST = (F.desc, "folds"), (F.asc_nulls_last, "log_loss"), (F.desc, "balanced_accuracy"), (F.asc, "candidate")
+
+
+def search(df: DataFrame, folds: list[tuple], at: str, candidates: dict[str, Callable[[], Pipeline]], keys: list[str], keep: float = 1.0, most: int = 4) -> DataFrame:
+    """(candidate, folds, accuracy, balanced_accuracy, log_loss), best first: those that were tried on most folds, by log-loss (the mean over folds; last where a learner has no
+    probabilities), then balanced accuracy. Out-of-fold scores of a grid or a sample of parameters.
+
+    keep: after each fold only that share of the candidates, by the same order over the folds so far, goes on to the next (successive halving); one at least. Candidates
+    of a fold are fitted side by side, ``most`` at a time. Predictions of a fold are written once, so no fit is done twice.
+    """
+    spark, left, done = df.sparkSession, list(candidates), None
+    for k, fold in enumerate(folds):
+        jobs = [lambda name=name: written(fold_predictions(df, fold, k, at, candidates[name], keys).withColumn("candidate", F.lit(name)), "trial") for name in left]
+        for own in at_once(spark, jobs, most):
+            done = own if done is None else done.unionByName(own)
+        if keep < 1 and k + 1 < len(folds):
+            table = scored(done.filter(F.col("candidate").isin(left))).orderBy(*[how(c) for how, c in BEST_FIRST])
+            left = [r["candidate"] for r in table.limit(max(1, math.ceil(keep * len(left)))).collect()]  # names of candidates
+    return scored(done).orderBy(*[how(c) for how, c in BEST_FIRST])
 
 
 def aligned(proba: str, labels: list, every: list):
@@ -131,45 +213,6 @@ def stacked(members: dict[str, DataFrame], keys: list[str], n_classes: int) -> D
     return out
 
 
-def near_rows(df: DataFrame, label: str, key: str, x: str, width: int, neighbours: int, projections: int = 3, ranges: int = 64) -> DataFrame:
-    """(label, key, x, near): for each row up to so many near rows of its class, nearest first, as (distance, key, x); approximate, linear in the rows.
-
-    Rows are sorted along random projections, in ranges bounded by their quantiles, and those that stand next to a row are its candidates.
-    """
-    rng = random.Random(SEED)
-    found = None
-    for _ in range(projections):
-        way = [rng.gauss(0, 1) for _ in range(width)]
-        along = F.aggregate(F.zip_with(x, F.array(*map(F.lit, way)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        rows = df.select(label, key, x, along.alias("p"))
-        bounds = rows.approxQuantile("p", [i / ranges for i in range(1, ranges)], 0.002)
-        own = rows.withColumn("range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda e: e < F.col("p"))))
-        beside = Window.partitionBy(label, "range").orderBy("p", key).rowsBetween(-neighbours, neighbours)
-        own = own.select(label, key, x, F.collect_list(F.struct(F.col(key).alias("k"), F.col(x).alias("v"))).over(beside).alias("c"))
-        found = own if found is None else found.unionByName(own)
-    together = found.groupBy(label, key).agg(F.first(x).alias(x), F.array_distinct(F.flatten(F.collect_list("c"))).alias("c"))
-    away = lambda v: F.sqrt(F.aggregate(F.zip_with(x, v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
-    told = F.transform(F.filter("c", lambda c: c["k"] != F.col(key)), lambda c: F.struct(away(c["v"]).alias("distance"), c["k"].alias("k"), c["v"].alias("v")))
-    return together.select(label, key, x, F.slice(F.array_sort(told), 1, neighbours).alias("near"))
-
-
-def oversampled(df: DataFrame, features: list[str], label: str, key: str, neighbours: int = 5) -> DataFrame:
-    """df's rows and interpolations between minority rows and near rows of their class, about as many as the largest class lacks; see :func:`near_rows`.
-
-    Classes of fewer than two rows are left as they are. ``key`` is unique.
-    """
-    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    want = per.crossJoin(F.broadcast(per.agg(F.max("n").alias("top")))).filter("n < top and n > 1").select(label, "n", "top")
-    small = df.join(F.broadcast(want), label).select(label, key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    near = near_rows(small, label, key, "x", len(features), neighbours).filter(F.size("near") > 0).join(F.broadcast(want), label)
-    times = F.ceil((F.col("top") - F.col("n")) / F.col("n")).cast("int")
-    copies = near.withColumn("k", F.explode(F.sequence(F.lit(1), times))).withColumn("u", F.rand(SEED))
-    other = F.get("near", F.pmod(F.col("k"), F.size("near")))["v"]
-    made = copies.select(label, F.zip_with("x", other, lambda a, b: a + F.col("u") * (b - a)).alias("x"))
-    made = made.select(label, *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(features)], F.lit(1).alias("is_made"))
-    return df.select(label, *features, F.lit(0).alias("is_made")).unionByName(made)
-
-
 def selected(df: DataFrame, features: list[str], target: str, k: int) -> list[str]:
     """The k features with the largest absolute correlation with the target, ties by name."""
     y = F.col(target).cast("double")

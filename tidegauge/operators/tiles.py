@@ -160,3 +160,28 @@ def fold_statistics(df: DataFrame, p: Panel, fold_table: DataFrame, values: list
         n, mean = F.col(f"{v}_n"), F.try_divide(F.col(f"{v}_s"), F.col(f"{v}_n"))
         out += [n, (mean + F.col(shift[v])).alias(f"{v}_mean"), F.when(n > 1, F.greatest(F.col(f"{v}_q") - n * mean * mean, F.lit(0.0)) / (n - 1)).alias(f"{v}_var")]
     return told.select(*p.entity, "fold", "is_test", "n", *out, *[f"{c}_{x}" for c, every in labels.items() for x in every])
+
+
+def carry_by_fold(df: DataFrame, p: Panel, column: str, fold_table: DataFrame, size: int = 100_000, rows_a_range: int | None = None) -> DataFrame:
+    """entity, fold, carry: the last known training value of each fold, null without one; only rows of its own training part count, never test rows.
+
+    One row a fold is joined to the row before its border, which knows the last value up to it and where that stood; rows and folds aren't multiplied.
+    """
+    seen = df.withColumn("_seen", F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"))))
+    tiled = Tiled.of(seen, p, size, rows_a_range)
+    placed = replace(tiled, table=tiled.table.withColumn("_seen", F.when(F.col("_seen").isNotNull(), F.struct(F.col(column).alias("v"), F.col(POSITION).alias("at")))))
+    last = placed.last_known("_seen", "_last").table.select(*p.entity, (F.col(POSITION) + 1).alias("train_hi"), "_last")
+    found = fold_table.select(*p.entity, "fold", "train_lo", "train_hi").join(last, [*p.entity, "train_hi"], "left")
+    return found.select(*p.entity, "fold", F.when(F.col("_last.at") >= F.col("train_lo"), F.col("_last.v")).alias("carry"))
+
+
+def filled_in_folds(df: DataFrame, p: Panel, column: str, fold_table: DataFrame, name: str, size: int = 100_000, rows_a_range: int | None = None) -> DataFrame:
+    """entity, fold, the panel's order and name for every test row of every fold: its last value within the fold's test rows, before the first one the fold's carry, else zero.
+
+    Test rows are dealt to their folds by position; they overlap as far as folds do.
+    """
+    carry = carry_by_fold(df, p, column, fold_table, size, rows_a_range)
+    rows = positioned(df, p, rows_a_range)
+    tests = fold_table.select(*p.entity, "fold", F.explode(F.sequence(F.col("test_lo"), F.col("test_hi") - 1)).alias(POSITION)).join(rows, [*p.entity, POSITION]).join(carry, [*p.entity, "fold"])
+    w = Window.partitionBy(*p.entity, "fold").orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
+    return tests.select(*p.entity, "fold", *p.order, F.coalesce(F.last(column, ignorenulls=True).over(w), "carry", F.lit(0.0)).alias(name))

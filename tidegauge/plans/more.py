@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidegauge.operators import baselines as B
-from tidegauge.operators import calendars, features, learners, quality, targets
+from tidegauge.operators import calendars, features, learners, neighbours, quality, targets
 from tidegauge.plans.base import CALLS, LABELS, ORDERS, PANEL, W, calls, orders, query, table
 from tidegauge.sources import ingest, sinks
 
@@ -223,13 +223,14 @@ def _(spark, d):
     return _summary(learners.walk_forward(base, FOLDS[1:], "event_date", lambda: learners.model("logistic", own, 3), KEYS), "fold")
 
 
-@query("j20_oversampled")
+@query("j20_oversampled", """WITH k AS (SELECT CAST(label % 3 = 0 AS INTEGER) AS label, count(*) AS n FROM embeddings GROUP BY 1), t AS (SELECT *, max(n) OVER () AS top FROM k)
+    SELECT label, 0 AS is_made, n FROM t UNION ALL SELECT label, 1, n * CAST(ceil((top - n) / n) AS BIGINT) FROM t WHERE n < top AND n > 1""")
 def _(spark, d):
     rows = table(spark, d, "embeddings")
     width = rows.agg(F.max(F.size("embedding")).alias("w")).head()["w"] or 0
     x = [F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"x{i}") for i in range(width)]
     rows = rows.select("vec_id", (F.col("label") % 3 == 0).cast("int").alias("label"), *x)
-    return learners.oversampled(rows, [f"x{i}" for i in range(width)], "label", "vec_id").groupBy("label", "is_made").agg(F.count(F.lit(1)).alias("n"))
+    return neighbours.oversampled(rows, [f"x{i}" for i in range(width)], "label", "vec_id").groupBy("label", "is_made").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c13_next_event", f"SELECT o_custkey AS entity, min({DAY}) AS next_day FROM orders WHERE {DAY} > DATE '1998-01-01' GROUP BY 1")

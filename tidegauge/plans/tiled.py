@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import baselines as B
 from tidegauge.operators import features
-from tidegauge.operators.tiles import Tiled, fold_statistics
+from tidegauge.operators.tiles import Tiled, carry_by_fold, filled_in_folds, fold_statistics
 from tidegauge.plans.base import CALLS, LABELS, ORDERS, PANEL, W, calls, orders, query
 from tidegauge.plans.panel import _roll_sql
 from tidegauge.plans.scoring import _FOLDS
@@ -86,3 +86,25 @@ def _(spark, d):
     rows = orders(spark, d).select("entity", "event_date", F.lag("value").over(PANEL.window).alias("before"), *features.since_previous(PANEL, "event_date", "value")[:1])
     rule = B.given_rule({"before": 0.9, "gap_days": 120.0}, 1000.0)
     return rows.select("entity", "event_date", F.round(rule, 4).alias("prescribed"), B.direction(rule, F.col("before"), 5000.0).alias("call"))
+
+
+_GAPS = f"""{_FOLDS}, g AS (SELECT entity, event_date, CASE WHEN value > 150000 THEN value END AS v, row_number() OVER {W} - 1 AS pos FROM o),
+    k AS (SELECT f.entity, fold, test_lo, arg_max(v, pos) FILTER (v IS NOT NULL) AS carry FROM f JOIN g ON g.entity = f.entity AND pos >= test_lo - 6 AND pos < test_lo GROUP BY 1, 2, 3)"""
+
+
+def _with_gaps(spark, d):
+    rows = orders(spark, d).select("entity", "event_date", F.when(F.col("value") > 150000, F.col("value")).alias("v"))
+    return rows, B.folds(rows, ["entity"], 5, 2, 2, rolling=6)
+
+
+@query("e13_carry_by_fold", f"WITH {_GAPS} SELECT entity, fold, carry FROM k")
+def _(spark, d):
+    rows, folds = _with_gaps(spark, d)
+    return carry_by_fold(rows, PANEL, "v", folds, SIZE, 20_000)
+
+
+@query("e13_filled_in_folds", f"""WITH {_GAPS} SELECT k.entity, fold, event_date, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY k.entity, fold ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), carry, 0) AS filled
+    FROM k JOIN g ON g.entity = k.entity AND pos >= test_lo AND pos < test_lo + 2""")
+def _(spark, d):
+    rows, folds = _with_gaps(spark, d)
+    return filled_in_folds(rows, PANEL, "v", folds, "filled", SIZE, 20_000)
