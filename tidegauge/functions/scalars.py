@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,23 @@ def era(d: Column, start, end) -> Column:
     if end is not None:
         inside = inside & (d < F.lit(end).cast("date"))
     return inside.cast("int")
+
+
+def window(d: Column, start, end) -> Column:
+    """1 within [start, end], both days included, else 0."""
+    return d.between(F.lit(start).cast("date"), F.lit(end).cast("date")).cast("int")
+
+
+def regimes(d: Column, eras: dict[str, tuple], windows: dict[str, tuple], since: dict[str, object]) -> list[Column]:
+    """regime_<name> flags: eras are half-open and may be open-ended, windows include both ends, and since (a change of cadence) holds from a day on. Null days have no flag set."""
+    own = {k: era(d, *v) for k, v in eras.items()} | {k: window(d, *v) for k, v in windows.items()} | {k: era(d, v, None) for k, v in since.items()}
+    return [F.coalesce(c, F.lit(0)).alias(f"regime_{k}") for k, c in own.items()]
+
+
+def regimes_by_table(df: DataFrame, day: str, table: DataFrame, names: list[str]) -> DataFrame:
+    """df with regime_<name> by a small table (name, since, until, closed): since and until may be null (open); until is included where closed is true. A regime may have several rows."""
+    spans = table.filter(F.col("name").isin(names)).agg(F.collect_list(F.struct("name", "since", "until", "closed")).alias("_spans"))  # one row
+    d = F.col(day)
+    open_ = lambda r: (r["since"].isNull() | (d >= r["since"])) & (r["until"].isNull() | (d < r["until"]) | (r["closed"] & (d == r["until"])))
+    flags = [F.exists(F.filter("_spans", lambda r: r["name"] == name), lambda r: F.coalesce(open_(r), F.lit(False))).cast("int").alias(f"regime_{name}") for name in names]
+    return df.crossJoin(F.broadcast(spans)).select(*df.columns, *flags)

@@ -72,14 +72,20 @@ def as_of(spine: DataFrame, obs: DataFrame, keys: list[str], at: str = "event_da
 
 
 def assemble_wide(spine: DataFrame, obs: DataFrame, entity: list[str], series: list[str], at: str = "event_date") -> DataFrame:
-    """One row an event: <series>, <series>_age_days and <series>_is_missing for each of the series named.
+    """One row an event: <series>, <series>_age_days and <series>_is_missing for each of the series named, as :func:`as_of` gives them for one.
 
-    All series are joined by one union and one window, then pivoted; the series named are a short list.
+    Spine and observations are united and sorted once by entity; one window carries the last observation of each series, so events aren't multiplied by series and
+    nothing is pivoted. The series named are a short list.
     """
-    ids = spine.sparkSession.createDataFrame([(s,) for s in series], "series_id string")
-    long = as_of(spine.select(*entity, at).distinct().crossJoin(F.broadcast(ids)), obs.filter(F.col("series_id").isin(series)), [*entity, "series_id"], at)
-    wide = long.groupBy(*entity, at).pivot("series_id", series).agg(F.first("value").alias("value"), F.first("age_days").alias("age_days"), F.first("is_missing").alias("is_missing"))
-    return wide.select(*entity, at, *[F.col(f"`{s}_{c}`").alias(s if c == "value" else f"{s}_{c}") for s in series for c in ("value", "age_days", "is_missing")])
+    kind = "struct<pub:date,value:double>"
+    a = spine.select(*entity, F.col(at).alias("_t")).distinct().select(*entity, "_t", F.lit(0).alias("_side"), F.lit(None).cast("date").alias("_obs"), F.lit(None).cast("double").alias("_v"), F.lit(None).cast("string").alias("_s"), F.lit(None).cast(kind).alias("_seen"))
+    b = check_long(obs).filter(F.col("publication_date").isNotNull() & F.col("series_id").isin(series))
+    b = b.select(*entity, F.col("publication_date").alias("_t"), F.lit(1).alias("_side"), F.col("observation_date").alias("_obs"), F.col("value").cast("double").alias("_v"), F.col("series_id").alias("_s"), F.struct(F.col("publication_date").alias("pub"), F.col("value").cast("double").alias("value")).alias("_seen"))
+    w = Window.partitionBy(*entity).orderBy("_t", "_side", "_obs", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("_s") == s, F.col("_seen")), ignorenulls=True).over(w).alias(f"_last_{i}") for i, s in enumerate(series)]
+    rows = a.unionByName(b).select(*entity, "_t", "_side", *last).filter("_side = 0")
+    own = [x for i, s in enumerate(series) for x in (F.col(f"_last_{i}.value").alias(s), F.date_diff("_t", f"_last_{i}.pub").alias(f"{s}_age_days"), F.col(f"_last_{i}.value").isNull().cast("int").alias(f"{s}_is_missing"))]
+    return rows.select(*entity, F.col("_t").alias(at), *own)
 
 
 def sources_collide(frames: dict[str, DataFrame]) -> DataFrame:

@@ -138,9 +138,54 @@ def with_overrides(calendar: DataFrame, overrides: DataFrame, key: str, value: s
     return both.select(key, F.coalesce("_over", "_rule").alias(value))
 
 
-def schedule(dates: DataFrame, cutoff, upcoming: int) -> DataFrame:
-    """(d, is_past) of past dates and the next so many, sorted; duplicates once."""
-    rows = dates.select("d").distinct()
+def published_by_rule_table(obs: DataFrame, rules: DataFrame) -> DataFrame:
+    """obs with publication_date by a small table of rules (series_id, priority, since, until, month, months_after, weekday, nth).
+
+    A rule holds for periods that end from since to before until (null: open) and, if month is given, in that month of the year; of those that hold, the one with the lowest priority number
+    counts. It names the nth weekday (-1: the last) of the month so many months after the period's. An observation without a rule is an error.
+    """
+    own = rules.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("priority", "since", "until", "month", "months_after", "weekday", "nth"))).alias("_rules"))  # a few a series
+    d = F.col("observation_date")
+    holds = lambda r: (r["since"].isNull() | (d >= r["since"])) & (r["until"].isNull() | (d < r["until"])) & (r["month"].isNull() | (F.month(d) == r["month"]))
+    rows = obs.join(F.broadcast(own), "series_id", "left").withColumn("_rule", F.get(F.filter("_rules", holds), F.lit(0)))
+    rows = rows.withColumn("_month", F.add_months(F.trunc(d, "MM"), F.col("_rule.months_after")))
+    first = F.expr("next_day(date_sub(_month, 1), _rule.weekday)")
+    day = F.when(F.col("_rule.nth") > 0, F.date_add(first, 7 * (F.col("_rule.nth") - 1))).otherwise(F.expr("next_day(date_sub(last_day(_month), 7), _rule.weekday)"))
+    lost = F.raise_error(F.concat(F.lit("no rule for "), F.coalesce(F.col("series_id").cast("string"), F.lit("null")), F.lit(" at "), F.coalesce(d.cast("string"), F.lit("a null day")))).cast("date")
+    return rows.select(*obs.columns, F.when(F.col("_rule").isNull(), lost).otherwise(day).alias("publication_date"))
+
+
+#: Steps of a calendar: the period that a day belongs to, and the interval between periods.
+STEPS = {"month": ("MM", "interval 1 month"), "quarter": ("quarter", "interval 3 months"), "week": ("week", "interval 7 days")}
+
+
+def spine(df: DataFrame, day: str, step: str) -> DataFrame:
+    """(d) of all periods from the first to the last day of df: the first day of every month, quarter or week, or every weekday (Monday to Friday). No days, no rows."""
+    ends = df.agg(F.min(day).cast("date").alias("lo"), F.max(day).cast("date").alias("hi")).filter("lo is not null")  # one row
+    if step == "weekday":
+        return ends.select(F.explode(F.sequence("lo", "hi")).alias("d")).filter(F.weekday("d") < 5)
+    part, by = STEPS[step]
+    return ends.select(F.explode(F.sequence(F.trunc("lo", part), F.trunc("hi", part), F.expr(by))).alias("d"))
+
+
+def moved(dates: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(d): dates with those that a small table (d, moved_to) names put elsewhere; duplicates once."""
+    own = overrides.groupBy("d").agg(F.max("moved_to").alias("moved_to"))
+    return dates.select("d").join(F.broadcast(own), "d", "left").select(F.coalesce("moved_to", "d").alias("d")).distinct()
+
+
+def next_after(dates: DataFrame, cutoff, by: list[str] | None = None) -> DataFrame:
+    """(by, next_day): the first date strictly after a day, by group; without groups, none is an error."""
+    rows = dates.filter(F.col("d") > F.lit(cutoff).cast("date"))
+    if by:
+        return rows.groupBy(*by).agg(F.min("d").alias("next_day"))
+    lost = F.raise_error(F.lit(f"no date after {cutoff}")).cast("date")
+    return rows.agg(F.coalesce(F.min("d"), lost).alias("next_day"))
+
+
+def schedule(dates: DataFrame, cutoff, upcoming: int, overrides: DataFrame | None = None) -> DataFrame:
+    """(d, is_past) of past dates and the next so many, sorted; duplicates once. overrides: see :func:`moved`."""
+    rows = moved(dates, overrides) if overrides is not None else dates.select("d").distinct()
     cut = F.lit(cutoff).cast("date")
     past = rows.filter(F.col("d") <= cut).withColumn("is_past", F.lit(1))
     return past.unionByName(rows.filter(F.col("d") > cut).orderBy("d").limit(upcoming).withColumn("is_past", F.lit(0)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import warnings
-
 import math
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -124,7 +124,7 @@ def missing_flags(df: DataFrame) -> list[Column]:
 def feature_group(name: Column) -> Column:
     """The group of a feature by its name, first match in this order."""
     return (
-        F.when(name.endswith("_is_missing"), "missing").when(name.endswith("_age_days"), "staleness").when(name.startswith("regime_"), "regime").when(name.endswith("_surprise"), "surprise")
+        F.when(name.endswith("_is_missing"), "missing_flag").when(name.endswith("_age_days"), "staleness").when(name.startswith("regime_"), "regime").when(name.endswith("_surprise"), "surprise")
         .when(name.contains("_roll_"), "rolling").when(name.contains("_lag_"), "lag").when(name.rlike("_(diff|pct)_\\d+$|_yoy_pct$"), "change").otherwise("level")
     )
 
@@ -155,8 +155,13 @@ def spliced(old: DataFrame, new: DataFrame, keys: list[str], day: str, value: st
     return before.select(*keys, day, (F.col(value) * F.coalesce("_factor", F.lit(1.0))).alias(value)).unionByName(new.select(*keys, day, value))
 
 
+def year_on_year_group(p: Panel, columns: list[str], day: str) -> list[Column]:
+    """<col>_yoy_pct of each column."""
+    return [year_on_year(p, c, day).alias(f"{c}_yoy_pct") for c in columns]
+
+
 #: Groups of features by name: each gives columns from a panel, the columns to use and its settings.
-GROUPS = {"lags": lags, "rolling": rolling, "changes": changes}
+GROUPS = {"lags": lags, "rolling": rolling, "changes": changes, "year_on_year": year_on_year_group}
 
 
 def build(df: DataFrame, p: Panel, columns: list[str], config: dict[str, dict | None]) -> DataFrame:
@@ -167,9 +172,22 @@ def build(df: DataFrame, p: Panel, columns: list[str], config: dict[str, dict |
     return df.select("*", *new)
 
 
-def eligible(df: DataFrame, columns: list[str]) -> list[str]:
-    """Those of the columns that df has as numbers; a warning names the others, which features then leave out."""
+#: What names of companions of a level end with, and names of regime flags begin with.
+COMPANIONS, REGIME = ("_age_days", "_is_missing"), "regime_"
+
+
+def eligible(df: DataFrame, columns: list[str], meta: tuple[str, ...] = ()) -> list[str]:
+    """Those of the columns that features may be made of: numbers of df that are neither about the row (meta), nor companions of a level, nor regime flags. A warning names the others, which features then leave out."""
     numbers = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
-    if left := [c for c in columns if c not in numbers]:
-        warnings.warn(f"no features of {left}: not there, or not numbers", stacklevel=2)
-    return [c for c in columns if c in numbers]
+    good = [c for c in columns if c in numbers and c not in meta and not c.endswith(COMPANIONS) and not c.startswith(REGIME)]
+    if left := [c for c in columns if c not in good]:
+        warnings.warn(f"no features of {left}: not there, not numbers, or not levels", stacklevel=2)
+    return good
+
+
+def next_event_rows(df: DataFrame, p: Panel, day: str, level: str, future_day, make: Callable[[Panel], list[Column]]) -> DataFrame:
+    """One row an entity at a future day: what :func:`append_future` gives, with the columns that make gives over past and future rows, as for any other row.
+
+    Windows see each entity's past once; nothing of it is collected. For entities too long for one task use ``tiles.Tiled`` on :func:`append_future`.
+    """
+    return append_future(df, p, day, level, future_day).select("*", *make(p)).filter(F.col(day) == F.lit(future_day).cast("date"))

@@ -13,12 +13,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.baselines import best_weights, tuned_weights, weighted_choice
-from tidegauge.operators.evaluate import log_loss
+from tidegauge.operators.evaluate import anova_f, associations, calibration_errors, imputed, leaderboard, log_loss, reliability, suite
 from tidegauge.operators.features import Panel
+from tidegauge.operators.information import information
 from tidegauge.sources.sinks import written
 
 SEED = 12
@@ -213,11 +214,44 @@ def stacked(members: dict[str, DataFrame], keys: list[str], n_classes: int) -> D
     return out
 
 
-def selected(df: DataFrame, features: list[str], target: str, k: int) -> list[str]:
-    """The k features with the largest absolute correlation with the target, ties by name."""
-    y = F.col(target).cast("double")
-    row = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(c) for c in features]).head()
-    return sorted(features, key=lambda c: (-abs(row[c] or 0.0), c))[:k]
+def selection_scores(df: DataFrame, features: list[str], target: str, by: str) -> DataFrame:
+    """(feature, score) by the absolute correlation with the target, the F of its classes, or their mutual information; nulls of features count as their medians."""
+    rows = imputed(df, features)
+    if by == "correlation":
+        return associations(rows, features, target).select("feature", F.abs("pearson").alias("score"))
+    if by == "f":
+        return anova_f(rows, features, target).select("feature", F.col("f").alias("score"))
+    if by == "information":
+        return information(rows, features, target, least=1).select("feature", F.col("mi").alias("score"))
+    raise ValueError(f"no score {by!r}")
+
+
+def selected(df: DataFrame, features: list[str], target: str, k: int, by: str = "correlation") -> list[str]:
+    """The k features with the largest scores (see :func:`selection_scores`), to nine digits; ties, and features without a score at the end, in the order given."""
+    found = {r["feature"]: r["score"] for r in selection_scores(df, features, target, by).collect()}  # a row a feature
+    score = lambda c: -math.inf if found.get(c) is None else round(found[c], 9)
+    return sorted(features, key=lambda c: (-score(c), features.index(c)))[:k]
+
+
+def model_table(df: DataFrame, members: dict[str, str], labels: list[str], proba: dict[str, dict[str, str]], benchmark: str | None = None, baselines: tuple[str, ...] = (), bins: int = 10) -> DataFrame:
+    """A row a model, best balanced accuracy first: n, accuracy, balanced_accuracy, macro_f1, ece, lift, place and is_best_learned.
+
+    members: the column of each model's labels; proba: those of its probabilities by class, for models that have them; their expected calibration error is the mean over classes. baselines:
+    members that weren't learnt, so aren't the best learned one. lift: over the benchmark column's hits.
+    """
+    table = suite(df, members, labels, benchmark)
+    cells = [F.struct(F.lit(m).alias("model"), F.lit(k).alias("label"), F.col(c).cast("double").alias("q")) for m, own in proba.items() for k, c in own.items()]
+    if cells:
+        chances = df.select("y_true", F.explode(F.array(*cells)).alias("c")).select("c.*", (F.col("y_true") == F.col("c.label")).cast("int").alias("hit"))
+        edges = [i / bins for i in range(bins)] + [1.0]
+        own = calibration_errors(reliability(chances, "q", "hit", edges, ["model", "label"]), ["model", "label"]).groupBy("model").agg(F.avg("ece").alias("ece"))
+        table = table.join(F.broadcast(own), "model", "left")  # a row a model
+    else:
+        table = table.withColumn("ece", F.lit(None).cast("double"))
+    board = leaderboard(table, ["balanced_accuracy"])
+    learned = F.when(~F.col("model").isin(*baselines), F.col("place"))
+    first = F.min(learned).over(Window.partitionBy(F.lit(1)))  # a row a model
+    return board.withColumn("is_best_learned", F.coalesce((learned == first).cast("int"), F.lit(0)))
 
 
 def save_best(table: DataFrame, candidates: dict[str, Callable[[], Pipeline]], df: DataFrame, path: str) -> str:

@@ -129,16 +129,18 @@ def _(spark, d):
     return C.schedule(_days(spark, d), "1998-01-01", 8)
 
 
-@query("c14_schedule_reconciled", """WITH s AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus <> 'F'), a AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_linenumber = 1)
+@query("c14_schedule_reconciled", """WITH s AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus <> 'F'), a AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem)
     SELECT d, 'missing' AS finding FROM (SELECT DISTINCT d FROM a) WHERE d NOT IN (SELECT d FROM s) UNION ALL SELECT d, 'extra' FROM (SELECT DISTINCT d FROM s) WHERE d NOT IN (SELECT d FROM a)
     UNION ALL SELECT d, 'duplicate' FROM s GROUP BY d HAVING count(*) > 1""")
 def _(spark, d):
-    actual = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.to_date("l_shipdate").alias("d"))
+    actual = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("d"))
     return quality.reconciled(actual, _days(spark, d).filter("o_orderstatus <> 'F'").select("d"), "d")
 
 
-@query("d9_month_match", f"""WITH r AS (SELECT date_trunc('month', l_shipdate) AS m, count(*) AS n, min(CAST(l_shipdate AS DATE)) AS f FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem WHERE day(l_shipdate) IN (1, 31)) GROUP BY 1)
+@query("d9_month_match", f"""WITH s AS (SELECT date_trunc('month', l_shipdate) AS m, min(CAST(l_shipdate AS DATE)) AS f, max(CAST(l_shipdate AS DATE)) AS t FROM lineitem GROUP BY 1), r AS (SELECT m, count(DISTINCT d) AS n, min(d) AS f FROM (SELECT m, f AS d FROM s UNION ALL SELECT m, t FROM s WHERE month(m) % 2 = 1) GROUP BY 1)
     SELECT o_orderkey, coalesce(n, 0) AS n_matches, CASE WHEN n = 1 THEN f END AS matched_day FROM orders LEFT JOIN r ON m = date_trunc('month', o_orderdate)""")
 def _(spark, d):
-    right = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("s")).filter("day(s) in (1, 31)").distinct()
+    ship = F.to_date("l_shipdate")
+    ends = table(spark, d, "lineitem").groupBy(F.trunc(ship, "MM").alias("m")).agg(F.min(ship).alias("f"), F.max(ship).alias("t"))
+    right = ends.select(F.explode(F.when(F.month("m") % 2 == 1, F.array_distinct(F.array("f", "t"))).otherwise(F.array("f"))).alias("s"))
     return quality.matched_by_month(_days(spark, d), right, "d", "s", "o_orderkey")

@@ -218,7 +218,7 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.period_end(text).alias("period_end"))
 
 
-@query("b15_feature_groups", """SELECT n, count(*) AS items, CASE WHEN n LIKE '%\\_is\\_missing' ESCAPE '\\' THEN 'missing' WHEN n LIKE '%\\_age\\_days' ESCAPE '\\' THEN 'staleness' WHEN n LIKE 'regime\\_%' ESCAPE '\\' THEN 'regime'
+@query("b15_feature_groups", """SELECT n, count(*) AS items, CASE WHEN n LIKE '%\\_is\\_missing' ESCAPE '\\' THEN 'missing_flag' WHEN n LIKE '%\\_age\\_days' ESCAPE '\\' THEN 'staleness' WHEN n LIKE 'regime\\_%' ESCAPE '\\' THEN 'regime'
     WHEN n LIKE '%\\_surprise' ESCAPE '\\' THEN 'surprise' WHEN contains(n, '_roll_') THEN 'rolling' WHEN contains(n, '_lag_') THEN 'lag' WHEN regexp_matches(n, '_(diff|pct)_\\d+$|_yoy_pct$') THEN 'change' ELSE 'level' END AS grp
     FROM (SELECT p_brand || ['_is_missing', '_age_days', '_surprise', '_roll_3_mean', '_lag_2', '_diff_1', '_yoy_pct', ''][1 + p_partkey % 8] AS n FROM part) GROUP BY 1""")
 def _(spark, d):

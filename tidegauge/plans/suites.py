@@ -149,11 +149,10 @@ def _(spark, d):
     """Next events scored by a saved model that was fitted on all past rows, beside the benchmark and how stale the features are."""
     panel, path = _panel(spark, d), sinks.workspace(spark, "model")
     learners.model("logistic", COLUMNS, 3).fit(panel).write().save(path)
-    past = calls(spark, d).groupBy("entity").agg(F.max_by(F.struct("value", "p"), "event_date").alias("l"))
-    lags = orders(spark, d).select("entity", "event_date", "value").groupBy("entity").agg(F.slice(F.sort_array(F.collect_list(F.struct("event_date", "value")), asc=False), 1, 2).alias("x"))
-    own = _next_events(spark, d).join(past, "entity", "left").join(lags, "entity")
-    second = F.try_element_at("x", F.lit(2))["value"]
-    rows = own.select("entity", "event_date", F.lit(0.0).alias("label"), F.col("previous_value").alias("value_lag_1"), second.alias("value_lag_2"), F.col("l.p").alias("p_lag_1"), F.col("gap_days").cast("double").alias("gap"), "gap_days", "published_age", second.alias("second"), "previous_value")
+    chances = calls(spark, d).groupBy("entity").agg(F.max_by("p", "event_date").alias("p_lag_1"))
+    lags = features.next_event_rows(orders(spark, d).select("entity", "event_date", "value"), PANEL, "event_date", "value", NEXT, lambda p: features.lags(p, ["value"], (1, 2))).select("entity", "value_lag_1", "value_lag_2")
+    own = _next_events(spark, d).join(chances, "entity", "left").join(lags, "entity")
+    rows = own.select("entity", "event_date", F.lit(0.0).alias("label"), "value_lag_1", "value_lag_2", "p_lag_1", F.col("gap_days").cast("double").alias("gap"), "gap_days", "published_age", F.col("value_lag_2").alias("second"), "previous_value")
     scored = learners.predicted(PipelineModel.load(path), rows, ["entity", "event_date"]).drop("label")
     market = B.implied_probabilities((F.col("previous_value") - F.col("second")) / 200000)
     kept = rows.select("entity", "event_date", "gap_days", "published_age", B.first_best(market).alias("benchmark"))
