@@ -54,7 +54,7 @@ def estimate(x, y, k=3, least=30):
         near = min(k, size[b] - 1)
         d = sorted(abs(a - c) for j, (c, e) in enumerate(own) if e == b and j != i)[near - 1]
         m = sum(c == a for c, _ in own) if d == 0 else sum(a - d < c < a + d for c, _ in own)
-        total += psi(near) - psi(size[b]) - psi(m)
+        total += psi(sum(c == (a, b) for c in own) if d == 0 else near) - psi(size[b]) - psi(m)
     return max(0.0, psi(len(own)) + total / len(own))
 
 

@@ -23,7 +23,7 @@ def digamma(n: Column) -> Column:
 def _radius(cells: DataFrame, neighbours: int) -> DataFrame:
     """Cells (feature, y, x, n) with k and radius: the distance of the k-th nearest other row of the feature and label.
 
-    k is ``neighbours``, or all others of a smaller class; classes of one row are left out. Cells are dealt into ranges; each range borrows the nearest cells of the
+    k is ``neighbours``, or all others of a smaller class; where that many have the row's own value, the radius is 0 and k is how many of the class have it. Classes of one row are left out. Cells are dealt into ranges; each range borrows the nearest cells of the
     ranges on either side, which one window over the ranges' edges finds.
     """
     keys = ["feature", "y"]
@@ -45,14 +45,15 @@ def _radius(cells: DataFrame, neighbours: int) -> DataFrame:
     told = F.array_sort(F.transform("_near", lambda c: F.struct(F.abs(c["x"] - F.col("x")).alias("d"), (c["n"] - F.when(c["x"] == F.col("x"), 1).otherwise(0)).alias("n"))))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("d"))
     reach = F.aggregate(told, start, lambda s, c: F.struct((s["n"] + c["n"]).alias("n"), F.when(s["n"] >= F.col("k"), s["d"]).otherwise(c["d"]).alias("d")))
-    return rows.select(*keys, "x", "n", "k", "size", reach["d"].alias("radius"))
+    out = rows.select(*keys, "x", "n", "k", "size", reach["d"].alias("radius"))
+    return out.withColumn("k", F.when(F.col("radius") == 0, F.col("n")).otherwise(F.col("k")))
 
 
 def continuous_information(df: DataFrame, features: list[str], label: str, least: int = 30, neighbours: int = 3) -> DataFrame:
     """(feature, mi) in nats of continuous features and a label, by the distance to each row's k-th nearest row of its own class.
 
     With N rows, k and n the neighbours and rows of a row's class, and m the rows of any class that are nearer than that distance (with itself; where the distance
-    is 0, the rows of equal value): mi = digamma(N) + the means of digamma(k) - digamma(n) - digamma(m), 0 at least. Rows whose class is alone are
+    is 0, k and m are the rows of equal value, of its class and of any): mi = digamma(N) + the means of digamma(k) - digamma(n) - digamma(m), 0 at least. Rows whose class is alone are
     left out, and so are those where either is null. Features with fewer than ``least`` rows get null, those of one value 0. No noise is added, so ties count as they are.
     """
     long = df.select(F.col(f"`{label}`").cast("string").alias("y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).unpivot("y", features, "feature", "v").filter("v is not null and y is not null")

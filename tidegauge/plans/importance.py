@@ -84,9 +84,9 @@ _FOR_LABEL = {"l_extendedprice": "l_returnflag"}
 def _near_sql(name: str, expression: str) -> str:
     """The neighbour estimate of one column, by sorted neighbours of a row's class and cumulative counts looked up at both ends of its reach."""
     spans = ", ".join(f"CASE WHEN k >= {j} THEN greatest(coalesce(x - lag(x, {j}) OVER w, CASE WHEN {j} = 0 THEN 0.0 ELSE 'inf'::DOUBLE END), coalesce(lead(x, CAST(k - {j} AS INTEGER)) OVER w - x, CASE WHEN k = {j} THEN 0.0 ELSE 'inf'::DOUBLE END)) ELSE 'inf'::DOUBLE END" for j in range(4))
-    return f"""SELECT * FROM (WITH x0 AS (SELECT l_returnflag AS y, {expression} AS x FROM lineitem), x1 AS (SELECT y, x, count(*) OVER (PARTITION BY y) AS n FROM x0 WHERE x IS NOT NULL), x2 AS (SELECT y, x, n, least(3, n - 1) AS k FROM x1 WHERE n > 1),
+    return f"""SELECT * FROM (WITH x0 AS (SELECT l_returnflag AS y, {expression} AS x FROM lineitem), x1 AS (SELECT y, x, count(*) OVER (PARTITION BY y) AS n FROM x0 WHERE x IS NOT NULL), x2 AS (SELECT y, x, n, least(3, n - 1) AS k, count(*) OVER (PARTITION BY y, x) AS same FROM x1 WHERE n > 1),
       x3 AS (SELECT *, least({spans}) AS r FROM x2 WINDOW w AS (PARTITION BY y ORDER BY x)), u AS (SELECT v, sum(c) OVER (ORDER BY v) AS upto FROM (SELECT x AS v, count(*) AS c FROM x2 GROUP BY 1)),
-      x4 AS (SELECT n, k, CASE WHEN r = 0 THEN x ELSE x - r END AS a, CASE WHEN r = 0 THEN x ELSE x + r END AS b, r FROM x3), x5 AS (SELECT x4.*, coalesce(u.upto, 0) AS hi FROM x4 ASOF LEFT JOIN u ON x4.b > u.v), x6 AS (SELECT x4.*, coalesce(u.upto, 0) AS lo FROM x5 x4 ASOF LEFT JOIN u ON x4.a >= u.v),
+      x4 AS (SELECT n, CASE WHEN r = 0 THEN same ELSE k END AS k, CASE WHEN r = 0 THEN x ELSE x - r END AS a, CASE WHEN r = 0 THEN x ELSE x + r END AS b, r FROM x3), x5 AS (SELECT x4.*, coalesce(u.upto, 0) AS hi FROM x4 ASOF LEFT JOIN u ON x4.b > u.v), x6 AS (SELECT x4.*, coalesce(u.upto, 0) AS lo FROM x5 x4 ASOF LEFT JOIN u ON x4.a >= u.v),
       x7 AS (SELECT *, CASE WHEN r = 0 THEN lo - hi ELSE hi - lo END AS m FROM x6)
       SELECT '{name}' AS feature, CASE WHEN (SELECT count(*) FROM x1) < 30 THEN NULL WHEN (SELECT min(x) = max(x) FROM x1) THEN 0.0 ELSE greatest(0, ({_PSI.format('max(tt)')}) + avg({_PSI.format('k')}) - avg({_PSI.format('n')}) - avg({_PSI.format('m')})) END AS mi FROM (SELECT *, count(*) OVER () AS tt FROM x7))"""
 
