@@ -77,3 +77,8 @@ def regimes_by_table(df: DataFrame, day: str, table: DataFrame, names: list[str]
     open_ = lambda r: (r["since"].isNull() | (d >= r["since"])) & (r["until"].isNull() | (d < r["until"]) | (r["closed"] & (d == r["until"])))
     flags = [F.exists(F.filter("_spans", lambda r: r["name"] == name), lambda r: F.coalesce(open_(r), F.lit(False))).cast("int").alias(f"regime_{name}") for name in names]
     return df.crossJoin(F.broadcast(spans)).select(*df.columns, *flags)
+
+
+def shifted(d: Column, cutover, before: int = 0, after: int = -1) -> Column:
+    """A day moved by so many days: one number before a cutover, another from it on."""
+    return F.when(d < F.lit(cutover).cast("date"), F.date_add(d, before)).otherwise(F.date_add(d, after))

@@ -101,3 +101,15 @@ def lookup_latest(left: DataFrame, right: DataFrame, on: list[str], value: str,
     """left with value of the last row, by order, of right with equal keys; null without one."""
     last = right.groupBy(*on).agg(F.max_by(value, F.struct(*order)).alias(value))
     return left.join(last, on, "left")
+
+
+def enriched(df: DataFrame, other: DataFrame, on: dict[str, str], columns: list[str]) -> DataFrame:
+    """df with columns of the row of other whose keys are equal (on: df's keys by other's), null without one; rows of df are neither lost nor multiplied.
+
+    Several rows of other with one key are an error where df asks for it.
+    """
+    names = {f"_k{i}": theirs for i, theirs in enumerate(on.values())}
+    per = other.select(*[F.col(v).alias(k) for k, v in names.items()], *columns).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in columns])
+    joined = df.join(per, [F.col(own) == F.col(k) for own, k in zip(on, names, strict=True)], "left")
+    sound = F.when(F.col("_n") > 1, F.raise_error(F.concat_ws(" ", F.lit("several rows for"), *[F.col(c).cast("string") for c in on])))
+    return joined.withColumn("_ok", sound.cast("string")).filter("_ok is null").select(*df.columns, *columns)

@@ -185,3 +185,8 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = per.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     return df.join(F.broadcast(per.crossJoin(F.broadcast(total))), label).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
+
+
+def is_test(day: Column, cutoff) -> Column:
+    """1 from the cutoff on, 0 before; null days are in neither part."""
+    return (day >= F.lit(cutoff).cast("date")).cast("int")

@@ -18,6 +18,62 @@ def label_frame(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, rank int")
 
 
+def class_shares(df: DataFrame, label: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, label, n, share, is_majority): each class's rows and its share of the weight (of rows, without one) in its group; the majority is the class with the largest, ties to the first in order.
+
+    Rows without a label don't count; null weights count as 0. Classes are few.
+    """
+    by = by or []
+    w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    per = df.filter(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("_w"))
+    group = Window.partitionBy(*(by or [F.lit(1)]))  # a row a class
+    best = F.row_number().over(group.orderBy(F.desc("_w"), label)) == 1
+    return per.select(*by, label, "n", ratio(F.col("_w"), F.sum("_w").over(group)).alias("share"), best.cast("int").alias("is_majority"))
+
+
+def recall_by_class(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, y_true, support, correct, recall)."""
+    hit = (F.col("y_true") == F.col("y_pred")).cast("long")
+    return df.groupBy(*(by or []), "y_true").agg(F.count(F.lit(1)).alias("support"), F.sum(hit).alias("correct"), F.avg(hit.cast("double")).alias("recall"))
+
+
+def by_previous(df: DataFrame, previous: str, by: list[str] | None = None) -> DataFrame:
+    """(by, previous, n, accuracy) of the forecast that nothing changes, by what was before; and a row with previous null and is_overall 1 over all."""
+    hit = (F.col("y_true") == F.col(previous)).cast("double")
+    keys = [F.col(c) for c in (by or [])]
+    out = df.filter(F.col(previous).isNotNull()).groupingSets([[*keys, F.col(previous)], keys], *(by or []), previous)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"), (F.grouping(previous)).cast("int").alias("is_overall")).withColumnRenamed(previous, "previous")
+
+
+def error_table(df: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
+    """keys, y_true, y_pred and flags, the names of those that are set, joined by commas in the order given: a row for each wrong call."""
+    own = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in flags.items()]))
+    return df.filter("y_true <> y_pred").select(*keys, "y_true", "y_pred", F.array_join(own, ", ").alias("flags"))
+
+
+def covered(df: DataFrame, call: str, by: list[str] | None = None) -> DataFrame:
+    """(by, n, n_covered, accuracy) of a benchmark's calls, over those rows where it has one."""
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.count(call).alias("n_covered"), F.avg((F.col("y_true") == F.col(call)).cast("double")).alias("accuracy"))
+
+
+def top_share(df: DataFrame, key: str, value: str, top: int) -> DataFrame:
+    """(key, value, share): the keys with the largest values, ties by key, with their share of the sum over all. A row a key."""
+    total = df.agg(F.sum(value).alias("_t"))
+    return df.crossJoin(F.broadcast(total)).select(key, value, ratio(F.col(value), F.col("_t")).alias("share")).orderBy(F.desc_nulls_last(value), key).limit(top)
+
+
+def run_report(predictions: DataFrame, labels: list[str], run_id: str, fold: str = "fold", proba: dict[str, Column] | None = None, market: str | None = None) -> DataFrame:
+    """run_id, fold, is_overall and the metrics of :func:`bundle`, a row a fold and one over all; with a benchmark's calls also n_paired, market_hit_rate and lift over the rows where it has one."""
+    out = bundle(predictions, labels, [fold], proba)
+    if market:
+        a, b = ((F.col("y_true") == F.col(c)).cast("double") for c in ("y_pred", market))
+        pairs = predictions.filter(F.col(market).isNotNull() & F.col("y_pred").isNotNull() & F.col("y_true").isNotNull()).groupingSets([[F.col(fold)], []], fold)
+        told = pairs.agg(F.count(F.lit(1)).alias("n_paired"), F.avg(b).alias("market_hit_rate"), (F.avg(a) - F.avg(b)).alias("lift"), F.grouping(fold).cast("int").alias("_o")).withColumnRenamed(fold, "_f")
+        out = out.join(F.broadcast(told), out[fold].eqNullSafe(told["_f"]) & (out["is_overall"] == told["_o"]), "left").drop("_f", "_o")  # a row a fold
+        out = out.withColumn("n_paired", F.coalesce("n_paired", F.lit(0).cast("long")))
+    return out.select(F.lit(run_id).alias("run_id"), *out.columns)
+
+
 def confusion(df: DataFrame, labels: list[str], by: list[str] | None = None) -> DataFrame:
     """y_true with one count for each label predicted; labels that never come are rows and columns of zeros."""
     by = by or []

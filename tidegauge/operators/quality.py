@@ -78,3 +78,29 @@ def only_in_first(first: DataFrame, second: DataFrame) -> DataFrame:
 def in_order(df: DataFrame, keys: list[str]) -> DataFrame:
     """df sorted by its keys, rows that tie in the order they are read: a sort over ranges of the keys, not in one task."""
     return df.withColumn("_at", F.monotonically_increasing_id()).orderBy(*keys, "_at").drop("_at")
+
+
+def latest_snapshot(df: DataFrame, by: list[str], snapshot: str) -> DataFrame:
+    """The rows of each group's latest snapshot, all of them; rows without a snapshot, and groups without any, are left out. Only one row a group is shuffled against them."""
+    last = df.filter(F.col(snapshot).isNotNull()).groupBy(*by).agg(F.max(snapshot).alias(snapshot))
+    return df.join(last, [*by, snapshot], "left_semi")
+
+
+def union_of(frames: dict[str, DataFrame], source: str = "source") -> DataFrame:
+    """All rows of frames with the same columns, in any order, with the name of their frame; other columns, or fewer, are an error."""
+    out, columns = None, None
+    for name, df in frames.items():
+        if columns is not None and set(df.columns) != columns:
+            raise ValueError(f"{name} has columns {sorted(df.columns)}, not {sorted(columns)}")
+        columns = set(df.columns)
+        own = df.withColumn(source, F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no frames")
+    return out
+
+
+def absent(registry: DataFrame, actual: DataFrame, on: dict[str, str]) -> DataFrame:
+    """The rows of registry without a row of actual; on: registry's columns by actual's. Null keys of registry are absent."""
+    keys = actual.select(*[F.col(theirs).alias(own) for own, theirs in on.items()])
+    return registry.join(keys, list(on), "left_anti")

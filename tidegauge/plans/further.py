@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from tidegauge.functions import scalars as S
 from tidegauge.operators import calendars as C
 from tidegauge.operators import evaluate as E
-from tidegauge.operators import features, learners, lexicon
+from tidegauge.operators import features, learners, lexicon, targets
 from tidegauge.plans.base import CALLS, LABELS, ORDERS, PANEL, W, calls, events, orders, query, table
 from tidegauge.plans.dates import DAY, _days, _nth
 from tidegauge.plans.ingestion import _LEX, CATEGORIES, _lexicon
+from tidegauge.sources import ingest, sinks
 
 D = dt.date
 
@@ -116,3 +117,47 @@ def _(spark, d):
     chats = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("body"), F.col("turn").cast("long").alias("stamp"))
     found = lexicon.scores_of_sources({"documents": docs, "chats": chats, "pages": table(spark, d, "pages").limit(0)}, _lexicon(spark, d), CATEGORIES, "id", "body", "stamp")
     return found.select("source", "id", "stamp", "n_tokens", "positive", "negative")
+
+
+@query("f1_weighted_shares", f"""WITH {CALLS}, x AS (SELECT y_true, year(event_date) AS year, 1 + day(event_date) % 3 AS w FROM c), s AS (SELECT year, y_true, count(*) AS n, sum(w) AS sw FROM x GROUP BY 1, 2)
+    SELECT year, y_true, n, round(sw / sum(sw) OVER (PARTITION BY year), 6) AS share, CAST(row_number() OVER (PARTITION BY year ORDER BY sw DESC, y_true) = 1 AS INTEGER) AS is_majority FROM s""")
+def _(spark, d):
+    rows = calls(spark, d).select("y_true", F.year("event_date").alias("year"), (1 + F.day("event_date") % 3).alias("w"))
+    return E.class_shares(rows, "y_true", "w", ["year"]).withColumn("share", F.round("share", 6))
+
+
+@query("j10_run_report", f"""WITH {CALLS}, x AS (SELECT *, year(event_date) AS fold FROM c), k AS (SELECT fold, label, count(*) FILTER (y_true = label AND y_pred = label) AS tp, count(*) FILTER (y_true <> label AND y_pred = label) AS fp, count(*) FILTER (y_true = label AND y_pred <> label) AS fn
+    FROM x, (SELECT unnest(['cut', 'hike', 'hold']) AS label) GROUP BY GROUPING SETS ((fold, label), (label))), m AS (SELECT fold, avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END) AS b FROM k GROUP BY 1), z AS (SELECT fold, CAST(grouping(fold) AS INTEGER) AS is_overall, count(*) AS n, avg(CAST(y_true = y_pred AS DOUBLE)) AS a,
+    count(y_market) AS n_paired, avg(CAST(y_true = y_market AS DOUBLE)) AS h, avg(CAST(y_true = y_pred AS DOUBLE)) FILTER (y_market IS NOT NULL) AS g FROM x GROUP BY GROUPING SETS ((fold), ()))
+    SELECT 'persistence-1' AS run_id, z.fold, is_overall, n, round(a, 6) AS accuracy, round(b, 6) AS balanced_accuracy, n_paired, round(h, 6) AS market_hit_rate, round(g - h, 6) AS lift FROM z JOIN m ON z.fold IS NOT DISTINCT FROM m.fold""")
+def _(spark, d):
+    found = E.run_report(calls(spark, d).withColumn("fold", F.year("event_date")), LABELS, "persistence-1", market="y_market")
+    return found.select("run_id", "fold", "is_overall", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy")], "n_paired", *[F.round(c, 6).alias(c) for c in ("market_hit_rate", "lift")])
+
+
+@query("b2_checked_decisions", f"""WITH {ORDERS}, x AS (SELECT entity, event_date AS observation_date, round((value - lag(value) OVER {W}) / 100000, 2) AS c, round(value / 100000, 2) AS n FROM o)
+    SELECT entity, observation_date, observation_date - 1 AS publication_date, CAST(round_even(c * 100, 0) AS INTEGER) AS change_bps, n AS new_rate, round(n - c, 4) AS prior_rate FROM x WHERE observation_date >= DATE '1996-01-01' AND c IS NOT NULL""")
+def _(spark, d):
+    change = F.round((F.col("value") - F.lag("value").over(PANEL.window)) / 100000, 2)
+    raw = orders(spark, d).select("entity", F.col("event_date").alias("observation_date"), F.date_sub("event_date", 1).alias("publication_date"), change.cast("string").alias("change_raw"), F.round(F.col("value") / 100000, 2).cast("string").alias("new_rate_raw"))
+    return targets.decisions(raw, "1996-01-01").withColumn("prior_rate", F.round("prior_rate", 4))
+
+
+@query("a16_speaker_role", """SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN c_mktsegment ELSE c_name END AS speaker, CASE c_custkey % 4 WHEN 0 THEN 'Governor' WHEN 1 THEN 'Assistant Governor (Economic)' WHEN 2 THEN 'Head of ' || c_mktsegment END AS role FROM customer""")
+def _(spark, d):
+    k = F.col("c_custkey") % 4
+    line = F.when(k == 0, F.concat("c_name", F.lit(" AO [ * ]  Governor"))).when(k == 1, F.concat("c_name", F.lit("* Assistant Governor (Economic)"))).when(k == 2, F.concat("c_name", F.lit(" AC OAM Head of "), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    own = ingest.speaker_and_role(line)
+    return table(spark, d, "customer").select("c_custkey", own["speaker"].alias("speaker"), own["role"].alias("role"))
+
+
+@query("a11_bucketed_sink", f"WITH {ORDERS} SELECT year(event_date) AS year, count(*) AS n, count(DISTINCT entity) AS n_entities, round(sum(value), 2) AS total FROM o GROUP BY 1")
+def _(spark, d):
+    rows = orders(spark, d).withColumn("year", F.year("event_date"))
+    back = sinks.write_bucketed(rows, sinks.workspace(spark, "buckets"), ["entity"], 8, ["year"])
+    return back.groupBy("year", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("e"), F.sum("value").alias("t")).groupBy("year").agg(F.sum("n").alias("n"), F.sum("e").alias("n_entities"), F.round(F.sum("t"), 2).alias("total"))
+
+
+@query("f24_persistence_overall", f"WITH {CALLS} SELECT y_pred AS previous, CAST(grouping(y_pred) AS INTEGER) AS is_overall, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 6) AS accuracy FROM c GROUP BY GROUPING SETS ((y_pred), ())")
+def _(spark, d):
+    return E.by_previous(calls(spark, d), "y_pred").select("previous", "is_overall", "n", F.round("accuracy", 6).alias("accuracy"))

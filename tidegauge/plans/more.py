@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidegauge.operators import baselines as B
-from tidegauge.operators import calendars, features, learners, neighbours, quality, targets
+from tidegauge.operators import calendars, evaluate, features, learners, neighbours, quality, targets
 from tidegauge.plans.base import CALLS, LABELS, ORDERS, PANEL, W, calls, orders, query, table
 from tidegauge.sources import ingest, sinks
 
@@ -94,14 +94,13 @@ def _(spark, d):
 
 @query("f16_error_table", f"""WITH {CALLS} SELECT entity, event_date, y_true, y_pred, array_to_string(list_filter([CASE WHEN event_date < DATE '1996-01-01' THEN 'early' END, CASE WHEN value > 200000 THEN 'large' END], lambda x: x IS NOT NULL), ', ') AS flags FROM c WHERE y_true <> y_pred""")
 def _(spark, d):
-    flags = F.array_compact(F.array(F.when(F.col("event_date") < "1996-01-01", "early"), F.when(F.col("value") > 200000, "large")))
-    return calls(spark, d).filter("y_true <> y_pred").select("entity", "event_date", "y_true", "y_pred", F.array_join(flags, ", ").alias("flags"))
+    return evaluate.error_table(calls(spark, d), ["entity", "event_date"], {"early": F.col("event_date") < "1996-01-01", "large": F.col("value") > 200000})
 
 
 @query("g3_union_of_frames", "SELECT 'customer' AS source, c_nationkey AS k, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY 2")
 def _(spark, d):
     c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return c.withColumn("source", F.lit("customer")).unionByName(s.withColumn("source", F.lit("supplier"))).groupBy("source", "k").agg(F.count(F.lit(1)).alias("n"))
+    return quality.union_of({"customer": c, "supplier": s}).groupBy("source", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g4_set_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -118,8 +117,7 @@ def _(spark, d):
 @query("a8_latest_snapshot", "SELECT c_mktsegment AS source, max(c_custkey % 97) AS snapshot, count(*) FILTER (c_custkey % 97 = m) AS n_rows FROM customer JOIN (SELECT c_mktsegment, max(c_custkey % 97) AS m FROM customer GROUP BY 1) USING (c_mktsegment) GROUP BY 1")
 def _(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("source"), (F.col("c_custkey") % 97).alias("snapshot"))
-    last = rows.groupBy("source").agg(F.max("snapshot").alias("snapshot"))
-    return rows.join(last, ["source", "snapshot"], "left_semi").groupBy("source", "snapshot").agg(F.count(F.lit(1)).alias("n_rows"))
+    return quality.latest_snapshot(rows, ["source"], "snapshot").groupBy("source", "snapshot").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("a17_release_date", f"""SELECT o_orderkey, {DAY} AS released FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 3 = 2""")
@@ -128,8 +126,8 @@ def _(spark, d):
     k = F.col("o_orderkey") % 3
     page = F.when(k == 0, F.concat(F.lit("<p>Released "), F.date_format(day, "d MMMM yyyy"), F.lit(" at noon</p>"))).when(k == 1, F.concat(F.lit("<time datetime='"), F.date_format(day, "yyyy-MM-dd"), F.lit("'>"))).otherwise(F.lit("<p>Soon</p>"))
     rows = table(spark, d, "orders").select("o_orderkey", page.alias("page"))
-    found = F.coalesce(F.nullif(F.regexp_extract("page", r"Released (\d{1,2} \w+ \d{4})", 1), F.lit("")), F.regexp_extract("page", r"datetime='(\d{4}-\d\d-\d\d)'", 1))
-    return rows.select("o_orderkey", ingest.parse_day(found, "d MMMM yyyy", "yyyy-MM-dd").alias("released"))
+    rules = [(r"Released (\d{1,2} \w+ \d{4})", "d MMMM yyyy"), (r"datetime='(\d{4}-\d\d-\d\d)'", "yyyy-MM-dd")]
+    return rows.select("o_orderkey", ingest.release_date(F.col("page"), rules).alias("released"))
 
 
 @query("a11_parquet_sink", f"WITH {ORDERS} SELECT year(event_date) AS year, count(*) AS n, round(sum(value), 2) AS total FROM o GROUP BY 1")
@@ -235,7 +233,7 @@ def _(spark, d):
 
 @query("c13_next_event", f"SELECT o_custkey AS entity, min({DAY}) AS next_day FROM orders WHERE {DAY} > DATE '1998-01-01' GROUP BY 1")
 def _(spark, d):
-    return orders(spark, d).filter("event_date > '1998-01-01'").groupBy("entity").agg(F.min("event_date").alias("next_day"))
+    return calendars.next_after(orders(spark, d).select("entity", F.col("event_date").alias("d")), "1998-01-01", ["entity"])
 
 
 @query("c6_working_day_before", f"SELECT o_orderkey, CAST({DAY} - CASE dayofweek({DAY}) WHEN 1 THEN 3 WHEN 0 THEN 2 ELSE 1 END AS DATE) AS before FROM orders")

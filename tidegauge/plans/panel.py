@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions import scalars as S
-from tidegauge.operators import asof, features
+from tidegauge.operators import asof, evaluate, features, targets
 from tidegauge.operators.features import Panel
 from tidegauge.plans.base import EVENTS, ORDERS, PANEL, W, events, orders, query, table
 
@@ -69,7 +69,8 @@ def _(spark, d):
 @query("d7_enrichment", """SELECT o_orderkey, o_custkey, c_mktsegment, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def _(spark, d):
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "o_custkey", "c_mktsegment", "n_name")
+    known = asof.enriched(c, n, {"c_nationkey": "n_nationkey"}, ["n_name"])
+    return asof.enriched(o, known, {"o_custkey": "c_custkey"}, ["c_mktsegment", "n_name"]).select("o_orderkey", "o_custkey", "c_mktsegment", "n_name")
 
 
 @query("d10_lookup_last", """WITH k AS (SELECT l_partkey, l_suppkey, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_quantity)) AS l_quantity FROM lineitem GROUP BY 1, 2)
@@ -173,15 +174,13 @@ def _(spark, d):
 @query("b3_spine", f"""WITH {ORDERS}, x AS (SELECT *, lag(value) OVER {W} AS prior_value, CAST(date_diff('day', lag(event_date) OVER {W}, event_date) AS INTEGER) AS gap_days FROM o)
     SELECT entity, event_date, value, prior_value, gap_days FROM x WHERE event_date >= DATE '1996-01-01'""")
 def _(spark, d):
-    w = PANEL.window
-    rows = orders(spark, d).select("entity", "event_date", "value", F.lag("value").over(w).alias("prior_value"), F.date_diff("event_date", F.lag("event_date").over(w)).alias("gap_days"))
-    return rows.filter("event_date >= '1996-01-01'")
+    return targets.event_spine(orders(spark, d).select("entity", "event_date", "value"), PANEL, "event_date", "value", "1996-01-01")
 
 
 @query("b4_date_shift", "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) < DATE '1996-01-01' THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) - 1 END AS decided FROM orders")
 def _(spark, d):
     day = F.to_date("o_orderdate")
-    return table(spark, d, "orders").select("o_orderkey", F.when(day < F.lit("1996-01-01").cast("date"), day).otherwise(F.date_sub(day, 1)).alias("decided"))
+    return table(spark, d, "orders").select("o_orderkey", S.shifted(day, "1996-01-01").alias("decided"))
 
 
 @query("b5_sign_target", f"""WITH {ORDERS}, x AS (SELECT *, value - lag(value) OVER {W} AS c FROM o)
@@ -242,8 +241,7 @@ def _(spark, d):
 @query("g2_top_share", """SELECT p_brand, total, round(total / sum(total) OVER (), 5) AS share FROM (SELECT p_brand, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1) ORDER BY total DESC, p_brand LIMIT 10""")
 def _(spark, d):
     rows = table(spark, d, "part").groupBy("p_brand").agg(F.round(F.sum("p_retailprice"), 2).alias("total"))
-    all_ = rows.agg(F.sum("total").alias("t"))
-    return rows.crossJoin(F.broadcast(all_)).select("p_brand", "total", F.round(F.col("total") / F.col("t"), 5).alias("share")).orderBy(F.desc("total"), "p_brand").limit(10)
+    return evaluate.top_share(rows, "p_brand", "total", 10).withColumn("share", F.round("share", 5))
 
 
 @query("e_features_long_series", f"""WITH {EVENTS} SELECT entity, series_id, observation_date, lag(value) OVER w AS value_lag_1, round(value - lag(value) OVER w, 4) AS value_diff_1 FROM l

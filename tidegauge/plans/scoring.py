@@ -17,8 +17,7 @@ _HIT = "CAST(y_true = 'hold' AS DOUBLE)"
 
 @query("f1_class_shares", f"WITH {CALLS} SELECT y_true, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY 1")
 def _(spark, d):
-    per = calls(spark, d).groupBy("y_true").agg(F.count(F.lit(1)).alias("n"))
-    return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("t")))).select("y_true", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    return E.class_shares(calls(spark, d), "y_true").select("y_true", "n", F.round("share", 6).alias("share"))
 
 
 @query("f2_confusion", f"WITH {CALLS} SELECT y_true, {', '.join(f'''count(*) FILTER (y_pred = '{x}') AS {x}''' for x in LABELS)} FROM c GROUP BY 1")
@@ -83,8 +82,7 @@ def _(spark, d):
 
 @query("f13_recall_by_class", f"WITH {CALLS} SELECT y_true, count(*) AS support, count(*) FILTER (y_true = y_pred) AS correct, round(avg(CAST(y_true = y_pred AS DOUBLE)), 6) AS recall FROM c GROUP BY 1")
 def _(spark, d):
-    hit = (F.col("y_true") == F.col("y_pred")).cast("long")
-    return calls(spark, d).groupBy("y_true").agg(F.count(F.lit(1)).alias("support"), F.sum(hit).alias("correct"), F.round(F.avg(hit.cast("double")), 6).alias("recall"))
+    return E.recall_by_class(calls(spark, d)).withColumn("recall", F.round("recall", 6))
 
 
 _FLAGS = {"early": "event_date < DATE '1996-01-01'", "large": "value > 200000", "always": "value > 0"}
@@ -136,7 +134,7 @@ def _(spark, d):
 
 @query("f24_persistence_by_previous", f"WITH {CALLS} SELECT y_pred AS previous, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 6) AS accuracy FROM c GROUP BY 1")
 def _(spark, d):
-    return calls(spark, d).groupBy(F.col("y_pred").alias("previous")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 6).alias("accuracy"))
+    return E.by_previous(calls(spark, d), "y_pred").filter("is_overall = 0").select("previous", "n", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("f25_balanced_weights", "SELECT doc_id, toxic, round((SELECT count(*) FROM labels) / (2 * count(*) OVER (PARTITION BY toxic)), 6) AS weight FROM labels")
@@ -245,8 +243,7 @@ def _(spark, d):
 
 @query("j7_dev_test_split", "SELECT CAST(CAST(o_orderdate AS DATE) >= DATE '1997-06-01' AS INTEGER) AS is_test, count(*) AS n FROM orders GROUP BY 1")
 def _(spark, d):
-    late = (F.to_date("o_orderdate") >= F.lit("1997-06-01").cast("date")).cast("int")
-    return table(spark, d, "orders").groupBy(late.alias("is_test")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "orders").groupBy(B.is_test(F.to_date("o_orderdate"), "1997-06-01").alias("is_test")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("b16_invariants", """SELECT rule, count(*) AS n_failed, min(l_orderkey || '|' || l_linenumber) AS first_key FROM (SELECT l_orderkey, l_linenumber, unnest(list_filter([CASE WHEN NOT l_quantity <= 45 THEN 'small' END, CASE WHEN NOT l_discount < 0.1 THEN 'discount' END,
@@ -268,7 +265,7 @@ def _(spark, d):
 
 @query("d12_unmatched", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey").join(table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    return quality.absent(table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").filter("l_quantity > 45"), {"p_partkey": "l_partkey"})
 
 
 @query("f21_staleness", """WITH x AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'O') AS a, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'F') AS b, max(CAST(o_orderdate AS DATE)) FILTER (o_totalprice > 400000) AS c FROM orders GROUP BY 1),

@@ -66,7 +66,7 @@ def _(spark, d):
 @query("j6_benchmark_on_test", f"WITH {CALLS} SELECT year(event_date) AS year, count(*) AS n, count(y_market) AS n_covered, round(avg(CAST(y_true = y_market AS DOUBLE)), 6) AS accuracy FROM c WHERE event_date >= DATE '1998-01-01' GROUP BY 1")
 def _(spark, d):
     test = calls(spark, d).filter("event_date >= '1998-01-01'")
-    return test.groupBy(F.year("event_date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count("y_market").alias("n_covered"), F.round(F.avg((F.col("y_true") == F.col("y_market")).cast("double")), 6).alias("accuracy"))
+    return evaluate.covered(test.withColumn("year", F.year("event_date")), "y_market", ["year"]).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("j11_holdout_walk_forward", f"""WITH {CALLS}, k AS (SELECT entity, event_date, y_true, lag(y_true) OVER {W} AS last_label FROM c)

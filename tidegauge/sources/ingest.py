@@ -103,8 +103,10 @@ def to_wide(obs: DataFrame, series: list[str], by: list[str] | None = None) -> D
     return wide.select(*by, *[F.col(f"`{s}`") for s in series], "publication_date", n.alias("n_series"))
 
 
-def in_window(targets: DataFrame, at: str, window: DataFrame) -> DataFrame:
-    """The targets whose ``at`` lies between since and until (both inclusive) of the one row of ``window``; those without an ``at`` are left out."""
+def in_window(targets: DataFrame, at: str, window: DataFrame, link: str | None = None) -> DataFrame:
+    """The targets whose ``at`` lies between since and until (both inclusive) of the one row of ``window``; those without an ``at``, or with an empty or null link if one is named, are left out."""
+    if link:
+        targets = targets.filter(F.length(F.trim(link)) > 0)
     return targets.join(F.broadcast(window.select("since", "until")), F.col(at).between(F.col("since"), F.col("until"))).drop("since", "until")
 
 
@@ -166,6 +168,24 @@ def page_text(html: Column, excluded: tuple[str, ...] = EXCLUDED, excluded_class
     return {"title": title, "n_blocks": F.coalesce(F.size(blocks), F.lit(0)), "body": F.array_join(blocks, "\n\n")}
 
 
+def release_date(page: Column, rules: list[tuple[str, str]]) -> Column:
+    """The day a page was released on: the first pattern, in order, whose first group is a day in its format; null if none is."""
+    return F.coalesce(*[parse_day(F.nullif(F.regexp_extract(page, pattern, 1), F.lit("")), form) for pattern, form in rules])
+
+
+#: Words with which roles begin, and honours after names, as published pages write them.
+ROLE_LEADS, HONOURS = ("Governor", "Deputy Governor", "Assistant Governor", "Head", "Chief", "Secretary", "Director"), ("AO", "AC", "AM", "OAM")
+
+
+def speaker_and_role(author: Column, leads: tuple[str, ...] = ROLE_LEADS, honours: tuple[str, ...] = HONOURS) -> dict[str, Column]:
+    """speaker and role of an author line: the role begins at its first lead word after the name; footnote marks and honours after the name go. Without a lead all of it is the speaker."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(author, r"\[\s*\*\s*\]|\*", " "), r"[\s\u00a0]+", " "))
+    split = rf"^(.+?) ((?:{'|'.join(sorted(leads, key=len, reverse=True))})\b.*)$"
+    found = text.rlike(split)
+    name = F.regexp_replace(F.regexp_extract(text, split, 1), rf"(?: (?:{'|'.join(honours)}))+$", "")
+    return {"speaker": F.nullif(F.when(found, name).otherwise(text), F.lit("")), "role": F.when(found, F.regexp_extract(text, split, 2))}
+
+
 def links(pages: DataFrame, pattern: str, key: str = "page_id") -> DataFrame:
     """(link, first page) of hrefs that match, each once, by its first page."""
     hrefs = F.regexp_extract_all("html", F.lit(r"""href=["']([^"']+)["']"""), F.lit(1))

@@ -37,6 +37,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return write_frame(df, workspace(df.sparkSession, label))
 
 
+def write_bucketed(df: DataFrame, path: str, entity: list[str], buckets: int, by: list[str] | None = None) -> DataFrame:
+    """df as Parquet divided by columns and by bucket, a hash of the entity, so that one entity's rows are read from one folder; each bucket is one file a task writes."""
+    rows = df.withColumn("bucket", F.pmod(F.xxhash64(*entity), F.lit(buckets)).cast("int"))
+    return write_frame(rows.repartition(buckets, "bucket"), path, [*(by or []), "bucket"])
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """df's rows, appended as JSON lines; rows there stay."""
     df.write.mode("append").json(path)
