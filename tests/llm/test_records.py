@@ -265,6 +265,17 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score_toxicity(df, labels.limit(0)).collect()} != set()
 
 
+def test_own_labels_and_those_of_copies_have_no_vote(spark):
+    rows = toxic_rows(200)
+    text = dict((i, t) for i, t, _ in rows)
+    labels = [(i, y) for i, _, y in rows]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7001, text[1]), (7002, text[2])], "doc_id long, text string")
+    out = toxicity.score_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert all(text.get(e.id) != (text | {7001: text[1], 7002: text[2]})[r.doc_id] for r in out for e in r.evidence)
+    score = {r.doc_id: r.score for r in out}
+    assert score[7001] == score[1] and score[7002] == score[2]
+
+
 @pytest.mark.parametrize("common", [0, 7, 512])
 def test_neighbours_are_exact(monkeypatch, common):
     import numpy as np
@@ -319,7 +330,7 @@ def test_toxicity_is_brute_force_s(spark, sf):
     examples = [vector(texts[i]) for i in index.ids]
     for r in toxicity.query(spark, sf).collect():
         v = vector(texts[r.doc_id])
-        cos = sorted(((-sum(x * e.get(t, 0) for t, x in v.items()), j) for j, e in enumerate(examples)))[:15]
+        cos = sorted(((-sum(x * e.get(t, 0) for t, x in v.items()), j) for j, e in enumerate(examples) if texts[index.ids[j]] != texts[r.doc_id]))[:15]
         votes = [(1 / (1 + 0.05 - min(-c, 1)), index.toxic[j]) for c, j in cos if c < 0]
         p = (sum(w * y for w, y in votes) + 0.5 * index.rate) / (sum(w for w, _ in votes) + 0.5)
         p = min(max(p, 1e-4), 1 - 1e-4)

@@ -13,6 +13,7 @@ a hash of the text; at most ``max_examples`` of them, half of either label too,
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -111,10 +112,15 @@ class Index:
     ids: list
     rate: float
     weight: np.ndarray
+    texts: dict[bytes, int]
     curve: tuple[float, float] = (1.0, 0.0)
 
+    def own(self, texts: list[str]) -> np.ndarray:
+        """The example with each text, -1 for none: a text's own label is no vote on it."""
+        return np.array([self.texts.get(text_digest(t), -1) for t in texts], np.int64)
+
     def neighbours(self, q: Rows, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, examples), k for each row of q, best first; leave: an example to leave out for each row. Ties go to the smaller example.
+        """(scores, examples), k for each row of q, best first; leave: an example to leave out for each row, -1 for none. Ties go to the smaller example.
 
         The two blocks with the largest bounds are scored first. Then, of the others, those whose bound is not below the k-th best score: no other
         can hold a neighbour.
@@ -144,7 +150,7 @@ class Index:
             s += base
             s *= np.repeat(wanted, BLOCK, axis=1)[:, :n]
             if leave is not None:
-                s[np.arange(count), leave] = 0
+                s[np.flatnonzero(leave >= 0), leave[leave >= 0]] = 0
             return s
 
         wanted = np.zeros(bound.shape, bool)
@@ -268,8 +274,12 @@ def document_frequencies(texts: DataFrame, shared: Broadcast, count: int) -> tup
 COMMON = 512
 
 
-def build_index(x: Rows, toxic: list[int], ids: list, weight: np.ndarray, rate: float, k: int) -> Index:
-    """x: the examples' rows."""
+def text_digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def build_index(x: Rows, toxic: list[int], ids: list, weight: np.ndarray, rate: float, k: int, texts: list[bytes] | None = None) -> Index:
+    """x: the examples' rows; texts: their digests, by which :meth:`Index.own` finds them."""
     row = np.repeat(np.arange(len(ids)), np.diff(x.starts))
     top = np.zeros(len(ids), np.int64)
     if len(row):  # the heaviest term of each, by which like ones are put together
@@ -291,7 +301,7 @@ def build_index(x: Rows, toxic: list[int], ids: list, weight: np.ndarray, rate:
     np.maximum.at(largest, (x.terms, row // BLOCK), x.weights)
     by = np.flatnonzero(~own)[np.argsort(x.terms[~own], kind="stable")]
     starts = np.concatenate([[0], np.cumsum(np.bincount(x.terms[by], minlength=len(weight)))]).astype(np.int64)
-    index = Index(largest, dense, common, starts, row[by].astype(np.int32), x.weights[by], y, ids, rate, weight)
+    index = Index(largest, dense, common, starts, row[by].astype(np.int32), x.weights[by], y, ids, rate, weight, {texts[j]: i for i, j in enumerate(order.tolist())} if texts else {})
     if 0 < y.sum() < len(y):
         parts = [np.arange(at, min(at + BLOCK, len(y))) for at in range(0, len(y), BLOCK)]
         votes = np.concatenate([index.votes(*index.neighbours(x.of(own), k, own)) for own in parts])
@@ -320,20 +330,21 @@ def _learnt(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         for batch in batches:
             found = [sorted((at[w], n) for w, n in Counter(WORD.findall(cell.as_py().lower())).items() if w in at) for cell in batch.column(3)]
             arrays = [pa.array([[x[i] for x in row] for row in found], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=["id", "hash", "toxic", "terms", "counts"])
+            digests = pa.array([text_digest(cell.as_py()) for cell in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], digests, *arrays], names=["id", "hash", "toxic", "digest", "terms", "counts"])
 
-    schema = T.StructType([texts.schema["id"], T.StructField("hash", T.LongType()), T.StructField("toxic", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("terms", "counts"))])
+    schema = T.StructType([texts.schema["id"], T.StructField("hash", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("digest", T.BinaryType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("terms", "counts"))])
     rows = own.select("id", "hash", "toxic", "text").mapInArrow(run, schema).dropDuplicates(["hash"]).toArrow().sort_by("hash").combine_chunks()  # max_examples
     terms, counts = rows["terms"].combine_chunks(), rows["counts"].combine_chunks()
     sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
     x = _unit(np.repeat(np.arange(len(sizes)), sizes), terms.flatten().to_numpy(), counts.flatten().to_numpy(), len(sizes), weight)
-    return at, build_index(x, rows["toxic"].to_pylist(), rows["id"].to_pylist(), weight, rate, k)
+    return at, build_index(x, rows["toxic"].to_pylist(), rows["id"].to_pylist(), weight, rate, k, rows["digest"].to_pylist())
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 1024, evidence: int = 3) -> DataFrame:
     """id, held_out, score, predicted and evidence (id, similarity and label of the nearest examples) of every row of df.
 
-    Only labels of rows that aren't held out are learnt from; scores depend on texts alone. Null and empty texts, and texts
+    Only labels of rows that aren't held out are learnt from; scores depend on texts alone. An example with a row's very text has no vote on it, as in the votes that the curve was fitted on. Null and empty texts, and texts
     without any term of the vocabulary, get the score of no neighbours, which is low where toxic texts are few. Without labels of both kinds that
     score is 0.1 for all. Repeated rows, and texts that share an id, are scored each by its own text; ties among neighbours go to the example that comes
     first in the index. Null ids are not held out, very long texts are read whole, further columns are not read, and an empty table gives an
@@ -348,7 +359,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = shared.value
         for batch in in_byte_slices(in_slices(batches, SLICE), 1):
-            best, who = index.neighbours(rows_of_texts(batch.column(1).to_pylist(), at, index.weight), k)
+            texts = batch.column(1).to_pylist()
+            best, who = index.neighbours(rows_of_texts(texts, at, index.weight), k, index.own(texts))
             score = index.score(index.votes(best, who))
             why = [[{"id": index.ids[j], "similarity": float(s), "toxic": int(index.toxic[j])} for s, j in zip(b, w, strict=True) if s > 0] for b, w in zip(best[:, :evidence].tolist(), who[:, :evidence].tolist(), strict=True)]
             kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -367,8 +379,8 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = shared.value
         for batch in in_byte_slices(in_slices(batches, SLICE), column):
-            rows = rows_of_texts([text or "" for text in batch.column(column).to_pylist()], at, index.weight)
-            score = index.score(index.votes(*index.neighbours(rows, k)))
+            texts = [text or "" for text in batch.column(column).to_pylist()]
+            score = index.score(index.votes(*index.neighbours(rows_of_texts(texts, at, index.weight), k, index.own(texts))))
             yield batch.filter(pa.array(score < 0.5))
 
     return df.mapInArrow(run, df.schema)
