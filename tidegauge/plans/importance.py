@@ -53,11 +53,11 @@ def _(spark, d):
 
 
 @query("f11_quantile_bins_by_year", f"""WITH {CALLS}, x AS (SELECT *, year(event_date) AS year FROM c), q AS (SELECT year, list_sort(list_distinct(list_concat([0.0, 1.0], quantile_cont(p, [0.25, 0.5, 0.75])))) AS e FROM x GROUP BY 1), e AS (SELECT year, CAST(i AS INTEGER) AS bin, e[i + 1] AS low, e[i + 2] AS high FROM (SELECT year, e, unnest(range(len(e) - 1)) AS i FROM q))
-    SELECT e.year, bin, round(low, 9) AS low, count(p) AS n, round(avg(p), 6) AS mean_pred FROM e LEFT JOIN x ON x.year = e.year AND p >= low AND (p < high OR high = 1.0) GROUP BY 1, 2, 3""")
+    SELECT e.year, bin, round(low, 9) AS low, count(p) AS n, round(sum(p), 6) AS sum_pred FROM e LEFT JOIN x ON x.year = e.year AND p >= low AND (p < high OR high = 1.0) GROUP BY 1, 2, 3""")
 def _(spark, d):
     rows = calls(spark, d).withColumn("year", F.year("event_date")).withColumn("hit", (F.col("y_true") == "hold").cast("int"))
     found = E.reliability(rows, "p", "hit", E.quantile_edges(rows, "p", 4, ["year"]), ["year"])
-    return found.select("year", "bin", F.round("low", 9).alias("low"), "n", F.round("mean_pred", 6).alias("mean_pred"))
+    return found.select("year", "bin", F.round("low", 9).alias("low"), "n", F.round(F.col("mean_pred") * F.col("n"), 6).alias("sum_pred"))  # sums have no ties in rounding
 
 
 @query("f14_slices_by_flag_and_year", f"""WITH {CALLS}, x AS (SELECT year(event_date) AS year, CAST(y_true = y_pred AS DOUBLE) AS hit, value > 200000 AS large FROM c) SELECT year, 'large' AS flag, count(*) FILTER (large) AS n_on, round(avg(hit) FILTER (large), 6) AS accuracy_on,
