@@ -119,3 +119,10 @@ def test_spine_knows_what_came_before_its_first_day(spark):
     df = spark.createDataFrame([(1, D("2020-01-01"), 5.0), (1, D("2020-02-01"), 6.0)], "entity int, d date, v double")
     got = targets.event_spine(df, Panel(("entity",), ("d",)), "d", "v", "2020-02-01", ("url",)).collect()
     assert [(r.prior_value, r.gap_days, r.url) for r in got] == [(5.0, 31, None)]
+
+
+def test_digests_tell_contents_and_not_their_order(spark):
+    rows = [(i, D("2020-01-01") + dt.timedelta(days=i), float(i) if i % 3 else None) for i in range(50)]
+    of = lambda own, parts: quality.manifest(spark.createDataFrame(own, "k int, d date, v double").repartition(parts), "d").collect()[0].asDict()
+    assert of(rows, 1) == of(rows[::-1], 7)
+    assert of(rows, 1) != of([*rows[:-1], (49, rows[49][1], 0.5)], 1) and of(rows, 2) != of([*rows, rows[0]], 2)
