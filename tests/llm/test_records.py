@@ -44,6 +44,35 @@ def test_warc_with_a_full_filter_and_small_files(spark, sf, tmp_path, monkeypatc
     assert len(list((tmp_path / "warc").glob("*.gz"))) > 5 and {bytes(r.payload).decode() for r in records.collect()} == html
 
 
+def record(kind, name, block, *more, length=None):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *more, *([f"Content-Length: {len(block) if length is None else length}"] if length != "" else [])]
+    return "\r\n".join(["WARC/1.1", *head, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_warc_links_to_several_captures_and_broken_records(spark, tmp_path):
+    two = ["WARC-Concurrent-To: <r1>", "warc-concurrent-to: <r2>", "WARC-Concurrent-To: <r1>"]
+    whole = record("response", "r1", b"one") + record("request", "q", b"GET", *two) + record("metadata", "m", b"k: v", "WARC-Concurrent-To: <r2>") + record("response", "r2", b"two")
+    broken = record("response", "r3", b"abc\r\n\r\nd", length="") + record("response", "r4", b"x", length="-4") + record("response", "r5", b"five") + b"lost\r\nbytes\r\n" + record("response", "r2", b"again")
+    cut = record("response", "r6", b"six", length=10**15)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(whole))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(broken) + gzip.compress(cut))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record("response", "r7", b"7") + record("response", "r8", bytes(range(256)) * 4000))[:-900])
+    (tmp_path / "d.warc.gz").write_bytes(b"this is no archive")
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "f.warc.gz").write_bytes(gzip.compress(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\nWARC/1.1\r\nContent-Le"))
+    records = warc.read_archive(spark, f"file://{tmp_path}", with_payload=True)
+    got = {(r.record_id, bytes(r.payload or b"")): r.problem for r in records.collect() if r.record_id}
+    assert {k: v for k, v in got.items() if v is None} == dict.fromkeys([("<r1>", b"one"), ("<q>", b""), ("<m>", b""), ("<r2>", b"two"), ("<r5>", b"five"), ("<r2>", b"again"), ("<r7>", b"7")])
+    assert got["<r3>", b"abc\r\n\r\nd"] == got["<r4>", b"x"] == "no length"
+    assert [v.endswith("bytes are missing") for (i, p), v in got.items() if i == "<r6>"] == [True]
+    other = sorted(r.problem for r in records.filter("record_id is null").collect())
+    assert [x.split(":")[0] for x in other] == ["13 bytes belong to no record", "broken compression", "broken compression", "no length", "no type"]
+    captures = {}
+    for r in warc.assemble(records).collect():
+        captures.setdefault(r.capture_id, []).append((r.response.payload_bytes, [x.record_id for x in r.requests], [x.record_id for x in r.metadata]))
+    assert captures["<r1>"] == [(3, ["<q>"], [])] and sorted(captures["<r2>"]) == [(3, ["<q>"], ["<m>"]), (5, ["<q>"], ["<m>"])] and captures["<r5>"] == [(4, [], [])]
+
+
 def test_topk_is_the_oracle_s(spark, sf, monkeypatch):
     monkeypatch.setattr(impact_topk, "SHARD", 64)
     monkeypatch.setattr(impact_topk, "BLOCK", 4)
@@ -106,6 +135,14 @@ def test_tool_calls_with_hard_arguments(spark):
     assert len(got["text"].message) > 300_000 and got["type"].status == "cycle"
 
 
+def test_wrong_schemas_are_errors_of_their_calls(spark):
+    wrong = {"pattern": {"properties": {"a": {"pattern": "("}}}, "bound": {"properties": {"b": {"minimum": "1"}}}, "schema": {"properties": {"a": True}}, "length": {"properties": {"a": {"maxLength": None}}}, "kind": {"type": 3}, "listed": ["type"], "enum": {"properties": {"a": {"enum": [float("nan")]}}}}
+    calls = spark.createDataFrame([("c", 1, k, k, '{"a":"x","b":2}', None) for k in wrong] + [("c", 2, "free", "pattern", "{}", None)], "conversation string, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    got = {r.call_id: r for r in tool_calls.link_tool_calls(calls, spark.createDataFrame([], "turn long, call_id string, content string"), wrong).collect()}
+    assert got.pop("free").valid and {k: (r.valid, len(r.errors), r.errors[0][:26]) for k, r in got.items()} == dict.fromkeys(wrong, (False, 1, "$: the tool's schema is wr"))
+    assert all('"arguments":{"a":"x","b":2}' in r.message for r in got.values())
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_levels_are_longest_paths(spark, monkeypatch, most):
     import random

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm.components import components
-from tidegauge.llm.shared import written
+from tidegauge.llm.shared import new_path, written
 
 #: Largest group of dependent calls that one task orders by itself, in links.
 MOST_LINKS = 100_000
@@ -111,17 +111,19 @@ def _by_rounds(links: DataFrame) -> DataFrame:
     """The same for groups of any size, one round of joins a level."""
     nodes = links.select("call_id").unionByName(links.select(F.col("on").alias("call_id"))).distinct()
     done = nodes.join(links.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(0))
-    found = now = written(done, "level")
+    every = new_path(links.sparkSession, "levels")  # a folder a level, so that the plan doesn't grow with the levels
     level = 0
-    while not links.isEmpty():
+    while True:
+        done.write.parquet(f"{every}/{level}")
+        now = links.sparkSession.read.schema("call_id string, level int").parquet(f"{every}/{level}")
+        if links.isEmpty() or now.isEmpty():
+            break
         level += 1
         left = written(links.join(now.select(F.col("call_id").alias("on")), "on", "left_anti"), "links")
-        now = written(links.select("call_id").distinct().join(left.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(level)), "level")
-        if now.isEmpty():
-            behind = links.select("call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-            return found.unionByName(behind)
-        links, found = left, found.unionByName(now)
-    return found
+        done = links.select("call_id").distinct().join(left.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(level))
+        links = left
+    placed = links.sparkSession.read.schema("call_id string, level int").parquet(*[f"{every}/{i}" for i in range(level + 1)])
+    return placed.unionByName(links.select("call_id").distinct().withColumn("level", F.lit(None).cast("int")))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -143,15 +145,25 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def checked(arguments: str | None, schema: dict | None) -> tuple[object, list[str]]:
-    """The value of JSON text, and what is wrong with it; a text that isn't JSON, is nested too deeply, or has numbers that aren't finite has no value."""
+    """The value of JSON text, and what is wrong with it; a text that isn't JSON, is nested too deeply, or has numbers that aren't finite has no value.
+
+    A schema that itself is wrong where it applies (a pattern that isn't one, a bound that is no number) is an error of the call, which keeps its value.
+    """
     try:
         value = json.loads(arguments)
         canonical(value)  # raises for NaN and infinities
-        return value, ["$: no schema for this tool"] if schema is None else errors(value, schema)
     except RecursionError:
         return None, ["$: nested too deeply"]
     except (TypeError, ValueError):
         return None, ["$: not JSON"]
+    if schema is None:
+        return value, ["$: no schema for this tool"]
+    try:
+        return value, errors(value, schema)
+    except RecursionError:
+        return None, ["$: nested too deeply"]
+    except (re.error, AttributeError, KeyError, OverflowError, TypeError, ValueError) as e:
+        return value, [f"$: the tool's schema is wrong ({type(e).__name__}: {e})"]
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -162,7 +174,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     and content is in the message, and ``n_results`` counts them. status: linked, unanswered, orphan (a result without a call), cycle (an answered
     or unanswered call without a place in the order), or unidentified (a call or result with a null id, each a row of its own). Null or broken
     arguments, nesting too deep for Python and numbers of more than 4300 digits are invalid and serialised as null; tools without a schema
-    are invalid, and a type that isn't one of JSON Schema's is met by nothing. Lone surrogates stay escaped. Long texts are
+    are invalid, a schema that is wrong itself makes the calls that it is applied to invalid, and a type that isn't one of JSON Schema's is met by nothing. Lone surrogates stay escaped. Long texts are
     serialised whole. Further columns are not read; empty tables give empty results.
     """
     body = [c for c in ("conversation", "turn", "name", "arguments", "depends_on")]

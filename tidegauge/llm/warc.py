@@ -2,8 +2,8 @@
 
 A page gives a request, a response (or, when its payload repeats another's, a revisit) and a metadata record. They are written as text files
 whose line ends complete the records' own, compressed by gzip. Reading streams each archive by its Content-Length headers, so a
-payload may hold anything. Request and metadata records name their response in WARC-Concurrent-To; by that they are joined to it,
-one nested row for each capture.
+payload may hold anything. Request and metadata records name their response in WARC-Concurrent-To, as often as they like; by that they are
+joined to it, one nested row for each capture. What is broken in an archive doesn't end the job: it is a record with a ``problem``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import gzip
 import hashlib
 import io
 import re
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +29,12 @@ CRLF = "\r\n"
 LEAST_REVISIT = 1000
 #: Largest table of repeated payloads that is sent to all executors, in rows of about 100 bytes.
 MOST_BROADCAST = 200_000
-RECORD = T.StructType([T.StructField(x, T.StringType()) for x in ("record_type", "record_id", "concurrent_to", "refers_to_id", "target_uri", "date", "payload_digest")] + [T.StructField("payload_bytes", T.LongType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("payload", T.BinaryType())])
+_TEXT = T.StringType()
+_TYPES = {"record_type": _TEXT, "record_id": _TEXT, "concurrent_to": T.ArrayType(_TEXT), "refers_to_id": _TEXT, "target_uri": _TEXT, "date": _TEXT, "payload_digest": _TEXT, "payload_bytes": T.LongType(), "fields": T.MapType(_TEXT, _TEXT), "payload": T.BinaryType(), "problem": _TEXT}
+RECORD = T.StructType([T.StructField(x, kind) for x, kind in _TYPES.items()])
+KINDS = [pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+#: Bytes that are read at once, so that a length that isn't true takes no memory.
+READ = 1 << 24
 
 
 def _urn(kind: str, page: Column, row: Column) -> Column:
@@ -81,44 +88,95 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     lines.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(path)
 
 
-def _headers(f) -> dict[str, str] | None:
-    """The headers of the next record, by lower-case name; None at the end."""
+def _block(f: BinaryIO, length: int) -> bytes:
+    """So many bytes, or fewer at the end."""
+    parts = []
+    while length > 0 and (part := f.read(min(length, READ))):
+        parts.append(part)
+        length -= len(part)
+    return b"".join(parts)
+
+
+def _records(f: BinaryIO) -> Iterator[tuple[dict[str, list[str]], bytes, str | None]]:
+    """Headers by lower-case name with all their values, block and problem of each record.
+
+    A record without a usable length ends where the next one begins; bytes between records are a record without headers.
+    """
     line = f.readline()
-    while line in (b"\r\n", b"\n"):
-        line = f.readline()
-    if not line:
-        return None
-    if not line.startswith(b"WARC/"):
-        raise ValueError(f"no WARC record begins with {line[:40]!r}")
-    out = {}
-    while (line := f.readline()) not in (b"\r\n", b"\n", b""):
-        name, _, value = line.decode().partition(":")
-        out[name.lower()] = value.strip()
-    return out
-
-
-def parsed(f, with_payload: bool) -> Iterator[tuple]:
-    """Rows of RECORD, one record after the other from an uncompressed stream."""
-    while (h := _headers(f)) is not None:
-        block = f.read(int(h["content-length"]))
-        kind = h["warc-type"]
+    while line:
+        if line in (b"\r\n", b"\n"):
+            line = f.readline()
+            continue
+        if not line.startswith(b"WARC/"):
+            lost = 0
+            while line and not line.startswith(b"WARC/"):
+                lost += len(line)
+                line = f.readline()
+            yield {}, b"", f"{lost} bytes belong to no record"
+            continue
+        head: dict[str, list[str]] = {}
+        while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            head.setdefault(name.strip().lower(), []).append(value.strip())
+        length = head.get("content-length", [""])[0]
+        if re.fullmatch("[0-9]{1,18}", length):
+            block = _block(f, int(length))
+            left = int(length) - len(block)
+            yield head, block, f"{left} bytes are missing" if left else None
+            line = f.readline()
+        else:
+            lines = []
+            while (line := f.readline()) and not line.startswith(b"WARC/"):
+                lines.append(line)
+            yield head, b"".join(lines).removesuffix(b"\r\n\r\n"), "no length"
+
+
+def _named(text: bytes) -> dict[str, str]:
+    """Lines of names and values; the last of a name."""
+    return dict(re.findall(r"(?m)^([\w-]+):[ \t]*(.*?)\r?$", text.decode("utf-8", "replace")))
+
+
+def parsed(f: BinaryIO, with_payload: bool) -> Iterator[tuple]:
+    """Rows of RECORD, one record after the other from an uncompressed stream; where decompression fails, the last one tells it."""
+    found = _records(f)
+    while True:
+        try:
+            head, block, problem = next(found)
+        except StopIteration:
+            return
+        except (EOFError, OSError, zlib.error) as e:
+            yield (None, None, [], None, None, None, None, 0, [], None, f"broken compression: {e}")
+            return
+
+        def one(name: str, head: dict[str, list[str]] = head) -> str | None:
+            return head[name][0] if name in head else None
+
+        kind, content = one("warc-type"), one("content-type") or ""
         fields, payload = {}, block
-        if h.get("content-type", "").startswith("application/http"):
-            head, _, payload = block.partition(b"\r\n\r\n")
-            fields = dict(re.findall(r"(?m)^([\w-]+):[ \t]*(.*?)\r?$", head.decode("utf-8", "replace").partition("\n")[2]))
-        elif h.get("content-type", "") == "application/warc-fields":
-            fields = dict(re.findall(r"(?m)^([\w-]+):[ \t]*(.*?)\r?$", block.decode("utf-8", "replace")))
-        whole = kind != "revisit"
-        sha = hashlib.sha1(payload).hexdigest() if whole else h.get("warc-payload-digest", "").removeprefix("sha1:")
-        n = len(payload) if whole else int(fields.get("Content-Length", 0))
-        yield kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), sha, n, list(fields.items()), payload if with_payload and kind == "response" else None
+        if content.startswith("application/http"):
+            start, _, payload = block.partition(b"\r\n\r\n")
+            fields = _named(start.partition(b"\n")[2])
+        elif content == "application/warc-fields":
+            fields = _named(block)
+        if head and kind is None:
+            problem = problem or "no type"
+        if kind == "revisit":
+            told = fields.get("Content-Length", "0")
+            sha, n = (one("warc-payload-digest") or "").removeprefix("sha1:"), int(told) if re.fullmatch("[0-9]{1,18}", told) else 0
+        else:
+            sha, n = hashlib.sha1(payload).hexdigest(), len(payload)
+        yield kind, one("warc-record-id"), head.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-target-uri"), one("warc-date"), sha, n, list(fields.items()), payload if with_payload and kind == "response" else None, problem
 
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Every record of the archives in a folder, as RECORD. Archives may be one gzip stream or one for each record. Payloads are those of responses."""
+    """Every record of the archives in a folder, as RECORD. Archives may be one gzip stream or one for each record. Payloads are those of responses.
+
+    ``problem`` is null for sound records. Else it tells what is wrong: a block that is cut off (what is there is the payload), no usable length
+    (the block ends where the next record begins), no type, bytes that belong to no record, or compression that is broken, where the rest
+    of that archive can't be read. An empty archive has no records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 7 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
         for batch in batches:
             for cell in batch.column(0):
                 with gzip.open(io.BytesIO(cell.as_py())) as f:
@@ -126,12 +184,12 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
                     size = 0
                     for row in parsed(f, with_payload):
                         rows.append(row)
-                        size += 500 + len(row[-1] or b"")
+                        size += 500 + len(row[9] or b"")
                         if size > 8_000_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=RECORD.names)
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=RECORD.names)
                             rows, size = [], 0
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=RECORD.names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=RECORD.names)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORD)
 
@@ -139,13 +197,15 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = False) ->
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each response or revisit: capture_id, target_uri, response, requests and metadata (records that name it in WARC-Concurrent-To).
 
-    A capture without such records has empty lists; records that name no capture at hand are left out.
+    A record that names several captures is with each of them, one that names the same capture twice is there once. A capture without such
+    records has empty lists; records that name no capture at hand are left out. Captures that share a record id are rows of their own, each
+    with all records that name it, as are repeated rows; null ids are joined with nothing. Empty tables give empty results.
     """
     own = F.struct(*[c for c in RECORD.names if c not in ("concurrent_to", "target_uri")])
     captures = records.filter("record_type in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), "target_uri", own.alias("response"))
-    with_ = records.filter("record_type in ('request', 'metadata') and concurrent_to is not null")
+    with_ = records.filter("record_type in ('request', 'metadata')").withColumn("capture_id", F.explode(F.array_distinct("concurrent_to")))
     small = F.struct("record_id", "date", "fields")
-    beside = with_.groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.collect_list(F.when(F.col("record_type") == "request", small)).alias("requests"), F.collect_list(F.when(F.col("record_type") == "metadata", small)).alias("metadata"))
+    beside = with_.groupBy("capture_id").agg(F.collect_list(F.when(F.col("record_type") == "request", small)).alias("requests"), F.collect_list(F.when(F.col("record_type") == "metadata", small)).alias("metadata"))
     none = F.array().cast("array<struct<record_id:string,date:string,fields:map<string,string>>>")
     joined = captures.join(beside, "capture_id", "left")
     return joined.select("capture_id", "target_uri", "response", F.coalesce("requests", none).alias("requests"), F.coalesce("metadata", none).alias("metadata"))
