@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import same
-from tidegauge.llm import components, exact_dedup, hyper_minhash, sentence_spans
+from tidegauge.llm import components, exact_dedup, hyper_minhash, sentence_spans, shared
 
 DOCS = "doc_id long, text string, keep_id string, row string"
 
@@ -36,6 +36,15 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_writes_only_what_is_carried(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(exact_dedup, "written", lambda df, label: seen.append((label, df.columns)) or shared.written(df, label))
+    exact_dedup.query(spark, sf)
+    assert dict(seen)["hashed"] == ["doc_id", "text_sha256", "row_no"]
+    rows = docs(spark, [(1, "a"), (2, "a"), (3, "b")])
+    assert exact_dedup.exact_dedup(rows, carried=["row"]).columns == ["row", "keep_id_", "group_size", "kept", "text_sha256"]
+
+
 def test_exact_dedup_with_a_full_filter_loses_nothing(spark):
     rows = [(i, f"t{i % 700}") for i in range(1000)]
     got = exact_dedup.exact_dedup(docs(spark, rows), max_filter_bytes=1, probes=1)

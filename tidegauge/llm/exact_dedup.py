@@ -61,17 +61,19 @@ def _is_set(bits: str, at: Column) -> Column:
     return F.bit_get(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, probes: int = 2, max_filter_bytes: int = 64 << 20) -> DataFrame:
-    """df with keep_id, group_size, kept and text_sha256 (with underscores appended where df has such a column).
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, probes: int = 2, max_filter_bytes: int = 64 << 20, carried: list[str] | None = None) -> DataFrame:
+    """df, or those of its columns that are ``carried``, with keep_id, group_size, kept and text_sha256 (with underscores appended where df has such a column).
 
     Texts are equal when they are so after :func:`normalised`; null counts as empty. Of equal texts the row with the smallest id
     stays; null ids come last, and of rows that tie in the id, the one that is read first stays. An empty table
-    gives an empty result. Very long texts are hashed whole.
+    gives an empty result. Very long texts are hashed whole. What is carried is written once, so texts are copied only where they are asked for.
     """
+    carried = df.columns if carried is None else carried
     names = {x: free_name(df.columns, x) for x in ("keep_id", "group_size", "kept", "text_sha256", "row_no", "block", "bits")}
     sha, row, block, bits = names["text_sha256"], names["row_no"], names["block"], names["bits"]
     # written, for a second scan of df may be split otherwise and so number rows otherwise
-    hashed = written(df.withColumn(sha, F.sha2(normalised(text_col), 256)).withColumn(row, F.monotonically_increasing_id()), "hashed")
+    own = [F.col(f"`{c}`") for c in dict.fromkeys([id_col, *carried])]
+    hashed = written(df.select(*own, F.sha2(normalised(f"`{text_col}`"), 256).alias(sha), F.monotonically_increasing_id().alias(row)), "hashed")
     blocks = max(1, min(max_filter_bytes * 8, hashed.count() * bits_per_row) // BLOCK_BITS)
     found = written(repeat_filter(hashed, sha, blocks, probes), "filter").select(F.col("block").alias(block), F.col("bits").alias(bits))
     probed = hashed.withColumn(block, _block(sha, blocks)).join(F.broadcast(found), block, "left")
@@ -79,7 +81,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     probed = probed.withColumn(bits, maybe)
 
     def result(rows: DataFrame, keep: Column, n: Column, kept: Column) -> DataFrame:
-        return rows.select(*[F.col(f"`{c}`") for c in df.columns], keep.alias(names["keep_id"]), n.alias(names["group_size"]), kept.alias(names["kept"]), F.col(sha))
+        return rows.select(*[F.col(f"`{c}`") for c in carried], keep.alias(names["keep_id"]), n.alias(names["group_size"]), kept.alias(names["kept"]), F.col(sha))
 
     alone = result(probed.filter(~F.col(bits)), F.col(f"`{id_col}`"), F.lit(1).cast("long"), F.lit(True))
     rest = probed.filter(F.col(bits)).drop(block, bits)
@@ -94,7 +96,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 def query(spark, sf_dir: str) -> DataFrame:
     """The digest of every row of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, carried=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = r"""
