@@ -414,19 +414,43 @@ def test_stages_with_clashing_columns(spark, sf, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.without_copies(spark, named, sf).collect()} == {1, 3, 4, 5}
 
 
-def test_pipeline_keeps_what_each_stage_should(spark, sf):
-    import corpus_pipeline
-    from tidegauge.llm import hyper_minhash
+def test_pipeline_keeps_what_each_stage_should(spark, sf, tmp_path):
+    import struct
 
+    import corpus_pipeline
+    import public_tokenizers
+    from test_dedup import brute
+    from tokenizers import Tokenizer
+
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = max((r.text for r in given.collect()), key=len)[:400]
+    planted = [f"{plain} password = hunter722 and", f"then AKIA{'Q7' * 9} {plain[:90]}", f"{plain[150:]} in {'0a1b2c3d' * 4} and"]
+    rows = [(10**6 + i, t, "en", "planted", len(t)) for i, t in enumerate(planted)]
+    given.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    sf = str(tmp_path)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = {r.doc_id for r in labels.filter("toxic = 1").collect()}
     rejected = {r.doc_id for r in toxicity.score_toxicity(docs, labels).filter("predicted = 1").collect()}
-    rows = [r for r in docs.collect() if r.doc_id not in rejected]
+    assert len(rejected - toxic - {r.doc_id for r in docs.join(labels, "doc_id", "left_anti").collect()}) <= 2  # clean ones by their labels stay
     first = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
+    for r in sorted((r for r in docs.collect() if r.doc_id not in rejected), key=lambda r: r.doc_id):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text), r)
     texts = {r.doc_id: r.text for r in first.values()}
-    near = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    kept = {r.doc_id for r in hyper_minhash.near_dedup(near).filter("kept").collect()}
-    out = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in out.collect()} == kept and len(corpus_pipeline.STAGES) == 5
+    kept = {i for i, (_, least) in brute(sorted(texts.items()), 5, 80, 100).items() if i == least}
+    base = [re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Z0-9+/_.=-]{6,}"""), re.compile("AKIA[A-Z0-9]{16,}"), re.compile("[0-9a-f]{24,}")]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, hidden = {}, 0
+    for i in kept:
+        masked = secrets.masked(texts[i], secrets.scan(texts[i])[1], "[SECRET]")
+        assert not any(x.search(masked) for x in base)
+        hidden += masked != texts[i]
+        ids = [*library.encode(masked, add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            own = ids[k : k + 4096]
+            pieces[i, k // 4096] = (len(own), zlib.crc32(struct.pack(f"<{len(own)}I", *own)))
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in out} == pieces and len(out) == len(pieces)
+    assert hidden >= len(kept & {r[0] for r in rows}) == 3 and len(corpus_pipeline.STAGES) == 5
+    assert len({r.sequence_id for r in out}) == -(-sum(n for n, _ in pieces.values()) // 4096)

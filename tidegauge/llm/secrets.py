@@ -390,7 +390,10 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def mask_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with every span of :func:`scan_secrets` in the texts replaced by ``mark``; null texts stay null, other columns as they are."""
+    """df with every span of :func:`scan_secrets` in the texts replaced by ``mark``; null texts stay null, other columns as they are.
+
+    Every row is read by itself: repeated rows give repeated rows, empty texts and tables stay empty, and texts are masked whole, however long.
+    """
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

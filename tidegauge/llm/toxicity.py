@@ -371,7 +371,11 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = 15, max_labelled: int = 12_000, max_examples: int = 1024) -> DataFrame:
-    """The rows of df, with all columns, that :func:`score_toxicity` would not predict to be toxic; texts are read where they are, nothing is shuffled."""
+    """The rows of df, with all columns, that :func:`score_toxicity` would not predict to be toxic; texts are read where they are, nothing is shuffled.
+
+    Null texts count as empty and are scored as such; copies of a text are all kept or all gone; texts are scored whole, and an empty table
+    gives an empty result.
+    """
     at, index = _learnt(df, labels, id_col, text_col, label_col, k, max_labelled, max_examples)
     shared = df.sparkSession.sparkContext.broadcast((at, index))
     column = df.columns.index(text_col)
