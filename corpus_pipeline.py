@@ -15,19 +15,28 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
+    """Documents that the toxicity operator does not reject, with all their columns.
+
+    Null and empty texts are scored alike and stay, copies of a text share its fate, and an empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, labels)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: that with the smallest doc_id, of tied ids the one read first; null ids come last.
+
+    Null texts are copies of empty ones. An empty table gives an empty one.
+    """
     kept = free_name(docs.columns, "kept")  # the operator's own flag, not a column of docs
     return exact_dedup.exact_dedup(docs).filter(F.col(kept)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, on 5-word shingles at 0.8."""
+    """One document of each group of near-duplicates, on 5-word shingles at 0.8: that with the smallest doc_id, of tied ids the one read first.
+
+    Documents without words or text all stay. An empty table gives an empty one.
+    """
     row = free_name(docs.columns, "_row")
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     gone = written(hyper_minhash.near_dedup(numbered, row_col=row).filter("not kept").select(F.col("row").alias(row)), "gone")
@@ -35,13 +44,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts; n_chars follows."""
+    """All documents, with secrets masked in their texts; n_chars follows, and is null where the text is. No row comes or goes."""
     masked = secrets.mask_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences; null and empty texts are a piece of one token. An empty table gives no piece."""
     return best_fit.pack_documents(docs)
 
 
