@@ -55,7 +55,8 @@ def _(spark, d):
 
 @query("a5_chart_points", """SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS observation_date, value FROM events WHERE value IS NOT NULL""")
 def _(spark, d):
-    rows = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("series_id")).agg(F.sort_array(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "value"))).alias("x"))
+    day = F.col("ts").cast("timestamp")  # a chart a series and day, so that no cell grows with a series' length
+    rows = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("series_id"), F.to_date(day)).agg(F.sort_array(F.collect_list(F.struct(F.unix_seconds(day).alias("s"), "value"))).alias("x"))
     return ingest.chart_points(rows.select("series_id", F.col("x.s").alias("timestamps"), F.col("x.value").alias("closes")), "timestamps", "closes", "UTC")
 
 
