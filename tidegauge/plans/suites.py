@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from tidegauge.operators import asof, evaluate, features, learners, lexicon
+from tidegauge.operators import asof, evaluate, features, learners, lexicon, ranges
 from tidegauge.operators import baselines as B
 from tidegauge.plans.base import CALLS, LABELS, ORDERS, PANEL, W, calls, orders, query, table
 from tidegauge.plans.ingestion import _LEX, _TOKENS, _lexicon, CATEGORIES
@@ -59,7 +59,7 @@ def _(spark, d):
     day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("at.doc_id") % 1500).cast("int"))
     daily = counts.groupBy(F.col("at.source").alias("series_id"), day.alias("observation_date")).agg(*[F.sum(c).alias(c) for c in ("n_tokens", *CATEGORIES)])
     obs = lexicon.scores(daily, CATEGORIES).select("series_id", "observation_date", F.date_add("observation_date", 1).alias("publication_date"), F.col("tone").alias("value"))
-    spine = orders(spark, d).select("event_date").distinct().crossJoin(F.broadcast(docs.select(F.col("source").alias("series_id")).distinct()))
+    spine = orders(spark, d).select("event_date").distinct().crossJoin(ranges.broadcast_if_small(docs.select(F.col("source").alias("series_id")).distinct()))  # a row a series and day, as the result has
     return asof.as_of(spine, obs, ["series_id"])
 
 
