@@ -337,6 +337,25 @@ def test_neighbours_are_exact(monkeypatch, common):
     assert all(abs(scores[i, j] - s) < 1e-5 for i in range(200) for s, j in zip(best[i], who[i], strict=True) if s > 0)
 
 
+def test_blocks_below_their_bound_are_not_read(monkeypatch):
+    """Examples of eight topics, eight blocks: a text of one topic meets the blocks of its own, and its neighbours are those among all."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    weight = 0.5 + rng.random(800)
+    counts = [{int(t): 1 for t in 100 * (i % 8) + rng.choice(100, 30, replace=False)} for i in range(512)]
+    monkeypatch.setattr(toxicity, "COMMON", 16)
+    index = toxicity.build_index(toxicity.rows_of(counts, weight), [0] * 512, list(range(512)), weight, 0.3, 5)
+    read: list = []
+    scored = toxicity.Index.scored
+    monkeypatch.setattr(toxicity.Index, "scored", lambda self, block, usual, rare: read.append(len(usual)) or scored(self, block, usual, rare))
+    q = toxicity.rows_of([{int(t): 1 for t in 100 * (i % 8) + rng.choice(100, 30, replace=False)} for i in range(80)], weight)
+    best, who = index.neighbours(q, 5)
+    assert 80 <= sum(read) < 80 * 8 // 2
+    every = np.concatenate([scored(index, block, *index.parted(q)) for block in range(8)], axis=1)
+    assert np.allclose(best, -np.sort(-every, axis=1)[:, :5], atol=1e-6) and np.allclose(np.take_along_axis(every, who, 1), best, atol=1e-6)
+
+
 def test_toxicity_is_brute_force_s(spark, sf):
     """Every score of the query, from the learnt weights and examples by plain dictionaries over all documents; and document frequencies from all texts."""
     import numpy as np

@@ -98,8 +98,8 @@ def _unit(row: np.ndarray, terms: np.ndarray, n: np.ndarray, count: int, weight:
 class Index:
     """Examples in blocks of BLOCK: posting lists by term, the largest weight of each term in each block, and what the examples are.
 
-    dense: the terms that have rows in ``common`` (terms x examples), with those rows' numbers, -1 for none. The posting list of any other term lies
-    between its ``starts``.
+    dense: the terms that have rows in ``common`` (terms x examples), with those rows' numbers, -1 for none. Any other term has a posting list in each block:
+    that of term t in block b lies between ``starts`` b * terms + t and the next one.
     """
 
     largest: np.ndarray
@@ -123,49 +123,55 @@ class Index:
         """(scores, examples), k for each row of q, best first; leave: an example to leave out for each row, -1 for none. Ties go to the smaller example.
 
         The two blocks with the largest bounds are scored first. Then, of the others, those whose bound is not below the k-th best score: no other
-        can hold a neighbour.
+        can hold a neighbour, and no posting or dense weight of another is read.
         """
         count, n = len(q.starts) - 1, len(self.toxic)
         best, who = np.zeros((count, k), np.float32), np.full((count, k), n, np.int64)
         if not n or not count:
             return best, who
-        row = np.repeat(np.arange(count), np.diff(q.starts))
-        at = self.dense[q.terms]
-        usual = np.zeros((count, len(self.common)), np.float32)
-        usual[row[at >= 0], at[at >= 0]] = q.weights[at >= 0]
-        few = at < 0
-        rare = Rows(np.concatenate([[0], np.cumsum(np.bincount(row[few], minlength=count))]), q.terms[few], q.weights[few])
-        named = np.flatnonzero(self.dense >= 0)
-        bound = (usual @ self.largest[named] + rare.times(self.largest)) * np.float32(1.0001)
-        base = usual @ self.common
-        first, sizes = self.starts[rare.terms], np.diff(self.starts)[rare.terms]
-        ends = np.cumsum(sizes)
-        place = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        row, found = np.repeat(row[few], sizes), self.example[place]
-        value = self.posted[place] * np.repeat(rare.weights, sizes)
-
-        def scored(wanted: np.ndarray) -> np.ndarray:
-            own = wanted[row, found // BLOCK]
-            s = np.bincount(row[own] * n + found[own], value[own], count * n).reshape(count, n).astype(np.float32)
-            s += base
-            s *= np.repeat(wanted, BLOCK, axis=1)[:, :n]
+        usual, rare = self.parted(q)
+        bound = (usual @ self.largest[np.flatnonzero(self.dense >= 0)] + rare.times(self.largest)) * np.float32(1.0001)
+        s = np.zeros((count, n), np.float32)
+
+        def score(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows = np.flatnonzero(wanted[:, block])
+                s[rows, block * BLOCK : (block + 1) * BLOCK] = self.scored(block, usual[rows], rare.of(rows))
             if leave is not None:
                 s[np.flatnonzero(leave >= 0), leave[leave >= 0]] = 0
-            return s
 
         wanted = np.zeros(bound.shape, bool)
         np.put_along_axis(wanted, np.argsort(-bound, axis=1, kind="stable")[:, :2], True, axis=1)
+        score(wanted)
         if bound.shape[1] > 2:
-            s = scored(wanted)
-            least = np.partition(s, max(0, n - k), axis=1)[:, max(0, n - k)] if n >= k else np.zeros(count, np.float32)
-            s += scored((bound > 0) & (bound >= least[:, None]) & ~wanted)
-        else:
-            s = scored(wanted)
+            least = np.partition(s, n - k, axis=1)[:, n - k] if n >= k else np.zeros(count, np.float32)
+            score((bound > 0) & (bound >= least[:, None]) & ~wanted)
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         best[:, : top.shape[1]] = np.take_along_axis(s, top, 1)
         who[:, : top.shape[1]] = top
         return best, np.where(best > 0, who, n)
 
+    def parted(self, q: Rows) -> tuple[np.ndarray, Rows]:
+        """The rows' weights in dense terms, and the rows in the others."""
+        count = len(q.starts) - 1
+        row, at = np.repeat(np.arange(count), np.diff(q.starts)), self.dense[q.terms]
+        usual = np.zeros((count, len(self.common)), np.float32)
+        usual[row[at >= 0], at[at >= 0]] = q.weights[at >= 0]
+        few = at < 0
+        return usual, Rows(np.concatenate([[0], np.cumsum(np.bincount(row[few], minlength=count))]), q.terms[few], q.weights[few])
+
+    def scored(self, block: int, usual: np.ndarray, rare: Rows) -> np.ndarray:
+        """The scores of one block's examples, a row for each of the given ones: their weights in dense terms, and what they have in others. Reads that block's postings only."""
+        low, width = block * BLOCK, min(BLOCK, len(self.toxic) - block * BLOCK)
+        of = block * len(self.weight) + rare.terms
+        first, sizes = self.starts[of], self.starts[of + 1] - self.starts[of]
+        ends = np.cumsum(sizes)
+        place = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        row = np.repeat(np.repeat(np.arange(len(usual)), np.diff(rare.starts)), sizes)
+        value = self.posted[place] * np.repeat(rare.weights, sizes)
+        few = np.bincount(row * width + self.example[place] - low, value, len(usual) * width).reshape(len(usual), width)
+        return few.astype(np.float32) + usual @ self.common[:, low : low + width]
+
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
         """The share of toxic votes, each weighted by its distance, with the prior's vote."""
         w = np.where(best > 0, 1 / (1 - np.minimum(best, 1) + NEAR), 0).astype(np.float64)
@@ -299,8 +305,9 @@ def build_index(x: Rows, toxic: list[int], ids: list, weight: np.ndarray, rate:
     blocks = -(-len(ids) // BLOCK)
     largest = np.zeros((len(weight), blocks), np.float32)
     np.maximum.at(largest, (x.terms, row // BLOCK), x.weights)
-    by = np.flatnonzero(~own)[np.argsort(x.terms[~own], kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(x.terms[by], minlength=len(weight)))]).astype(np.int64)
+    lists = row // BLOCK * len(weight) + x.terms
+    by = np.flatnonzero(~own)[np.argsort(lists[~own], kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(lists[by], minlength=blocks * len(weight)))]).astype(np.int64)
     index = Index(largest, dense, common, starts, row[by].astype(np.int32), x.weights[by], y, ids, rate, weight, {texts[j]: i for i, j in enumerate(order.tolist())} if texts else {})
     if 0 < y.sum() < len(y):
         parts = [np.arange(at, min(at + BLOCK, len(y))) for at in range(0, len(y), BLOCK)]
