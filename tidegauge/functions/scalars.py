@@ -16,6 +16,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, F.nullif(b, F.lit(0.0)))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double to so many digits, halves away from zero, by its product with their power of ten, as DuckDB rounds; ``F.round`` goes by the double's decimal text instead, so halves differ."""
+    return F.round(c * float(10**digits), 0) / float(10**digits)
+
+
 def signed_number(c: Column) -> Column:
     """Signed text as a double: Unicode minus allowed, a plus dropped; null for ranges ("x to y") and what isn't a number."""
     plain = F.translate(F.trim(c), "−+", "-")

@@ -138,8 +138,8 @@ def _(spark, d):
 @query("b2_checked_decisions", f"""WITH {ORDERS}, x AS (SELECT entity, event_date AS observation_date, round((value - lag(value) OVER {W}) / 100000, 2) AS c, round(value / 100000, 2) AS n FROM o)
     SELECT entity, observation_date, observation_date - 1 AS publication_date, CAST(round_even(c * 100, 0) AS INTEGER) AS change_bps, n AS new_rate, round(n - c, 4) AS prior_rate FROM x WHERE observation_date >= DATE '1996-01-01' AND c IS NOT NULL""")
 def _(spark, d):
-    change = F.round((F.col("value") - F.lag("value").over(PANEL.window)) / 100000, 2)
-    raw = orders(spark, d).select("entity", F.col("event_date").alias("observation_date"), F.date_sub("event_date", 1).alias("publication_date"), change.cast("string").alias("change_raw"), F.round(F.col("value") / 100000, 2).cast("string").alias("new_rate_raw"))
+    change = S.rounded((F.col("value") - F.lag("value").over(PANEL.window)) / 100000, 2)
+    raw = orders(spark, d).select("entity", F.col("event_date").alias("observation_date"), F.date_sub("event_date", 1).alias("publication_date"), change.cast("string").alias("change_raw"), S.rounded(F.col("value") / 100000, 2).cast("string").alias("new_rate_raw"))
     return targets.decisions(raw, "1996-01-01").withColumn("prior_rate", F.round("prior_rate", 4))
 
 
