@@ -36,7 +36,8 @@ def category_counts(docs: DataFrame, lexicon: DataFrame, categories: list[str],
     words = rows.select("_id", "_row", F.explode_outer(tokens(F.col("_text"))).alias("_word"))
     found = words.join(broadcast_if_small(written(member, "lexicon")), "_word", "left")
     counts = [F.count(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) > 0, 1)).alias(c) for i, c in enumerate(categories)]
-    return found.groupBy("_row").agg(F.first("_id").alias(id_col), F.count("_word").alias("n_tokens"), *counts).drop("_row")
+    # the id is a key, as a hashed aggregation holds numbers only: else all words are sorted, each with its document's id
+    return found.groupBy("_row", F.col("_id").alias(id_col)).agg(F.count("_word").alias("n_tokens"), *counts).drop("_row")
 
 
 def scores_of_sources(sources: dict[str, DataFrame], lexicon: DataFrame, categories: list[str], id_col: str, text_col: str, at_col: str) -> DataFrame:
