@@ -6,10 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidegauge.operators.ranges import broadcast_if_small
 from tidegauge.sources.sinks import written
@@ -22,6 +23,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), width)
 
 
+def _flat(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows' vectors, none of them null or with nulls, as a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
 def _away(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of a from all of b."""
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
@@ -46,6 +52,7 @@ def near_rows(df: DataFrame, label: str, key: str, x: str, width: int, neighbour
         centres[g] = _matrix(own.select("x").toArrow()["x"].combine_chunks(), width)  # max_centres rows
     shared = df.sparkSession.sparkContext.broadcast(centres)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    key_type = to_arrow_type(rows.schema["k"].dataType)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,22 +108,33 @@ def near_rows(df: DataFrame, label: str, key: str, x: str, width: int, neighbour
         right = members.join(F.broadcast(blocks.select("g", "cell", "blocks")), ["g", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         at = ["g", "cell", "tile", "block"]
 
-        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"g": [], "k": [], "near": []})
-            p, q = np.stack(a["x"].to_list()).astype(np.float64), np.stack(b["x"].to_list()).astype(np.float64)
+        near_type = pa.list_(pa.struct([("distance", pa.float64()), ("k", key_type)]))
+
+        def best(a: pa.Table, b: pa.Table) -> pa.Table:
+            """All rows of a block against a tile at once: few candidates a row by matrix distances, with what ties with them, ordered by their exact distances and keys."""
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"g": a["g"].slice(0, 0), "k": a["k"].slice(0, 0), "near": pa.array([], near_type)})
+            p, q = _flat(a["x"], width), _flat(b["x"], width)
             d = _away(p, q)
-            mine, theirs = a["k"].to_numpy(), b["k"].to_numpy()
-            d[mine[:, None] == theirs[None, :]] = np.inf
-            own = []
-            for i in range(len(mine)):
-                few = np.argpartition(d[i], min(neighbours, len(theirs)) - 1)[:neighbours] if len(theirs) > neighbours else np.arange(len(theirs))
-                tie = np.flatnonzero(d[i] <= d[i][few].max()) if len(few) else few  # ties go by key below
-                exact = [(float(np.sqrt(((p[i] - q[j]) ** 2).sum())), theirs[j]) for j in tie if np.isfinite(d[i][j])]
-                own.append([{"distance": v, "k": k} for v, k in sorted(exact)[:neighbours]])
-            return pd.DataFrame({"g": a["g"].to_numpy(), "k": mine, "near": own})
-
-        parts = left.select(*at, "k", "x").groupBy(*at).cogroup(right.select(*at, "k", "x").groupBy(*at)).applyInPandas(best, f"g {kinds['g']}, k {kinds['k']}, near array<struct<distance:double,k:{kinds['k']}>>")
+            mine, theirs = a["k"].combine_chunks(), b["k"].combine_chunks()
+            same = pc.index_in(mine, value_set=theirs).to_numpy(zero_copy_only=False)  # keys are unique
+            own = np.flatnonzero(~np.isnan(same.astype(np.float64)))
+            d[own, same[own].astype(np.int64)] = np.inf
+            few = min(neighbours, len(theirs))
+            last = np.partition(d, few - 1, axis=1)[:, few - 1]
+            i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+            exact = np.concatenate([np.sqrt(((p[i[s : s + 65_536]] - q[j[s : s + 65_536]]) ** 2).sum(axis=1)) for s in range(0, max(1, len(i)), 65_536)])
+            rank = np.empty(len(theirs), np.int64)
+            rank[pc.sort_indices(theirs).to_numpy()] = np.arange(len(theirs))
+            order = np.lexsort((rank[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < neighbours
+            i, j, exact = i[kept], j[kept], exact[kept]
+            ends = np.r_[0, np.cumsum(np.bincount(i, minlength=len(mine)))]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(exact), theirs.take(pa.array(j))], fields=list(near_type.value_type)))
+            return pa.table({"g": a["g"], "k": mine, "near": lists})
+
+        parts = left.select(*at, "k", "x").groupBy(*at).cogroup(right.select(*at, "k", "x").groupBy(*at)).applyInArrow(best, f"g {kinds['g']}, k {kinds['k']}, near array<struct<distance:double,k:{kinds['k']}>>")
         return parts.groupBy("g", "k").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, neighbours).alias("near"))
 
     asks = written(cells.select("g", "k", "x").mapInArrow(asking(False), f"g {kinds['g']}, k {kinds['k']}, x {kinds['x']}, asked array<int>, bound double"), "asks")
