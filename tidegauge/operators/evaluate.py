@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import ratio
@@ -196,12 +196,8 @@ def sliced(df: DataFrame, flags: list[str], by: list[str] | None = None) -> Data
     return long.groupBy(*by, "flag").agg(F.count(on).alias("n_on"), F.avg(on).alias("accuracy_on"), F.count(off).alias("n_off"), F.avg(off).alias("accuracy_off")).filter("n_on > 0 and n_off > 0")
 
 
-def associations(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, n_obs, pearson, spearman) over rows where both are known; correlations need two distinct values of each.
-
-    The target is ranked once for all features without nulls, and once for each other. Rows get its rank by one join, and sums of ranks by feature and value are all that is kept of
-    them; so a feature of few values is ranked from a few counts.
-    """
+def _pairs(df: DataFrame, features: list[str], target: str) -> tuple[DataFrame, Row, DataFrame]:
+    """Rows with a known target (_y), all as doubles; one row of figures over them; and of these (feature, n_obs, pearson, _varies)."""
     rows = df.select(F.col(f"`{target}`").cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).filter("_y is not null")
 
     def told(c: str) -> tuple[Column, ...]:
@@ -209,11 +205,26 @@ def associations(df: DataFrame, features: list[str], target: str) -> DataFrame:
         return F.count(c), ratio(F.covar_pop(c, "_y"), F.stddev_pop(c) * F.stddev_pop(y)), (F.min(c) < F.max(c)) & (F.min(y) < F.max(y))
 
     row = rows.agg(F.count(F.lit(1)).alias("_n"), *[x.alias(f"{c}{i}") for c in features for i, x in enumerate(told(c))]).head()
+    summary = df.sparkSession.createDataFrame([(c, row[f"{c}0"], row[f"{c}1"] if row[f"{c}2"] else None, bool(row[f"{c}2"])) for c in features], "feature string, n_obs long, pearson double, _varies boolean")
+    return rows, row, summary
+
+
+def correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, n_obs, pearson) as of :func:`associations`, from one scan: nothing is ranked."""
+    return _pairs(df, features, target)[2].drop("_varies")
+
+
+def associations(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, n_obs, pearson, spearman) over rows where both are known; correlations need two distinct values of each.
+
+    The target is ranked once for all features without nulls, and once for each other. Rows get its rank by one join, and sums of ranks by feature and value are all that is kept of
+    them; so a feature of few values is ranked from a few counts.
+    """
+    rows, row, summary = _pairs(df, features, target)
     full = [c for c in features if row[f"{c}0"] == row["_n"]]
     rest = [c for c in features if c not in full and row[f"{c}0"]]
     long = rows.unpivot("_y", rest, "feature", "x").filter("x is not null") if rest else None
     counts = [x for x in (rows.select(F.lit("").alias("p"), "_y") if full else None, long.select(F.col("feature").alias("p"), "_y") if rest else None) if x is not None]
-    summary = df.sparkSession.createDataFrame([(c, row[f"{c}0"], row[f"{c}1"] if row[f"{c}2"] else None, bool(row[f"{c}2"])) for c in features], "feature string, n_obs long, pearson double, _varies boolean")
     if not counts:
         return summary.select("feature", "n_obs", "pearson", F.lit(None).cast("double").alias("spearman"))
     every = counts[0] if len(counts) == 1 else counts[0].unionByName(counts[1])
@@ -262,9 +273,13 @@ def mutual_information(df: DataFrame, features: list[str], label: str, least: in
     Continuous features go through :func:`quantile_bins` first, or to ``information.continuous_information``.
     """
     long = df.select(F.col(label).cast("string").alias("y"), *[F.col(c).cast("string").alias(c) for c in features]).unpivot("y", features, "feature", "x").filter("x is not null and y is not null")
-    joint = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return information_of_counts(long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")), least)
+
+
+def information_of_counts(joint: DataFrame, least: int = 30) -> DataFrame:
+    """:func:`mutual_information` of joint counts (feature, x, y, n), none of them null."""
     of = lambda *c: F.sum("n").over(Window.partitionBy("feature", *c))
-    cells = joint.select("feature", "n", of().alias("t"), of("x").alias("nx"), of("y").alias("ny"))
+    cells = joint.withColumn("n", F.col("n").cast("double")).select("feature", "n", of().alias("t"), of("x").alias("nx"), of("y").alias("ny"))
     mi = F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny"))))
     return cells.groupBy("feature").agg(F.when(F.sum("n") >= least, mi).alias("mi"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators import ranges
-from tidegauge.operators.evaluate import mutual_information
-from tidegauge.operators.ranges import broadcast_if_small, in_ranges, long_values, range_offsets
+from tidegauge.operators.evaluate import information_of_counts
+from tidegauge.operators.ranges import broadcast_if_small, in_ranges, range_offsets
 from tidegauge.sources.sinks import written
 
 #: An integer-valued feature with at most so many distinct values is discrete.
@@ -42,9 +42,10 @@ def _scan(neighbours: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), pa.schema([("feature", pa.string()), ("y", pa.string()), ("x", pa.float64()), ("n", pa.int64())]))  # one range
-        if not rows.num_rows:
+        some = [b for b in batches if b.num_rows]
+        if not some:
             return
+        rows = pa.Table.from_batches(some)  # one range
         feature, y = (rows[c].combine_chunks().dictionary_encode() for c in ("feature", "y"))
         f, g, x, n = feature.indices.to_numpy(), y.indices.to_numpy(), rows["x"].to_numpy(), rows["n"].to_numpy()
         order = np.lexsort((x, g, f))
@@ -145,15 +146,30 @@ def continuous_information(df: DataFrame, features: list[str], label: str, least
 
     Cells of equal values are dealt into ranges of a feature once, each of which is summed up by itself; only the few cells at its ends (see :func:`_scan`) are looked at across ranges.
     """
-    long = df.select(F.col(f"`{label}`").cast("string").alias("y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).unpivot("y", features, "feature", "v").filter("v is not null and y is not null")
-    cells = written(long.groupBy("feature", "y", F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("n")).select("feature", "y", "x", "n"), "cells")
-    seen = cells.groupBy("feature").agg(F.sum("n").alias("n_obs"), (F.min("x") == F.max("x")).alias("_flat"))
-    sizes = written(cells.groupBy("feature", "y").agg(F.sum("n").alias("size")), "sizes")
-    alone = sizes.filter("size = 1")
-    if not alone.isEmpty():
-        cells = cells.join(broadcast_if_small(alone), ["feature", "y"], "left_anti").select("feature", "y", "x", "n")
-    sizes = broadcast_if_small(sizes.filter("size > 1"))
-    n = max(1, -(-cells.count() // ranges.RANGE_ROWS))
+    cells = _cells(df.filter(F.col(f"`{label}`").isNotNull()), features, label)
+    return _of_cells(cells, _sizes(cells), least, neighbours)
+
+
+def _cells(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(feature, y, x, n), written: the rows of each class and known value of a feature."""
+    long = df.select(F.col(f"`{label}`").cast("string").alias("y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features]).unpivot("y", features, "feature", "x").filter("x is not null")
+    return written(long.groupBy("feature", "y", "x").agg(F.count(F.lit(1)).alias("n")), "cells")
+
+
+def _sizes(cells: DataFrame) -> DataFrame:
+    """(feature, y, size, values, low, high, whole), written: rows and distinct values of a class, the least and largest, and whether all are whole numbers (1 or 0)."""
+    whole = F.min((F.col("x") == F.floor("x")).cast("int"))
+    return written(cells.groupBy("feature", "y").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("values"), F.min("x").alias("low"), F.max("x").alias("high"), whole.alias("whole")), "sizes")
+
+
+def _of_cells(cells: DataFrame, sizes: DataFrame, least: int, neighbours: int) -> DataFrame:
+    """:func:`continuous_information` of written cells and their sizes, of known classes."""
+    seen = sizes.groupBy("feature").agg(F.sum("size").alias("n_obs"), (F.min("low") == F.max("high")).alias("_flat"))
+    told = sizes.agg(F.sum(F.when(F.col("size") > 1, F.col("values"))).alias("cells"), F.count_if(F.col("size") == 1).alias("alone")).head()
+    if told["alone"]:
+        cells = cells.join(broadcast_if_small(sizes.filter("size = 1").select("feature", "y")), ["feature", "y"], "left_anti").select("feature", "y", "x", "n")
+    sizes = broadcast_if_small(sizes.filter("size > 1").select("feature", "y", "size"))
+    n = max(1, -(-(told["cells"] or 0) // ranges.RANGE_ROWS))
     scanned = written(cells.repartitionByRange(n, "feature", "x").mapInArrow(_scan(neighbours), _SCANNED), "scanned")
     open_ = written(_reach(scanned.filter("y is not null").drop("closed_k", "closed_m"), sizes, neighbours), "open")
     flat = F.col("radius") == 0
@@ -169,19 +185,30 @@ def continuous_information(df: DataFrame, features: list[str], label: str, least
     return seen.join(F.broadcast(own), "feature", "left").select("feature", mi.alias("mi"))  # a row a feature
 
 
+def _discrete(cells: DataFrame, sizes: DataFrame) -> list[str]:
+    """The discrete features of cells; values are looked at only of those that have few in every class."""
+    few = sizes.groupBy("feature").agg(F.min("whole").alias("whole"), F.max("values").alias("values")).filter(f"whole = 1 and values <= {MOST_DISTINCT}")
+    some = cells.filter(F.col("feature").isin([r["feature"] for r in few.collect()]))
+    values = some.groupBy("feature", "x").agg(F.first("n")).groupBy("feature").agg(F.count(F.lit(1)).alias("values"))
+    return sorted(r["feature"] for r in values.filter(f"values <= {MOST_DISTINCT}").collect())
+
+
 def discrete_features(df: DataFrame, features: list[str]) -> list[str]:
     """Those of the features that have whole numbers only and at most MOST_DISTINCT distinct values; one row a feature comes to the driver."""
-    values = long_values(df, features, []).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
-    told = values.groupBy("feature").agg(F.count(F.lit(1)).alias("values"), F.min((F.col("v") == F.floor("v")).cast("int")).alias("whole"))
-    return sorted(r["feature"] for r in told.filter(f"values <= {MOST_DISTINCT} and whole = 1").collect())
+    cells = _cells(df.withColumn("_label", F.lit(None)), features, "_label")
+    return _discrete(cells, _sizes(cells))
 
 
 def information(df: DataFrame, features: list[str], label: str, least: int = 30, neighbours: int = 3) -> DataFrame:
-    """(feature, mi): of discrete features from joint counts, of the others by nearest neighbours."""
-    discrete = discrete_features(df, features)
+    """(feature, mi): of discrete features from joint counts, of the others by nearest neighbours; both from the same cells, for which df is read once."""
+    cells = _cells(df, features, label)
+    sizes = _sizes(cells)
+    discrete = _discrete(cells, sizes)
+    cells, sizes = (x.filter("y is not null") for x in (cells, sizes))
+    is_discrete = F.col("feature").isin(discrete)
     parts = []
     if discrete:
-        parts.append(mutual_information(df, discrete, label, least))
-    if rest := [c for c in features if c not in discrete]:
-        parts.append(continuous_information(df, rest, label, least, neighbours))
+        parts.append(information_of_counts(cells.filter(is_discrete), least))
+    if len(discrete) < len(features):
+        parts.append(_of_cells(cells.filter(~is_discrete), sizes.filter(~is_discrete), least, neighbours))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -105,5 +105,5 @@ _RANKED = {"l_extendedprice": "CAST(l_extendedprice AS DOUBLE)", "l_linenumber":
     SELECT feature, round(mi, 7) AS mi, round(pearson, 6) AS pearson FROM m JOIN p USING (feature) ORDER BY m.mi DESC NULLS LAST, abs(p.pearson) DESC NULLS LAST, feature LIMIT 2""")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_tax").cast("double").alias("l_tax"), *[F.expr(v).alias(k) for k, v in _RANKED.items()])
-    scores = information.information(rows, list(_RANKED), "l_returnflag").join(E.associations(rows, list(_RANKED), "l_tax"), "feature")
+    scores = information.information(rows, list(_RANKED), "l_returnflag").join(E.correlations(rows, list(_RANKED), "l_tax"), "feature")
     return E.ranked(scores, ["mi", "pearson"], 2).select("feature", F.round("mi", 7).alias("mi"), F.round("pearson", 6).alias("pearson"))
